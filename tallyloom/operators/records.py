@@ -130,17 +130,20 @@ def _answer_texts(node) -> list[str]:
     return found
 
 
-@F.pandas_udf("array<string>")
-def answer_texts(records: pd.Series) -> pd.Series:
+def answer_texts(records) -> Column:
     """All answer-like texts of a nested JSON record; an unreadable record has none."""
 
-    def one(raw):
-        try:
-            return _answer_texts(json.loads(raw))
-        except (TypeError, ValueError):
-            return []
+    @F.pandas_udf("array<string>")
+    def extract(batch: pd.Series) -> pd.Series:
+        def one(raw):
+            try:
+                return _answer_texts(json.loads(raw))
+            except (TypeError, ValueError):
+                return []
 
-    return records.map(one)
+        return batch.map(one)
+
+    return extract(X.col(records))
 
 
 # --- selection and sampling --------------------------------------------------------------------
@@ -200,15 +203,9 @@ def class_ids(rows: DataFrame, label: str, name: str = "label_id") -> DataFrame:
 
 
 def answer_keys(pairs: DataFrame, dataset: str, ordinal: str, fields: str, label: str) -> DataFrame:
-    """(dataset, answer_key): the first field of the first record that contains the label.
-
-    Decided once per dataset from its lowest ordinal, as an aggregate.
-    """
+    """(dataset, answer_key): the first field of the record with ordinal 0 that contains the label."""
     matching = F.filter(F.map_entries(F.col(fields)), lambda e: F.contains(e["value"], F.col(label)))
-    key = F.get(matching, F.lit(0))["key"]
-    return pairs.groupBy(dataset).agg(F.min_by(F.struct(key.alias("answer_key")), F.col(ordinal)).alias("k")).select(
-        dataset, "k.answer_key"
-    )
+    return pairs.where(F.col(ordinal) == 0).select(dataset, F.get(matching, F.lit(0))["key"].alias("answer_key"))
 
 
 def distill(records: DataFrame, predictions: DataFrame, dataset: str = "dataset", ordinal: str = "ordinal") -> DataFrame:
@@ -361,7 +358,7 @@ def unfenced(generation) -> Column:
     """Code of an answer: after the response mark, inside its python fence, without main guard and usage notes."""
     steps = [_inside_fence]
     for mark in ('if __name__ == "__main__":', "# Example usage"):
-        steps.append(lambda v, mark=mark: F.when(v.contains(mark), X.strip(X.before_first(v, [mark]))).otherwise(v))
+        steps.append(_stripped_before(mark))
     steps.append(_without_opening_line)
     out = X.before_first(F.replace(X.after_last(generation, "### Response:"), F.lit("\t"), F.lit("    ")), ["</s>"])
     for step in steps:
@@ -369,6 +366,10 @@ def unfenced(generation) -> Column:
     return out
 
 
+def _stripped_before(mark: str):
+    return lambda v: F.when(v.contains(mark), X.strip(X.before_first(v, [mark]))).otherwise(v)
+
+
 def _inside_fence(answer) -> Column:
     body = F.replace(X.strip(X.after_first(answer, "```python")), F.lit("```python"), F.lit(""))
     inner = X.bind(body, lambda v: F.when(v.contains("```"), X.strip(X.before_first(v, ["```"]))).otherwise(v))

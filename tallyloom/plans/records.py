@@ -21,6 +21,7 @@ from tallyloom.plans.fixtures import (
     with_ctes,
 )
 from tallyloom.plans.registry import query
+from tallyloom.session import cut_lineage
 
 
 def q(text: str) -> str:
@@ -523,11 +524,11 @@ def prediction_table(spark, sf_dir):
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    # what an ingest would write: the table with its ordinals
+    return cut_lineage(out)
 
 
-def distilled(spark, sf_dir):
-    preds = prediction_table(spark, sf_dir)
+def distilled(preds):
     fields = F.create_map(F.lit("question"), F.concat(F.lit("item "), "ordinal"), F.lit("answer"), F.concat(F.lit(" "), "label", F.lit("\n")))
     originals = preds.select("dataset", "ordinal", fields.alias("fields"))
     out = R.distill(originals, preds)
@@ -540,7 +541,7 @@ def distilled(spark, sf_dir):
     with_ctes("distilled", "SELECT dataset, ordinal, 'answer' AS answer_key, replaced, md5(answer) AS answer_md5 FROM distilled"),
 )
 def distilled_dataset(spark, sf_dir):
-    out = distilled(spark, sf_dir)
+    out = distilled(prediction_table(spark, sf_dir))
     return out.select("dataset", "ordinal", "answer_key", "replaced", F.md5("answer").alias("answer_md5"))
 
 
@@ -567,8 +568,9 @@ def answer_difference_rate(spark, sf_dir):
 
 
 def compared(spark, sf_dir):
-    original = prediction_table(spark, sf_dir).select("dataset", "ordinal", F.col("label").alias("answer"))
-    return R.answer_differences(original, distilled(spark, sf_dir), ["dataset"], "ordinal", "answer")
+    preds = prediction_table(spark, sf_dir)
+    original = preds.select("dataset", "ordinal", F.col("label").alias("answer"))
+    return R.answer_differences(original, distilled(preds), ["dataset"], "ordinal", "answer")
 
 
 PACK, SHARDS = 64, 4
