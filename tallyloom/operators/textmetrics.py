@@ -31,8 +31,15 @@ def _gram_ids(ids: np.ndarray, base: int, n: int) -> np.ndarray:
     return codes
 
 
-def overlap(a, b, order: int, characters: bool = False) -> Column:
-    """STRUCT(size_a, size_b, matches, shared, kinds_a, kinds_b) of two token arrays (or texts by character).
+def _units(value) -> np.ndarray:
+    """Characters of a text as code points, tokens of an array as they are."""
+    if isinstance(value, str):
+        return np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32)
+    return np.array([] if value is None else list(value), dtype=str)
+
+
+def overlap(a, b, order: int) -> Column:
+    """STRUCT(size_a, size_b, matches, shared, kinds_a, kinds_b) of two token arrays, or of two texts by character.
 
     ``matches[n-1]`` is the clipped number of common n-grams, ``shared`` the number of distinct common
     ones, ``kinds_*`` the number of distinct ones on each side.
@@ -42,8 +49,8 @@ def overlap(a, b, order: int, characters: bool = False) -> Column:
     def count(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         rows = []
         for x, y in zip(left, right):
-            x, y = list(x) if x is not None else [], list(y) if y is not None else []
-            both = np.unique(np.array(x + y, dtype=object).astype(str), return_inverse=True)[1] if x or y else np.zeros(0, int)
+            x, y = _units(x), _units(y)
+            both = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
             base = int(both.max()) + 1 if len(both) else 1
             row = [len(x), len(y), [], [], [], []]
             for n in range(1, order + 1):

@@ -33,10 +33,19 @@ def document_pairs(spark, sf_dir):
 
 def grams_sql(source: str, order: int, tokens_a: str, tokens_b: str) -> str:
     """Table expressions ta, tb (id, tokens), counts per (id, n, gram) and ov (id, n, matches, shared, kinds)."""
+    def counted(side: str) -> str:
+        ahead = ", ".join(f"lead(w, {k}) OVER (PARTITION BY id ORDER BY k) AS w{k}" for k in range(1, order))
+        grams = " UNION ALL ".join(
+            f"SELECT id, {n} AS n, {' || chr(1) || '.join(['w'] + [f'w{k}' for k in range(1, n)])} AS g FROM l{side}"
+            + (f" WHERE w{n - 1} IS NOT NULL" if n > 1 else "")
+            for n in range(1, order + 1)
+        )
+        return f"""t{side} AS (SELECT id, unnest({side}) AS w, generate_subscripts({side}, 1) AS k FROM base),
+l{side} AS (SELECT id, w, {ahead} FROM t{side}), g{side} AS (SELECT id, n, g, count(*) AS c FROM ({grams}) GROUP BY ALL),
+"""
+
     return f"""base AS (SELECT id, {tokens_a} AS a, {tokens_b} AS b FROM {source}),
-ga AS (SELECT id, n, array_to_string(a[k:k + n - 1], chr(1)) AS g, count(*) AS c FROM base, generate_series(1, {order}) s(n), generate_series(1, len(a) - n + 1) t(k) GROUP BY ALL),
-gb AS (SELECT id, n, array_to_string(b[k:k + n - 1], chr(1)) AS g, count(*) AS c FROM base, generate_series(1, {order}) s(n), generate_series(1, len(b) - n + 1) t(k) GROUP BY ALL),
-mt AS (SELECT ga.id, ga.n, sum(least(ga.c, gb.c)) AS m, count(*) AS sh FROM ga JOIN gb USING (id, n, g) GROUP BY ALL),
+{counted("a")}{counted("b")}mt AS (SELECT ga.id, ga.n, sum(least(ga.c, gb.c)) AS m, count(*) AS sh FROM ga JOIN gb USING (id, n, g) GROUP BY ALL),
 ov AS (SELECT base.id, n.n, len(a) AS la, len(b) AS lb, coalesce(mt.m, 0) AS m, coalesce(mt.sh, 0) AS sh FROM base CROSS JOIN generate_series(1, {order}) n(n) LEFT JOIN mt ON mt.id = base.id AND mt.n = n.n)"""
 
 
