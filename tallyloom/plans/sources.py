@@ -106,16 +106,16 @@ def text_line_records(spark, sf_dir):
 )
 def combo_statistics(spark, sf_dir):
     root = scratch_path(spark, "tree")
+    keys = ["train_dataset", "method", "epoch", "task"]
     rows = table(spark, sf_dir, "lineitem").select(
-        F.concat(
-            F.lit("by_combo/"), "l_returnflag", F.lit("/"), "l_linestatus", F.lit("/epoch_"), F.col("l_linenumber") % 3, F.lit("/task"), F.col("l_suppkey") % 2
-        ).alias("folder"),
+        F.col("l_returnflag").alias("train_dataset"),
+        F.col("l_linestatus").alias("method"),
+        F.concat(F.lit("epoch_"), F.col("l_linenumber") % 3).alias("epoch"),
+        F.concat(F.lit("task"), F.col("l_suppkey") % 2).alias("task"),
         "l_orderkey",
         "l_quantity",
     )
-    folders = [r["folder"] for r in rows.select("folder").distinct().collect()]
-    for folder in folders:  # the handful of experiment folders of the fixture
-        rows.where(F.col("folder") == folder).drop("folder").coalesce(1).write.option("header", True).csv(f"{root}/{folder}")
+    rows.write.partitionBy(*keys).option("header", True).csv(f"{root}/by_combo")
     stats = S.read_combo_statistics(spark, root, "*.csv", "l_orderkey bigint, l_quantity double")
     out = stats.groupBy("train_dataset", "method", "epoch", "task").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total")

@@ -99,7 +99,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_combo_statistics(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
-    """CSV statistics under by_combo/<train_dataset>/<method>/<epoch>/<task>/; unreadable files are skipped."""
+    """CSV statistics under by_combo/<train_dataset>/<method>/<epoch>/<task>/; unreadable files are skipped.
+
+    A folder may be a plain value or ``name=value``.
+    """
     rows = (
         spark.read.schema(schema)
         .option("header", True)
@@ -111,7 +114,8 @@ def read_combo_statistics(spark: SparkSession, root: str, file: str, schema: str
     keys = ["train_dataset", "method", "epoch", "task"]
     # the folders stand right after the by_combo folder
     first = F.array_position(parts, "by_combo").cast("int")
-    return rows.select(*[F.element_at(parts, first + 1 + k).alias(n) for k, n in enumerate(keys)], "*")
+    values = [F.regexp_replace(F.element_at(parts, first + 1 + k), "^[^=]*=", "") for k in range(len(keys))]
+    return rows.select(*[v.alias(n) for v, n in zip(values, keys)], "*")
 
 
 RESULT_NAME = r"^([^_]+)_([^_]+)__(.+)\.json$"  # fixed value: domain, checkpoint and test in a result file's name
