@@ -168,12 +168,17 @@ def _matches(c, pattern: str) -> Column:
     return F.regexp_count(col(c), F.lit(pattern))
 
 
+def _of(c, letters: str) -> Column:
+    """Number of characters that are one of ``letters``, in either case."""
+    return F.length(col(c)) - F.length(F.translate(col(c), letters + letters.upper(), ""))
+
+
 COUNTERS: dict[str, Callable[..., Column]] = {
-    "Count Occurrences of letter A": lambda c: _matches(c, "[aA]"),
+    "Count Occurrences of letter A": lambda c: _of(c, "a"),
     "Count Words": word_count,
     "Count Uppercase Letters": lambda c: _matches(c, r"\p{Lu}"),
-    "Count Vowels": lambda c: _matches(c, f"(?i)[{VOWELS}]"),
-    "Count Consonants": lambda c: _matches(c, f"(?i)[{CONSONANTS}]"),
+    "Count Vowels": lambda c: _of(c, VOWELS),
+    "Count Consonants": lambda c: _of(c, CONSONANTS),
     "Count Numbers": lambda c: _matches(c, r"\p{Nd}"),
     "Count Characters Without Spaces": lambda c: F.length(F.replace(col(c), F.lit(" "))),
     "Count Words that end in a vowel": lambda c: F.size(F.filter(words(c), lambda w: F.lower(F.right(w, F.lit(1))).isin(*VOWELS))),

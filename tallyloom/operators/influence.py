@@ -11,8 +11,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators.gram import MAX_DIMENSION, gram_sums, mirror
@@ -145,36 +147,56 @@ def hvp_many(train: DataFrame, targets: DataFrame, damping: DataFrame, target_id
     )
 
 
-def influence_matrix(
-    train: DataFrame, hvps: DataFrame, train_id: str, target_id: str, block: int = 256
-) -> DataFrame:
-    """(train, target, influence) for every training row and target.
+SLICE_ROWS, BLOCK_ROWS = 8192, 512
+
+
+def influence_matrix(train: DataFrame, hvps: DataFrame, train_id: str, target_id: str) -> DataFrame:
+    """(train, target, influence) for every training row and target, as a blocked matrix product.
 
-    Layers are laid end to end so no sum over layers is shuffled. Targets are packed in blocks; a
-    training row meets each block once through an equi join on the block number, and the result is
-    written out by the task that holds the training row.
+    Layers are laid end to end so no sum over layers is shuffled. Training rows are cut in slices of about
+    8192 and targets in blocks of about 512; a slice and a block meet in one task, which multiplies them.
+    What a task holds does not grow with either table.
     """
-    wide_train = train.groupBy(train_id).agg(F.array_sort(F.collect_list(F.struct("layer", "g"))).alias("ls"))
-    wide_train = wide_train.select(train_id, F.flatten(F.transform("ls", lambda s: s["g"])).alias("g"))
-    wide_target = hvps.groupBy(target_id).agg(
-        F.array_sort(F.collect_list(F.struct("layer", "hvp"))).alias("ls")
-    )
-    wide_target = wide_target.select(target_id, F.flatten(F.transform("ls", lambda s: s["hvp"])).alias("h"))
-    blocks = max(1, -(-hvps.select(target_id).distinct().count() // block))
-    packed = (
-        wide_target.withColumn("block", F.pmod(F.xxhash64(target_id), F.lit(blocks)).cast("int"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct(target_id, "h")).alias("targets"))
-    )
-    spread = wide_train.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scores = F.transform(
-        "targets", lambda t: F.struct(t[target_id].alias(target_id), (-V.dot(t["h"], F.col("g"))).alias("influence"))
-    )
-    return (
-        spread.join(packed, "block")
-        .select(train_id, F.explode(scores).alias("s"))
-        .select(train_id, f"s.{target_id}", "s.influence")
+
+    def laid_out(rows, key, vector, name):
+        layers = F.array_sort(F.collect_list(F.struct("layer", F.col(vector).alias("g"))))
+        return rows.groupBy(key).agg(F.flatten(F.transform(layers, lambda s: s["g"])).alias(name))
+
+    spark = train.sparkSession
+    counts = train.select(F.approx_count_distinct(train_id).alias("n")).first()["n"]
+    wanted = hvps.select(F.approx_count_distinct(target_id).alias("n")).first()["n"]
+    slices = max(-(-counts // SLICE_ROWS), spark.sparkContext.defaultParallelism)
+    blocks = max(1, -(-wanted // BLOCK_ROWS))
+
+    def place(key, parts):
+        return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+    def every(parts):
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    left = laid_out(train, train_id, "g", "g").withColumn("slice", place(train_id, slices)).withColumn("block", every(blocks))
+    right = laid_out(hvps, target_id, "hvp", "h").withColumn("block", place(target_id, blocks)).withColumn("slice", every(slices))
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = a.num_rows, b.num_rows
+        if x and y:
+            g = a["g"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x, -1)
+            h = b["h"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(y, -1)
+            scores = -(g @ h.T).ravel()
+        else:
+            scores = np.zeros(0)
+        return pa.table(
+            {
+                train_id: a[train_id].combine_chunks().take(pa.array(np.repeat(np.arange(x), y))),
+                target_id: b[target_id].combine_chunks().take(pa.array(np.tile(np.arange(y), x))),
+                "influence": pa.array(scores),
+            }
+        )
+
+    out = T.StructType(
+        [train.schema[train_id], hvps.schema[target_id], T.StructField("influence", T.DoubleType())]
     )
+    return left.groupBy("slice", "block").cogroup(right.groupBy("slice", "block")).applyInArrow(product, out)
 
 
 def objects_row(objects: DataFrame, group: Sequence[str], obj: str, vector: str) -> DataFrame:

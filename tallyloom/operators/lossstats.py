@@ -643,29 +643,21 @@ def bootstrap_width(
     """95% interval width of the bootstrap mean.
 
     A row enters a repeat Poisson(1) times, the large-sample form of drawing n of n with replacement;
-    the weighted sums of all repeats are folded before the shuffle, no draw is ever materialised.
-    One md5 gives the uniforms of four repeats.
+    the weighted sums are folded per (group, repeat) before the shuffle. Two numbers h, s of one md5 per
+    row give the uniforms of all repeats, (h + repeat * s) mod 2^32: pairwise independent between
+    repeats, independent between rows.
     """
-    quads = -(-repeats // 4)
-    hashed = rows.where(finite(value)).select(
-        *keys, value, *ids, F.explode(F.sequence(F.lit(0), F.lit(quads - 1))).alias("__q")
-    )
-    hashed = hashed.withColumn("__md5", sampling.hash_text("__q", *ids, seed=seed))
+    digest = rows.where(finite(value)).select(*keys, value, sampling.hash_text(*ids, seed=seed).alias("__md5"))
 
-    def part(s):
-        return F.conv(F.substring("__md5", 8 * s + 1, 8), 16, 10).cast("bigint") / F.lit(4294967295.0)
+    def word(start):
+        return F.conv(F.substring("__md5", start, 8), 16, 10).cast("bigint")
 
-    folded = hashed.select(*keys, value, "__q", *[poisson_weight(part(s)).alias(f"__w{s}") for s in range(4)])
-    sums = folded.groupBy(*keys, "__q").agg(
-        *[(F.sum(F.col(value) * F.col(f"__w{s}")) / F.sum(f"__w{s}")).alias(f"__m{s}") for s in range(4)]
-    )
-    means = sums.select(
-        *keys,
-        F.explode(F.array(*[F.struct((F.col("__q") * 4 + s).alias("rep"), F.col(f"__m{s}").alias("m")) for s in range(4)])).alias("r"),
-    ).select(*keys, "r.*")
-    return means.where(F.col("rep") < repeats).groupBy(*keys).agg(
-        (F.percentile("m", 0.975) - F.percentile("m", 0.025)).alias(name)
-    )
+    seeded = digest.select(*keys, value, word(1).alias("__h"), word(9).alias("__s"))
+    drawn = seeded.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    u = ((F.col("__h") + F.col("rep") * F.col("__s")) % 4294967296) / F.lit(4294967296.0)
+    weighted = drawn.select(*keys, "rep", value, u.alias("__u")).withColumn("__w", poisson_weight(F.col("__u")))
+    means = weighted.groupBy(*keys, "rep").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias("m"))
+    return means.groupBy(*keys).agg((F.percentile("m", 0.975) - F.percentile("m", 0.025)).alias(name))
 
 
 def block_bootstrap_width(

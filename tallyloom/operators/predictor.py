@@ -174,14 +174,16 @@ def wide_table(rows: DataFrame, row: str, column: str, values: Sequence[str], va
 
 
 def search_weights(
-    points: DataFrame, spark, max_exp: float = 3.0, step: float = 1e-4, ratio: float = 10.0
+    points: DataFrame, most: int, max_exp: float = 3.0, step: float = 1e-4, ratio: float = 10.0
 ) -> DataFrame:
     """(w_dot, w_start, accuracy, margin): best point of a logarithmic grid with w_start >= ratio w_dot.
 
-    ``points`` is (x_dot, x_start, bias, label), the labelled cells of one experiment table. The grid is
-    a range of rows that Spark splits; each row holds one pair of weights and scores the few cells in one
-    expression. Best sign accuracy wins, then the largest smallest score, then the first point of the grid.
+    ``points`` is (x_dot, x_start, bias, label), the labelled cells of one experiment table, at most
+    ``most`` of them. The grid is a range of rows that Spark splits; each row holds one pair of weights and
+    scores the cells in one compiled expression. Best sign accuracy wins, then the largest smallest score,
+    then the first point of the grid.
     """
+    spark = points.sparkSession
     steps = int(max_exp / step)
     log_ratio = math.log10(ratio)
     cells = points.agg(F.collect_list(F.struct("x_dot", "x_start", "bias", "label")).alias("cells"))
@@ -196,15 +198,13 @@ def search_weights(
     )
     scored = grid.withColumn("__k", F.lit(1)).join(cells.withColumn("__k", F.lit(1)), "__k")
 
-    def fold(acc, cell):
+    hits, margin = F.lit(0), F.lit(float("inf"))
+    for k in range(most):
+        cell = F.get("cells", F.lit(k))
         score = F.col("w_dot") * cell["x_dot"] + F.col("w_start") * cell["x_start"] + cell["bias"]
-        return F.struct(
-            (acc["hits"] + F.when((score >= 0) == (cell["label"] > 0), 1).otherwise(0)).alias("hits"),
-            F.least(acc["margin"], F.abs(score)).alias("margin"),
-        )
-
-    start = F.struct(F.lit(0).alias("hits"), F.lit(float("inf")).alias("margin"))
-    scored = scored.select("i", "j", "w_dot", "w_start", F.size("cells").alias("n"), F.aggregate("cells", start, fold).alias("s"))
+        hits = hits + F.when((score >= 0) == (cell["label"] > 0), 1).otherwise(0)
+        margin = F.least(margin, F.abs(score))
+    scored = scored.select("i", "j", "w_dot", "w_start", F.size("cells").alias("n"), F.struct(hits.alias("hits"), margin.alias("margin")).alias("s"))
     best = scored.agg(
         F.max_by(F.struct("w_dot", "w_start", (F.col("s.hits") / F.col("n")).alias("accuracy"), F.col("s.margin").alias("margin")),
                  F.struct("s.hits", "s.margin", -F.col("i"), -F.col("j"))).alias("b")

@@ -7,7 +7,7 @@ many references is spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,22 +20,30 @@ from tallyloom.functions import text as X
 OVERLAP = "struct<size_a:int,size_b:int,matches:array<int>,shared:array<int>,kinds_a:array<int>,kinds_b:array<int>>"
 
 
-def _gram_ids(ids: np.ndarray, base: int, n: int) -> np.ndarray:
-    """One integer per n-gram, built from the codes of its shorter prefix so it never overflows."""
-    codes = ids
-    for k in range(1, n):
-        pairs = codes[:-1].astype(np.int64) * base + ids[k:]
-        codes = pairs
-        if k + 1 < n:
-            codes = np.unique(pairs, return_inverse=True)[1]
-    return codes
-
-
 def _units(value) -> np.ndarray:
     """Characters of a text as code points, tokens of an array as they are."""
     if isinstance(value, str):
-        return np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32)
-    return np.array([] if value is None else list(value), dtype=str)
+        return np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return np.array([] if value is None else list(value), dtype=object)
+
+
+def _gram_counts(x: np.ndarray, y: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 .. order the counts of every distinct n-gram on both sides, in one numbering."""
+    units = pd.factorize(np.concatenate([x, y]))[0].astype(np.int64)
+    base = int(units.max()) + 1 if len(units) else 1
+    codes = units
+    for n in range(1, order + 1):
+        if n > 1 and len(codes) > 1:
+            # an n-gram is the number of its first n - 1 units followed by one more unit
+            codes = pd.factorize(codes[:-1] * base + units[n - 1 :])[0]
+        elif n > 1:
+            codes = codes[:0]
+        kinds = int(codes.max()) + 1 if len(codes) else 0
+        # n-grams across the seam between the two sides belong to neither
+        yield (
+            np.bincount(codes[: max(len(x) - n + 1, 0)], minlength=kinds),
+            np.bincount(codes[len(x) :], minlength=kinds),
+        )
 
 
 def overlap(a, b, order: int) -> Column:
@@ -50,20 +58,12 @@ def overlap(a, b, order: int) -> Column:
         rows = []
         for x, y in zip(left, right):
             x, y = _units(x), _units(y)
-            both = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
-            base = int(both.max()) + 1 if len(both) else 1
             row = [len(x), len(y), [], [], [], []]
-            for n in range(1, order + 1):
-                # codes have to agree between the sides, so both are coded together and split again
-                joined = _gram_ids(both, base, n) if len(both) >= n else np.zeros(0, np.int64)
-                ga, gb = joined[: max(len(x) - n + 1, 0)], joined[len(x) :]
-                ka, ca = np.unique(ga, return_counts=True)
-                kb, cb = np.unique(gb, return_counts=True)
-                common, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-                row[2].append(int(np.minimum(ca[ia], cb[ib]).sum()))
-                row[3].append(len(common))
-                row[4].append(len(ka))
-                row[5].append(len(kb))
+            for ca, cb in _gram_counts(x, y, order):
+                row[2].append(int(np.minimum(ca, cb).sum()))
+                row[3].append(int(((ca > 0) & (cb > 0)).sum()))
+                row[4].append(int((ca > 0).sum()))
+                row[5].append(int((cb > 0).sum()))
             rows.append(row)
         return pd.DataFrame(rows, columns=["size_a", "size_b", "matches", "shared", "kinds_a", "kinds_b"])
 

@@ -479,7 +479,7 @@ def pairwise_reward_loss(spark, sf_dir):
     f"""SELECT token, count(*) AS count FROM (SELECT unnest({SQL_WORDS.format("text")}) AS token FROM documents) GROUP BY token ORDER BY count DESC, token LIMIT 50""",
 )
 def top_tokens(spark, sf_dir):
-    return E.top_tokens(E.token_counts(table(spark, sf_dir, "documents"), [], X.words("text")), 50)
+    return E.top_tokens(E.token_counts(table(spark, sf_dir, "documents", "doc_id"), [], X.words("text")), 50)
 
 
 @query(
@@ -488,7 +488,7 @@ def top_tokens(spark, sf_dir):
     f"""SELECT lang, count(*) AS texts, sum(len({SQL_WORDS.format("text")}))::BIGINT AS tokens, round(avg(len({SQL_WORDS.format("text")})), 6) AS tokens_per_text FROM documents GROUP BY lang""",
 )
 def token_totals(spark, sf_dir):
-    return rounded(E.token_totals(table(spark, sf_dir, "documents"), ["lang"], X.words("text")), "tokens_per_text")
+    return rounded(E.token_totals(table(spark, sf_dir, "documents", "doc_id"), ["lang"], X.words("text")), "tokens_per_text")
 
 
 @query(

@@ -434,9 +434,8 @@ def length_ablation(spark, sf_dir):
 
 
 BOOT = 100
-_U = "(('0x' || substr(h, 8 * s + 1, 8))::BIGINT / 4294967295.0::DOUBLE)"
 _CUTS = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k)) for k in range(1, 12)]
-POISSON_SQL = "CASE " + " ".join(f"WHEN {_U} < {cut!r} THEN {k}" for k, cut in enumerate(_CUTS)) + " ELSE 11 END"
+POISSON_SQL = "CASE " + " ".join(f"WHEN u < {cut!r} THEN {k}" for k, cut in enumerate(_CUTS)) + " ELSE 11 END"
 
 
 @query(
@@ -444,8 +443,10 @@ POISSON_SQL = "CASE " + " ".join(f"WHEN {_U} < {cut!r} THEN {k}" for k, cut in e
     "ST18",
     with_ctes(
         "smp",
-        f""", hq AS (SELECT combo, lbar, q, md5('boot:' || q || ':' || combo || ':' || sample_idx) AS h FROM smp CROSS JOIN generate_series(0, {BOOT // 4 - 1}) t(q)),
-w AS (SELECT combo, q * 4 + s AS rep, lbar, {POISSON_SQL} AS w FROM hq CROSS JOIN generate_series(0, 3) u(s)),
+        f""", hq AS (SELECT combo, lbar, md5('boot:' || combo || ':' || sample_idx) AS h FROM smp),
+hs AS (SELECT combo, lbar, ('0x' || substr(h, 1, 8))::BIGINT AS h, ('0x' || substr(h, 9, 8))::BIGINT AS s FROM hq),
+hu AS (SELECT combo, rep, lbar, ((h + rep * s) % 4294967296) / 4294967296.0::DOUBLE AS u FROM hs CROSS JOIN generate_series(0, {BOOT - 1}) r(rep)),
+w AS (SELECT combo, rep, lbar, {POISSON_SQL} AS w FROM hu),
 nm AS (SELECT combo, rep, sum(lbar * w) / sum(w) AS m FROM w GROUP BY ALL),
 nv AS (SELECT combo, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS naive FROM nm GROUP BY combo),
 o AS (SELECT combo, lbar, row_number() OVER (PARTITION BY combo ORDER BY sample_idx) - 1 AS p, count(*) OVER (PARTITION BY combo) AS n FROM smp),

@@ -104,10 +104,36 @@ def shared_mode_suite(spark, sf_dir):
     return rounded(M.shared_mode_suite(c, KEYS).drop("gap"), "mean_offdiag", "fro_offdiag", "trace", "lambda1")
 
 
-@query("matrix_spectra", "MAT2 MAT3")
+EXTREMES = """
+mats AS (SELECT layer, method, list(r ORDER BY i) AS m FROM
+  (SELECT layer, method, i, list(v ORDER BY j) AS r FROM gm GROUP BY ALL) GROUP BY ALL),
+power AS (
+  SELECT layer, method, 0 AS k, list_transform(m, lambda r: 1.0::DOUBLE + r[1] / 7) AS u,
+    list_transform(m, lambda r: 1.0::DOUBLE - r[2] * 3 + r[3]) AS l, list_aggregate(list_transform(m, lambda r: list_dot_product(r, r)), 'sum') AS f FROM mats
+  UNION ALL
+  SELECT p.layer, p.method, k + 1, list_transform(w, lambda t: t / sqrt(list_dot_product(w, w))) AS u,
+    list_transform(z, lambda t: t / sqrt(list_dot_product(z, z))) AS l, f FROM
+    (SELECT power.layer, power.method, k, f, list_transform(m, lambda r: list_dot_product(r, u)) AS w,
+       list_transform(list_zip(l, list_transform(m, lambda r: list_dot_product(r, l))), lambda x: sqrt(f) * x[1] - x[2]) AS z
+     FROM power JOIN mats USING (layer, method) WHERE k < 4000) p)
+"""
+
+
+@query(
+    "matrix_spectra",
+    "MAT2 MAT3",
+    recursive(
+        "gm",
+        EXTREMES,
+        """SELECT layer, method, len(m) AS n, true AS is_symmetric,
+  round(list_dot_product(l, list_transform(m, lambda r: list_dot_product(r, l))), 6) AS eig_min,
+  round(list_dot_product(u, list_transform(m, lambda r: list_dot_product(r, u))), 6) AS eig_max, 0::BIGINT AS negative_count, 0::BIGINT AS near_zero_count
+FROM power JOIN mats USING (layer, method) WHERE k = 4000""",
+    ),
+)
 def matrix_spectra(spark, sf_dir):
     diagnostics = M.spectral_diagnostics(M.spectra(gram_cells(spark, sf_dir), KEYS), KEYS)
-    return rounded(diagnostics, "eig_min", "eig_max", digits=9)
+    return rounded(diagnostics.drop("condition"), "eig_min", "eig_max")
 
 
 @query(
@@ -194,8 +220,8 @@ def normalized_cca_linear(spark, sf_dir):
     return moments.normalized_cca(rows, ["part"], "x", "y", 32, 32, sigma=None)
 
 
-@query("normalized_cca_batch", "MAT9 MAT11")
-def normalized_cca_batch(spark, sf_dir):
+def cca_batch(spark, sf_dir):
+    """(label, method, n, status, value); one combination has no rows at all."""
     rows = halves(spark, sf_dir).withColumn("method", F.when(F.col("is_val"), "sdft").otherwise("sft"))
     rows = rows.where(~((F.col("label") == 0) & F.col("is_val")))
     methods = F.explode(F.array(F.lit("sft"), F.lit("sdft"))).alias("method")
@@ -204,6 +230,25 @@ def normalized_cca_batch(spark, sf_dir):
     return moments.with_missing(results, expected, ["label", "method"])
 
 
+@query("normalized_cca_batch", "MAT9 MAT11")
+def normalized_cca_batch(spark, sf_dir):
+    return cca_batch(spark, sf_dir)
+
+
+@query(
+    "normalized_cca_statuses",
+    "MAT11",
+    with_ctes(
+        "vec",
+        """, r AS (SELECT label, CASE WHEN is_val THEN 'sdft' ELSE 'sft' END AS method, count(*) AS n FROM vec WHERE NOT (label = 0 AND is_val) GROUP BY ALL)
+SELECT l.label, m.method, r.n, CASE WHEN r.n IS NULL THEN 'missing' WHEN r.n < 2 THEN 'failed' ELSE 'success' END AS status
+FROM (SELECT DISTINCT label FROM vec) l CROSS JOIN (VALUES ('sft'), ('sdft')) m(method) LEFT JOIN r ON r.label = l.label AND r.method = m.method""",
+    ),
+)
+def normalized_cca_statuses(spark, sf_dir):
+    return cca_batch(spark, sf_dir).drop("value")
+
+
 @query(
     "kernel_matrix_imq",
     "MAT10",

@@ -223,5 +223,5 @@ SELECT round(w1, 6) AS w_dot, round(w2, 6) AS w_start, round(hits / n::DOUBLE, 9
 )
 def weight_search(spark, sf_dir):
     points = P.difference_points(experiment_metrics(spark, sf_dir), LABELS)
-    out = P.search_weights(points, spark, step=STEP)
+    out = P.search_weights(points, len(LABELS), step=STEP)
     return rounded(rounded(rounded(out, "w_dot", "w_start"), "accuracy", digits=9), "margin", digits=8)

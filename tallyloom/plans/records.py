@@ -700,7 +700,7 @@ COUNTER_SQL = {
     "SELECT doc_id, " + ", ".join(f"({e})::INTEGER AS c{k}" for k, e in enumerate(COUNTER_SQL.values())) + " FROM documents",
 )
 def text_counters(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", *[X.COUNTERS[name]("text").cast("int").alias(f"c{k}") for k, name in enumerate(COUNTER_SQL)]
     )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -46,6 +45,5 @@ def query(name: str, covers: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     for module in MODULES:
-        if importlib.util.find_spec(f"tallyloom.plans.{module}") is None: continue
         importlib.import_module(f"tallyloom.plans.{module}")
     return REGISTRY

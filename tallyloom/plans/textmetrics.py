@@ -23,7 +23,7 @@ def document_pairs(spark, sf_dir):
     placed = O.positions(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], ["doc_id"], "p")
     following = placed.select("lang", "source", (F.col("p") - 1).alias("p"), F.col("doc_id").alias("next_id"))
     pairs = placed.join(following, ["lang", "source", "p"]).select("doc_id", "next_id")
-    texts = table(spark, sf_dir, "documents")
+    texts = table(spark, sf_dir, "documents", "doc_id")
     return (
         pairs.join(texts.select("doc_id", "lang", F.col("text").alias("hyp")), "doc_id")
         .join(texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("ref")), "next_id")
@@ -68,7 +68,7 @@ def sentence_bleu4(spark, sf_dir):
 
 @query(
     "rouge_1_2",
-    "EV14",
+    "EV14 UDAF1",
     with_ctes(
         "docpair",
         ", src AS (SELECT doc_id AS id, hyp, ref FROM docpair), "
@@ -84,7 +84,7 @@ def rouge_1_2(spark, sf_dir):
     return rounded(out, "rouge_1", "rouge_2", digits=8)
 
 
-@query("rouge_l", "EV14 UDAF1")
+@query("rouge_l", "EV14")
 def rouge_l(spark, sf_dir):
     out = T.rouge(document_pairs(spark, sf_dir), X.words("hyp"), X.words("ref"), ["doc_id"])
     return out.select("doc_id", F.round("rouge_l", 8).alias("rouge_l"))
