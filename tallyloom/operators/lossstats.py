@@ -281,6 +281,8 @@ def robust_mean_experiment(
         "catoni": array_catoni(F.col("x")),
     }
     each = drawn.select("rep", "mu", F.explode(kinds).alias("s")).select("rep", "mu", "s.kind", "s.x")
+    # a few thousand short arrays, each worth much arithmetic: small enough to be merged into one task otherwise
+    each = each.repartition(rows.sparkSession.sparkContext.defaultParallelism, "rep", "kind")
     estimated = each.select(
         "rep",
         "mu",

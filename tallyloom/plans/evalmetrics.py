@@ -386,7 +386,7 @@ _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     "SELECT split_part(k, '|', 1) AS a, split_part(k, '|', 2) AS b, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY k",
 )
 def correlation_matrices(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(*_COLS)
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey").select(*_COLS)
     return rounded(E.correlation_matrices(rows, _COLS), "pearson", "spearman")
 
 

@@ -246,7 +246,7 @@ FROM (SELECT DISTINCT label FROM vec) l CROSS JOIN (VALUES ('sft'), ('sdft')) m(
     ),
 )
 def normalized_cca_statuses(spark, sf_dir):
-    return cca_batch(spark, sf_dir).drop("value")
+    return cca_batch(spark, sf_dir).drop("value", "cut")
 
 
 @query(

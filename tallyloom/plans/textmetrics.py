@@ -23,12 +23,14 @@ def document_pairs(spark, sf_dir):
     placed = O.positions(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], ["doc_id"], "p")
     following = placed.select("lang", "source", (F.col("p") - 1).alias("p"), F.col("doc_id").alias("next_id"))
     pairs = placed.join(following, ["lang", "source", "p"]).select("doc_id", "next_id")
-    texts = table(spark, sf_dir, "documents", "doc_id")
-    return (
+    texts = table(spark, sf_dir, "documents")
+    both = (
         pairs.join(texts.select("doc_id", "lang", F.col("text").alias("hyp")), "doc_id")
         .join(texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("ref")), "next_id")
         .drop("next_id")
     )
+    # counting n-grams costs far more than moving the texts once, so they are laid out evenly for it
+    return both.repartition("doc_id")
 
 
 def grams_sql(source: str, order: int, tokens_a: str, tokens_b: str) -> str:
