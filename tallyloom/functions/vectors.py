@@ -6,6 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MAX_OBJECTS = 4096
+
+
+def few(items: Column, what: str = "objects", most: int = MAX_OBJECTS) -> Column:
+    """A collected array, or an error when it has more than ``most`` entries.
+
+    For lists of datasets, tasks or experiment keys, which are joined to every row.
+    """
+    too_many = F.raise_error(F.lit(f"more than {most} {what}: they cannot be held in one row"))
+    return F.when(F.size(items) <= most, items).otherwise(too_many)
+
+
 def doubles(v) -> Column:
     return F.col(v).cast("array<double>") if isinstance(v, str) else v.cast("array<double>")
 

@@ -63,7 +63,7 @@ def mirror_pairs(cells: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def every_group(objects: DataFrame, obj: str, vector: str, group: str) -> DataFrame:
     """The object list repeated for every dataset; datasets are the objects themselves."""
-    packed = objects.agg(F.array_sort(F.collect_list(F.struct(F.col(obj), F.col(vector)))).alias("objs"))
+    packed = objects.agg(V.few(F.array_sort(F.collect_list(F.struct(F.col(obj), F.col(vector))))).alias("objs"))
     return (
         packed.select(F.explode(F.transform("objs", lambda o: o[obj])).alias(group), "objs")
         .select(group, F.explode("objs").alias("o"))
@@ -74,7 +74,7 @@ def every_group(objects: DataFrame, obj: str, vector: str, group: str) -> DataFr
 def cosine_jobs(objects: DataFrame, obj: str, vector: str) -> DataFrame:
     """(base, target, status, cosine) for every ordered pair of dataset-level vectors."""
     item = F.struct(F.col(obj).alias("obj"), F.col(vector).alias("v"), V.norm(vector).alias("norm"))
-    packed = objects.agg(F.array_sort(F.collect_list(item)).alias("objs"))
+    packed = objects.agg(V.few(F.array_sort(F.collect_list(item))).alias("objs"))
     pairs = packed.select(F.explode("objs").alias("x"), "objs").select("x", F.explode("objs").alias("y"))
     status = (
         F.when(F.size("x.v") != F.size("y.v"), "shape_mismatch")
@@ -170,7 +170,7 @@ def h_mode_scores(rows: DataFrame, objects: DataFrame, method: str, obj: str, da
 
 def object_pairs(objects: DataFrame, obj: str) -> DataFrame:
     """(a, b), a <= b, over dataset-level objects."""
-    packed = objects.agg(F.sort_array(F.collect_set(obj)).alias("objs"))
+    packed = objects.agg(V.few(F.sort_array(F.collect_set(obj))).alias("objs"))
     return (
         packed.select(F.explode("objs").alias("a"), "objs")
         .select("a", F.explode("objs").alias("b"))

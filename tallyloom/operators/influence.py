@@ -202,7 +202,7 @@ def influence_matrix(train: DataFrame, hvps: DataFrame, train_id: str, target_id
 def objects_row(objects: DataFrame, group: Sequence[str], obj: str, vector: str) -> DataFrame:
     """(group, objs): all objects of a group in one sorted array; objects are datasets or tasks, a handful."""
     packed = F.array_sort(F.collect_list(F.struct(F.col(obj).alias("obj"), F.col(vector).alias("a"))))
-    return objects.groupBy(*group).agg(packed.alias("objs"))
+    return objects.groupBy(*group).agg(V.few(packed).alias("objs"))
 
 
 def pair_scores(

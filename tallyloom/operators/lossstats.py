@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import sampling
 from tallyloom.functions.numeric import clip, finite, linspace
+from tallyloom.functions.vectors import few
 from tallyloom.operators import ordering as O
 from tallyloom.session import cut_lineage
 
@@ -740,7 +741,7 @@ def full_grid(dimensions: Mapping[str, Sequence[str]], spark) -> DataFrame:
 
 def observed_grid(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Every combination of the observed values of each key; keys are experiment dimensions."""
-    grid = rows.agg(*[F.sort_array(F.collect_set(n)).alias(n) for n in names])
+    grid = rows.agg(*[few(F.sort_array(F.collect_set(n)), "experiment keys").alias(n) for n in names])
     for n in names:
         grid = grid.withColumn(n, F.explode(n))
     return grid

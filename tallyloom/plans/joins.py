@@ -55,7 +55,7 @@ def positional_record_pairs(spark, sf_dir):
 
 _METHOD = f"CASE WHEN {sql_uniform('o_custkey::VARCHAR', 'method')} < 0.5 THEN 'sft' ELSE 'sdft' END"
 CTE["perf"] = f"""
-SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, avg(o_totalprice) / 1e5 AS metric
+SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, avg(ln(o_totalprice)) AS metric
 FROM orders WHERE NOT (o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 AND {_METHOD} = 'sft') GROUP BY ALL"""
 CTE["feat"] = """
 SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, o_orderstatus AS task, avg(ln(o_totalprice + 1)) AS cent FROM orders GROUP BY ALL"""
@@ -74,7 +74,7 @@ def order_keys(spark, sf_dir):
 def performance(spark, sf_dir):
     rows = order_keys(spark, sf_dir)
     rows = rows.where(~((F.col("dataset") == "2-HIGH") & (F.col("epoch") == "epoch_1") & (F.col("method") == "sft")))
-    return rows.groupBy("dataset", "epoch", "method").agg((F.avg("o_totalprice") / 1e5).alias("metric"))
+    return rows.groupBy("dataset", "epoch", "method").agg(F.avg(F.log("o_totalprice")).alias("metric"))
 
 
 def features(spark, sf_dir):
@@ -118,7 +118,7 @@ def performance_rejects(spark, sf_dir):
 
 _HMODE = "CASE o_orderstatus WHEN 'F' THEN 'own' WHEN 'O' THEN 'mixed' ELSE 'cross_oracle_sft' END"
 CTE["base"] = f"""
-SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, {_HMODE} AS h_mode, avg(o_totalprice) / 1e5 AS lambda1
+SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, {_HMODE} AS h_mode, avg(sqrt(o_totalprice)) / 1e3 AS lambda1
 FROM orders WHERE o_totalprice > 150000 GROUP BY ALL HAVING count(*) % 3 <> 0"""
 CTE["rr"] = f"""
 SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, min(o_totalprice) / 1e5 AS a_leak FROM orders GROUP BY ALL HAVING count(*) % 2 = 0"""
@@ -136,7 +136,7 @@ def summary(spark, sf_dir):
     )
     keys = ["dataset", "epoch", "method"]
     base = rows.where("o_totalprice > 150000").groupBy(*keys, "h_mode").agg(
-        (F.avg("o_totalprice") / 1e5).alias("lambda1"), F.count(F.lit(1)).alias("n")
+        (F.avg(F.sqrt("o_totalprice")) / 1e3).alias("lambda1"), F.count(F.lit(1)).alias("n")
     )
     base = base.where("n % 3 <> 0").drop("n")
     rr = rows.groupBy(*keys).agg((F.min("o_totalprice") / 1e5).alias("a_leak"), F.count(F.lit(1)).alias("n"))

@@ -209,13 +209,13 @@ def catoni_mean(spark, sf_dir):
     return rounded(L.catoni_means(samples(spark, sf_dir), ["combo"], "lbar", "catoni"), "catoni", digits=7)
 
 
-def subsample_sql(n: int, repeats: int, seed: str) -> str:
+def subsample_sql(n: str, repeats: int, seed: str) -> str:
     """Table expressions sizing and sub (rep, pos, combo, sample_idx, lbar) as the operator draws them."""
-    return f"""sizing AS (SELECT count(*) AS total, count(*) // {n} AS per, ({repeats} + count(*) // {n} - 1) // (count(*) // {n}) AS shuffles FROM smp),
-shuffled AS (SELECT p, per, row_number() OVER (PARTITION BY p ORDER BY {sql_hash("p || ':' || combo || ':' || sample_idx", seed)}, combo, sample_idx) - 1 AS q, smp.*
+    return f"""sizing AS (SELECT n, count(*) // n AS per, ({repeats} + count(*) // n - 1) // (count(*) // n) AS shuffles FROM smp CROSS JOIN (SELECT {n} AS n) GROUP BY n),
+shuffled AS (SELECT p, per, n, row_number() OVER (PARTITION BY p ORDER BY {sql_hash("p || ':' || combo || ':' || sample_idx", seed)}, combo, sample_idx) - 1 AS q, smp.*
   FROM smp CROSS JOIN sizing CROSS JOIN generate_series(0, 1000) g(p) WHERE p < shuffles),
-sub AS (SELECT (p * per + q // {n})::INTEGER AS rep, q % {n} AS pos, combo, sample_idx, lbar FROM shuffled
-  WHERE q < per * {n} AND p * per + q // {n} < {repeats})"""
+sub AS (SELECT (p * per + q // n)::INTEGER AS rep, q % n AS pos, combo, sample_idx, lbar FROM shuffled
+  WHERE q < per * n AND p * per + q // n < {repeats})"""
 
 
 ROBUST_N, ROBUST_REPEATS = 512, 400
@@ -224,7 +224,7 @@ ROBUST_N, ROBUST_REPEATS = 512, 400
 @query(
     "robust_mean_experiment",
     "ST10",
-    with_ctes("smp", ", " + subsample_sql(ROBUST_N, ROBUST_REPEATS, "robust"))
+    with_ctes("smp", ", " + subsample_sql(str(ROBUST_N), ROBUST_REPEATS, "robust"))
     + f""", f AS (SELECT avg(lbar) AS mu, quantile_cont(lbar, 0.999) AS top FROM smp),
 v AS (SELECT 'asis' AS kind, rep, pos, lbar FROM sub
   UNION ALL SELECT 'inj', rep, pos, CASE WHEN pos = {ROBUST_N - 1} THEN top ELSE lbar END FROM sub CROSS JOIN f
@@ -309,7 +309,10 @@ def mgf_fits(spark, sf_dir):
 
 
 BERNSTEIN_REPEATS = 60
-BERNSTEIN_MAX = L.SAMPLE_SIZES[-1]
+SIZES_SQL = f"(SELECT unnest([{', '.join(map(str, L.SAMPLE_SIZES))}])::INTEGER AS n)"
+# only sizes below the number of samples are drawn
+USED_SIZES = f"(SELECT n FROM {SIZES_SQL} WHERE n < (SELECT count(*) FROM smp))"
+BERNSTEIN_MAX = f"(SELECT max(n) FROM {USED_SIZES})"
 
 
 @query(
@@ -317,7 +320,7 @@ BERNSTEIN_MAX = L.SAMPLE_SIZES[-1]
     "ST13",
     with_ctes("smp", ", " + subsample_sql(BERNSTEIN_MAX, BERNSTEIN_REPEATS, "bernstein"))
     + f""", f AS (SELECT avg(lbar) AS mu FROM smp), b AS (SELECT any_value(mu) AS mu, quantile_cont(abs(lbar - mu), 0.99) AS b FROM smp CROSS JOIN f),
-h AS (SELECT rep, n, avg(lbar) AS m, var_samp(lbar) AS v FROM sub JOIN (SELECT unnest([{", ".join(map(str, L.SAMPLE_SIZES))}])::INTEGER AS n) s ON pos < n GROUP BY ALL),
+h AS (SELECT rep, n, avg(lbar) AS m, var_samp(lbar) AS v FROM sub JOIN {USED_SIZES} s ON pos < n GROUP BY ALL),
 r AS (SELECT rep, n, delta, abs(m - mu) AS dev, sqrt(2 * greatest(v, 0) * ln(3 / delta) / n) + 3 * b * ln(3 / delta) / n AS radius, mu, b
   FROM h CROSS JOIN b CROSS JOIN (SELECT unnest([0.1, 0.05, 0.01])::DOUBLE AS delta) d)
 SELECT n, delta, round(avg(CASE WHEN dev <= radius THEN 1 ELSE 0 END), 7) AS coverage_rate, round(avg(dev), 7) AS mean_abs_dev,

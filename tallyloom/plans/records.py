@@ -498,7 +498,7 @@ def code_answers(spark, sf_dir):
 
 
 CTE["dist"] = f"""
-SELECT 'gsm8k' AS dataset, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS ordinal, label, predict, {SQL_MATH} AS ok FROM answers
+SELECT 'gsm8k' AS dataset, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, label, predict) - 1 AS ordinal, label, predict, {SQL_MATH} AS ok FROM answers
 UNION ALL SELECT 'openfunction', row_number() OVER (ORDER BY p_partkey) - 1, label, predict, {SQL_CALL} FROM calls
 UNION ALL SELECT 'magicoder', row_number() OVER (ORDER BY doc_id) - 1, label, predict, {SQL_SHAPE} FROM codeans
 UNION ALL SELECT 'alpaca', row_number() OVER (ORDER BY conv_id, turn) - 1, label, predict, true FROM pred"""
@@ -516,7 +516,7 @@ def prediction_table(spark, sf_dir):
         return rows.select(F.lit(dataset).alias("dataset"), "ordinal", "label", "predict")
 
     parts = [
-        numbered(number_answers(spark, sf_dir), "gsm8k", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]),
+        numbered(number_answers(spark, sf_dir), "gsm8k", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", "predict"]),
         numbered(function_calls(spark, sf_dir), "openfunction", ["p_partkey"]),
         numbered(code_answers(spark, sf_dir), "magicoder", ["doc_id"]),
         numbered(predictions(spark, sf_dir), "alpaca", ["conv_id", "turn"]),

@@ -35,24 +35,30 @@ def jsonl_records(spark, sf_dir):
     return rows.select(F.col("fields.id").alias("id"), F.md5(F.col("fields.answer")).alias("answer_md5"), F.col("fields.topic").alias("topic"))
 
 
+FILE_RECORDS = 500
+
+
 @query(
     "json_array_records",
     "SRC1",
-    "SELECT lang, doc_id::VARCHAR AS id, md5(text) AS text_md5, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS ordinal FROM documents",
+    f"""SELECT lang, doc_id::VARCHAR AS id, md5(text) AS text_md5, p % {FILE_RECORDS} AS ordinal
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p FROM documents)""",
 )
 def json_array_records(spark, sf_dir):
-    """One JSON file per (language, source): bare arrays, arrays under a wrapper key, by language."""
+    """JSON files of up to 500 records each: bare arrays, or arrays under a wrapper key, by language."""
     path = scratch_path(spark, "arrays")
-    docs = table(spark, sf_dir, "documents")
-    item = F.struct("doc_id", F.col("doc_id").cast("string").alias("id"), "lang", "text")
-    listed = docs.groupBy("lang", "source").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda s: F.struct(s["id"].alias("id"), s["lang"].alias("lang"), s["text"].alias("text")))).alias("j"))
+    docs = O.positions(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["lang"], ["doc_id"], "p")
+    docs = docs.withColumn("file", F.floor(F.col("p") / FILE_RECORDS))
+    item = F.struct("p", F.col("doc_id").cast("string").alias("id"), "lang", "text")
+    records_of = F.transform(F.array_sort(F.collect_list(item)), lambda s: F.struct(s["id"].alias("id"), s["lang"].alias("lang"), s["text"].alias("text")))
+    listed = docs.groupBy("lang", "file").agg(F.to_json(records_of).alias("j"))
     wrapped = (
         F.when(F.col("lang") == "en", F.col("j"))
         .when(F.col("lang") == "fr", F.concat(F.lit('{"data": '), "j", F.lit("}")))
         .when(F.col("lang") == "de", F.concat(F.lit(' {"meta": 1, "records": '), "j", F.lit("}")))
         .otherwise(F.concat(F.lit('{"items": '), "j", F.lit("}")))
     )
-    listed.select("lang", "source", wrapped.alias("value")).write.partitionBy("lang", "source").text(path)
+    listed.select("lang", "file", wrapped.alias("value")).write.partitionBy("lang", "file").text(path)
     rows = S.read_json_records(spark, path + "/*/*")
     return rows.select(
         F.col("fields.lang").alias("lang"), F.col("fields.id").alias("id"), F.md5(F.col("fields.text")).alias("text_md5"), "ordinal"
