@@ -204,8 +204,8 @@ def content_flags(spark, sf_dir):
     "PRJ7",
     with_ctes(
         "pred",
-        f"""SELECT conv_id, turn, length(prompt) AS input_chars, length(label) AS output_chars, len({SQL_WORDS.format('prompt')}) AS input_words,
-  len({SQL_WORDS.format('label')}) AS output_words FROM pred""",
+        f"""SELECT conv_id, turn, length(prompt)::INTEGER AS input_chars, length(label)::INTEGER AS output_chars, len({SQL_WORDS.format('prompt')})::INTEGER AS input_words,
+  len({SQL_WORDS.format('label')})::INTEGER AS output_words FROM pred""",
     ),
 )
 def length_features(spark, sf_dir):
@@ -332,7 +332,7 @@ def problem_skips(spark, sf_dir):
 @query(
     "stop_token_prefix",
     "PRJ14",
-    """SELECT doc_id, length(t) AS kept_chars, md5(t) AS kept_md5 FROM (SELECT doc_id, substr(text, 1, least(
+    """SELECT doc_id, length(t)::INTEGER AS kept_chars, md5(t) AS kept_md5 FROM (SELECT doc_id, substr(text, 1, least(
   CASE WHEN instr(text, '. E') = 0 THEN length(text) + 1 ELSE instr(text, '. E') END, CASE WHEN instr(text, chr(10)) = 0 THEN length(text) + 1 ELSE instr(text, chr(10)) END,
   CASE WHEN instr(text, ' the ') = 0 THEN length(text) + 1 ELSE instr(text, ' the ') END) - 1) AS t FROM documents)""",
 )
