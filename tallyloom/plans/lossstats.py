@@ -13,6 +13,7 @@ from tallyloom.operators import ordering as O
 from tallyloom.plans.fixtures import CTE, NEEDS, sql_hash, sql_uniform, table, tokens, with_ctes
 from tallyloom.plans.influence import rounded
 from tallyloom.plans.registry import query
+from tallyloom.session import cut_lineage
 
 TOKEN_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
 Q = {"q90": 0.90, "q95": 0.95, "q99": 0.99}
@@ -24,6 +25,11 @@ def samples(spark, sf_dir):
     return rolled.withColumn("lbar", F.round("lbar", 9))
 
 
+def stored_samples(spark, sf_dir):
+    """The sample statistics as a collection run leaves them: a written table, read as often as needed."""
+    return cut_lineage(samples(spark, sf_dir))
+
+
 @query(
     "sample_rollup",
     "ST1",
@@ -206,7 +212,7 @@ it AS (SELECT combo, 0 AS k, m FROM d UNION ALL
 SELECT combo, round(m, 7) AS catoni FROM it WHERE k = 12""",
 )
 def catoni_mean(spark, sf_dir):
-    return rounded(L.catoni_means(samples(spark, sf_dir), ["combo"], "lbar", "catoni"), "catoni", digits=7)
+    return rounded(L.catoni_means(stored_samples(spark, sf_dir), ["combo"], "lbar", "catoni"), "catoni", digits=7)
 
 
 def subsample_sql(n: str, repeats: int, seed: str) -> str:
@@ -243,7 +249,7 @@ SELECT estimator, round(avg(dev), 7) AS mean_abs_dev, round(quantile_cont(dev, 0
 )
 def robust_mean_experiment(spark, sf_dir):
     out = L.robust_mean_experiment(
-        samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", ROBUST_N, ROBUST_REPEATS,
+        stored_samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", ROBUST_N, ROBUST_REPEATS,
         estimators=("mean", "trimmed_mean", "median_of_means"),
     )
     return rounded(
@@ -254,7 +260,7 @@ def robust_mean_experiment(spark, sf_dir):
 @query("robust_mean_catoni", "ST10 ST9")
 def robust_mean_catoni(spark, sf_dir):
     return L.robust_mean_experiment(
-        samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", ROBUST_N, ROBUST_REPEATS, estimators=("catoni",)
+        stored_samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", ROBUST_N, ROBUST_REPEATS, estimators=("catoni",)
     )
 
 
@@ -328,7 +334,7 @@ SELECT n, delta, round(avg(CASE WHEN dev <= radius THEN 1 ELSE 0 END), 7) AS cov
   round(any_value(mu), 7) AS mu_full, round(any_value(b), 7) AS scale_b FROM r GROUP BY n, delta""",
 )
 def bernstein_coverage(spark, sf_dir):
-    out = L.bernstein_coverage(samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", repeats=BERNSTEIN_REPEATS)
+    out = L.bernstein_coverage(stored_samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", repeats=BERNSTEIN_REPEATS)
     return rounded(
         out, "coverage_rate", "mean_abs_dev", "p95_abs_dev", "mean_radius", "p95_radius", "mu_full", "scale_b", digits=7
     )
@@ -525,7 +531,7 @@ def block_mean_variance(spark, sf_dir):
 
 @query("hypothesis_report", "ST20")
 def hypothesis_report(spark, sf_dir):
-    rows = samples(spark, sf_dir).withColumn("one", F.lit(1))
+    rows = stored_samples(spark, sf_dir).withColumn("one", F.lit(1))
     ids = ["combo", "sample_idx"]
     tail = L.tail_shape(rows, ["one"], "lbar").select("one", "label")
     cover = L.bernstein_coverage(rows, ids, "lbar", repeats=BERNSTEIN_REPEATS)
