@@ -2,21 +2,72 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import simhash
+from tallyloom.llm import bpe, decontaminate, simhash, substring, toxicity
 from tallyloom.llm.common import read
 from tallyloom.session import scratch_path
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not judged toxic by a model fitted to the labels."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a smaller document has; those of which nothing is left go.
+
+    A text without such a passage stays as it is, else its words are joined by one space and ``n_chars`` follows.
+    """
+    cut = substring.without_repeats(docs).where("cut.n_removed = 0 OR cut.n_removed < cut.n_words")
+    changed = F.col("cut.n_removed") > 0
+    new = {"text": F.col("cut.kept"), "n_chars": F.length("cut.kept")}
+
+    def column(name: str):
+        old = F.col(f"row.`{name}`")
+        kind = docs.schema[name].dataType
+        return (F.when(changed, new[name].cast(kind)).otherwise(old) if name in new else old).alias(name)
+
+    return cut.select(*map(column, docs.columns))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document (little-endian unsigned 32-bit integers), and digests of the ids and of their text."""
+    codec = bpe.load(spark, public_tokenizers.path(VOCABULARY))
+    encoded = docs.select("doc_id", bpe.encoder(codec)("text").alias("ids"))
+    return encoded.select(
+        "doc_id",
+        bpe.n_tokens(F.col("ids")).alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decoder(codec)("ids").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash_near_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("decontamination", decontaminated),
+    ("bpe", tokens),
+]
 
-#: the stages fit models and hash with XXH64, which SQL does not express; tests hold run() against brute force
+#: the stages fit a model, hash with XXH64 and encode by a vocabulary, which SQL does not express; tests hold run()
+#: against brute force
 ORACLE_SQL = None
 
 

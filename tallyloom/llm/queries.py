@@ -6,11 +6,129 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, simhash
-from tallyloom.llm.common import read
+from tallyloom.llm import (
+    bpe,
+    decontaminate,
+    language,
+    license_scan,
+    line_crf,
+    line_rules,
+    simhash,
+    substring,
+    toxicity,
+    url_filter,
+)
+from tallyloom.llm.common import held_out, read
 
 VOCABULARY = "byte_bpe_50k.json"
 
+RULES = (
+    url_filter.Rule("com/", url_filter.ALLOW),
+    url_filter.Rule("example.com/en/", url_filter.BLOCK),
+    url_filter.Rule("www.example.com/en/", url_filter.ALLOW),
+    url_filter.Rule("net/es/", url_filter.BLOCK),
+    url_filter.Rule("net/fr/", url_filter.BLOCK),
+)
+
+#: a small labelled URL table: places that a corpus does not want, and ordinary ones
+BLOCKED_URLS = (
+    "http://casino-royal.test/play?bonus=1", "https://www.bigwin-casino.test/slots/", "http://m.casino-cash.test/en/12",
+    "http://free-casino.test/", "https://best-bets.test/odds/today", "http://bets-online.test/en/4", "http://free-bets24.test/",
+    "https://www.sports-bets.test/de/live", "http://cheap-pills.test/buy", "https://pills-online.test/shop/viagra",
+    "http://m.diet-pills.test/en/99", "http://www.cheap-meds.test/pills/", "https://adult-chat.test/cams/", "http://adult-xxx.test/fr/1",
+    "http://www.x-adult.test/video/7", "http://xxx-videos.test/adult/", "http://ads-server.test/track?id=7", "https://ads-click.test/",
+    "http://m.click-ads.test/banner/", "https://track-ads.test/pixel.gif", "http://spam-links.test/en/1", "http://link-farm.test/spam/",
+    "http://www.seo-spam.test/", "https://blog.spam-blog.test/farm/3", "http://payday-loans.test/win", "http://win-prize.test/free/",
+    "https://free-money.test/win-now", "http://poker-win.test/casino",
+)
+ALLOWED_URLS = (
+    "https://www.city-library.test/en/opening-hours", "https://news.daily-herald.test/world/2021/05/story.html",
+    "http://blog.gardening.test/en/roses", "https://en.wiki.test/wiki/Photosynthesis", "https://docs.python.test/library/os.html",
+    "https://www.university.test/de/physik", "http://m.weather.test/fr/demain", "https://recipes.kitchen.test/es/paella",
+    "https://museum.test/en/collection/4711", "http://www.chess-club.test/", "https://forum.linux.test/t/kernel/81",
+    "https://shop.bookstore.test/en/novels", "http://blog.travels.test/es/madrid", "https://www.hospital.test/en/visitors",
+    "https://journal.science.test/articles/10", "http://school.test/timetable", "https://maps.transit.test/lines/7",
+    "https://www.theatre.test/de/programm", "http://m.football.test/en/results", "https://radio.test/fr/emissions",
+    "https://history.test/en/1848", "http://music.test/es/guitarra", "https://www.bakery.test/page=2", "http://lathe.test/en/8015.html",
+    "https://the-ring.test/en/3", "http://station.test/de/5229", "https://www.thereon.test/en/12", "http://bleating.test/#top",
+)
+
+
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    rows = [(u, url_filter.BLOCK) for u in BLOCKED_URLS] + [(u, url_filter.ALLOW) for u in ALLOWED_URLS]
+    return spark.createDataFrame(rows, "url string, verdict string")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.train(labelled_urls(spark))
+    return url_filter.judged(read(spark, sf_dir, "pages"), weights, RULES)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = language.broadcast(spark, language.train(documents))
+    return documents.select(
+        "doc_id", held_out("doc_id", language.FOLDS, language.REST).alias("held_out"), language.predictor(model)("text").alias("p")
+    ).select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judged(read(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near_items"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = toxicity.train(documents, read(spark, sf_dir, "labels"))
+    scored = documents.select(
+        "doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.REST).alias("held_out"), toxicity.scorer(model)("text").alias("s")
+    )
+    return scored.select(
+        "doc_id",
+        "held_out",
+        "s.score",
+        toxicity.predicted(F.col("s.score")).alias("predicted"),
+        F.size("s.offending").cast("bigint").alias("n_offending"),
+    )
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.without_repeats(read(spark, sf_dir, "documents"))
+    return cut.select(
+        "row.doc_id", "cut.n_words", "cut.n_removed", F.sha2(F.col("cut.kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.licenses(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("bigint").alias("n_licenses"),
+        license_scan.names(F.col("licenses")).alias("licenses"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda m: m["containment"])), F.lit(0.0)).alias("best_containment"),
+    )
+
+
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = line_crf.train(documents, read(spark, sf_dir, "labels"))
+    scored = documents.select(
+        "doc_id", held_out("doc_id", line_crf.FOLDS, line_crf.REST).alias("held_out"), line_crf.scorer(model)("text").alias("score")
+    )
+    return scored.withColumn("predicted", line_crf.predicted(F.col("score")))
+
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
@@ -28,5 +146,163 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash_components, op10_bpe_round_trip)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_language_id,
+        op3_quality_rules,
+        op4_decontamination,
+        op5_toxicity,
+        op6_substring_dedup,
+        op7_license_scan,
+        op8_quality_crf,
+        op9_simhash_components,
+        op10_bpe_round_trip,
+    )
+}
+
+#: numbered words of every document, lower-cased and split as the scans do
+_WORDS = r"""list_filter(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+
+def _line_rules_sql() -> str:
+    r = line_rules
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+    WITH d AS (
+      SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT rid, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+    win AS (
+      SELECT rid, s, array_to_string(words[s:s + {r.WINDOW - 1}], ' ') AS gram
+      FROM (SELECT rid, words, unnest(range(1, len(words) - {r.WINDOW - 2})) AS s FROM w)),
+    twice AS (SELECT rid, s FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS n FROM win) WHERE n > 1),
+    rep AS (
+      SELECT rid, count(DISTINCT p) AS n_repeat_words
+      FROM (SELECT rid, unnest(range(s, s + {r.WINDOW})) AS p FROM twice) GROUP BY rid),
+    l AS (SELECT rid, host, unnest(string_split(text, chr(10))) AS line FROM d),
+    spoken AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM spoken GROUP BY rid),
+    n AS (
+      SELECT rid, host, regexp_replace(trim(regexp_replace(
+               translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{space}+', ' ', 'g')),
+               '[0-9]+', '0', 'g') AS line FROM spoken),
+    size AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+    freq AS (
+      SELECT host, line FROM (SELECT host, line, count(DISTINCT rid) AS n_docs FROM n GROUP BY host, line) JOIN size USING (host)
+      WHERE n_docs > {r.LEAST_DOCUMENTS} AND n_docs > {r.SHARE}::DOUBLE * docs),
+    gone AS (
+      SELECT rid, sum(len(string_split(line, ' '))) AS n_frequent_words FROM n JOIN freq USING (host, line) GROUP BY rid),
+    f AS (
+      SELECT doc_id, len(words)::BIGINT AS n_words,
+             coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+             coalesce(n_frequent_words, 0)::BIGINT AS n_frequent_words
+      FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid)),
+    b AS (SELECT *, n_words < {r.LEAST_WORDS} OR 100 * n_repeat_words > {r.MOST_REPEATED} * n_words AS base_failed FROM f)
+    SELECT *, NOT base_failed AND n_words - n_frequent_words >= {r.LEAST_WORDS}
+              AND n_words - n_frequent_words >= {r.LEFT}::DOUBLE * n_words AS kept FROM b"""
+
+
+def _near_sql() -> str:
+    """Items whose rarest terms stand within a span of the rarest one."""
+    d = decontaminate
+    return rf"""
+    total AS (SELECT term, count(*) AS n FROM dw WHERE term IN (SELECT term FROM iw) GROUP BY term),
+    rank AS (
+      SELECT iid, term, coalesce(n, 0) AS n,
+             row_number() OVER (PARTITION BY iid ORDER BY coalesce(n, 0), encode(term)) AS r,
+             count(*) OVER (PARTITION BY iid) AS terms
+      FROM (SELECT DISTINCT iid, term FROM iw) LEFT JOIN total USING (term)),
+    chosen AS (SELECT iid, term, n, r FROM rank WHERE r <= {d.NEAR_TERMS} AND terms >= {d.NEAR_TERMS}),
+    base AS (SELECT c.iid, rid, p FROM chosen c JOIN dw USING (term) WHERE c.r = 1),
+    reached AS (
+      SELECT DISTINCT b.iid, b.rid, b.p, c.r FROM base b JOIN chosen c USING (iid)
+      JOIN dw x ON x.term = c.term AND x.rid = b.rid AND x.p BETWEEN b.p - {d.NEAR_SPAN} AND b.p + {d.NEAR_SPAN}
+      WHERE c.r > 1),
+    near AS (
+      SELECT rid, count(DISTINCT item_id) AS n_near_items
+      FROM (SELECT iid, rid, p FROM reached GROUP BY ALL HAVING count(*) = {d.NEAR_TERMS - 1}) JOIN i USING (iid) GROUP BY rid)"""
+
+
+def _decontamination_sql() -> str:
+    k = decontaminate.WINDOW
+    return rf"""
+    WITH i AS (SELECT row_number() OVER () AS iid, item_id, {_WORDS.format(text="coalesce(text, '')")} AS words FROM benchmark),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+    iw AS (SELECT iid, unnest(words) AS term FROM i),
+    dw AS (SELECT rid, unnest(words) AS term, unnest(range(1, len(words) + 1)) AS p FROM d),
+    win AS (
+      SELECT DISTINCT iid, size, array_to_string(words[s:s + size - 1], ' ') AS gram
+      FROM (SELECT iid, words, least({k}, len(words)) AS size, unnest(range(1, len(words) - least({k}, len(words)) + 2)) AS s
+            FROM i WHERE len(words) > 0)),
+    places AS (
+      SELECT rid, p, size, array_to_string(words[p:p + size - 1], ' ') AS gram
+      FROM (SELECT rid, words, size, unnest(range(1, len(words) - size + 2)) AS p
+            FROM d, (SELECT DISTINCT size FROM win) WHERE len(words) >= size)),
+    hit AS (SELECT iid, rid, p, size FROM places JOIN win USING (size, gram)),
+    covered AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + size)) AS q FROM hit) GROUP BY rid),
+    named AS (
+      SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+      FROM hit JOIN i USING (iid) GROUP BY rid),
+    {_near_sql()}
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+           coalesce(n_near_items, 0)::BIGINT AS n_near_items
+    FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid) LEFT JOIN near USING (rid)"""
+
+
+def _substring_sql() -> str:
+    k = substring.WINDOW
+    return rf"""
+    WITH d AS (
+      SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+      FROM documents),
+    win AS (
+      SELECT rid, doc_id, p, md5(array_to_string(words[p:p + {k - 1}], ' ')) AS gram
+      FROM (SELECT rid, doc_id, words, unnest(range(1, len(words) - {k - 2})) AS p FROM d WHERE len(words) >= {k})),
+    later AS (SELECT rid, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY gram) AS lo FROM win) WHERE lo < doc_id),
+    gone AS (SELECT rid, list(DISTINCT q) AS places FROM (SELECT rid, unnest(range(p, p + {k})) AS q FROM later) GROUP BY rid),
+    kept AS (
+      SELECT doc_id, words, CASE WHEN places IS NULL THEN words
+             ELSE list_filter(words, lambda w, q: NOT list_contains(places, q)) END AS stay
+      FROM d LEFT JOIN gone USING (rid))
+    SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(stay))::BIGINT AS n_removed,
+           sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept"""
+
+
+def _license_sql() -> str:
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    rows = ", ".join(
+        f"('{name}', {group.c}, {len(own)}, '{gram.decode()}')"
+        for group in scanner.groups
+        for name, own in zip(group.names, group.sets)
+        for gram in sorted(own)
+    )
+    k = license_scan.SHINGLE
+    return rf"""
+    WITH t(name, c, n, gram) AS (VALUES {rows}),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+    s AS (
+      SELECT rid, p, array_to_string(words[p + 1:p + {k}], ' ') AS gram
+      FROM (SELECT rid, words, unnest(range(0, len(words) - {k - 1})) AS p FROM d WHERE len(words) >= {k})),
+    hit AS (SELECT rid, name, n, gram, p // c AS block FROM s JOIN t USING (gram)),
+    seen AS (SELECT rid, name, n, gram, unnest([block - 1, block]) AS w FROM hit),
+    share AS (SELECT rid, name, count(DISTINCT gram)::DOUBLE / n AS containment FROM seen WHERE w >= 0 GROUP BY rid, name, n, w),
+    best AS (
+      SELECT rid, name, max(containment) AS containment FROM share WHERE containment >= {license_scan.CONTAINMENT}::DOUBLE GROUP BY ALL),
+    found AS (
+      SELECT rid, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(containment) AS most FROM best GROUP BY rid)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, coalesce(most, 0)::DOUBLE AS best_containment
+    FROM d LEFT JOIN found USING (rid)"""
+
+
+#: the others hash with XXH64, fit models or encode by a vocabulary; tests hold them against brute force or accuracy
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": _line_rules_sql(),
+    "op4_decontamination": _decontamination_sql(),
+    "op6_substring_dedup": _substring_sql(),
+    "op7_license_scan": _license_sql(),
+}
