@@ -142,7 +142,7 @@ def links(distinct: DataFrame, average: int = AVERAGE, most: int = MOST) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge, root being the smallest node reachable.
+    """(node, root) of every node that is not its own root, root being the smallest node reachable.
 
     Alternating large-star and small-star rounds; each round is written as a table, and the rounds end when the edges
     no longer change.

@@ -92,11 +92,15 @@ def _scores(weights: np.ndarray, rows: np.ndarray, buckets: np.ndarray, n: int)
 
 
 def fit(hosts: Sequence[str], paths: Sequence[str], blocked: np.ndarray) -> np.ndarray:
-    """A weight for each bucket and the bias, by accelerated gradient steps on the ridge-penalised likelihood."""
+    """A weight for each bucket and the bias, by accelerated gradient steps on the ridge-penalised likelihood.
+
+    Without labelled URLs the model allows all.
+    """
     rows, buckets = features(hosts, paths)
     n = len(hosts)
     weights, ahead = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     if not n:
+        weights[-1] = -20.0
         return weights
     size = np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
     for step in range(ROUNDS):
