@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import sampling
 from tallyloom.functions.numeric import clip, finite, linspace
-from tallyloom.functions.vectors import few
 from tallyloom.operators import ordering as O
 from tallyloom.session import cut_lineage
 
@@ -212,32 +211,42 @@ def array_catoni(a, max_iter: int = 200, tol: float = 1e-8) -> Column:
     return estimate(a)
 
 
-def subsamples(rows: DataFrame, ids: Sequence[str], n: int, repeats: int, seed: str) -> DataFrame:
-    """(rep, pos, row columns): ``repeats`` samples of ``n`` rows without replacement.
+def subsamples(rows: DataFrame, ids: Sequence[str], n, repeats: int, seed: str) -> DataFrame:
+    """(rep, pos, row columns): ``repeats`` samples of ``n`` rows without replacement, each drawn on its own.
 
-    One seeded shuffle serves floor(N / n) repeats, cut from it one after the other; further shuffles are
-    added only when the table is too small. A large table is therefore shuffled once, and of that
-    shuffle only the first repeats * n rows are ever ranked.
+    Rows are numbered once, in the order of ``ids``. A repeat runs through a seeded one-to-one scattering of the
+    numbers below the next power of two and takes the first ``n`` that are row numbers, so only repeats x n rows are
+    ever joined, whatever the size of the table. ``n`` is a number or a function of the number of rows; a table
+    of fewer rows is taken whole.
     """
-    size = rows.count()
-    if size < n:
-        raise ValueError(f"{size} rows cannot give samples of {n}")
-    per_shuffle = size // n
-    shuffles = -(-repeats // per_shuffle)
-    spread = rows.withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
-    spread = spread.withColumn("__h", sampling.hash_int("__p", *ids, seed=seed))
-    if shuffles == 1 and size > 8 * repeats * n:
-        # only the smallest hashes can be among the first repeats * n; the bound is far above their expected count
-        spread = spread.where(F.col("__h") < F.lit(int(4294967296.0 * min(1.0, (4.0 * repeats * n + 256) / size))))
-    ranked = O.positions(spread, ["__p"], ["__h", *ids], "__pos")
-    rep = F.col("__p") * per_shuffle + F.floor(F.col("__pos") / n)
-    return (
-        ranked.where(F.col("__pos") < per_shuffle * n)
-        .withColumn("rep", rep.cast("int"))
-        .where(F.col("rep") < repeats)
-        .withColumn("pos", (F.col("__pos") % n).cast("int"))
-        .drop("__p", "__h", "__pos")
-    )
+    size = rows.agg(F.count(F.lit(1)).alias("__rows"))
+    wanted = n(F.col("__rows")) if callable(n) else F.lit(n)
+    # bits of the largest row number, dealt to two halves
+    halves = size.select(F.lit(1).alias("__k"), "__rows", wanted.cast("bigint").alias("__n"), F.length(F.bin(F.col("__rows") - 1)).alias("__bits"))
+    halves = halves.withColumn("__u", F.expr("shiftleft(1L, __bits div 2)")).withColumn(
+        "__v", F.expr("shiftleft(1L, __bits - __bits div 2)")
+    )
+    # at least half of the numbers are row numbers, so four times n leave a wide margin; a small table is run through
+    draws = F.least(F.col("__u") * F.col("__v"), 4 * F.col("__n") + 256)
+    drawn = (
+        rows.sparkSession.range(repeats)
+        .select(F.col("id").cast("int").alias("rep"), F.lit(1).alias("__k"))
+        .join(halves, "__k")
+        .withColumn("__t", F.explode(F.sequence(F.lit(0).cast("bigint"), draws - 1)))
+        .withColumn("__l", F.expr("__t div __v"))
+        .withColumn("__r", F.expr("__t % __v"))
+    )
+    for k, (own, other, width) in enumerate((("__l", "__r", "__u"), ("__r", "__l", "__v")) * 2):
+        drawn = drawn.withColumn(own, F.col(own).bitwiseXOR(sampling.hash_int("rep", F.lit(k), other, seed=seed) % F.col(width)))
+    order = Window.partitionBy("rep").orderBy("__t")
+    places = (
+        drawn.withColumn("__row", F.col("__l") * F.col("__v") + F.col("__r"))
+        .where(F.col("__row") < F.col("__rows"))
+        .withColumn("pos", F.row_number().over(order) - 1)
+        .where(F.col("pos") < F.col("__n"))
+        .select("rep", "pos", "__row")
+    )
+    return places.join(O.positions(rows, [], ids, "__row"), "__row").drop("__row")
 
 
 ESTIMATORS = ("mean", "trimmed_mean", "median_of_means", "catoni")
@@ -428,24 +437,32 @@ def bernstein_coverage(
 ) -> DataFrame:
     """(n, delta, coverage_rate, mean_abs_dev, mean_radius, mu_full, scale_b) over subsamples.
 
-    Subsamples are nested in n within a repeat. Running sums inside a repeat (at most max(sizes) rows)
-    give the mean and variance for every n from one set of draws.
+    Subsamples are nested in n within a repeat. Only sizes below the number of rows are drawn, a quarter of the rows
+    (8 at least) where there is none.
     """
     kept = rows.where(finite(value)).select(*ids, value)
-    total = kept.count()
-    grid = [n for n in sizes if n < total] or [max(8, total // 4)]
     whole = kept.withColumn("__k", F.lit(1))
-    mu = whole.groupBy("__k").agg(F.avg(value).alias("mu_full"))
+    mu = whole.groupBy("__k").agg(F.avg(value).alias("mu_full"), F.count(F.lit(1)).alias("__total"))
+
+    def grid(total):
+        below = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n < total)
+        quarter = F.greatest(F.lit(8), F.floor(total / 4).cast("int"))
+        return F.when(F.size(below) > 0, below).otherwise(F.array(quarter))
+
     centred = whole.join(mu, "__k").withColumn("__abs", F.abs(F.col(value) - F.col("mu_full")))
     facts = mu.join(O.exact_quantiles(centred, ["__k"], "__abs", {"scale_b": 0.99}), "__k")
-    drawn = subsamples(kept, ids, max(grid), repeats, seed)
-    wanted = F.filter(F.array(*[F.lit(n) for n in grid]), lambda n: n > F.col("pos"))
+    drawn = subsamples(kept, ids, lambda total: F.array_max(grid(total)), repeats, seed).withColumn("__k", F.lit(1))
+    wanted = F.filter(grid(F.col("__total")), lambda n: n > F.col("pos"))
     per = (
-        drawn.select("rep", value, F.explode(wanted).alias("n"))
+        drawn.join(facts, "__k")
+        .select("rep", value, "mu_full", "scale_b", F.explode(wanted).alias("n"))
         .groupBy("rep", "n")
-        .agg(F.avg(value).alias("mu_hat"), F.var_samp(value).alias("var_hat"))
-        .withColumn("__k", F.lit(1))
-        .join(facts, "__k")
+        .agg(
+            F.avg(value).alias("mu_hat"),
+            F.var_samp(value).alias("var_hat"),
+            F.first("mu_full").alias("mu_full"),
+            F.first("scale_b").alias("scale_b"),
+        )
         .withColumn("delta", F.explode(F.array(*[F.lit(float(d)) for d in deltas])))
     )
     radius = bernstein_radius(F.col("var_hat"), F.col("n"), F.col("delta"), F.col("scale_b"))
@@ -485,12 +502,13 @@ def quantile_slice(tail: DataFrame, keys: Sequence[str], low: float, high: float
 
 
 def survival_grid(tail: DataFrame, keys: Sequence[str], max_points: int) -> DataFrame:
-    """(keys, idx, x, s): S = (n - idx) / n at all positions, or at ``max_points`` evenly spaced ones.
+    """(keys, idx, x, s): S = (n - idx) / n at ``max_points`` evenly spaced positions, the resolution of the curve.
 
-    A distinct value works out by itself which grid positions fall on it, so no join with the grid is needed.
+    Positions that coincide count once, so a short tail shows all of its points. A distinct value works out by
+    itself which grid positions fall on it, so no join with the grid is needed.
     """
     n, before, after = F.col("total"), F.col("before"), F.col("before") + F.col("cnt")
-    step = (n - 1) / F.lit(float(max_points - 1))
+    step = F.greatest((n - 1) / F.lit(float(max_points - 1)), F.lit(1e-9))
     low = F.greatest(F.lit(0), (F.floor(before / step) - 1).cast("int"))
     high = F.least(F.lit(max_points - 1), (F.ceil(after / step) + 1).cast("int"))
 
@@ -501,14 +519,20 @@ def survival_grid(tail: DataFrame, keys: Sequence[str], max_points: int) -> Data
     spaced = F.when(low > high, F.array().cast("array<bigint>")).otherwise(
         F.filter(near, lambda p: (p >= before) & (p < after))
     )
-    every = F.sequence(before, after - 1)
-    points = tail.select(*keys, "x", "total", F.explode(F.when(n <= max_points, every).otherwise(spaced)).alias("idx"))
+    points = tail.select(*keys, "x", "total", F.explode(spaced).alias("idx"))
     return points.select(*keys, "idx", "x", ((n - F.col("idx")) / n).alias("s"))
 
 
-def _line(x: Column, y: Column, name: str) -> list[Column]:
-    """Slope and R^2 of a least-squares line; NULL below 3 points, R^2 NULL for a constant y."""
-    enough = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) >= 3
+def survival_points(tail: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, idx, x, s): S = (n - idx) / n at every position of the tail."""
+    places = F.explode(F.sequence(F.col("before"), F.col("before") + F.col("cnt") - 1)).alias("idx")
+    points = tail.select(*keys, "x", "total", places)
+    return points.select(*keys, "idx", "x", ((F.col("total") - F.col("idx")) / F.col("total")).alias("s"))
+
+
+def _line(x: Column, y: Column, name: str, least: int = 3) -> list[Column]:
+    """Slope and R^2 of a least-squares line; NULL below ``least`` points, R^2 NULL for a constant y."""
+    enough = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) >= least
     r2 = F.when(F.var_pop(y) > 0, F.regr_r2(y, x))
     return [
         F.when(enough, F.regr_slope(y, x)).alias(f"{name}_slope"),
@@ -519,23 +543,25 @@ def _line(x: Column, y: Column, name: str) -> list[Column]:
 def tail_fits(grid: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
     """Slopes and R^2 of log S on x, log S on log x and log(-log S) on log x.
 
-    ``strict`` uses only 0 < S < 1 and x > 0 and needs 8 points; otherwise values are clipped at 1e-12.
+    ``strict`` uses only 0 < S < 1 and x > 0; a group of fewer than 8 such points keeps its row without fits.
+    Otherwise values are clipped at 1e-12.
     """
     if strict:
-        grid = grid.where((F.col("x") > 0) & (F.col("s") > 0) & (F.col("s") < 1))
+        inside = (F.col("x") > 0) & (F.col("s") > 0) & (F.col("s") < 1)
+        grid = grid.select(*keys, F.when(inside, F.col("x")).alias("x"), F.when(inside, F.col("s")).alias("s"))
         lx, ls = F.log("x"), F.log("s")
         lls = F.log(-ls)
     else:
         lx, ls = F.log(clip("x", 1e-12)), F.log(clip("s", 1e-12, 1.0))
         lls = F.log(clip(-ls, 1e-12))
     table = grid.select(*keys, "x", lx.alias("lx"), ls.alias("ls"), lls.alias("lls"))
-    fits = table.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_points"),
-        *_line(F.col("x"), F.col("ls"), "semilog"),
-        *_line(F.col("lx"), F.col("ls"), "loglog"),
-        *_line(F.col("lx"), F.col("lls"), "weibull"),
+    least = 8 if strict else 3
+    return table.groupBy(*keys).agg(
+        F.count("ls").alias("n_points"),
+        *_line(F.col("x"), F.col("ls"), "semilog", least),
+        *_line(F.col("lx"), F.col("ls"), "loglog", least),
+        *_line(F.col("lx"), F.col("lls"), "weibull", least),
     )
-    return fits.where("n_points >= 8") if strict else fits
 
 
 def tail_class(semilog_r2="semilog_r2", loglog_r2="loglog_r2", weibull_r2="weibull_r2", weibull_slope="weibull_slope") -> Column:
@@ -568,10 +594,34 @@ def tail_code(label: str) -> Column:
     return code
 
 
+LEAST_TAIL = 12  # fixed value: points that a tail needs
+
+
+def tail_or_whole(tail: DataFrame, keys: Sequence[str], low: float, high: float) -> DataFrame:
+    """The tail between two of its quantiles, or the whole of it where that has fewer than 12 points."""
+    part = quantile_slice(tail, keys, low, high)
+    long = part.groupBy(*keys).agg(F.first("total").alias("__points")).where(F.col("__points") >= LEAST_TAIL)
+    return part.join(long, list(keys), "left_semi").unionByName(tail.join(long, list(keys), "left_anti"))
+
+
 def tail_shape(rows: DataFrame, keys: Sequence[str], value: str, low: float = 0.90, high: float = 0.999) -> DataFrame:
-    """Fits and label of the upper tail between two quantiles of the positive centred values."""
-    grid = survival_grid(quantile_slice(positive_tail(rows, keys, value), keys, low, high), keys, 256)
-    return tail_fits(grid, keys).withColumn("label", tail_class())
+    """Fits and label of the upper tail between two quantiles of the positive centred values, over all its points."""
+    tail = quantile_slice(positive_tail(rows, keys, value), keys, low, high)
+    return tail_fits(survival_points(tail, keys), keys).withColumn("label", tail_class())
+
+
+def tail_shape_strict(rows: DataFrame, keys: Sequence[str], value: str, low: float = 0.90, high: float = 0.999) -> DataFrame:
+    """One row per group, with strict fits, label and label code; NULL where a group has too few points.
+
+    The whole positive tail stands in for a slice of fewer than 12 points, and 12 of them are needed.
+    """
+    tail = positive_tail(rows, keys, value)
+    enough = tail.groupBy(*keys).agg(F.first("total").alias("__points")).where(F.col("__points") >= LEAST_TAIL)
+    used = tail_or_whole(tail.join(enough.drop("__points"), list(keys), "left_semi"), keys, low, high)
+    fits = tail_fits(survival_points(used, keys), keys, strict=True)
+    fits = fits.withColumn("label", F.when(F.col("n_points") >= 8, tail_class()))
+    fits = fits.withColumn("label_code", tail_code("label"))
+    return rows.select(*keys).distinct().join(fits, list(keys), "left")
 
 
 def length_ablation(rows: DataFrame, targets: Mapping[str, str]) -> DataFrame:
@@ -582,7 +632,7 @@ def length_ablation(rows: DataFrame, targets: Mapping[str, str]) -> DataFrame:
     basic = stacked.where(finite("y")).groupBy("target").agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std")
     )
-    fits = tail_fits(survival_grid(positive_tail(stacked, ["target"], "y"), ["target"], 256), ["target"])
+    fits = tail_fits(survival_points(positive_tail(stacked, ["target"], "y"), ["target"]), ["target"])
     fits = fits.withColumn(
         "label", F.when(F.col("n_points") < 6, "insufficient_data").otherwise(tail_class())
     )
@@ -627,10 +677,10 @@ def block_mean_variance(
 
 
 def poisson_weight(u) -> Column:
-    """Poisson(1) count by inversion of a uniform number."""
+    """Poisson(1) count by inversion of a uniform number of 32 bits; the counts end where its resolution does."""
     cumulative, term = math.exp(-1.0), math.exp(-1.0)
     bounds = []
-    for k in range(1, 12):
+    for k in range(1, 13):
         bounds.append(cumulative)
         term /= k
         cumulative += term
@@ -668,19 +718,19 @@ def block_bootstrap_width(
     keys: Sequence[str],
     value: str,
     order: Sequence[str],
-    block_size: Column,
+    blocks: DataFrame,
     repeats: int,
     seed: str,
     name: str,
 ) -> DataFrame:
-    """95% interval width of the block-bootstrap mean; rows are blocked in ``order``.
+    """95% interval width of the block-bootstrap mean; rows are blocked in ``order``, groups without a block size have none.
 
-    Blocks are summed once; a repeat draws ceil(n / size) block numbers and joins them to the block
+    ``blocks`` is (keys, block), as :func:`bootstrap_blocks` gives it. Blocks are summed once; a repeat draws ceil(n / size) block numbers and joins them to the block
     sums. The concatenated draws are cut at n, which touches the last draws only: a running sum per row
     gives the part of a block that is kept.
     """
     at = O.running_totals(rows.where(finite(value)), keys, order, {"pos": None, "__sum": value}, {"n": None, "__all": value})
-    at = at.withColumn("size", F.greatest(F.lit(1), block_size).cast("bigint"))
+    at = at.join(blocks.select(*keys, F.col("block").alias("size")), list(keys))
     # prefix[p] = sum of the first p values; one extra row closes the last block
     prefix = at.select(*keys, F.col("pos").alias("p"), F.col("__sum").alias("prefix"))
     heads = at.groupBy(*keys).agg(F.max("n").alias("n"), F.max("size").alias("size"), F.max("__all").alias("__all"))
@@ -704,6 +754,29 @@ def block_bootstrap_width(
     return means.groupBy(*keys).agg((F.percentile("m", 0.975) - F.percentile("m", 0.025)).alias(name))
 
 
+LEAST_ROWS = 30  # fixed value: rows a group needs for a bootstrap
+
+
+def bootstrap_blocks(rows: DataFrame, keys: Sequence[str], value: str, source: str | None = None) -> DataFrame:
+    """(keys, rows, block): block size of each group of at least 30 rows, 2 at least.
+
+    The median number of rows of a source where any row names one, else the rounded root of the rows.
+    """
+    kept = rows.where(finite(value))
+    sizes = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= LEAST_ROWS)
+    root = F.bround(F.sqrt("rows"), 0)
+    if source is None:
+        return sizes.withColumn("block", F.greatest(F.lit(2), root).cast("bigint"))
+    named = F.trim(F.coalesce(F.col(source).cast("string"), F.lit("")))
+    per = kept.withColumn("__s", named).groupBy(*keys, "__s").agg(F.count(F.lit(1)).cast("double").alias("__c"))
+    ranked = O.exact_quantiles(per, keys, "__c", {"__median": 0.5})
+    any_named = per.groupBy(*keys).agg(F.bool_or(F.col("__s") != "").alias("__any"))
+    wanted = F.when(F.col("__any"), F.floor("__median")).otherwise(root)
+    return sizes.join(ranked, list(keys)).join(any_named, list(keys)).select(
+        *keys, "rows", F.greatest(F.lit(2), wanted).cast("bigint").alias("block")
+    )
+
+
 # --- sampling of tokens ------------------------------------------------------------------------
 
 
@@ -740,11 +813,12 @@ def full_grid(dimensions: Mapping[str, Sequence[str]], spark) -> DataFrame:
 
 
 def observed_grid(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Every combination of the observed values of each key; keys are experiment dimensions."""
-    grid = rows.agg(*[few(F.sort_array(F.collect_set(n)), "experiment keys").alias(n) for n in names])
+    """Every combination of the observed values of each key; keys are experiment dimensions, the grid is the result."""
+    grid = None
     for n in names:
-        grid = grid.withColumn(n, F.explode(n))
-    return grid
+        values = rows.select(n).where(F.col(n).isNotNull()).distinct().withColumn("__k", F.lit(1))
+        grid = values if grid is None else grid.join(values, "__k")
+    return grid.drop("__k")
 
 
 def on_grid(grid: DataFrame, metrics: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -765,17 +839,41 @@ def first_wins(rows: DataFrame, keys: Sequence[str], source_rank: Sequence[str],
 
 
 def hypothesis_report(
-    tail_label: Column, coverage: Column, p95_mean: Column, p95_catoni: Column, p95_mom: Column,
-    domain_ratio: Column, length_ratio: Column, dependence_ratio: Column,
-) -> Column:
-    """Array of the hypotheses the summaries support; ``mixed`` when none does."""
+    tail_label: Column, coverage: Column, best_mse: Column, p95_mean: Column, p95_catoni: Column, p95_mom: Column,
+    pooled_var: Column, domain_ratio: Column, length_ratio: Column, dependence_ratio: Column, dependence_p90: Column,
+) -> Column:
+    """Array of (hypothesis, evidence) that the summaries support; ``mixed`` without evidence when none does.
+
+    A rule needs all of its numbers: a missing one leaves the hypothesis out.
+    """
+
+    def known(*numbers):
+        out = finite(numbers[0])
+        for n in numbers[1:]:
+            out = out & finite(n)
+        return out
+
     rules = [
-        (tail_label.isin("sub_exponential_or_sub_gamma_like", "sub_gaussian_like") & (coverage >= 0.75), "sub-gamma/Bernstein"),
-        (p95_mean > 1.15 * F.least(p95_catoni, p95_mom), "heavy_finite_variance_robust_mean"),
-        ((domain_ratio < 0.9) | (length_ratio < 0.9), "conditional_bernstein_subgamma"),
-        (dependence_ratio >= 1.2, "dependence_present"),
-    ]
+        ("sub-gamma/Bernstein",
+         tail_label.isin("sub_exponential_or_sub_gamma_like", "sub_gaussian_like") & known(coverage) & (coverage >= 0.75),
+         {"mean_empirical_coverage": coverage, "best_subgamma_mse": best_mse}),
+        ("heavy_finite_variance_robust_mean",
+         known(p95_mean, p95_catoni, p95_mom) & (p95_mean > 1.15 * F.least(p95_catoni, p95_mom)),
+         {"p95_mean": p95_mean, "p95_catoni": p95_catoni, "p95_mom": p95_mom}),
+        ("conditional_bernstein_subgamma",
+         known(domain_ratio, length_ratio) & ((domain_ratio < 0.9) | (length_ratio < 0.9)),
+         {"pooled_var": pooled_var, "domain_variance_ratio": domain_ratio, "length_variance_ratio": length_ratio}),
+        ("dependence_present",
+         known(dependence_ratio) & (dependence_ratio >= 1.2),
+         {"mean_ordered_vs_naive_ratio": dependence_ratio, "p90_ordered_vs_naive_ratio": dependence_p90}),
+    ]
+
+    def item(name, evidence):
+        pairs = [x for n, c in evidence.items() for x in (F.lit(n), c.cast("double"))]
+        numbers = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+        return F.struct(F.lit(name).alias("hypothesis"), numbers.alias("evidence"))
+
     found = F.filter(
-        F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in rules]), lambda x: x.isNotNull()
+        F.array(*[F.when(F.coalesce(c, F.lit(False)), item(n, e)) for n, c, e in rules]), lambda x: x.isNotNull()
     )
-    return F.when(F.size(found) == 0, F.array(F.lit("mixed"))).otherwise(found)
+    return F.when(F.size(found) == 0, F.array(item("mixed", {}))).otherwise(found)

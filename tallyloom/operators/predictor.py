@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,16 +44,30 @@ def feature_evaluation(rows: DataFrame, features: Sequence[str], truth: str) ->
 
 
 def _sums(rows: DataFrame, fold: str, truth: str, grid: Sequence[float]) -> DataFrame:
-    """(fold, g, a, b, c, sums) for every weight triple but zero; sums are additive over folds."""
+    """(fold, g, a, b, c, sums) for every weight triple but zero; sums are additive over folds.
+
+    Products are summed around the means of all rows, which leaves correlations as they are and does not cancel.
+    """
     triples = [t for t in product(grid, repeat=3) if any(t)]
     items = F.array(
         *[F.struct(F.lit(k).alias("g"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for k, (a, b, c) in enumerate(triples)]
     )
-    valid = rows.where(" and ".join(f"{f} is not null" for f in (*FEATURES, truth)))
-    scored = valid.select(fold, *FEATURES, F.col(truth).alias("y"), F.explode(items).alias("w")).select(
-        fold, "w.*", "y", linear_score([F.col("w.a"), F.col("w.b"), F.col("w.c")]).alias("x")
+    valid = rows.where(" and ".join(f"{f} is not null" for f in (*FEATURES, truth))).withColumn("__k", F.lit(1))
+    means = valid.groupBy("__k").agg(*[F.avg(f).alias(f"__m_{f}") for f in (*FEATURES, truth)])
+    weights = [F.col("w.a"), F.col("w.b"), F.col("w.c")]
+    scored = (
+        valid.join(means, "__k")
+        .withColumn("w", F.explode(items))
+        .select(
+            fold,
+            "w.*",
+            F.col(truth).alias("y"),
+            linear_score(weights).alias("x"),
+            linear_score(weights, [f"__m_{f}" for f in FEATURES]).alias("mx"),
+            F.col(f"__m_{truth}").alias("my"),
+        )
     )
-    x, y = F.col("x"), F.col("y")
+    x, y = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     return scored.groupBy(fold, "g", "a", "b", "c").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((sign3("x") == sign3("y")).cast("int")).alias("hits"),
@@ -173,43 +189,49 @@ def wide_table(rows: DataFrame, row: str, column: str, values: Sequence[str], va
     return rows.groupBy(row).pivot(column, list(values)).agg(F.first(value, ignorenulls=True))
 
 
-def search_weights(
-    points: DataFrame, most: int, max_exp: float = 3.0, step: float = 1e-4, ratio: float = 10.0
-) -> DataFrame:
+def search_weights(points: DataFrame, max_exp: float = 3.0, step: float = 1e-4, ratio: float = 10.0) -> DataFrame:
     """(w_dot, w_start, accuracy, margin): best point of a logarithmic grid with w_start >= ratio w_dot.
 
-    ``points`` is (x_dot, x_start, bias, label), the labelled cells of one experiment table, at most
-    ``most`` of them. The grid is a range of rows that Spark splits; each row holds one pair of weights and
-    scores the cells in one compiled expression. Best sign accuracy wins, then the largest smallest score,
-    then the first point of the grid.
+    ``points`` is (x_dot, x_start, bias, label), the labelled cells of one experiment table; all of them are scored.
+    The grid's first axis is a range of rows that Spark splits; a row runs along the second axis, cell after cell,
+    and returns its best point. Best sign accuracy wins, then the largest smallest score, then the first point.
     """
-    spark = points.sparkSession
-    steps = int(max_exp / step)
+    steps = round(max_exp / step)
     log_ratio = math.log10(ratio)
     cells = points.agg(F.collect_list(F.struct("x_dot", "x_start", "bias", "label")).alias("cells"))
-    grid = (
-        spark.range(steps + 1)
-        .where(F.col("id") * step + log_ratio <= max_exp)
-        .select(
-            F.col("id").alias("i"),
-            F.explode(F.sequence(F.ceil((F.col("id") * step + log_ratio) / F.lit(step)), F.lit(steps).cast("bigint"))).alias("j"),
-        )
-        .select("i", "j", F.pow(F.lit(10.0), F.col("i") * step).alias("w_dot"), F.pow(F.lit(10.0), F.col("j") * step).alias("w_start"))
-    )
-    scored = grid.withColumn("__k", F.lit(1)).join(cells.withColumn("__k", F.lit(1)), "__k")
-
-    hits, margin = F.lit(0), F.lit(float("inf"))
-    for k in range(most):
-        cell = F.get("cells", F.lit(k))
-        score = F.col("w_dot") * cell["x_dot"] + F.col("w_start") * cell["x_start"] + cell["bias"]
-        hits = hits + F.when((score >= 0) == (cell["label"] > 0), 1).otherwise(0)
-        margin = F.least(margin, F.abs(score))
-    scored = scored.select("i", "j", "w_dot", "w_start", F.size("cells").alias("n"), F.struct(hits.alias("hits"), margin.alias("margin")).alias("s"))
-    best = scored.agg(
-        F.max_by(F.struct("w_dot", "w_start", (F.col("s.hits") / F.col("n")).alias("accuracy"), F.col("s.margin").alias("margin")),
-                 F.struct("s.hits", "s.margin", -F.col("i"), -F.col("j"))).alias("b")
+    axis = points.sparkSession.range(steps + 1).where(F.col("id") * step + log_ratio <= max_exp)
+    rows = axis.select(F.col("id").alias("i"), F.lit(1).alias("__k")).join(cells.withColumn("__k", F.lit(1)), "__k").select("i", "cells")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, own in zip(batch.column("i").to_pylist(), batch.column("cells")):
+                first = math.ceil((i * step + log_ratio) / step)
+                w_dot, w_start = 10.0 ** (i * step), np.power(10.0, np.arange(first, steps + 1) * step)
+                hits, margin = np.zeros(len(w_start), np.int64), np.full(len(w_start), np.inf)
+                for cell in own.as_py():
+                    score = w_dot * cell["x_dot"] + w_start * cell["x_start"] + cell["bias"]
+                    hits += (score >= 0) == (cell["label"] > 0)
+                    np.minimum(margin, np.abs(score), out=margin)
+                if len(w_start):
+                    j = int(np.argmax(np.where(hits == hits.max(), margin, -1.0)))
+                    found.append((i, first + j, w_dot, float(w_start[j]), int(hits[j]), float(margin[j]), len(own)))
+            names = ("i", "j", "w_dot", "w_start", "hits", "margin", "n")
+            yield pa.RecordBatch.from_pylist([dict(zip(names, f)) for f in found], schema=_BEST)
+
+    scored = rows.mapInArrow(best, "i bigint, j bigint, w_dot double, w_start double, hits bigint, margin double, n bigint")
+    chosen = F.max_by(
+        F.struct("w_dot", "w_start", F.try_divide("hits", "n").alias("accuracy"), "margin"),
+        F.struct("hits", "margin", -F.col("i"), -F.col("j")),
     )
-    return best.select("b.*")
+    return scored.agg(chosen.alias("b")).select("b.*")
+
+
+_BEST = pa.schema(
+    [(n, pa.int64()) for n in ("i", "j")]
+    + [(n, pa.float64()) for n in ("w_dot", "w_start")]
+    + [("hits", pa.int64()), ("margin", pa.float64()), ("n", pa.int64())]
+)
 
 
 def difference_points(metrics: DataFrame, labels: Mapping[tuple[str, str], int]) -> DataFrame:

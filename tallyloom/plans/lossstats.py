@@ -216,52 +216,74 @@ def catoni_mean(spark, sf_dir):
 
 
 def subsample_sql(n: str, repeats: int, seed: str) -> str:
-    """Table expressions sizing and sub (rep, pos, combo, sample_idx, lbar) as the operator draws them."""
-    return f"""sizing AS (SELECT n, count(*) // n AS per, ({repeats} + count(*) // n - 1) // (count(*) // n) AS shuffles FROM smp CROSS JOIN (SELECT {n} AS n) GROUP BY n),
-shuffled AS (SELECT p, per, n, row_number() OVER (PARTITION BY p ORDER BY {sql_hash("p || ':' || combo || ':' || sample_idx", seed)}, combo, sample_idx) - 1 AS q, smp.*
-  FROM smp CROSS JOIN sizing CROSS JOIN generate_series(0, 1000) g(p) WHERE p < shuffles),
-sub AS (SELECT (p * per + q // n)::INTEGER AS rep, q % n AS pos, combo, sample_idx, lbar FROM shuffled
-  WHERE q < per * n AND p * per + q // n < {repeats})"""
+    """Table expressions facts and sub (rep, pos, combo, sample_idx, lbar) as the operator draws them."""
+
+    def keyed(k, half):
+        return sql_hash(f"rep || ':{k}:' || {half}", seed)
+
+    return f"""halves AS (SELECT count(*) AS big, {n} AS n, 1::BIGINT << (length(bin(count(*) - 1)) // 2) AS u,
+  1::BIGINT << (length(bin(count(*) - 1)) - length(bin(count(*) - 1)) // 2) AS v FROM smp),
+dr0 AS (SELECT *, t // v AS l, t % v AS r FROM (SELECT rep, halves.*, unnest(range(least(u * v, 4 * n + 256))) AS t
+  FROM halves CROSS JOIN generate_series(0, {repeats - 1}) a(rep))),
+dr1 AS (SELECT * REPLACE (xor(l, {keyed(0, "r")} % u) AS l) FROM dr0), dr2 AS (SELECT * REPLACE (xor(r, {keyed(1, "l")} % v) AS r) FROM dr1),
+dr3 AS (SELECT * REPLACE (xor(l, {keyed(2, "r")} % u) AS l) FROM dr2), dr4 AS (SELECT * REPLACE (xor(r, {keyed(3, "l")} % v) AS r) FROM dr3),
+places AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY t) - 1 AS pos, l * v + r AS p, n FROM dr4 WHERE l * v + r < big),
+sub AS (SELECT rep::INTEGER AS rep, pos, s.* EXCLUDE (p) FROM places JOIN
+  (SELECT *, row_number() OVER (ORDER BY combo, sample_idx) - 1 AS p FROM smp) s USING (p) WHERE pos < n)"""
 
 
 ROBUST_N, ROBUST_REPEATS = 512, 400
 
 
-@query(
-    "robust_mean_experiment",
-    "ST10",
-    with_ctes("smp", ", " + subsample_sql(str(ROBUST_N), ROBUST_REPEATS, "robust"))
-    + f""", f AS (SELECT avg(lbar) AS mu, quantile_cont(lbar, 0.999) AS top FROM smp),
+def robust_sql(estimators: str, tail: str) -> str:
+    """Robust-mean experiment over the drawn samples; the M-estimator takes its Newton steps over lists."""
+    return (
+        "WITH RECURSIVE "
+        + with_ctes("smp", ", " + subsample_sql(str(ROBUST_N), ROBUST_REPEATS, "robust"))[5:]
+        + f""", f AS (SELECT avg(lbar) AS mu, quantile_cont(lbar, 0.999) AS top FROM smp),
 v AS (SELECT 'asis' AS kind, rep, pos, lbar FROM sub
   UNION ALL SELECT 'inj', rep, pos, CASE WHEN pos = {ROBUST_N - 1} THEN top ELSE lbar END FROM sub CROSS JOIN f
   UNION ALL SELECT 'rm', rep, row_number() OVER (PARTITION BY rep ORDER BY lbar) - 1, lbar FROM sub
      QUALIFY row_number() OVER (PARTITION BY rep ORDER BY lbar) < {ROBUST_N}),
 w AS (SELECT *, row_number() OVER (PARTITION BY kind, rep ORDER BY lbar) - 1 AS r, count(*) OVER (PARTITION BY kind, rep) AS n,
   ntile(8) OVER (PARTITION BY kind, rep ORDER BY pos) AS b FROM v),
+cd AS (SELECT kind, rep, list(lbar) AS x, avg(lbar) AS m, 1 / (2 * (stddev_pop(lbar) + 1e-12)) AS a FROM v GROUP BY ALL),
+ct AS (SELECT kind, rep, 0 AS k, m FROM cd UNION ALL
+  SELECT ct.kind, ct.rep, k + 1, ct.m - list_avg(list_transform(x, lambda q: (exp(2 * a * (q - ct.m)) - 1) / (exp(2 * a * (q - ct.m)) + 1)))
+    / (-a * list_avg(list_transform(x, lambda q: 1 - ((exp(2 * a * (q - ct.m)) - 1) / (exp(2 * a * (q - ct.m)) + 1)) ** 2)) - 1e-12)
+  FROM ct JOIN cd USING (kind, rep) WHERE k < 8),
 e AS (SELECT 'mean' AS estimator, kind, rep, avg(lbar) AS est FROM w GROUP BY ALL
   UNION ALL SELECT 'trimmed_mean', kind, rep, avg(lbar) FROM w WHERE r >= floor(0.1::DOUBLE * n) AND r < n - floor(0.1::DOUBLE * n) GROUP BY ALL
-  UNION ALL SELECT 'median_of_means', kind, rep, median(m) FROM (SELECT kind, rep, b, avg(lbar) AS m FROM w GROUP BY ALL) GROUP BY ALL),
+  UNION ALL SELECT 'median_of_means', kind, rep, median(m) FROM (SELECT kind, rep, b, avg(lbar) AS m FROM w GROUP BY ALL) GROUP BY ALL
+  UNION ALL SELECT 'catoni', kind, rep, m FROM ct WHERE k = 8),
 d AS (SELECT estimator, rep, abs(max(est) FILTER (kind = 'asis') - any_value(mu)) AS dev,
   abs(max(est) FILTER (kind = 'inj') - max(est) FILTER (kind = 'asis')) AS inj,
-  abs(max(est) FILTER (kind = 'rm') - max(est) FILTER (kind = 'asis')) AS rm FROM e CROSS JOIN f GROUP BY ALL)
+  abs(max(est) FILTER (kind = 'rm') - max(est) FILTER (kind = 'asis')) AS rm FROM e CROSS JOIN f WHERE estimator IN ({estimators}) GROUP BY ALL)
 SELECT estimator, round(avg(dev), 7) AS mean_abs_dev, round(quantile_cont(dev, 0.95), 7) AS p95_abs_dev, round(max(dev), 7) AS max_abs_dev,
-  round(avg(inj), 7) AS mean_inj_shift, round(avg(rm), 7) AS mean_remove_shift FROM d GROUP BY estimator""",
-)
-def robust_mean_experiment(spark, sf_dir):
+  round(avg(inj), 7) AS mean_inj_shift, round(avg(rm), 7) AS mean_remove_shift FROM d GROUP BY estimator{tail}"""
+    )
+
+
+def robust_rows(spark, sf_dir, estimators=L.ESTIMATORS):
     out = L.robust_mean_experiment(
-        stored_samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", ROBUST_N, ROBUST_REPEATS,
-        estimators=("mean", "trimmed_mean", "median_of_means"),
+        stored_samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", ROBUST_N, ROBUST_REPEATS, estimators=estimators
     )
     return rounded(
         out, "mean_abs_dev", "p95_abs_dev", "max_abs_dev", "mean_inj_shift", "mean_remove_shift", digits=7
     )
 
 
-@query("robust_mean_catoni", "ST10 ST9")
+ROBUST_SQL = robust_sql("'mean', 'trimmed_mean', 'median_of_means', 'catoni'", "")
+
+
+@query("robust_mean_experiment", "ST10 ST9", ROBUST_SQL)
+def robust_mean_experiment(spark, sf_dir):
+    return robust_rows(spark, sf_dir)
+
+
+@query("robust_mean_catoni", "ST10 ST9", robust_sql("'catoni'", ""))
 def robust_mean_catoni(spark, sf_dir):
-    return L.robust_mean_experiment(
-        stored_samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", ROBUST_N, ROBUST_REPEATS, estimators=("catoni",)
-    )
+    return robust_rows(spark, sf_dir, ("catoni",))
 
 
 LAMBDAS = linspace(0.01, 0.40, 40)
@@ -314,16 +336,14 @@ def mgf_fits(spark, sf_dir):
     )
 
 
-BERNSTEIN_REPEATS = 60
+BERNSTEIN_REPEATS = 300
 SIZES_SQL = f"(SELECT unnest([{', '.join(map(str, L.SAMPLE_SIZES))}])::INTEGER AS n)"
 # only sizes below the number of samples are drawn
 USED_SIZES = f"(SELECT n FROM {SIZES_SQL} WHERE n < (SELECT count(*) FROM smp))"
 BERNSTEIN_MAX = f"(SELECT max(n) FROM {USED_SIZES})"
 
 
-@query(
-    "bernstein_coverage",
-    "ST13",
+BERNSTEIN_SQL = (
     with_ctes("smp", ", " + subsample_sql(BERNSTEIN_MAX, BERNSTEIN_REPEATS, "bernstein"))
     + f""", f AS (SELECT avg(lbar) AS mu FROM smp), b AS (SELECT any_value(mu) AS mu, quantile_cont(abs(lbar - mu), 0.99) AS b FROM smp CROSS JOIN f),
 h AS (SELECT rep, n, avg(lbar) AS m, var_samp(lbar) AS v FROM sub JOIN {USED_SIZES} s ON pos < n GROUP BY ALL),
@@ -331,8 +351,11 @@ r AS (SELECT rep, n, delta, abs(m - mu) AS dev, sqrt(2 * greatest(v, 0) * ln(3 /
   FROM h CROSS JOIN b CROSS JOIN (SELECT unnest([0.1, 0.05, 0.01])::DOUBLE AS delta) d)
 SELECT n, delta, round(avg(CASE WHEN dev <= radius THEN 1 ELSE 0 END), 7) AS coverage_rate, round(avg(dev), 7) AS mean_abs_dev,
   round(quantile_cont(dev, 0.95), 7) AS p95_abs_dev, round(avg(radius), 7) AS mean_radius, round(quantile_cont(radius, 0.95), 7) AS p95_radius,
-  round(any_value(mu), 7) AS mu_full, round(any_value(b), 7) AS scale_b FROM r GROUP BY n, delta""",
+  round(any_value(mu), 7) AS mu_full, round(any_value(b), 7) AS scale_b FROM r GROUP BY n, delta"""
 )
+
+
+@query("bernstein_coverage", "ST13", BERNSTEIN_SQL)
 def bernstein_coverage(spark, sf_dir):
     out = L.bernstein_coverage(stored_samples(spark, sf_dir), ["combo", "sample_idx"], "lbar", repeats=BERNSTEIN_REPEATS)
     return rounded(
@@ -355,7 +378,7 @@ SEMI JOIN (SELECT {key}, CASE WHEN n <= {points} THEN k WHEN k = {points - 1} TH
   FROM (SELECT DISTINCT {key}, n FROM {source}) CROSS JOIN generate_series(0, {points - 1}) g(k)) w ON w.{key} = t.{key} AND w.p = t.p"""
 
 
-CTE["grid"] = grid_join_sql("cut", 256)
+CTE["grid"] = "SELECT combo, p AS idx, x, (n - p) / n::DOUBLE AS s FROM cut"
 NEEDS.update({"tail": ("smp",), "cut": ("tail",), "grid": ("cut",)})
 
 FITS = """SELECT {k}, count(*) AS n_points, regr_slope(ls, x) AS semilog_slope, regr_r2(ls, x) AS semilog_r2, regr_slope(ls, lx) AS loglog_slope,
@@ -394,24 +417,45 @@ def tail_shape(spark, sf_dir):
     )
 
 
-@query(
-    "tail_shape_strict",
-    "ST15 ST16",
-    with_ctes(
-        "grid",
-        """, w AS (SELECT * FROM grid WHERE x > 0 AND s > 0 AND s < 1), f AS ("""
+def strict_sql(source: str) -> str:
+    """Strict fits of the tails in ``source`` (combo, x, p, n), of the groups with 12 points."""
+    return with_ctes(
+        "tail cut",
+        f""", src AS ({source}), used AS (SELECT combo, x, (n - p) / n::DOUBLE AS s FROM src),
+w AS (SELECT * FROM used WHERE x > 0 AND s > 0 AND s < 1), f AS ("""
         + FITS.format(k="combo", t="w")
-        + f"""), l AS (SELECT *, {LABEL} AS label FROM f WHERE n_points >= 8)
+        + f"""), l AS (SELECT combo, n_points, CASE WHEN n_points >= 8 THEN weibull_slope END AS weibull_slope, CASE WHEN n_points >= 8 THEN weibull_r2 END AS weibull_r2,
+  CASE WHEN n_points >= 8 THEN {LABEL} END AS label FROM f)
 SELECT combo, n_points, round(weibull_slope, 6) AS weibull_slope, round(weibull_r2, 6) AS weibull_r2,
  CASE label WHEN 'power_law_like_heavy_tail' THEN 1.0::DOUBLE WHEN 'sub_weibull_like' THEN 2.0::DOUBLE WHEN 'sub_exponential_or_sub_gamma_like' THEN 3.0::DOUBLE
-   WHEN 'sub_gaussian_like' THEN 4.0::DOUBLE ELSE 5.0::DOUBLE END AS label_code FROM l""",
-    ),
+   WHEN 'sub_gaussian_like' THEN 4.0::DOUBLE WHEN 'mixed_or_unclear' THEN 5.0::DOUBLE END AS label_code
+FROM (SELECT DISTINCT combo FROM smp) LEFT JOIN l USING (combo)""",
+    )
+
+
+def strict_rows(rows, low=0.90):
+    out = L.tail_shape_strict(rows, ["combo"], "lbar", low)
+    return rounded(out.select("combo", "n_points", "weibull_slope", "weibull_r2", "label_code"), "weibull_slope", "weibull_r2")
+
+
+@query(
+    "tail_shape_strict",
+    "ST15 ST16",
+    strict_sql("""SELECT * FROM cut WHERE n >= 12
+  UNION ALL SELECT * FROM tail WHERE n >= 12 AND combo NOT IN (SELECT combo FROM cut WHERE n >= 12)"""),
 )
 def tail_shape_strict(spark, sf_dir):
-    tail = L.quantile_slice(L.positive_tail(samples(spark, sf_dir), ["combo"], "lbar"), ["combo"], 0.90, 0.999)
-    fits = L.tail_fits(L.survival_grid(tail, ["combo"], 256), ["combo"], strict=True).withColumn("label", L.tail_class())
-    out = fits.withColumn("label_code", L.tail_code("label"))
-    return rounded(out.select("combo", "n_points", "weibull_slope", "weibull_r2", "label_code"), "weibull_slope", "weibull_r2")
+    return strict_rows(samples(spark, sf_dir))
+
+
+@query(
+    "tail_shape_fallback",
+    "ST15 ST16",
+    strict_sql("SELECT * FROM tail WHERE n >= 12"),
+)
+def tail_shape_fallback(spark, sf_dir):
+    """A slice so thin that it has fewer than 12 points in every group: the whole positive tail is fitted."""
+    return strict_rows(samples(spark, sf_dir), low=0.999)
 
 
 @query(
@@ -423,7 +467,7 @@ def tail_shape_strict(spark, sf_dir):
 tl AS (SELECT target, x, row_number() OVER (PARTITION BY target ORDER BY x) - 1 AS p, count(*) OVER (PARTITION BY target) AS n
   FROM (SELECT target, y - avg(y) OVER (PARTITION BY target) AS x FROM st) WHERE x > 0),
 g AS ("""
-        + grid_join_sql("tl", 256, "target")
+        + "SELECT target, p AS idx, x, (n - p) / n::DOUBLE AS s FROM tl"
         + "), f AS ("
         + FITS.format(k="target", t="g")
         + f"""), cv AS (SELECT target, 0.01::DOUBLE + (0.29::DOUBLE / 29) * i AS lam, any_value((0.01::DOUBLE + (0.29::DOUBLE / 29) * i) * (hi - mu)) + ln(avg(exp((0.01::DOUBLE + (0.29::DOUBLE / 29) * i) * (y - hi)))) AS mgf
@@ -442,51 +486,91 @@ def length_ablation(spark, sf_dir):
     return rounded(out, "semilog_r2", "loglog_r2", "weibull_r2")
 
 
-BOOT = 100
-_CUTS = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k)) for k in range(1, 12)]
-POISSON_SQL = "CASE " + " ".join(f"WHEN u < {cut!r} THEN {k}" for k, cut in enumerate(_CUTS)) + " ELSE 11 END"
+BOOT = 300
+_CUTS = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k)) for k in range(1, 13)]
+POISSON_SQL = "CASE " + " ".join(f"WHEN u < {cut!r} THEN {k}" for k, cut in enumerate(_CUTS)) + " ELSE 12 END"
 
 
-@query(
-    "bootstrap_dependence",
-    "ST18",
-    with_ctes(
-        "smp",
-        f""", hq AS (SELECT combo, lbar, md5('boot:' || combo || ':' || sample_idx) AS h FROM smp),
+def blocks_sql(size: str) -> str:
+    """Table expression bk (combo, n, size, blocks) of the groups with 30 rows."""
+    return f"bk AS (SELECT *, (n + size - 1) // size AS blocks FROM (SELECT combo, count(*) AS n, greatest(2, {size})::BIGINT AS size FROM smp GROUP BY combo HAVING count(*) >= 30))"
+
+
+def block_width_sql(order: str, name: str) -> str:
+    """Table expressions o_, dr_, ln_, tk_, bm_ and {name} (combo, width) of the block bootstrap in an order."""
+    x = name
+    return f"""o_{x} AS (SELECT combo, lbar, row_number() OVER (PARTITION BY combo ORDER BY {order}) - 1 AS p FROM smp),
+pf_{x} AS (SELECT combo, p + 1 AS p, sum(lbar) OVER (PARTITION BY combo ORDER BY p) AS s FROM o_{x} UNION ALL SELECT combo, 0, 0 FROM bk),
+dr_{x} AS (SELECT * REPLACE ((('0x' || substr(md5('blocks:' || combo || ':' || rep || ':' || draw), 1, 8))::BIGINT) % blocks AS block)
+  FROM (SELECT combo, n, size, blocks, rep, unnest(range(blocks)) AS draw, 0 AS block FROM bk CROSS JOIN generate_series(0, {BOOT - 1}) r(rep))),
+ln_{x} AS (SELECT *, CASE WHEN block = blocks - 1 THEN n - (blocks - 1) * size ELSE size END AS len FROM dr_{x}),
+tk_{x} AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY combo, rep ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM ln_{x}),
+bm_{x} AS (SELECT t.combo, rep, sum(b.s - a.s) / any_value(n) AS m FROM tk_{x} t JOIN pf_{x} a ON a.combo = t.combo AND a.p = block * size
+  JOIN pf_{x} b ON b.combo = t.combo AND b.p = block * size + greatest(0, least(len, n - taken)) GROUP BY ALL),
+{x} AS (SELECT combo, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS width FROM bm_{x} GROUP BY combo)"""
+
+
+NAIVE_SQL = f"""hq AS (SELECT combo, lbar, md5('boot:' || combo || ':' || sample_idx) AS h FROM smp),
 hs AS (SELECT combo, lbar, ('0x' || substr(h, 1, 8))::BIGINT AS h, ('0x' || substr(h, 9, 8))::BIGINT AS s FROM hq),
 hu AS (SELECT combo, rep, lbar, ((h + rep * s) % 4294967296) / 4294967296.0::DOUBLE AS u FROM hs CROSS JOIN generate_series(0, {BOOT - 1}) r(rep)),
-w AS (SELECT combo, rep, lbar, {POISSON_SQL} AS w FROM hu),
-nm AS (SELECT combo, rep, sum(lbar * w) / sum(w) AS m FROM w GROUP BY ALL),
-nv AS (SELECT combo, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS naive FROM nm GROUP BY combo),
-o AS (SELECT combo, lbar, row_number() OVER (PARTITION BY combo ORDER BY sample_idx) - 1 AS p, count(*) OVER (PARTITION BY combo) AS n FROM smp),
-hd AS (SELECT combo, any_value(n) AS n, round_even(sqrt(any_value(n)), 0)::BIGINT AS size FROM o GROUP BY combo),
-hb AS (SELECT *, (n + size - 1) // size AS blocks FROM hd),
-dr AS (SELECT combo, n, size, blocks, rep, draw, (('0x' || substr(md5('blocks:' || combo || ':' || rep || ':' || draw), 1, 8))::BIGINT) % blocks AS block
-  FROM hb CROSS JOIN generate_series(0, {BOOT - 1}) r(rep) CROSS JOIN generate_series(0, 2000) d(draw) WHERE draw < blocks),
-ln AS (SELECT *, CASE WHEN block = blocks - 1 THEN n - (blocks - 1) * size ELSE size END AS len FROM dr),
-tk AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY combo, rep ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM ln),
-bm AS (SELECT tk.combo, rep, sum(lbar) / any_value(tk.n) AS m FROM tk JOIN o ON o.combo = tk.combo AND o.p >= block * size
-   AND o.p < block * size + greatest(0, least(len, tk.n - taken)) GROUP BY ALL),
-bv AS (SELECT combo, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS ordered FROM bm GROUP BY combo)
-SELECT combo, round(naive, 7) AS naive, round(ordered, 7) AS ordered, round(ordered / naive, 5) AS ratio FROM nv JOIN bv USING (combo)""",
-    ),
+wt AS (SELECT combo, rep, lbar, {POISSON_SQL} AS w FROM hu),
+nm AS (SELECT combo, rep, sum(lbar * w) / sum(w) AS m FROM wt GROUP BY ALL),
+nv AS (SELECT combo, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS naive FROM nm GROUP BY combo)"""
+ROOT_SQL = "round_even(sqrt(count(*)), 0)"
+DEPENDENCE_SQL = with_ctes(
+    "smp",
+    f", {NAIVE_SQL}, {blocks_sql(ROOT_SQL)}, {block_width_sql('sample_idx', 'ordered')}"
+    """ SELECT combo, size AS block, round(naive, 7) AS naive, round(width, 7) AS ordered, round(width / naive, 5) AS ratio
+FROM nv JOIN ordered USING (combo) JOIN bk USING (combo)""",
 )
+SHUFFLED = sql_hash("combo || ':' || sample_idx", "shuffle") + ", sample_idx"
+
+
+def block_widths(rows, order, blocks, name):
+    return L.block_bootstrap_width(rows, ["combo"], "lbar", order, blocks, BOOT, "blocks", name)
+
+
+@query("bootstrap_dependence", "ST18", DEPENDENCE_SQL)
 def bootstrap_dependence(spark, sf_dir):
     rows = samples(spark, sf_dir)
+    blocks = L.bootstrap_blocks(rows, ["combo"], "lbar")
     naive = L.bootstrap_width(rows, ["combo"], "lbar", ["combo", "sample_idx"], BOOT, "boot", "naive")
-    ordered = L.block_bootstrap_width(
-        rows, ["combo"], "lbar", ["sample_idx"], F.bround(F.sqrt("n"), 0), BOOT, "blocks", "ordered"
-    )
-    out = naive.join(ordered, "combo").withColumn("ratio", F.try_divide("ordered", "naive"))
+    out = naive.join(block_widths(rows, ["sample_idx"], blocks, "ordered"), "combo").join(blocks.drop("rows"), "combo")
+    out = out.withColumn("ratio", F.try_divide("ordered", "naive"))
     return rounded(rounded(out, "naive", "ordered", digits=7), "ratio", digits=5)
 
 
-@query("bootstrap_shuffled", "ST18")
+@query(
+    "bootstrap_shuffled",
+    "ST18",
+    with_ctes(
+        "smp",
+        f", {blocks_sql(ROOT_SQL)}, {block_width_sql(SHUFFLED, 'shuffled')} SELECT combo, round(width, 7) AS shuffled FROM shuffled",
+    ),
+)
 def bootstrap_shuffled(spark, sf_dir):
     rows = samples(spark, sf_dir).withColumn("h", sampling.hash_int("combo", "sample_idx", seed="shuffle"))
-    return L.block_bootstrap_width(
-        rows, ["combo"], "lbar", ["h", "sample_idx"], F.bround(F.sqrt("n"), 0), BOOT, "blocks", "shuffled"
-    )
+    blocks = L.bootstrap_blocks(rows, ["combo"], "lbar")
+    return rounded(block_widths(rows, ["h", "sample_idx"], blocks, "shuffled"), "shuffled", digits=7)
+
+
+@query(
+    "bootstrap_source_blocks",
+    "ST18",
+    with_ctes(
+        "smp",
+        f""", src AS (SELECT combo, (sample_idx // 64)::VARCHAR AS source FROM smp), per AS (SELECT combo, source, count(*) AS c FROM src GROUP BY ALL),
+med AS (SELECT combo, floor(median(c)) AS m FROM per GROUP BY combo),
+{blocks_sql("(SELECT any_value(m) FROM med WHERE med.combo = smp.combo)")}, {block_width_sql("sample_idx", "ordered")}
+SELECT combo, size AS block, round(width, 7) AS ordered FROM ordered JOIN bk USING (combo)""",
+    ),
+)
+def bootstrap_source_blocks(spark, sf_dir):
+    """Blocks as long as the median source; 64 order numbers in a row are a source."""
+    rows = samples(spark, sf_dir).withColumn("source", F.floor(F.col("sample_idx") / 64).cast("string"))
+    blocks = L.bootstrap_blocks(rows, ["combo"], "lbar", "source")
+    out = block_widths(rows, ["sample_idx"], blocks, "ordered").join(blocks.drop("rows"), "combo")
+    return rounded(out, "ordered", digits=7)
 
 
 CTE["seq"] = """
@@ -529,29 +613,92 @@ def block_mean_variance(spark, sf_dir):
     return rounded(L.block_mean_variance(rows, ["user_id"], "pos", "u", [2, 4, 8, 16, 32], "n"), "variance", digits=8)
 
 
-@query("hypothesis_report", "ST20")
+CTE["fits0"] = """
+SELECT combo, interval, mse FROM (SELECT combo, interval, mse, row_number() OVER (PARTITION BY combo, interval ORDER BY mse, ci) AS r FROM mgfm) WHERE r = 1"""
+CTE["mgfm"] = """
+SELECT combo, interval, ci, avg((v * b - mgf) ** 2) AS mse FROM (
+  SELECT *, sum(b * mgf) OVER (PARTITION BY combo, interval, ci) / sum(b * b) OVER (PARTITION BY combo, interval, ci) AS v FROM (
+    SELECT *, lam * lam / greatest(2 * (1 - ci * (greatest(1e-6, 0.95 / lmax) / 99.0) * lam), 1e-12) AS b FROM (
+      SELECT interval, combo, lam, mgf, max(lam) OVER (PARTITION BY combo, interval) AS lmax
+      FROM curve JOIN (VALUES ('full', 40), ('half', 20), ('quarter', 10)) s(interval, size) ON k < size) CROSS JOIN generate_series(0, 99) t(ci)))
+GROUP BY ALL"""
+NEEDS.update({"fits0": ("mgfm",), "mgfm": ("curve",)})
+
+_RULES = {
+    "sub-gamma/Bernstein": (
+        "label IN ('sub_exponential_or_sub_gamma_like', 'sub_gaussian_like') AND coverage >= 0.75",
+        {"mean_empirical_coverage": "coverage", "best_subgamma_mse": "best_mse"},
+    ),
+    "heavy_finite_variance_robust_mean": (
+        "p95_mean > 1.15 * least(p95_catoni, p95_mom)",
+        {"p95_mean": "p95_mean", "p95_catoni": "p95_catoni", "p95_mom": "p95_mom"},
+    ),
+    "conditional_bernstein_subgamma": (
+        "domain_ratio IS NOT NULL AND length_ratio IS NOT NULL AND (domain_ratio < 0.9 OR length_ratio < 0.9)",
+        {"pooled_var": "pooled_var", "domain_variance_ratio": "domain_ratio", "length_variance_ratio": "length_ratio"},
+    ),
+    "dependence_present": (
+        "dependence >= 1.2",
+        {"mean_ordered_vs_naive_ratio": "dependence", "p90_ordered_vs_naive_ratio": "dependence_p90"},
+    ),
+}
+_FOUND = " UNION ALL ".join(
+    f"SELECT '{name}' AS hypothesis, '{measure}' AS measure, {column} AS value FROM facts WHERE {rule}"
+    for name, (rule, measures) in _RULES.items()
+    for measure, column in measures.items()
+)
+
+
+@query(
+    "hypothesis_report",
+    "ST20",
+    with_ctes(
+        "cond fits0",
+        f""", one AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS p, count(*) OVER () AS n FROM (SELECT lbar - avg(lbar) OVER () AS x FROM smp) WHERE x > 0),
+ocut AS (SELECT 1 AS one, x, row_number() OVER (ORDER BY x) - 1 AS p, count(*) OVER () AS n FROM one
+  WHERE x >= (SELECT quantile_cont(x, 0.9) FROM one) AND x <= (SELECT quantile_cont(x, 0.999) FROM one)),
+og AS (SELECT one, x, (n - p) / n::DOUBLE AS s FROM ocut), tl AS (SELECT {LABEL} AS label FROM ({FITS.format(k="one", t="og")})),
+cv AS (SELECT avg(coverage_rate) AS coverage FROM ({BERNSTEIN_SQL})), bm AS (SELECT min(mse) AS best_mse FROM fits0),
+rb AS (SELECT max(p95_abs_dev) FILTER (estimator = 'mean') AS p95_mean, max(p95_abs_dev) FILTER (estimator = 'catoni') AS p95_catoni,
+  max(p95_abs_dev) FILTER (estimator = 'median_of_means') AS p95_mom FROM ({ROBUST_SQL})),
+vr AS (SELECT group_col, avg(var) AS v FROM cond GROUP BY group_col),
+cr AS (SELECT max(v) FILTER (group_col = 'pooled') AS pooled_var, max(v) FILTER (group_col = 'domain') / max(v) FILTER (group_col = 'pooled') AS domain_ratio,
+  max(v) FILTER (group_col = 'length_bin') / max(v) FILTER (group_col = 'pooled') AS length_ratio FROM vr),
+dp AS (SELECT avg(ratio) AS dependence, quantile_cont(ratio, 0.9) AS dependence_p90 FROM ({DEPENDENCE_SQL})),
+facts AS (SELECT * FROM tl CROSS JOIN cv CROSS JOIN bm CROSS JOIN rb CROSS JOIN cr CROSS JOIN dp),
+found AS ({_FOUND})
+SELECT hypothesis, measure, round(value, 6) AS value FROM found
+UNION ALL SELECT 'mixed', NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM found)""",
+    ),
+)
 def hypothesis_report(spark, sf_dir):
+    """The hypotheses the summaries support, a row for each number of their evidence."""
     rows = stored_samples(spark, sf_dir).withColumn("one", F.lit(1))
-    ids = ["combo", "sample_idx"]
     tail = L.tail_shape(rows, ["one"], "lbar").select("one", "label")
-    cover = L.bernstein_coverage(rows, ids, "lbar", repeats=BERNSTEIN_REPEATS)
-    cover = cover.agg(F.avg("coverage_rate").alias("coverage")).withColumn("one", F.lit(1))
-    robust = L.robust_mean_experiment(rows, ids, "lbar", ROBUST_N, ROBUST_REPEATS)
-    robust = robust.agg(
+    cover = bernstein_coverage(spark, sf_dir).agg(F.avg("coverage_rate").alias("coverage"))
+    fits = L.mgf_fits(L.log_mgf_curve(rows, ["combo"], "lbar", LAMBDAS), ["combo"], len(LAMBDAS))
+    fits = fits.agg(F.min("subgamma_mse").alias("best_mse"))
+    robust = robust_rows(spark, sf_dir).agg(
         *[F.max(F.when(F.col("estimator") == e, F.col("p95_abs_dev"))).alias(e) for e in ("mean", "catoni", "median_of_means")]
-    ).withColumn("one", F.lit(1))
+    )
     ratios = L.variance_ratios(conditional(spark, sf_dir)).agg(
-        *[F.max(F.when(F.col("group_col") == g, F.col("ratio"))).alias(g) for g in ("domain", "length_bin")]
-    ).withColumn("one", F.lit(1))
-    dependence = bootstrap_dependence(spark, sf_dir).agg(F.avg("ratio").alias("dependence")).withColumn("one", F.lit(1))
-    facts = tail.join(cover, "one").join(robust, "one").join(ratios, "one").join(dependence, "one")
-    return facts.select(
-        "*",
-        L.hypothesis_report(
-            F.col("label"), F.col("coverage"), F.col("mean"), F.col("catoni"), F.col("median_of_means"),
-            F.col("domain"), F.col("length_bin"), F.col("dependence"),
-        ).alias("hypotheses"),
-    ).drop("one")
+        F.max("pooled_var").alias("pooled_var"),
+        *[F.max(F.when(F.col("group_col") == g, F.col("ratio"))).alias(g) for g in ("domain", "length_bin")],
+    )
+    dependence = bootstrap_dependence(spark, sf_dir).agg(
+        F.avg("ratio").alias("dependence"), F.percentile("ratio", 0.9).alias("dependence_p90")
+    )
+    facts = tail
+    for part in (cover, fits, robust, ratios, dependence):
+        facts = facts.join(part.withColumn("one", F.lit(1)), "one")
+    report = L.hypothesis_report(
+        F.col("label"), F.col("coverage"), F.col("best_mse"), F.col("mean"), F.col("catoni"), F.col("median_of_means"),
+        F.col("pooled_var"), F.col("domain"), F.col("length_bin"), F.col("dependence"), F.col("dependence_p90"),
+    )
+    each = facts.select(F.explode(report).alias("h")).select(
+        "h.hypothesis", F.explode_outer(F.map_entries("h.evidence")).alias("e")
+    )
+    return each.select("hypothesis", F.col("e.key").alias("measure"), F.round("e.value", 6).alias("value"))
 
 
 @query(
@@ -625,7 +772,7 @@ def loss_wide_table(spark, sf_dir):
     "JOIN5",
     with_ctes(
         "lossrow",
-        """, m AS (SELECT dataset, method, epoch, task, avg(loss) AS mean_loss, count(*) AS n FROM lossrow WHERE status = 'ok' AND loss > 1.7 GROUP BY ALL)
+        """, m AS (SELECT dataset, method, epoch, task, avg(CASE WHEN loss > 1.7 THEN loss END) AS mean_loss, count(CASE WHEN loss > 1.7 THEN loss END) AS n FROM lossrow WHERE status = 'ok' GROUP BY ALL)
 SELECT d.dataset, me.method, e.epoch, t.task, round(mean_loss, 9) AS mean_loss, n FROM (SELECT DISTINCT dataset FROM lossrow) d
 CROSS JOIN (SELECT DISTINCT method FROM lossrow) me CROSS JOIN (SELECT DISTINCT epoch FROM lossrow) e CROSS JOIN (SELECT DISTINCT task FROM lossrow) t
 LEFT JOIN m USING (dataset, method, epoch, task)""",
@@ -633,7 +780,6 @@ LEFT JOIN m USING (dataset, method, epoch, task)""",
 )
 def expected_grid(spark, sf_dir):
     rows, names = loss_rows(spark, sf_dir), ["dataset", "method", "epoch", "task"]
-    metrics = rows.where("status = 'ok' and loss > 1.7").groupBy(*names).agg(
-        F.avg("loss").alias("mean_loss"), F.count(F.lit(1)).alias("n")
-    )
+    large = F.when(F.col("loss") > 1.7, F.col("loss"))
+    metrics = rows.where("status = 'ok'").groupBy(*names).agg(F.avg(large).alias("mean_loss"), F.count(large).alias("n"))
     return rounded(L.on_grid(L.observed_grid(rows, names), metrics, names), "mean_loss", digits=9)

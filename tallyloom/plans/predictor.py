@@ -124,7 +124,8 @@ SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'gsm8k' WHEN '2-HIGH' THEN 'ope
   CASE o_orderstatus WHEN 'F' THEN 'gsm8k' WHEN 'O' THEN 'openfunction' ELSE 'humaneval' END AS test, CASE WHEN {sql_uniform('o_custkey::VARCHAR', 'method')} < 0.5 THEN 'sft' ELSE 'sdft' END AS ckpt,
   avg(o_totalprice) / 1e7 AS dot_before, avg(sqrt(o_totalprice)) / 1e4 AS dot_after, CASE WHEN o_orderpriority <> '2-HIGH' THEN avg(ln(o_totalprice)) / 1e3 END AS c_start,
   stddev_pop(o_totalprice) / 1e6 AS c_end, CASE WHEN o_orderstatus <> 'P' THEN avg(1e5 / (o_totalprice + 1e4)) END AS v_align
-FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'O' AND {sql_uniform('o_custkey::VARCHAR', 'method')} < 0.5) GROUP BY o_orderpriority, o_orderstatus, ckpt"""
+FROM orders GROUP BY o_orderpriority, o_orderstatus, ckpt
+HAVING NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'O' AND ckpt = 'sft')"""
 
 
 def experiment_metrics(spark, sf_dir):
@@ -132,7 +133,6 @@ def experiment_metrics(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn(
         "ckpt", F.when(sampling.uniform("o_custkey", seed="method") < 0.5, "sft").otherwise("sdft")
     )
-    orders = orders.where("not (o_orderpriority = '5-LOW' and o_orderstatus = 'O' and ckpt = 'sft')")
     priority = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
     domain = F.lit(DOMAINS[-1])
     for name, value in zip(reversed(priority), reversed(DOMAINS[:-1])):
@@ -147,6 +147,7 @@ def experiment_metrics(spark, sf_dir):
             (F.stddev_pop(price) / 1e6).alias("c_end"),
             F.avg(1e5 / (price + 1e4)).alias("v_align"),
         )
+        .where("not (o_orderpriority = '5-LOW' and o_orderstatus = 'O' and ckpt = 'sft')")
         .select(
             domain.alias("domain"),
             F.when(F.col("o_orderstatus") == "F", "gsm8k").when(F.col("o_orderstatus") == "O", "openfunction").otherwise("humaneval").alias("test"),
@@ -203,25 +204,36 @@ def weighted_total_table(spark, sf_dir):
 
 
 LABELS = {(d, t): (1 if (i + j) % 3 else -1) for i, d in enumerate(DOMAINS) for j, t in enumerate(TESTS)}
-STEP = 0.001
+STEP = 0.0001
+STEPS = round(3 / STEP)
 
 
-@query(
-    "weight_search",
-    "EV29",
-    with_ctes(
+def _weight_search_sql() -> str:
+    """Cells as columns, so that the grid is one streamed scan: a missing cell neither hits nor bounds the margin."""
+    cells = ", ".join(
+        f"max({c}) FILTER (domain = '{d}' AND test = '{t}') AS {c}_{k}" for k, (d, t) in enumerate(LABELS) for c in ("x1", "x2", "bias")
+    )
+    scores = [f"(w1 * x1_{k} + w2 * x2_{k} + bias_{k})" for k in range(len(LABELS))]
+    hits = " + ".join(
+        f"coalesce((({s} >= 0) = {str(v > 0).lower()})::INTEGER, 0)" for s, v in zip(scores, LABELS.values())
+    )
+    margin = ", ".join(f"coalesce(abs({s}), 'inf'::DOUBLE)" for s in scores)
+    n = " + ".join(f"(x1_{k} IS NOT NULL)::INTEGER" for k in range(len(LABELS)))
+    return with_ctes(
         "expm",
-        f""", lab AS (SELECT * FROM (VALUES {", ".join(f"('{d}', '{t}', {v})" for (d, t), v in LABELS.items())}) v(domain, test, label)),
-d AS (SELECT domain, test, sum(CASE WHEN ckpt = 'sft' THEN 1 ELSE -1 END * coalesce(dot_before, 0)) AS x1, sum(CASE WHEN ckpt = 'sft' THEN 1 ELSE -1 END * coalesce(c_start, 0)) AS x2,
+        f""", d AS (SELECT domain, test, sum(CASE WHEN ckpt = 'sft' THEN 1 ELSE -1 END * coalesce(dot_before, 0)) AS x1, sum(CASE WHEN ckpt = 'sft' THEN 1 ELSE -1 END * coalesce(c_start, 0)) AS x2,
   sum(CASE WHEN ckpt = 'sft' THEN 1 ELSE -1 END * (coalesce(c_end, 0) - coalesce(dot_after, 0))) AS bias FROM expm GROUP BY ALL),
-p AS (SELECT x1, x2, bias, label FROM d JOIN lab USING (domain, test)),
-g AS (SELECT i, j, pow(10, i * {STEP}::DOUBLE) AS w1, pow(10, j * {STEP}::DOUBLE) AS w2 FROM generate_series(0, {int(3 / STEP)}) a(i) CROSS JOIN generate_series(0, {int(3 / STEP)}) b(j)
-  WHERE i * {STEP}::DOUBLE + 1 <= 3 AND j >= ceil((i * {STEP}::DOUBLE + 1) / {STEP}::DOUBLE)),
-s AS (SELECT i, j, any_value(w1) AS w1, any_value(w2) AS w2, sum(((w1 * x1 + w2 * x2 + bias >= 0) = (label > 0))::INTEGER) AS hits, min(abs(w1 * x1 + w2 * x2 + bias)) AS margin, count(*) AS n FROM g CROSS JOIN p GROUP BY i, j)
-SELECT round(w1, 6) AS w_dot, round(w2, 6) AS w_start, round(hits / n::DOUBLE, 9) AS accuracy, round(margin, 8) AS margin FROM s ORDER BY hits DESC, round(margin, 10) DESC, i, j LIMIT 1""",
-    ),
-)
+p AS (SELECT {cells} FROM d),
+g AS (SELECT i, j, pow(10, i * {STEP}::DOUBLE) AS w1, pow(10, j * {STEP}::DOUBLE) AS w2
+  FROM (SELECT i, unnest(range(ceil((i * {STEP}::DOUBLE + 1) / {STEP}::DOUBLE)::BIGINT, {STEPS + 1})) AS j
+        FROM generate_series(0, {STEPS}) a(i) WHERE i * {STEP}::DOUBLE + 1 <= 3)),
+s AS (SELECT i, j, w1, w2, {hits} AS hits, least({margin}) AS margin, {n} AS n FROM g CROSS JOIN p)
+SELECT round(w1, 6) AS w_dot, round(w2, 6) AS w_start, round(hits / n::DOUBLE, 9) AS accuracy, round(margin, 8) AS margin FROM s ORDER BY hits DESC, margin DESC, i, j LIMIT 1""",
+    )
+
+
+@query("weight_search", "EV29", _weight_search_sql())
 def weight_search(spark, sf_dir):
     points = P.difference_points(experiment_metrics(spark, sf_dir), LABELS)
-    out = P.search_weights(points, len(LABELS), step=STEP)
+    out = P.search_weights(points, step=STEP)
     return rounded(rounded(rounded(out, "w_dot", "w_start"), "accuracy", digits=9), "margin", digits=8)
