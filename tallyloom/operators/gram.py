@@ -6,19 +6,37 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_DIMENSION = 4096
+#: width of the column blocks of a product, and bytes of partial sums a task holds before it sends them
+BLOCK, BUDGET = 2048, 256 << 20
+
+
+def dense(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a batch as rows of a matrix, and which rows of the batch they are; NULL vectors are left out.
+
+    Vectors of different lengths are an error, a NULL component is NaN.
+    """
+    at = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+    kept = vectors.take(pa.array(at))
+    lengths = pc.list_value_length(kept).to_numpy(zero_copy_only=False)
+    if len(lengths) and lengths.min() != lengths.max():
+        raise ValueError(f"vectors of {lengths.min()} and {lengths.max()} components cannot be summed")
+    width = int(lengths[0]) if len(lengths) else 0
+    return kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width), at
 
 
 def gram_sums(df: DataFrame, keys: Sequence[str], vector: str, weight: str | None = None) -> DataFrame:
     """Sum of w * x x' per key as rows ``(keys, i, j, v)`` with i <= j.
 
     Each task folds its own rows into one triangle per key and emits that, so the shuffle carries
-    D(D+1)/2 rows per task and key, never the vectors. Use it for narrow vectors; wide ones go
-    through :func:`tallyloom.operators.influence.vector_sums`, which is linear in D.
+    D(D+1)/2 rows per task and key, never the vectors. Triangles are held in column blocks and sent whenever they
+    reach a memory budget: partial sums add up however often they are sent. NULL vectors count nothing, vectors of
+    different lengths are an error. One weighted vector sum, linear in D, is
+    :func:`tallyloom.operators.influence.vector_sums`.
     """
     keys = list(keys)
     columns = [*keys, vector] + ([weight] if weight else [])
@@ -33,37 +51,38 @@ def gram_sums(df: DataFrame, keys: Sequence[str], vector: str, weight: str | Non
         ]
     )
 
+    def sent(sums: dict[tuple, np.ndarray], key_types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        for (name, left, right), part in sums.items():
+            i, j = np.triu_indices(len(part)) if left == right else np.indices(part.shape).reshape(2, -1)
+            arrays = [pa.array([value] * len(i), type=t) for value, t in zip(name, key_types)]
+            arrays += [pa.array((i + left).astype(np.int32)), pa.array((j + right).astype(np.int32)), pa.array(part[i, j])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "i", "j", "v"])
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
-        key_types = None
+        key_types, held = [], 0
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
             key_types = [batch.schema.field(k).type for k in keys]
-            flat = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(batch.num_rows, -1)
-            if x.shape[1] > MAX_DIMENSION:
-                raise ValueError(f"vectors wider than {MAX_DIMENSION} need the vector-sum form")
-            w = batch.column(weight).to_numpy(zero_copy_only=False) if weight else None
-            names = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * batch.num_rows
-            code = {}
+            x, at = dense(batch.column(vector))
+            w = batch.column(weight).to_numpy(zero_copy_only=False)[at] if weight else None
+            names = list(zip(*[batch.column(k).take(pa.array(at)).to_pylist() for k in keys])) if keys else [()] * len(at)
+            code: dict[tuple, int] = {}
             which = np.fromiter((code.setdefault(n, len(code)) for n in names), dtype=np.int64, count=len(names))
             for name, c in code.items():
                 rows = x if len(code) == 1 else x[which == c]
-                if w is not None:
-                    part = rows.T @ (rows * (w if len(code) == 1 else w[which == c])[:, None])
-                else:
-                    part = rows.T @ rows
-                sums[name] = part if name not in sums else sums[name] + part
-        for name, matrix in sums.items():
-            i, j = np.triu_indices(matrix.shape[0])
-            arrays = [pa.array([value] * len(i), type=t) for value, t in zip(name, key_types)]
-            arrays += [
-                pa.array(i.astype(np.int32)),
-                pa.array(j.astype(np.int32)),
-                pa.array(matrix[i, j]),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "i", "j", "v"])
+                weighted = rows if w is None else rows * (w if len(code) == 1 else w[which == c])[:, None]
+                for left in range(0, x.shape[1], BLOCK):
+                    for right in range(left, x.shape[1], BLOCK):
+                        part = rows[:, left : left + BLOCK].T @ weighted[:, right : right + BLOCK]
+                        if (old := sums.get((name, left, right))) is None:
+                            held += part.nbytes
+                            sums[name, left, right] = part
+                        else:
+                            old += part
+                if held > BUDGET:
+                    yield from sent(sums, key_types)
+                    sums, held = {}, 0
+        yield from sent(sums, key_types)
 
     return source.mapInArrow(fold, out_schema).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import vectors as V
-from tallyloom.operators.gram import MAX_DIMENSION, gram_sums, mirror
+from tallyloom.operators.gram import dense, gram_sums, mirror
 
 DEFAULT_DAMPING_DIVISOR = 10.0  # fixed value: layer damping is mean squared gradient over this
 
@@ -112,8 +112,6 @@ def hvp_exact(train: DataFrame, target: DataFrame, damping: DataFrame) -> DataFr
         for pdf in batches:
             out = []
             for m, lam, v in zip(pdf["m"], pdf["lam"], pdf["v"]):
-                if len(m) > MAX_DIMENSION:
-                    raise ValueError("layer too wide for an exact solve; use the closed form")
                 values, basis = np.linalg.eigh(np.array(m.tolist()))
                 out.append(basis @ ((basis.T @ v) / (lam + values)))
             yield pd.DataFrame({"layer": pdf["layer"], "hvp": out})
@@ -147,14 +145,16 @@ def hvp_many(train: DataFrame, targets: DataFrame, damping: DataFrame, target_id
     )
 
 
-SLICE_ROWS, BLOCK_ROWS = 8192, 512
+SLICE_ROWS, BLOCK_ROWS = 2048, 512
 
 
 def influence_matrix(train: DataFrame, hvps: DataFrame, train_id: str, target_id: str) -> DataFrame:
     """(train, target, influence) for every training row and target, as a blocked matrix product.
 
+    Targets are few: the mean gradients of validation classes or datasets, so the result is linear in training rows.
+
     Layers are laid end to end so no sum over layers is shuffled. Training rows are cut in slices of about
-    8192 and targets in blocks of about 512; a slice and a block meet in one task, which multiplies them.
+    2048 and targets in blocks of about 512; a slice and a block meet in one task, which multiplies them.
     What a task holds does not grow with either table.
     """
 
@@ -162,27 +162,26 @@ def influence_matrix(train: DataFrame, hvps: DataFrame, train_id: str, target_id
         layers = F.array_sort(F.collect_list(F.struct("layer", F.col(vector).alias("g"))))
         return rows.groupBy(key).agg(F.flatten(F.transform(layers, lambda s: s["g"])).alias(name))
 
-    spark = train.sparkSession
-    counts = train.select(F.approx_count_distinct(train_id).alias("n")).first()["n"]
-    wanted = hvps.select(F.approx_count_distinct(target_id).alias("n")).first()["n"]
-    slices = max(-(-counts // SLICE_ROWS), spark.sparkContext.defaultParallelism)
-    blocks = max(1, -(-wanted // BLOCK_ROWS))
+    def parts(rows, key, size, name):
+        """Number of parts that distinct keys are cut in, as one row."""
+        n = F.ceil(F.approx_count_distinct(key) / size)
+        return rows.agg(F.greatest(n, F.lit(1)).cast("int").alias(name)).withColumn("__k", F.lit(1))
 
-    def place(key, parts):
-        return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    cut = parts(train, train_id, SLICE_ROWS, "slices").join(parts(hvps, target_id, BLOCK_ROWS, "blocks"), "__k")
 
-    def every(parts):
-        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    def placed(rows, key, own, part, other, others):
+        """Every row in the part of its key, once for each part of the other side."""
+        rows = rows.withColumn("__k", F.lit(1)).join(cut, "__k")
+        rows = rows.withColumn(part, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("__k", "slices", "blocks")
 
-    left = laid_out(train, train_id, "g", "g").withColumn("slice", place(train_id, slices)).withColumn("block", every(blocks))
-    right = laid_out(hvps, target_id, "hvp", "h").withColumn("block", place(target_id, blocks)).withColumn("slice", every(slices))
+    left = placed(laid_out(train, train_id, "g", "g"), train_id, "slices", "slice", "block", "blocks")
+    right = placed(laid_out(hvps, target_id, "hvp", "h"), target_id, "blocks", "block", "slice", "slices")
 
     def product(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = a.num_rows, b.num_rows
         if x and y:
-            g = a["g"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x, -1)
-            h = b["h"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(y, -1)
-            scores = -(g @ h.T).ravel()
+            scores = -(dense(a["g"].combine_chunks())[0] @ dense(b["h"].combine_chunks())[0].T).ravel()
         else:
             scores = np.zeros(0)
         return pa.table(

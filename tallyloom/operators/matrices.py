@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numeric import finite
-from tallyloom.operators.gram import MAX_DIMENSION
+
+#: widest dataset-level matrix that one task solves
+MAX_DIMENSION = 4096
 
 
 def with_diagonal(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

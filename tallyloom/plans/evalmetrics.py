@@ -298,14 +298,14 @@ def class_scores(spark, sf_dir):
     "EV19 WIN2",
     with_ctes(
         "imat",
-        """, r AS (SELECT val_id, train_label = val_label AS same, rank() OVER w + (count(*) OVER (PARTITION BY val_id, round(influence, 9)) - 1) / 2.0 AS rk
-  FROM imat WINDOW w AS (PARTITION BY val_id ORDER BY -round(influence, 9)))
-SELECT val_id, round((sum(rk) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2.0) / (count(*) FILTER (same) * count(*) FILTER (NOT same)), 9) AS auc
-FROM r GROUP BY val_id""",
+        """, r AS (SELECT val_label, train_label = val_label AS same, rank() OVER w + (count(*) OVER (PARTITION BY val_label, round(influence, 9)) - 1) / 2.0 AS rk
+  FROM imat WINDOW w AS (PARTITION BY val_label ORDER BY -round(influence, 9)))
+SELECT val_label, round((sum(rk) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2.0) / (count(*) FILTER (same) * count(*) FILTER (NOT same)), 9) AS auc
+FROM r GROUP BY val_label""",
     ),
 )
 def influence_auc(spark, sf_dir):
-    return rounded(E.class_auc(class_scores(spark, sf_dir), "val_id", "influence", "same"), "auc", digits=9)
+    return rounded(E.class_auc(class_scores(spark, sf_dir), "val_label", "influence", "same"), "auc", digits=9)
 
 
 @query(
@@ -313,13 +313,13 @@ def influence_auc(spark, sf_dir):
     "EV20",
     with_ctes(
         "imat",
-        """, r AS (SELECT val_id, train_label = val_label AS same, row_number() OVER (PARTITION BY val_id ORDER BY round(influence, 9), train_id) AS rk,
-  sum((train_label = val_label)::INTEGER) OVER (PARTITION BY val_id) AS m FROM imat)
-SELECT val_id, round(count(*) FILTER (same) / any_value(m)::DOUBLE, 9) AS recall FROM r WHERE rk <= m GROUP BY val_id""",
+        """, r AS (SELECT val_label, train_label = val_label AS same, row_number() OVER (PARTITION BY val_label ORDER BY round(influence, 9), train_id) AS rk,
+  sum((train_label = val_label)::INTEGER) OVER (PARTITION BY val_label) AS m FROM imat)
+SELECT val_label, round(count(*) FILTER (same) / any_value(m)::DOUBLE, 9) AS recall FROM r WHERE rk <= m GROUP BY val_label""",
     ),
 )
 def influence_recall(spark, sf_dir):
-    out = E.class_recall(class_scores(spark, sf_dir), "val_id", ["train_id"], "influence", "same")
+    out = E.class_recall(class_scores(spark, sf_dir), "val_label", ["train_id"], "influence", "same")
     return rounded(out, "recall", digits=9)
 
 
@@ -329,14 +329,14 @@ def influence_recall(spark, sf_dir):
     with_ctes(
         "imat",
         """, c AS (SELECT label, count(*) AS m FROM vec WHERE is_val GROUP BY label),
-r AS (SELECT val_id, train_label = val_label AS same, row_number() OVER (PARTITION BY val_id ORDER BY round(influence, 9), train_id) AS rk, m FROM imat JOIN c ON c.label = val_label)
-SELECT val_id, round(count(*) FILTER (same) / any_value(m)::DOUBLE, 9) AS recall FROM r WHERE rk <= m GROUP BY val_id""",
+r AS (SELECT val_label, train_label = val_label AS same, row_number() OVER (PARTITION BY val_label ORDER BY round(influence, 9), train_id) AS rk, m FROM imat JOIN c ON c.label = val_label)
+SELECT val_label, round(count(*) FILTER (same) / any_value(m)::DOUBLE, 9) AS recall FROM r WHERE rk <= m GROUP BY val_label""",
     ),
 )
 def influence_recall_by_target_class(spark, sf_dir):
     sizes = vectors(spark, sf_dir).where("is_val").groupBy(F.col("label").alias("val_label")).agg(F.count(F.lit(1)).alias("size"))
     scores = class_scores(spark, sf_dir).join(sizes, "val_label")
-    out = E.class_recall(scores, "val_id", ["train_id"], "influence", "same", size="size")
+    out = E.class_recall(scores, "val_label", ["train_id"], "influence", "same", size="size")
     return rounded(out, "recall", digits=9)
 
 
@@ -345,11 +345,11 @@ def influence_recall_by_target_class(spark, sf_dir):
     "EV21",
     with_ctes(
         "imat",
-        """SELECT val_id, arg_max(train_id, row(abs(round(influence, 9)), -train_id)) AS most, arg_min(train_id, row(abs(round(influence, 9)), train_id)) AS least FROM imat GROUP BY val_id""",
+        """SELECT val_label, arg_max(train_id, row(abs(round(influence, 9)), -train_id)) AS most, arg_min(train_id, row(abs(round(influence, 9)), train_id)) AS least FROM imat GROUP BY val_label""",
     ),
 )
 def influence_extremes(spark, sf_dir):
-    return E.extremes(class_scores(spark, sf_dir), "val_id", "train_id", "influence")
+    return E.extremes(class_scores(spark, sf_dir), "val_label", "train_id", "influence")
 
 
 _RANKS = """SELECT {k}, {x}, {y}, rank() OVER (PARTITION BY {k} ORDER BY {x}) + (count(*) OVER (PARTITION BY {k}, {x}) - 1) / 2.0 AS rx,
@@ -386,7 +386,7 @@ _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     "SELECT split_part(k, '|', 1) AS a, split_part(k, '|', 2) AS b, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY k",
 )
 def correlation_matrices(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem", "l_orderkey").select(*_COLS)
+    rows = table(spark, sf_dir, "lineitem").select(*_COLS)
     return rounded(E.correlation_matrices(rows, _COLS), "pearson", "spearman")
 
 
@@ -479,7 +479,7 @@ def pairwise_reward_loss(spark, sf_dir):
     f"""SELECT token, count(*) AS count FROM (SELECT unnest({SQL_WORDS.format("text")}) AS token FROM documents) GROUP BY token ORDER BY count DESC, token LIMIT 50""",
 )
 def top_tokens(spark, sf_dir):
-    return E.top_tokens(E.token_counts(table(spark, sf_dir, "documents", "doc_id"), [], X.words("text")), 50)
+    return E.top_tokens(E.token_counts(table(spark, sf_dir, "documents"), [], X.words("text")), 50)
 
 
 @query(
@@ -488,7 +488,7 @@ def top_tokens(spark, sf_dir):
     f"""SELECT lang, count(*) AS texts, sum(len({SQL_WORDS.format("text")}))::BIGINT AS tokens, round(avg(len({SQL_WORDS.format("text")})), 6) AS tokens_per_text FROM documents GROUP BY lang""",
 )
 def token_totals(spark, sf_dir):
-    return rounded(E.token_totals(table(spark, sf_dir, "documents", "doc_id"), ["lang"], X.words("text")), "tokens_per_text")
+    return rounded(E.token_totals(table(spark, sf_dir, "documents"), ["lang"], X.words("text")), "tokens_per_text")
 
 
 @query(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import sampling
 from tallyloom.functions import vectors as V
 from tallyloom.operators import influence as I
 from tallyloom.operators import gradients
-from tallyloom.plans.fixtures import CTE, NEEDS, layered, vectors, with_ctes
+from tallyloom.plans.fixtures import CTE, NEEDS, layered, sql_hash, vectors, with_ctes
 from tallyloom.plans.registry import query
 
 DAMPING = 0.1
@@ -58,6 +59,24 @@ def avg_gradient(spark, sf_dir):
     return rounded(I.mean_vectors(vectors(spark, sf_dir), ["label"], "g", "batch"), "mean", digits=9)
 
 
+@query(
+    "pooled_vectors",
+    "FN7",
+    with_ctes(
+        "lay",
+        f"""SELECT vec_id, list(round(m, 8) ORDER BY pos) AS pooled FROM (
+  SELECT vec_id, pos, coalesce(sum(x) FILTER (keep), 0) / greatest(count(*) FILTER (keep), 1) + 0.5::DOUBLE * max(x) FILTER (layer = 0) AS m
+  FROM (SELECT *, {sql_hash("vec_id || ':' || layer", "mask")} % 2 = 1 AS keep FROM lay) GROUP BY vec_id, pos) GROUP BY vec_id""",
+    ),
+)
+def pooled_vectors(spark, sf_dir):
+    """The masked mean of a vector's slices, plus half of its first slice."""
+    rows = layered(vectors(spark, sf_dir)).withColumn("keep", (sampling.hash_int("vec_id", "layer", seed="mask") % 2).cast("int"))
+    packed = rows.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("layer", "g", "keep"))).alias("s"))
+    pooled = V.axpy(0.5, F.col("s")[0]["g"], V.mean_pool(F.col("s.g"), F.col("s.keep")))
+    return packed.select("vec_id", F.transform(pooled, lambda x: F.round(x, 8)).alias("pooled"))
+
+
 @query(
     "merged_gradient",
     "AGG2",
@@ -250,31 +269,34 @@ def influence_exact(spark, sf_dir):
 
 
 CTE["imat"] = """
-SELECT tr.vec_id AS train_id, va.vec_id AS val_id, any_value(tr.label) AS train_label, any_value(va.label) AS val_label,
-       -sum(tr.x * va.x) AS influence
-FROM lay0 tr JOIN lay0 va USING (pos) WHERE NOT tr.is_val AND va.is_val GROUP BY tr.vec_id, va.vec_id"""
+SELECT tr.vec_id AS train_id, va.label AS val_label, any_value(tr.label) AS train_label, -sum(tr.x * va.x) AS influence
+FROM lay0 tr JOIN (SELECT label, pos, avg(x) AS x FROM lay0 WHERE is_val GROUP BY ALL) va USING (pos)
+WHERE NOT tr.is_val GROUP BY tr.vec_id, va.label"""
 NEEDS["imat"] = ("lay0",)
 
 
+def class_targets(spark, sf_dir):
+    """(val_label, layer, g): the mean validation gradient of every class."""
+    val = layered(vectors(spark, sf_dir)).where("is_val").select(F.col("label").alias("val_label"), "layer", "g")
+    return I.assemble(I.mean_vectors(val, ["val_label", "layer"], "g"), ["val_label", "layer"], "mean", "g")
+
+
 def identity_matrix_rows(spark, sf_dir):
-    vecs = vectors(spark, sf_dir)
-    train, val = split(spark, sf_dir)
-    scores = I.influence_matrix(
-        train, val.select(F.col("vec_id").alias("val_id"), "layer", F.col("g").alias("hvp")), "vec_id", "val_id"
-    ).withColumnRenamed("vec_id", "train_id")
-    labels = vecs.select("vec_id", "label")
-    return scores.join(
-        labels.select(F.col("vec_id").alias("train_id"), F.col("label").alias("train_label")), "train_id"
-    ).join(labels.select(F.col("vec_id").alias("val_id"), F.col("label").alias("val_label")), "val_id")
+    """(train_id, val_label, influence, train_label): every training row against every validation class."""
+    train, _ = split(spark, sf_dir)
+    targets = class_targets(spark, sf_dir).withColumnRenamed("g", "hvp")
+    scores = I.influence_matrix(train, targets, "vec_id", "val_label").withColumnRenamed("vec_id", "train_id")
+    labels = vectors(spark, sf_dir).select(F.col("vec_id").alias("train_id"), F.col("label").alias("train_label"))
+    return scores.join(labels, "train_id")
 
 
 @query(
     "influence_matrix_identity",
     "AGG13",
-    with_ctes("imat", "SELECT train_id, val_id, round(influence, 6) AS influence FROM imat"),
+    with_ctes("imat", "SELECT train_id, val_label, round(influence, 6) AS influence FROM imat"),
 )
 def influence_matrix_identity(spark, sf_dir):
-    return rounded(identity_matrix_rows(spark, sf_dir).select("train_id", "val_id", "influence"), "influence")
+    return rounded(identity_matrix_rows(spark, sf_dir).select("train_id", "val_label", "influence"), "influence")
 
 
 @query(
@@ -282,28 +304,26 @@ def influence_matrix_identity(spark, sf_dir):
     "AGG13",
     with_ctes(
         "lam",
-        """, dots AS (SELECT tr.layer, tr.vec_id AS t, va.vec_id AS v, sum(tr.x * va.x) AS d
-  FROM lay tr JOIN lay va USING (layer, pos) WHERE NOT tr.is_val AND va.is_val GROUP BY 1, 2, 3),
+        """, vc AS (SELECT label, layer, pos, avg(x) AS x FROM lay WHERE is_val GROUP BY ALL),
+dots AS (SELECT tr.layer, tr.vec_id AS t, va.label AS v, sum(tr.x * va.x) AS d
+  FROM lay tr JOIN vc va USING (layer, pos) WHERE NOT tr.is_val GROUP BY 1, 2, 3),
 nrm AS (SELECT layer, vec_id AS t, sum(x * x) AS q FROM lay WHERE NOT is_val GROUP BY 1, 2),
 pulled AS (SELECT dots.layer, dots.v, lay.pos, sum(d / (lam + q) * x) AS p
   FROM dots JOIN nrm USING (layer, t) JOIN lam USING (layer)
   JOIN lay ON lay.layer = dots.layer AND lay.vec_id = dots.t GROUP BY 1, 2, 3),
 h AS (SELECT p.layer, p.v, p.pos, (n * va.x - p.p) / (n * lam) AS h
-  FROM pulled p JOIN lam USING (layer) JOIN lay va ON va.layer = p.layer AND va.pos = p.pos AND va.vec_id = p.v)
-SELECT lay.vec_id AS train_id, h.v AS val_id, round(-sum(lay.x * h.h), 5) AS influence
+  FROM pulled p JOIN lam USING (layer) JOIN vc va ON va.layer = p.layer AND va.pos = p.pos AND va.label = p.v)
+SELECT lay.vec_id AS train_id, h.v AS val_label, round(-sum(lay.x * h.h), 5) AS influence
 FROM lay JOIN h USING (layer, pos) WHERE NOT is_val GROUP BY 1, 2""",
     ),
 )
 def influence_matrix_closed_form(spark, sf_dir):
-    train, val = split(spark, sf_dir)
-    targets = val.withColumnRenamed("vec_id", "val_id")
-    hvps = I.hvp_many(train, targets, I.layer_damping(train), "val_id")
-    out = I.influence_matrix(train, hvps, "vec_id", "val_id").withColumnRenamed("vec_id", "train_id")
+    train, _ = split(spark, sf_dir)
+    hvps = I.hvp_many(train, class_targets(spark, sf_dir), I.layer_damping(train), "val_label")
+    out = I.influence_matrix(train, hvps, "vec_id", "val_label").withColumnRenamed("vec_id", "train_id")
     return rounded(out, "influence", digits=5)
 
 
-
-
 CTE["pairs"] = f"""
 SELECT r.a, b.obj AS b, sum(r.r * b.a) AS score FROM (
   SELECT o.obj AS a, o.pos, (any_value(cnt.n) * any_value(o.a) - sum(c.c * g.x)) / (any_value(cnt.n) * {DAMPING}) AS r
@@ -444,6 +464,35 @@ def train_test_rect(spark, sf_dir):
     return rounded(out, "t", "c")
 
 
+CTE["hscore"] = """
+SELECT t.label AS ds, x.obj AS a, y.obj AS b, avg(x.p * y.p) AS score
+FROM vec t JOIN gp x ON x.vec_id = t.vec_id JOIN gp y ON y.vec_id = t.vec_id GROUP BY 1, 2, 3"""
+NEEDS["hscore"] = ("gp", "vec")
+
+
+@query(
+    "train_test_rect_hessian",
+    "AGG18",
+    with_ctes(
+        "hscore",
+        """SELECT t.ds AS train, t.b AS test, round(t.score, 9) AS t,
+       CASE WHEN sa.score > 0 AND coalesce(own.score, sb.score) > 0 THEN round(t.score / sqrt(sa.score * coalesce(own.score, sb.score)), 6) END AS c
+FROM hscore t JOIN hscore sa ON sa.ds = t.ds AND sa.a = t.ds AND sa.b = t.ds
+JOIN hscore sb ON sb.ds = t.ds AND sb.a = t.b AND sb.b = t.b
+LEFT JOIN hscore own ON own.ds = t.b AND own.a = t.b AND own.b = t.b WHERE t.a = t.ds""",
+    ),
+)
+def train_test_rect_hessian(spark, sf_dir):
+    """The undamped form: scores are mean products of projections, each self score comes from its own oracle."""
+    vecs = vectors(spark, sf_dir)
+    objects = label_objects(vecs)
+    scores = I.hessian_scores(
+        vecs.withColumn("ds", F.col("label")), gradients.every_group(objects, "label", "a", "ds"), ["ds"], "label", "a"
+    )
+    own = scores.where("a = ds and b = ds").select(F.col("ds").alias("test"), F.col("score").alias("own"))
+    return rounded(rounded(gradients.rectangular_scores(scores, own), "c"), "t", digits=9)
+
+
 @query(
     "h_mode_pair_scores",
     "AGG19 SET1",

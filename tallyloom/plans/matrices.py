@@ -150,9 +150,22 @@ def recovered_coordinates_gram(spark, sf_dir):
     return back.agg(F.round(F.sum(F.col("re") * F.col("re2") - F.col("im") * F.col("im2")), 7).alias("v"))
 
 
-@query("recovered_coordinates", "MAT5")
+@query(
+    "recovered_coordinates",
+    "MAT5",
+    with_ctes(
+        "gm",
+        """SELECT layer, method, count(DISTINCT i)::BIGINT AS n, round(sum(v) FILTER (i = j), 7) AS trace, round(sum(v * v), 6) AS square_sum FROM gm GROUP BY ALL""",
+    ),
+)
 def recovered_coordinates(spark, sf_dir):
-    return M.coordinates(M.spectra(gram_cells(spark, sf_dir), KEYS), KEYS)
+    """Signed squared lengths of the coordinate axes: they sum to the trace, their squares to the squared norm."""
+    z = M.coordinates(M.spectra(gram_cells(spark, sf_dir), KEYS), KEYS)
+    axes = z.groupBy(*KEYS, "k").agg(F.sum(F.col("re") * F.col("re") - F.col("im") * F.col("im")).alias("x"))
+    out = axes.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("trace"), F.sum(F.col("x") * F.col("x")).alias("square_sum")
+    )
+    return rounded(rounded(out, "trace", digits=7), "square_sum")
 
 
 @query(
@@ -214,17 +227,43 @@ def halves(spark, sf_dir):
     )
 
 
-@query("normalized_cca_linear", "MAT9")
+# both ridge systems inverted by Newton steps over lists
+CCA_SQL = (
+    "WITH RECURSIVE "
+    + with_ctes("vec", "")[5:].rstrip()
+    + """,
+xs AS MATERIALIZED (SELECT vec_id, p AS i, g[p] - avg(g[p]) OVER (PARTITION BY p) AS x FROM vec, generate_series(1, 64) t(p)),
+cells AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM xs a JOIN xs b USING (vec_id) GROUP BY 1, 2),
+nn AS (SELECT count(*) AS n FROM vec),
+mats AS MATERIALIZED (SELECT side, list(r ORDER BY i) AS m FROM (
+  SELECT CASE WHEN i <= 32 THEN 'x' ELSE 'y' END AS side, i, list(v + CASE WHEN i = j THEN 1e-5 * n ELSE 0 END ORDER BY j) AS r
+  FROM cells CROSS JOIN nn WHERE (i <= 32) = (j <= 32) GROUP BY 1, 2) GROUP BY side),
+inv AS (SELECT side, 0 AS k, list_transform(m, lambda r: list_transform(r, lambda t: t / (s * s))) AS q
+    FROM (SELECT side, m, list_max(list_transform(m, lambda r: list_sum(list_transform(r, lambda t: abs(t))))) AS s FROM mats)
+  UNION ALL
+  SELECT side, k + 1, list_transform(q, lambda xr: list_transform(list_zip(xr, list_transform(p, lambda pr: list_dot_product(xr, pr))), lambda z: 2 * z[1] - z[2]))
+  FROM (SELECT inv.side, k, q, list_transform(m, lambda r: list_transform(q, lambda c: list_dot_product(r, c))) AS p
+        FROM inv JOIN mats USING (side) WHERE k < 40)),
+a AS (SELECT unnest(range(1, 33)) AS i, unnest(q) AS r FROM inv WHERE k = 40 AND side = 'x'),
+b AS (SELECT unnest(range(33, 65)) AS j, unnest(q) AS r FROM inv WHERE k = 40 AND side = 'y'),
+cx AS (SELECT j, list(v ORDER BY i) AS c FROM cells WHERE i <= 32 AND j > 32 GROUP BY j),
+rx AS (SELECT i, list(v ORDER BY j) AS c FROM cells WHERE i <= 32 AND j > 32 GROUP BY i)
+SELECT any_value(n)::BIGINT AS n, 'success' AS status, round(sum(list_dot_product(a.r, cx.c) * list_dot_product(b.r, rx.c)), 6) AS value
+FROM a CROSS JOIN b JOIN cx USING (j) JOIN rx USING (i) CROSS JOIN nn"""
+)
+
+
+@query("normalized_cca_linear", "MAT9", CCA_SQL)
 def normalized_cca_linear(spark, sf_dir):
     rows = halves(spark, sf_dir).withColumn("part", F.lit(0))
-    return moments.normalized_cca(rows, ["part"], "x", "y", 32, 32, sigma=None)
+    out = moments.normalized_cca(rows, ["part"], "x", "y", 32, 32, sigma=None)
+    return rounded(out.drop("part", "cut"), "value")
 
 
 def cca_batch(spark, sf_dir):
-    """(label, method, n, status, value); one combination has no rows at all."""
+    """(label, method, n, status, value); nothing is known of one of the expected methods."""
     rows = halves(spark, sf_dir).withColumn("method", F.when(F.col("is_val"), "sdft").otherwise("sft"))
-    rows = rows.where(~((F.col("label") == 0) & F.col("is_val")))
-    methods = F.explode(F.array(F.lit("sft"), F.lit("sdft"))).alias("method")
+    methods = F.explode(F.array(*[F.lit(m) for m in ("sft", "sdft", "other")])).alias("method")
     expected = halves(spark, sf_dir).select("label").distinct().select("label", methods)
     results = moments.normalized_cca(rows, ["label", "method"], "x", "y", 32, 32)
     return moments.with_missing(results, expected, ["label", "method"])
@@ -240,9 +279,9 @@ def normalized_cca_batch(spark, sf_dir):
     "MAT11",
     with_ctes(
         "vec",
-        """, r AS (SELECT label, CASE WHEN is_val THEN 'sdft' ELSE 'sft' END AS method, count(*) AS n FROM vec WHERE NOT (label = 0 AND is_val) GROUP BY ALL)
+        """, r AS (SELECT label, CASE WHEN is_val THEN 'sdft' ELSE 'sft' END AS method, count(*) AS n FROM vec GROUP BY ALL)
 SELECT l.label, m.method, r.n, CASE WHEN r.n IS NULL THEN 'missing' WHEN r.n < 2 THEN 'failed' ELSE 'success' END AS status
-FROM (SELECT DISTINCT label FROM vec) l CROSS JOIN (VALUES ('sft'), ('sdft')) m(method) LEFT JOIN r ON r.label = l.label AND r.method = m.method""",
+FROM (SELECT DISTINCT label FROM vec) l CROSS JOIN (VALUES ('sft'), ('sdft'), ('other')) m(method) LEFT JOIN r ON r.label = l.label AND r.method = m.method""",
     ),
 )
 def normalized_cca_statuses(spark, sf_dir):
@@ -285,6 +324,36 @@ def kernel_matrix_gaussian(spark, sf_dir):
     return rounded(M.kernel_matrix(gram_cells(spark, sf_dir), KEYS, "gaussian", None, 16), "v", digits=7)
 
 
+_DISTANCE = """d AS (SELECT g.layer, g.method, g.i, g.j, g.v AS dot, abs(di.v + dj.v - 2 * g.v) AS v FROM gm g
+  JOIN gm di ON di.layer = g.layer AND di.method = g.method AND di.i = g.i AND di.j = g.i
+  JOIN gm dj ON dj.layer = g.layer AND dj.method = g.method AND dj.i = g.j AND dj.j = g.j)"""
+
+
+@query(
+    "kernel_matrix_linear",
+    "MAT10",
+    with_ctes("gm", "SELECT layer, method, i, j, round(v - avg(v) OVER (PARTITION BY layer, method, i), 9) AS v FROM gm"),
+)
+def kernel_matrix_linear(spark, sf_dir):
+    return rounded(M.kernel_matrix(gram_cells(spark, sf_dir), KEYS, "linear", None, 16), "v", digits=9)
+
+
+SIGMA = 0.05
+
+
+@query(
+    "kernel_matrix_fixed_sigma",
+    "MAT10",
+    with_ctes(
+        "gm",
+        f""", {_DISTANCE}, k AS (SELECT layer, method, i, j, exp(-v / (2 * {SIGMA}::DOUBLE * {SIGMA}::DOUBLE * 16)) AS v FROM d)
+SELECT layer, method, i, j, round(v - avg(v) OVER (PARTITION BY layer, method, i), 7) AS v FROM k""",
+    ),
+)
+def kernel_matrix_fixed_sigma(spark, sf_dir):
+    return rounded(M.kernel_matrix(gram_cells(spark, sf_dir), KEYS, "gaussian", SIGMA, 16), "v", digits=7)
+
+
 @query(
     "semantic_entropy",
     "MAT13",
@@ -378,13 +447,30 @@ def method_difference_matrix(spark, sf_dir):
     )
 
 
-@query("method_difference_spectra", "MAT18 MAT2")
+@query(
+    "method_difference_spectra",
+    "MAT18 MAT2",
+    with_ctes(
+        "gm",
+        """, d AS (SELECT x.layer, x.i, x.j, x.v - y.v AS v FROM gm x JOIN gm y ON x.layer = y.layer AND x.i = y.i AND x.j = y.j AND x.method = 'sft' AND y.method = 'sdft'),
+b AS (SELECT *, 'all' AS block FROM d UNION ALL SELECT *, 'leading3' FROM d WHERE i < 3 AND j < 3)
+SELECT layer, block, count(DISTINCT i)::BIGINT AS n, round(1e3 * sum(v) FILTER (i = j), 7) AS trace_e3, round(1e6 * sum(v * v), 6) AS square_sum_e6, 0.0::DOUBLE AS imaginary FROM b GROUP BY ALL""",
+    ),
+)
 def method_difference_spectra(spark, sf_dir):
+    """Eigenvalues by what they sum to: the trace, and their squares the squared norm."""
     cells = gram_cells(spark, sf_dir)
     diff = M.difference(by_method(cells, "sft"), by_method(cells, "sdft"), ["layer"])
     whole = diff.withColumn("block", F.lit("all"))
     leading = diff.where("i < 3 and j < 3").withColumn("block", F.lit("leading3"))
-    return M.spectra(whole.unionByName(leading), ["layer", "block"]).select("layer", "block", "k", "eig_re", "eig_im")
+    values = M.spectra(whole.unionByName(leading), ["layer", "block"])
+    out = values.groupBy("layer", "block").agg(
+        F.count(F.lit(1)).alias("n"),
+        (1e3 * F.sum("eig_re")).alias("trace_e3"),
+        (1e6 * F.sum(F.col("eig_re") * F.col("eig_re"))).alias("square_sum_e6"),
+        F.max(F.abs("eig_im")).alias("imaginary"),
+    )
+    return rounded(rounded(out, "trace_e3", digits=7), "square_sum_e6")
 
 
 @query(
