@@ -108,13 +108,7 @@ CHOICE_SYSTEM = {
 }
 CHOICE_ANSWER = {"en": "\nAnswer: ", "zh": "\n答案："}
 CHOICES = ("A", "B", "C", "D")
-TASK_TEMPLATES = {
-    "alpaca_eval": "alpaca",
-    "gsm8k": "gsm8k",
-    "humaneval": "alpaca",
-    "multiarith": "gsm8k",
-    "openfunction": "alpaca",
-}
+MATH_TASKS = ("gsm8k", "multiarith")
 
 # name -> (problem, reason, solution as SQL over a, b, c, d)
 MATH_PROBLEMS: dict[str, tuple[str, str, str]] = {
@@ -223,6 +217,20 @@ def templated(dataset_path, prompt, response) -> Column:
     return F.when(template_of(dataset_path) == "gsm8k", gsm8k(prompt, response)).otherwise(alpaca(prompt, response))
 
 
+def task_prompt(task, prompt, response) -> Column:
+    """The template of a task: question and answer for math tasks, instruction and response for all others."""
+    return F.when(X.col(task).isin(*MATH_TASKS), gsm8k(prompt, response)).otherwise(alpaca(prompt, response))
+
+
+def math_shot(question, solution) -> Column:
+    """A solved example of the math prompt."""
+    return fill(MATH_SHOT, {"{question}": X.col(question), "{solution}": X.col(solution)})
+
+
+def math_target(question) -> Column:
+    return fill(MATH_TARGET, {"{question}": X.col(question)})
+
+
 def call_format(input_output) -> Column:
     """Call-based when the JSON names a function, standard input otherwise (also for bad JSON)."""
     name = F.get_json_object(X.col(input_output), "$.fn_name")

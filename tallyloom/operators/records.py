@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tallyloom.functions import checks, prompts, sampling
 from tallyloom.functions import text as X
-from tallyloom.functions.vectors import few
 from tallyloom.operators import ordering as O
 
 # --- parsing -----------------------------------------------------------------------------------
@@ -106,43 +107,72 @@ CHAT_KEYS = ("conversations", "conversation", "messages", "dialog", "chat")
 NESTED_KEYS = ("answer", "output", "text", "content")
 
 
-def _answer_texts(node) -> list[str]:
-    if isinstance(node, str):
-        return [node.strip()] if node.strip() else []
-    if isinstance(node, list):
-        return [t for item in node for t in _answer_texts(item)]
-    if not isinstance(node, dict):
-        return []
-    found = [t for k in TEXT_KEYS if node.get(k) for t in _answer_texts(node[k])]
-    for choice in node.get("choices") or []:
-        if not isinstance(choice, dict):
-            found += _answer_texts(choice)
-            continue
-        inner = [choice.get("text")]
-        inner += [choice[k].get("content") for k in ("message", "delta") if isinstance(choice.get(k), dict)]
-        found += [t for value in inner if value for t in _answer_texts(value)]
-    found += [t for k in CHAT_KEYS if node.get(k) for t in _answer_texts(node[k])]
-    # dictionaries one level down are looked into once more, so a text may be listed twice
-    found += [
-        t for value in node.values() if isinstance(value, dict) for k in NESTED_KEYS if value.get(k) for t in _answer_texts(value[k])
-    ]
-    if not found:
-        found = [v.strip() for v in node.values() if isinstance(v, str) and len(v.strip()) > 20]
-    return found
+#: steps of a path beside field names: each item of a list, objects among an object's values
+ITEMS, INNER = "[*]", "{*}"
+LEAST_REMARK = 20  # fixed value: a text longer than this counts where nothing else is found
+
+#: where texts lie below an object, in the order they are listed; a tuple stands for alternatives at one item
+ANSWER_PATHS = (
+    *((key,) for key in TEXT_KEYS),
+    ("choices", ITEMS, (("text",), ("message", "content"), ("delta", "content"))),
+    *((key,) for key in CHAT_KEYS),
+    (INNER, tuple((key,) for key in NESTED_KEYS)),
+)
+
+
+def _steps(node, step) -> list:
+    """Nodes one step below a node."""
+    if step == ITEMS:
+        return list(node) if isinstance(node, list) else []
+    if step == INNER:
+        return [v for v in node.values() if isinstance(v, dict)]
+    return [node[step]] if isinstance(node, dict) and node.get(step) else []
+
+
+def _reached(node, path) -> list:
+    """Nodes at the end of a path; an item that alternatives do not apply to stands for itself."""
+    nodes = [node]
+    for step in path:
+        if isinstance(step, tuple):
+            nodes = [
+                found
+                for n in nodes
+                for found in (chain.from_iterable(_reached(n, way) for way in step) if isinstance(n, dict) else (n,))
+            ]
+        else:
+            nodes = [below for n in nodes for below in _steps(n, step)]
+    return nodes
+
+
+def _listed(root) -> list[str]:
+    """Texts below a parsed record, depth first along the paths."""
+    out, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, str):
+            out += [node.strip()] if node.strip() else []
+        elif isinstance(node, list):
+            waiting += reversed(node)
+        elif isinstance(node, dict):
+            below = list(chain.from_iterable(_reached(node, path) for path in ANSWER_PATHS))
+            if not any(map(_listed, below)):
+                below = [v for v in node.values() if isinstance(v, str) and len(v.strip()) > LEAST_REMARK]
+            waiting += reversed(below)
+    return out
 
 
 def answer_texts(records) -> Column:
     """All answer-like texts of a nested JSON record; an unreadable record has none."""
 
-    @F.pandas_udf("array<string>")
-    def extract(batch: pd.Series) -> pd.Series:
-        def one(raw):
+    @F.arrow_udf(ArrayType(StringType()))
+    def extract(batch: pa.Array) -> pa.Array:
+        out = []
+        for raw in batch.to_pylist():
             try:
-                return _answer_texts(json.loads(raw))
+                out.append(_listed(json.loads(raw)))
             except (TypeError, ValueError):
-                return []
-
-        return batch.map(one)
+                out.append([])
+        return pa.array(out, pa.list_(pa.string()))
 
     return extract(X.col(records))
 
@@ -169,19 +199,12 @@ def flip_noisy_labels(rows: DataFrame, ids: Sequence[str], label: str, ratio: fl
     return marked.withColumn(label, F.when(F.col("is_noisy"), 1 - F.col(label)).otherwise(F.col(label)))
 
 
-def cap_both_splits(
-    train: DataFrame, validation: DataFrame, ids: Sequence[str], train_cap: int = 4500, validation_cap: int = 500, seed: str = "cap"
+def sample_both_splits(
+    train: DataFrame, validation: DataFrame, ids: Sequence[str], train_share: float, validation_share: float, seed: str = "cap"
 ) -> tuple[DataFrame, DataFrame]:
-    """Random caps on both splits, applied only if both exceed theirs."""
-    # one row beyond the cap is enough to know
-    over = train.limit(train_cap + 1).count() > train_cap and validation.limit(validation_cap + 1).count() > validation_cap
-    if not over:
-        return train, validation
-
-    def cut(rows, cap):
-        return rows.orderBy(sampling.hash_int(*ids, seed=seed), *ids).limit(cap)
-
-    return cut(train, train_cap), cut(validation, validation_cap)
+    """A seeded share of either split, the same at every size; a row decides by its own hash."""
+    u = sampling.uniform(*ids, seed=seed)
+    return train.where(u < train_share), validation.where(u < validation_share)
 
 
 def hash_split(rows: DataFrame, ids: Sequence[str], bounds: Mapping[str, float], seed: str, name: str = "split") -> DataFrame:
@@ -194,10 +217,9 @@ def hash_split(rows: DataFrame, ids: Sequence[str], bounds: Mapping[str, float],
 
 
 def class_ids(rows: DataFrame, label: str, name: str = "label_id") -> DataFrame:
-    """0-based class id in label order; classes are few and numbered from their own small table."""
-    classes = rows.agg(few(F.sort_array(F.collect_set(label)), "classes").alias("c"))
-    numbered = classes.select(F.posexplode("c").alias(name, label))
-    return rows.join(numbered, label)
+    """0-based class id in label order; classes are numbered in their own table, however many there are."""
+    numbered = O.positions(rows.select(label).where(F.col(label).isNotNull()).distinct(), [], [label], name)
+    return rows.join(numbered.withColumn(name, F.col(name).cast("int")), label)
 
 
 # --- distillation ------------------------------------------------------------------------------

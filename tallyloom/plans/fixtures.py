@@ -9,15 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import sampling
-from tallyloom.session import spread
 
 LAYER_WIDTH = 16
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A given table; ``spread_by`` names the key to spread it by when it comes in few pieces."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, spread_by) if spread_by else rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sql_hash(expr: str, seed: str) -> str:
@@ -164,7 +162,7 @@ def number_answers(spark, sf_dir) -> DataFrame:
     amount = (F.col("l_quantity") * 10).cast("bigint").cast("string")
     head = F.when(F.col("l_partkey") % 2 == 0, "1,").otherwise("")
     exact = F.concat(head, F.lpad(amount, 3, "0"))
-    return table(spark, sf_dir, "lineitem", "l_orderkey").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("dataset"),
         "l_orderkey",
         "l_linenumber",

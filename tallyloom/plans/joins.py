@@ -56,7 +56,7 @@ def positional_record_pairs(spark, sf_dir):
 _METHOD = f"CASE WHEN {sql_uniform('o_custkey::VARCHAR', 'method')} < 0.5 THEN 'sft' ELSE 'sdft' END"
 CTE["perf"] = f"""
 SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, avg(ln(o_totalprice)) AS metric
-FROM orders WHERE NOT (o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1996 AND {_METHOD} = 'sft') GROUP BY ALL"""
+FROM orders GROUP BY ALL"""
 CTE["feat"] = """
 SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, o_orderstatus AS task, avg(ln(o_totalprice + 1)) AS cent FROM orders GROUP BY ALL"""
 
@@ -73,7 +73,6 @@ def order_keys(spark, sf_dir):
 
 def performance(spark, sf_dir):
     rows = order_keys(spark, sf_dir)
-    rows = rows.where(~((F.col("dataset") == "2-HIGH") & (F.col("epoch") == "epoch_1") & (F.col("method") == "sft")))
     return rows.groupBy("dataset", "epoch", "method").agg(F.avg(F.log("o_totalprice")).alias("metric"))
 
 
@@ -82,7 +81,9 @@ def features(spark, sf_dir):
 
 
 _PERF = "(SELECT dataset, epoch AS label_epoch, max(metric) FILTER (method = 'sft') AS perf_sft, max(metric) FILTER (method = 'sdft') AS perf_sdft FROM perf GROUP BY ALL HAVING count(DISTINCT method) = 2)"
-_LABELS = "(SELECT unnest(['epoch_0', 'epoch_1', 'epoch_5']) AS label_epoch)"
+# no order is of the last one
+LABEL_EPOCHS = ["epoch_0", "epoch_1", "epoch_99"]
+_LABELS = f"(SELECT unnest({LABEL_EPOCHS}) AS label_epoch)"
 
 
 @query(
@@ -96,7 +97,7 @@ _LABELS = "(SELECT unnest(['epoch_0', 'epoch_1', 'epoch_5']) AS label_epoch)"
 )
 def performance_pairs(spark, sf_dir):
     rows, _ = J.performance_pairs(
-        features(spark, sf_dir), performance(spark, sf_dir), "dataset", "epoch", ["epoch_0", "epoch_1", "epoch_5"], "metric"
+        features(spark, sf_dir), performance(spark, sf_dir), "dataset", "epoch", LABEL_EPOCHS, "metric"
     )
     return rounded(rows, "cent", "perf_sft", "perf_sdft", "perf_diff", digits=8)
 
@@ -112,16 +113,16 @@ def performance_pairs(spark, sf_dir):
 )
 def performance_rejects(spark, sf_dir):
     return J.performance_pairs(
-        features(spark, sf_dir), performance(spark, sf_dir), "dataset", "epoch", ["epoch_0", "epoch_1", "epoch_5"], "metric"
+        features(spark, sf_dir), performance(spark, sf_dir), "dataset", "epoch", LABEL_EPOCHS, "metric"
     )[1]
 
 
 _HMODE = "CASE o_orderstatus WHEN 'F' THEN 'own' WHEN 'O' THEN 'mixed' ELSE 'cross_oracle_sft' END"
 CTE["base"] = f"""
-SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, {_HMODE} AS h_mode, avg(sqrt(o_totalprice)) / 1e3 AS lambda1
-FROM orders WHERE o_totalprice > 150000 GROUP BY ALL HAVING count(*) % 3 <> 0"""
+SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, {_HMODE} AS h_mode, avg(CASE WHEN o_totalprice > 300000 THEN sqrt(o_totalprice) END) / 1e3 AS lambda1
+FROM orders GROUP BY ALL"""
 CTE["rr"] = f"""
-SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, min(o_totalprice) / 1e5 AS a_leak FROM orders GROUP BY ALL HAVING count(*) % 2 = 0"""
+SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_METHOD} AS method, min(o_totalprice) / 1e5 AS a_leak FROM orders GROUP BY ALL"""
 CTE["sc"] = f"""
 SELECT o_orderpriority AS dataset, 'epoch_' || (year(o_orderdate) - 1995) AS epoch, {_HMODE} AS h_mode, max(o_totalprice) / 1e6 AS cka FROM orders GROUP BY ALL"""
 CTE["summ"] = """
@@ -135,14 +136,13 @@ def summary(spark, sf_dir):
         "h_mode", F.when(F.col("task") == "F", "own").when(F.col("task") == "O", "mixed").otherwise("cross_oracle_sft")
     )
     keys = ["dataset", "epoch", "method"]
-    base = rows.where("o_totalprice > 150000").groupBy(*keys, "h_mode").agg(
-        (F.avg(F.sqrt("o_totalprice")) / 1e3).alias("lambda1"), F.count(F.lit(1)).alias("n")
-    )
-    base = base.where("n % 3 <> 0").drop("n")
-    rr = rows.groupBy(*keys).agg((F.min("o_totalprice") / 1e5).alias("a_leak"), F.count(F.lit(1)).alias("n"))
+    # metrics are missing where no order is large
+    large = F.when(F.col("o_totalprice") > 300000, F.sqrt("o_totalprice"))
+    base = rows.groupBy(*keys, "h_mode").agg((F.avg(large) / 1e3).alias("lambda1"))
+    rr = rows.groupBy(*keys).agg((F.min("o_totalprice") / 1e5).alias("a_leak"))
     scores = rows.groupBy("dataset", "epoch", "h_mode").agg((F.max("o_totalprice") / 1e6).alias("cka"))
     return J.summary_table(
-        base, rr.where("n % 2 = 0").drop("n"), scores, performance(spark, sf_dir),
+        base, rr, scores, performance(spark, sf_dir),
         ["own", "mixed", "cross_oracle_sft", "cross_oracle_sdft"],
     )
 
@@ -177,12 +177,12 @@ def method_deltas(spark, sf_dir):
     "JOIN8",
     with_ctes(
         "base",
-        """SELECT dataset, epoch, h_mode, round(coalesce(a.lambda1, 0) - coalesce(b.lambda1, 0), 8) AS diff
+        """SELECT dataset, epoch, h_mode, round(CASE WHEN a.lambda1 IS NOT NULL OR b.lambda1 IS NOT NULL THEN coalesce(a.lambda1, 0) - coalesce(b.lambda1, 0) END, 8) AS diff
 FROM (SELECT * FROM base WHERE method = 'sft') a FULL JOIN (SELECT * FROM base WHERE method = 'sdft') b USING (dataset, epoch, h_mode)""",
     ),
 )
 def outer_difference(spark, sf_dir):
-    rows = summary(spark, sf_dir).where("lambda1 is not null")
+    rows = summary(spark, sf_dir).where("h_mode <> 'cross_oracle_sdft'")
     out = J.outer_difference(
         rows.where("method = 'sft'"), rows.where("method = 'sdft'"), ["dataset", "epoch", "h_mode"], "lambda1", "diff"
     )
@@ -245,16 +245,17 @@ def work_shard(spark, sf_dir):
 @query(
     "mixed_record_sets",
     "SET1",
-    """WITH a AS (SELECT lang, doc_id FROM documents WHERE source <> 'src3'), b AS (SELECT lang, doc_id FROM documents WHERE lang <> 'de' AND doc_id % 2 = 0)
-SELECT lang, (SELECT count(*) FROM a WHERE a.lang = k.lang) + (SELECT count(*) FROM b WHERE b.lang = k.lang) AS records,
-  CASE WHEN lang = 'de' THEN 'missing second' ELSE 'ok' END AS status FROM (SELECT DISTINCT lang FROM documents) k""",
+    """WITH r AS (SELECT lang AS kind, 1 AS a, 0 AS b FROM documents UNION ALL SELECT role, 0, 1 FROM conversations
+  UNION ALL SELECT regexp_extract(html, 'lang="([a-z]*)"', 1), 0, 1 FROM pages)
+SELECT kind, count(*) AS records, CASE WHEN sum(a) > 0 AND sum(b) > 0 THEN 'ok' WHEN sum(a) > 0 THEN 'missing second' ELSE 'missing first' END AS status FROM r GROUP BY kind""",
 )
 def mixed_record_sets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "source")
-    rows, status = J.mixed_records(
-        docs.where("source <> 'src3'").drop("source"), docs.where("lang <> 'de' and doc_id % 2 = 0").drop("source"), "lang"
-    )
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("records")).join(status, "lang")
+    """Documents by language against pages by language and turns by role, which no document has."""
+    documents = table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), "doc_id")
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("kind"), "page_id")
+    turns = table(spark, sf_dir, "conversations").select(F.col("role").alias("kind"), "conv_id")
+    rows, status = J.mixed_records(documents, pages.unionByName(turns, allowMissingColumns=True), "kind")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("records")).join(status, "kind")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import checks, prompts, sampling
 from tallyloom.functions import text as X
+from tallyloom.functions.numeric import to_number
 from tallyloom.operators import ordering as O
 from tallyloom.operators import records as R
 from tallyloom.plans.fixtures import (
@@ -20,6 +21,7 @@ from tallyloom.plans.fixtures import (
     vectors,
     with_ctes,
 )
+from tallyloom.plans.influence import rounded
 from tallyloom.plans.registry import query
 from tallyloom.session import cut_lineage
 
@@ -115,6 +117,25 @@ def templated_text(spark, sf_dir):
     return predictions(spark, sf_dir).select("conv_id", "turn", prompts.templated(path, "prompt", "label").alias("text"))
 
 
+TASKS = ["alpaca_eval", "gsm8k", "humaneval", "multiarith", "openfunction"]
+
+
+@query(
+    "task_prompts",
+    "PRJ2",
+    with_ctes(
+        "pred",
+        f"""SELECT conv_id, turn, task, CASE WHEN task IN ('gsm8k', 'multiarith') THEN 'Question: ' || prompt || chr(10) || 'Answer: ' || label
+  ELSE '### Instruction:' || chr(10) || prompt || chr(10) || chr(10) || '### Response:' || chr(10) || label END AS text
+FROM (SELECT *, ({TASKS})[conv_id % 5 + 1] AS task FROM pred)""",
+    ),
+)
+def task_prompts(spark, sf_dir):
+    task = F.element_at(F.array(*[F.lit(t) for t in TASKS]), (F.col("conv_id") % 5 + 1).cast("int"))
+    rows = predictions(spark, sf_dir).withColumn("task", task)
+    return rows.select("conv_id", "turn", "task", prompts.task_prompt("task", "prompt", "label").alias("text"))
+
+
 _TEMPLATES = list(prompts.CHAT_TEMPLATES)
 
 
@@ -226,16 +247,14 @@ def noisy_labels(spark, sf_dir):
 @query(
     "capped_splits",
     "PRJ9",
-    f"""WITH s AS (SELECT o_orderkey, {sql_uniform("o_orderkey::VARCHAR", "valid")} < 0.2 AS is_val, {sql_hash("o_orderkey::VARCHAR", "cap")} AS h FROM orders),
-n AS (SELECT count(*) FILTER (NOT is_val) > 4500 AND count(*) FILTER (is_val) > 500 AS over FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY is_val ORDER BY h, o_orderkey) AS r FROM s)
-SELECT o_orderkey, is_val FROM r CROSS JOIN n WHERE NOT over OR r <= CASE WHEN is_val THEN 500 ELSE 4500 END""",
+    f"""SELECT o_orderkey, is_val FROM (SELECT o_orderkey, {sql_uniform("o_orderkey::VARCHAR", "valid")} < 0.2 AS is_val,
+  {sql_uniform("o_orderkey::VARCHAR", "cap")} AS u FROM orders) WHERE u < CASE WHEN is_val THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END""",
 )
 def capped_splits(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(
         "o_orderkey", (sampling.uniform("o_orderkey", seed="valid") < 0.2).alias("is_val")
     )
-    train, val = R.cap_both_splits(rows.where(~F.col("is_val")), rows.where("is_val"), ["o_orderkey"])
+    train, val = R.sample_both_splits(rows.where(~F.col("is_val")), rows.where("is_val"), ["o_orderkey"], 0.9, 0.5)
     return train.unionByName(val)
 
 
@@ -403,6 +422,26 @@ def two_shot_prompts(spark, sf_dir):
     return rows.select("conv_id", "turn", F.md5(text).alias("prompt_md5"))
 
 
+MATH_SHOTS = 3
+
+
+@query(
+    "math_shot_prompts",
+    "PRJ16",
+    f"""WITH prefix AS (SELECT string_agg('Q: ' || question || chr(10) || chr(10) || '# solution in Python:' || chr(10) || chr(10) || chr(10) || 'def solution():' || chr(10) || '    \"\"\"' || question || '\"\"\"' || chr(10) || solution || repeat(chr(10), 6), '' ORDER BY r) AS t
+  FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS r FROM (SELECT p_partkey, p_name AS question, '    return ' || p_size AS solution FROM part) QUALIFY r <= {MATH_SHOTS}))
+SELECT p_partkey, md5(t || 'Q: ' || p_name || chr(10) || chr(10) || '# solution in Python:' || chr(10) || chr(10) || chr(10)) AS prompt_md5 FROM part CROSS JOIN prefix""",
+)
+def math_shot_prompts(spark, sf_dir):
+    """Three solved examples before every question."""
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("question"), F.concat(F.lit("    return "), F.col("p_size").cast("string")).alias("solution")
+    )
+    prefix = R.shot_prefix(parts, "p_partkey", MATH_SHOTS, prompts.math_shot("question", "solution"))
+    rows = R.with_prefix(parts, prefix)
+    return rows.select("p_partkey", F.md5(F.concat("prefix", prompts.math_target("question"))).alias("prompt_md5"))
+
+
 @query(
     "problem_prompts",
     "PRJ17",
@@ -636,6 +675,37 @@ def mixed_datasets_over(spark, sf_dir):
     return out.select("doc_id", "lang", "copy", F.round("place", 6).alias("place"))
 
 
+@query("mixed_datasets_concat", "PRJ24", with_ctes("mixed", "SELECT doc_id, lang, 0::BIGINT AS copy, r::DOUBLE AS place FROM mixed"))
+def mixed_datasets_concat(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return R.interleave(rows, "lang", ["doc_id"], PROBS, "concat", "mix").select("doc_id", "lang", "copy", "place")
+
+
+@query(
+    "number_coercion",
+    "PRJ11",
+    """WITH t AS (SELECT l_returnflag, CASE l_linenumber % 6 WHEN 0 THEN 'nan' WHEN 1 THEN ' ' || l_quantity::BIGINT || ' ' WHEN 2 THEN l_partkey || 'e-2' WHEN 3 THEN 'inf'
+  WHEN 4 THEN 'about ' || l_partkey ELSE '' END AS x, CASE l_linenumber % 6 WHEN 1 THEN l_quantity WHEN 2 THEN l_partkey / 100.0 END AS v FROM lineitem)
+SELECT l_returnflag, count(*) AS n, count(v) AS n_numbers, round(sum(v), 6) AS total FROM t GROUP BY l_returnflag""",
+)
+def number_coercion(spark, sf_dir):
+    """Numbers read from text: padded, in scientific notation, not finite, mixed with words or empty."""
+    case = F.col("l_linenumber") % 6
+    key = F.col("l_partkey").cast("string")
+    text = (
+        F.when(case == 0, "nan")
+        .when(case == 1, F.concat(F.lit(" "), F.col("l_quantity").cast("bigint").cast("string"), F.lit(" ")))
+        .when(case == 2, F.concat(key, F.lit("e-2")))
+        .when(case == 3, "inf")
+        .when(case == 4, F.concat(F.lit("about "), key))
+        .otherwise("")
+    )
+    out = table(spark, sf_dir, "lineitem").select("l_returnflag", to_number(text).alias("v")).groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.count("v").alias("n_numbers"), F.sum("v").alias("total")
+    )
+    return rounded(out, "total")
+
+
 @query(
     "split_and_class_ids",
     "PRJ25",
@@ -700,7 +770,7 @@ COUNTER_SQL = {
     "SELECT doc_id, " + ", ".join(f"({e})::INTEGER AS c{k}" for k, e in enumerate(COUNTER_SQL.values())) + " FROM documents",
 )
 def text_counters(spark, sf_dir):
-    return table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", *[X.COUNTERS[name]("text").cast("int").alias(f"c{k}") for k, name in enumerate(COUNTER_SQL)]
     )
 
@@ -797,6 +867,21 @@ def choice_prompts(spark, sf_dir):
     return whole.select("p_partkey", "answer", F.md5(F.concat(system, "shots", "text")).alias("prompt_md5"))
 
 
+@query(
+    "choice_prompts_zh",
+    "PRJ29",
+    with_ctes(
+        "mc",
+        f"""SELECT p_partkey, {q(prompts.CHOICE_SYSTEM["zh"])[:-1].replace("{subject}", "' || subject || '") + "'"} || {_MCQ.replace("chr(10) || 'Answer: '", "chr(10) || " + q(prompts.CHOICE_ANSWER["zh"].lstrip()))} AS prompt FROM mc""",
+    ),
+)
+def choice_prompts_zh(spark, sf_dir):
+    """The question on its own in the second language's wording."""
+    system = prompts.fill(prompts.CHOICE_SYSTEM["zh"], {"{subject}": F.col("subject")})
+    text = prompts.choice_question("question", ["a", "b", "c", "d"], "zh")
+    return choice_items(spark, sf_dir).select("p_partkey", F.concat(system, text).alias("prompt"))
+
+
 @query(
     "leak_free_descriptions",
     "PRJ30",

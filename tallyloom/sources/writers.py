@@ -27,11 +27,10 @@ def write_predictions(predictions: DataFrame, path: str, columns: Sequence[str]
 def write_statistics(stats: DataFrame, path: str, partitions: Sequence[str]) -> None:
     """Columnar copy laid out by experiment key, so readers prune folders.
 
-    Rows are spread by key and a salt first: a combination holding a large share of the rows is written
-    by many tasks, a small one by few.
+    Rows are rebalanced by key first: adaptive execution splits a combination holding a large share of the rows
+    among many tasks by its measured size and joins small ones.
     """
-    salt = F.pmod(F.xxhash64(*stats.columns), F.lit(16))
-    stats.repartition(*[F.col(p) for p in partitions], salt).write.mode("overwrite").partitionBy(*partitions).parquet(path)
+    stats.hint("rebalance", *partitions).write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
 def submission(instructions: DataFrame, predictions: DataFrame, ordinal: str) -> DataFrame:
