@@ -64,14 +64,29 @@ def loss_variance(
 
 
 def moments_and_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[str, float]) -> DataFrame:
-    kept = df.where(finite(value))
-    basic = kept.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"),
-        F.coalesce(F.var_samp(value), F.lit(0.0)).alias("var"),
-    )
-    return basic.join(O.exact_quantiles(kept, keys, value, qs), list(keys))
+    """(keys, n, mean, std, var, quantiles), all from one table of ranked distinct values, so rows are read once.
+
+    The group's count and sum come with every ranked value, and squares are summed around the mean.
+    """
+    keys = list(keys)
+    counted = O.value_counts(df, keys, value).withColumn("__wv", F.col(value) * F.col("cnt"))
+    ranked = O.running_totals(counted, keys, [value], {"before": "cnt"}, {"total": "cnt", "__wsum": "__wv"})
+    ranked = ranked.withColumn("__mean", F.col("__wsum") / F.col("total"))
+    gap = F.col(value) - F.col("__mean")
+    spread = ranked.groupBy(*keys).agg(
+        F.max("total").alias("n"),
+        F.max("__mean").alias("mean"),
+        F.sum(F.col("cnt") * gap * gap).alias("__ss"),
+        *O.quantile_aggregates(value, qs),
+    )
+    return spread.select(
+        *keys,
+        "n",
+        "mean",
+        F.sqrt(F.col("__ss") / F.col("n")).alias("std"),
+        F.coalesce(F.try_divide("__ss", F.col("n") - 1), F.lit(0.0)).alias("var"),
+        *[O.interpolated(n).alias(n) for n in qs],
+    )
 
 
 def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, name: str) -> DataFrame:

@@ -111,7 +111,8 @@ def order_statistic(value: str, position: Column) -> Column:
     return F.max(F.when(inside, F.col(value)))
 
 
-def quantiles_of_ranked(ranked: DataFrame, groups: Sequence[str], value: str, qs: Mapping[str, float]) -> DataFrame:
+def quantile_aggregates(value: str, qs: Mapping[str, float]) -> list[Column]:
+    """Aggregates of a ranked_values table that :func:`interpolated` makes quantiles of."""
     aggregates = []
     for name, q in qs.items():
         at = (F.col("total") - 1) * F.lit(float(q))
@@ -120,14 +121,17 @@ def quantiles_of_ranked(ranked: DataFrame, groups: Sequence[str], value: str, qs
             order_statistic(value, F.ceil(at)).alias(f"{name}__hi"),
             F.max(at - F.floor(at)).alias(f"{name}__frac"),
         ]
-    wide = ranked.groupBy(*groups).agg(*aggregates)
-    return wide.select(
-        *groups,
-        *[
-            (F.col(f"{n}__lo") + (F.col(f"{n}__hi") - F.col(f"{n}__lo")) * F.col(f"{n}__frac")).alias(n)
-            for n in qs
-        ],
-    )
+    return aggregates
+
+
+def interpolated(name: str) -> Column:
+    low = F.col(f"{name}__lo")
+    return low + (F.col(f"{name}__hi") - low) * F.col(f"{name}__frac")
+
+
+def quantiles_of_ranked(ranked: DataFrame, groups: Sequence[str], value: str, qs: Mapping[str, float]) -> DataFrame:
+    wide = ranked.groupBy(*groups).agg(*quantile_aggregates(value, qs))
+    return wide.select(*groups, *[interpolated(n).alias(n) for n in qs])
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, qs: Mapping[str, float]) -> DataFrame:

@@ -7,7 +7,7 @@ many references is spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,23 +27,41 @@ def _units(value) -> np.ndarray:
     return np.array([] if value is None else list(value), dtype=object)
 
 
-def _gram_counts(x: np.ndarray, y: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 .. order the counts of every distinct n-gram on both sides, in one numbering."""
-    units = pd.factorize(np.concatenate([x, y]))[0].astype(np.int64)
+def _numbered(columns) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A number for every unit of a batch, and the lengths of the rows of each column; columns lie end to end."""
+    rows = [[_units(v) for v in column] for column in columns]
+    lengths = [np.fromiter(map(len, r), np.int64, len(r)) for r in rows]
+    parts = [x for r in rows for x in r if len(x)]
+    return pd.factorize(np.concatenate(parts))[0].astype(np.int64) if parts else np.zeros(0, np.int64), lengths
+
+
+def batch_overlap(left, right, order: int) -> pd.DataFrame:
+    """The overlap of every pair of a batch: units and n-grams are numbered once for all pairs."""
+    pairs = len(left)
+    units, (size_a, size_b) = _numbered([left, right])
+    sizes = np.concatenate([size_a, size_b])
+    segment = np.repeat(np.arange(2 * pairs), sizes)
+    rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(units))
     base = int(units.max()) + 1 if len(units) else 1
-    codes = units
+    codes, found = units, []
     for n in range(1, order + 1):
-        if n > 1 and len(codes) > 1:
+        if n > 1:
             # an n-gram is the number of its first n - 1 units followed by one more unit
-            codes = pd.factorize(codes[:-1] * base + units[n - 1 :])[0]
-        elif n > 1:
-            codes = codes[:0]
-        kinds = int(codes.max()) + 1 if len(codes) else 0
-        # n-grams across the seam between the two sides belong to neither
-        yield (
-            np.bincount(codes[: max(len(x) - n + 1, 0)], minlength=kinds),
-            np.bincount(codes[len(x) :], minlength=kinds),
+            codes = pd.factorize(codes[:-1] * base + units[n - 1 :])[0] if len(codes) > 1 else codes[:0]
+        inside = np.flatnonzero(rest[: len(codes)] >= n)
+        owner = segment[inside] % max(pairs, 1)
+        ids, kinds = pd.factorize(codes[inside] * max(pairs, 1) + owner)
+        first = segment[inside] < pairs
+        a, b = (np.bincount(ids[side], minlength=len(kinds)) for side in (first, ~first))
+        whose = kinds % max(pairs, 1)
+        found.append(
+            [np.bincount(whose, w, pairs).astype(int) for w in (np.minimum(a, b), (a > 0) & (b > 0), a > 0, b > 0)]
         )
+    table = np.array(found).reshape(order, 4, pairs)
+    out = pd.DataFrame({"size_a": size_a, "size_b": size_b})
+    for k, name in enumerate(("matches", "shared", "kinds_a", "kinds_b")):
+        out[name] = table[:, k].T.tolist()
+    return out
 
 
 def overlap(a, b, order: int) -> Column:
@@ -55,17 +73,7 @@ def overlap(a, b, order: int) -> Column:
 
     @F.pandas_udf(OVERLAP)
     def count(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(left, right):
-            x, y = _units(x), _units(y)
-            row = [len(x), len(y), [], [], [], []]
-            for ca, cb in _gram_counts(x, y, order):
-                row[2].append(int(np.minimum(ca, cb).sum()))
-                row[3].append(int(((ca > 0) & (cb > 0)).sum()))
-                row[4].append(int((ca > 0).sum()))
-                row[5].append(int((cb > 0).sum()))
-            rows.append(row)
-        return pd.DataFrame(rows, columns=["size_a", "size_b", "matches", "shared", "kinds_a", "kinds_b"])
+        return batch_overlap(left, right, order)
 
     return count(X.col(a), X.col(b))
 
