@@ -6,6 +6,10 @@ they meet in one bucket, where sorting them tells the smallest document of each.
 once, with the smallest and largest document it saw, so that copies do not fill a bucket. The answers (which windows of
 a string are shared, and by whom first) go back to the strings' places by a join on a 128-bit digest of the string,
 which spreads over tasks however many places a string has.
+
+A passage in very many documents with other words around it would still fill the bucket of its minimiser with
+strings that differ at their ends. Minimisers are therefore counted first, and the windows of the most frequent ones
+are counted one by one, by an aggregate on the window's digest that every task combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ MER = 5
 GATHERED = 64 << 20
 #: buckets for each shuffle partition
 BUCKETS = 16
+#: strings of one minimiser from which on its windows are counted one by one, and the number of such minimisers at most
+#: (those beyond go through their buckets, as all others do)
+HOT, MOST_HOT = 5_000, 100_000
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -88,6 +95,55 @@ def super_kmers(texts: list[bytes], window: int = WINDOW, mer: int = MER) -> Sup
     return SuperKmers(doc[heads], at[heads] - starts[doc[heads]], count, key[heads], strings)
 
 
+def windows_of(text: bytes, window: int) -> list[bytes]:
+    """The windows of a packed string, in order."""
+    spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
+    begin, end = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(text)]
+    return [text[a:b] for a, b in zip(begin, end[window - 1 :])]
+
+
+def _counter(window: int):
+    """text -> (minimiser, number of super-k-mers), combined batch by batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                keys, n = np.unique(super_kmers(piece, window).minimiser, return_counts=True)
+                yield pa.record_batch({"minimiser": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    return count
+
+
+def hot_minimisers(texts: DataFrame, window: int, hot: int, most: int) -> frozenset[int]:
+    """The most frequent minimisers, ``most`` at most."""
+    counted = texts.mapInArrow(_counter(window), "minimiser bigint, n bigint").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") > hot).orderBy(F.desc("n"), "minimiser").limit(most).collect()
+    return frozenset(r["minimiser"] & 0xFFFFFFFFFFFFFFFF for r in rows)
+
+
+def _hot_windows(window: int, hot: frozenset[int]):
+    """(doc_id, text) -> (digest, lo, hi) of every window of a hot minimiser, combined batch by batch."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for piece in pieces(batch.column(1)):
+                found = super_kmers(piece, window)
+                owners = ids[at + found.doc].tolist()
+                at += len(piece)
+                held: dict[bytes, list[int]] = {}
+                for text, owner, minimiser in zip(found.text, owners, found.minimiser.tolist()):
+                    for w in windows_of(text, window) if minimiser in hot else ():
+                        entry = held.setdefault(xxhash.xxh3_128_digest(w), [owner, owner])
+                        entry[:] = min(entry[0], owner), max(entry[1], owner)
+                lo, hi = zip(*held.values()) if held else ((), ())
+                yield pa.record_batch(
+                    {"digest": pa.array(list(held), pa.binary()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())}
+                )
+
+    return send
+
+
 def _pack(entries: list[tuple[int, int, int, bytes]]) -> bytes:
     """Minimiser, smallest and largest document and string of each entry, compressed."""
     head = np.array([(m, lo, hi) for m, lo, hi, _ in entries], "<u8,<i8,<i8").tobytes()
@@ -103,8 +159,8 @@ def _unpack(blob: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         yield *numbers, text
 
 
-def _sender(buckets: int, window: int):
-    """(doc_id, text) -> (bucket, packed strings)."""
+def _sender(buckets: int, window: int, hot: frozenset[int]):
+    """(doc_id, text) -> (bucket, packed strings) of the minimisers that are not hot."""
 
     def packed(held: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
         ranked = sorted(held.values(), key=lambda e: e[0] % buckets)
@@ -127,6 +183,8 @@ def _sender(buckets: int, window: int):
                 owners = ids[at + found.doc].tolist()
                 at += len(piece)
                 for text, owner, minimiser in zip(found.text, owners, found.minimiser.tolist()):
+                    if minimiser in hot:
+                        continue
                     digest = xxhash.xxh3_128_digest(text)
                     entry = held.get(digest)
                     if entry is None:
@@ -156,10 +214,7 @@ def shared_windows(strings: dict[bytes, list[int]], window: int = WINDOW) -> Ite
         return
     places = []
     for text, (lo, hi) in strings.items():
-        ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
-        begin = [0, *(ends + 1).tolist()]
-        end = [*ends.tolist(), len(text)]
-        places += [(text[a:b], k, lo, hi, text) for k, (a, b) in enumerate(zip(begin, end[window - 1 :]))]
+        places += [(w, k, lo, hi, text) for k, w in enumerate(windows_of(text, window))]
     places.sort(key=lambda p: p[0])
     shared: dict[bytes, list[tuple[int, int]]] = {}
     for _, group in groupby(places, key=lambda p: p[0]):
@@ -199,29 +254,38 @@ def _bucket(window: int):
     return answer
 
 
-def _placer(window: int):
-    """(doc_id, text) -> the places of its packed strings."""
+def _placer(window: int, hot: frozenset[int]):
+    """(doc_id, text, text_key) -> the places of its packed strings; the windows of hot minimisers one by one."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, at = batch.column(0), batch.column(2), 0
             for piece in pieces(batch.column(1)):
                 found = super_kmers(piece, window)
-                owners = pa.array(found.doc + at)
+                digests, owners, firsts = [], [], []
+                for text, d, first, minimiser in zip(found.text, found.doc.tolist(), found.first.tolist(), found.minimiser.tolist()):
+                    parts = windows_of(text, window) if minimiser in hot else (text,)
+                    for k, part in enumerate(parts):
+                        digests.append(xxhash.xxh3_128_digest(part))
+                        owners.append(at + d)
+                        firsts.append(first + k)
+                owner = pa.array(owners, pa.int64())
                 at += len(piece)
                 yield pa.record_batch(
                     {
-                        "digest": pa.array(map(xxhash.xxh3_128_digest, found.text), pa.binary(), size=len(found.text)),
-                        "doc_id": ids.take(owners),
-                        "text_key": keys.take(owners),
-                        "first": pa.array(found.first.astype(np.int32)),
+                        "digest": pa.array(digests, pa.binary()),
+                        "doc_id": ids.take(owner),
+                        "text_key": keys.take(owner),
+                        "first": pa.array(firsts, pa.int32()),
                     }
                 )
 
     return place
 
 
-def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_spans(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT, most_hot: int = MOST_HOT
+) -> DataFrame:
     """(doc_id, text_key, spans): the word spans (from, to) covered by windows that start in a smaller document too.
 
     ``key`` is an integer column. A document without a key is neither compared nor cut; rows of one key are one
@@ -231,16 +295,24 @@ def repeated_spans(documents: DataFrame, key: str = "doc_id", text: str = "text"
     rows = documents.select(
         F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_key")
     ).where("doc_id IS NOT NULL")
+    texts = rows.select("doc_id", "text")
+    many = hot_minimisers(rows.select("text"), window, hot, most_hot)
     buckets = BUCKETS * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    answers = cut_lineage(
-        rows.select("doc_id", "text")
-        .mapInArrow(_sender(buckets, window), "bucket int, packed binary")
+    answers = (
+        texts.mapInArrow(_sender(buckets, window, many), "bucket int, packed binary")
         .groupBy("bucket")
         .applyInArrow(_bucket(window), "digest binary, `from` int, `to` int, lo bigint")
     )
-    places = rows.select("doc_id", "text", "text_key").mapInArrow(
-        _placer(window), "digest binary, doc_id bigint, text_key bigint, first int"
-    )
+    if many:
+        single = (
+            texts.mapInArrow(_hot_windows(window, many), "digest binary, lo bigint, hi bigint")
+            .groupBy("digest")
+            .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            .where("lo < hi")
+        )
+        answers = answers.unionByName(single.select("digest", F.lit(0).alias("from"), F.lit(1).alias("to"), "lo"))
+    answers = cut_lineage(answers)
+    places = rows.mapInArrow(_placer(window, many), "digest binary, doc_id bigint, text_key bigint, first int")
     cut = F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + window - 1).alias("to"))
     return (
         places.join(answers, "digest")
@@ -284,9 +356,11 @@ def cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array([dict(zip(names, r)) for r in rows], pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
 
-def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def without_repeats(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT, most_hot: int = MOST_HOT
+) -> DataFrame:
     """(row, cut) of every document row: all its columns as a struct, and n_words, n_removed and the kept words."""
-    spans = repeated_spans(documents, key, text, window)
+    spans = repeated_spans(documents, key, text, window, hot, most_hot)
     rows = documents.select(F.struct("*").alias("row")).withColumns(
         {"doc_id": F.col(f"row.`{key}`").cast("bigint"), "text_key": F.xxhash64(F.col(f"row.`{text}`"))}
     )

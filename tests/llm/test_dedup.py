@@ -120,8 +120,8 @@ def brute_cut(rows, window):
     return sorted(out, key=str)
 
 
-def cut(df, window=substring.WINDOW):
-    rows = substring.without_repeats(df, window=window).select("row.doc_id", "cut.n_words", "cut.n_removed", "cut.kept")
+def cut(df, window=substring.WINDOW, **hot):
+    rows = substring.without_repeats(df, window=window, **hot).select("row.doc_id", "cut.n_words", "cut.n_removed", "cut.kept")
     return sorted(map(tuple, rows.collect()), key=str)
 
 
@@ -147,7 +147,10 @@ def test_random_repeats_are_cut_as_by_brute_force(spark, seed):
         rows.append((i, rng.choice([" ", "\n", "  "]).join(parts)))
     df = spark.createDataFrame(rows, SIMPLE).repartition(5)
     for window in (12, 50):
-        assert cut(df, window) == brute_cut(rows, window)
+        expected = brute_cut(rows, window)
+        assert cut(df, window) == expected
+        # every minimiser that occurs twice, or only some of them, counted window by window
+        assert cut(df, window, hot=1) == cut(df, window, hot=1, most_hot=3) == expected
 
 
 def test_super_kmers_hold_every_window_once():
