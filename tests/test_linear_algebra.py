@@ -102,6 +102,32 @@ def test_gram_sums_and_mirror(spark):
     assert np.allclose(out.pivot(index="i", columns="j", values="v"), G.T @ G)
 
 
+def triangle(out, width):
+    m = np.zeros((width, width))
+    m[out["i"], out["j"]] = out["v"]
+    return np.triu(m) + np.triu(m, 1).T
+
+
+@pytest.mark.parametrize("block,budget", [(4, 1 << 30), (2, 1), (6, 1), (100, 1 << 30)])
+def test_gram_blocks_and_budget_change_nothing(spark, monkeypatch, block, budget):
+    monkeypatch.setattr(gram, "BLOCK", block)
+    monkeypatch.setattr(gram, "BUDGET", budget)
+    rows = frame(spark, G).withColumn("k", F.col("vec_id") % 3).withColumn("w", F.col("vec_id") * 0.5).repartition(4)
+    out = gram.gram_sums(rows, ["k"], "g", "w").toPandas()
+    for k in range(3):
+        own = G[k::3]
+        assert np.allclose(triangle(out[out["k"] == k], 6), own.T @ (own * (np.arange(60)[k::3] * 0.5)[:, None]))
+
+
+def test_gram_refuses_ragged_vectors_and_skips_missing_ones(spark):
+    ragged = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0, 4.0])], "vec_id long, g array<double>").coalesce(1)
+    with pytest.raises(Exception, match="components cannot be summed"):
+        gram.gram_sums(ragged, [], "g").collect()
+    missing = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0])], "vec_id long, g array<double>").coalesce(1)
+    x = np.array([[1.0, 2.0], [3.0, 4.0]])
+    assert np.allclose(triangle(gram.gram_sums(missing, [], "g").toPandas(), 2), x.T @ x)
+
+
 def test_moments_skip_nan_rows(spark):
     bad = np.full((1, 6), np.nan)
     row = GR.gradient_moments(frame(spark, np.vstack([G, bad])), ["layer"], "g").first()

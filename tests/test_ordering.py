@@ -99,3 +99,29 @@ def test_survival_grid(spark):
         assert out["idx"].tolist() == idx.tolist()
         assert np.allclose(out["x"], np.sort(x)[idx])
         assert np.allclose(out["s"], (n - idx) / n)
+
+
+def test_moments_and_quantiles_from_ranked_values(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([1e8 + np.round(rng.normal(size=300), 1), [np.nan]])
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 2.0)], "g string, x double")
+    got = {r["g"]: r for r in L.moments_and_quantiles(df, ["g"], "x", {"q": 0.9}).collect()}
+    own = x[:-1]
+    a = got["a"]
+    assert a["n"] == 300 and np.isclose(a["mean"], own.mean(), rtol=1e-14) and np.isclose(a["q"], np.quantile(own, 0.9))
+    assert np.isclose(a["std"], own.std(), rtol=1e-6) and np.isclose(a["var"], own.var(ddof=1), rtol=1e-6)
+    assert (got["b"]["n"], got["b"]["std"], got["b"]["var"], got["b"]["q"]) == (1, 0.0, 0.0, 2.0)
+
+
+def test_short_tails_keep_their_group(spark):
+    """Too few points give a row without fits; a thin slice falls back on the whole positive tail."""
+    rng = np.random.default_rng(9)
+    rows = [("short", float(v)) for v in rng.normal(size=12)] + [("thin", float(v)) for v in rng.normal(size=60)]
+    rows += [("constant", 1.0)] * 20 + [("long", float(v)) for v in rng.exponential(size=2000)]
+    out = L.tail_shape_strict(spark.createDataFrame(rows, "g string, x double"), ["g"], "x").collect()
+    got = {r["g"]: r for r in out}
+    assert set(got) == {"short", "thin", "constant", "long"}
+    assert got["short"]["weibull_slope"] is None and got["constant"]["label_code"] is None
+    positive = [v - np.mean([x for g, x in rows if g == "thin"]) for g, v in rows if g == "thin"]
+    assert got["thin"]["n_points"] == sum(v > 0 for v in positive) - 1 and got["thin"]["weibull_r2"] is not None
+    assert got["long"]["label"] is not None

@@ -197,6 +197,45 @@ def test_subsamples_are_distinct_within_a_repeat(spark):
     assert [(r["n"], r["d"]) for r in out.collect()] == [(30, 30)] * 10
 
 
+def test_repeats_are_drawn_on_their_own(spark):
+    """Rows of two repeats overlap as two independent draws do, at any table size; a small table is taken whole."""
+    rows = spark.range(1000).withColumn("v", F.col("id") * 1.0)
+    drawn = L.subsamples(rows, ["id"], 200, 40, "s").select("rep", "pos", "id").collect()
+    sets = {}
+    for r in drawn:
+        sets.setdefault(r["rep"], set()).add(r["id"])
+    shared = [len(sets[a] & sets[b]) for a in sets for b in sets if a < b]
+    assert all(len(s) == 200 for s in sets.values()) and abs(np.mean(shared) - 40) < 2 and max(shared) < 75
+    whole = L.subsamples(spark.range(5), ["id"], 30, 3, "s").groupBy("rep").agg(F.countDistinct("id").alias("n")).collect()
+    assert [r["n"] for r in whole] == [5] * 3
+
+
+def test_overlap_of_a_batch_is_that_of_its_rows(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(list(rng.choice(list("abc"), rng.integers(0, 9))), list(rng.choice(list("abcd"), rng.integers(0, 9)))) for _ in range(60)]
+    whole = T.batch_overlap([a for a, _ in pairs], [b for _, b in pairs], 4)
+    for k, (a, b) in enumerate(pairs):
+        alone = T.batch_overlap([a], [b], 4).iloc[0]
+        grams = lambda x, n: Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+        clipped = [(grams(a, n) & grams(b, n)).total() for n in range(1, 5)]
+        assert whole.iloc[k].tolist() == alone.tolist() and whole.iloc[k]["matches"] == clipped
+
+
+def test_hypotheses_need_all_their_numbers(spark):
+    names = ("label", "coverage", "mse", "mean", "catoni", "mom", "pooled", "domain", "length", "ratio", "p90")
+
+    def found(**facts):
+        row = tuple(facts.get(n) for n in names)
+        df = spark.createDataFrame([row], ", ".join(f"{n} {'string' if n == 'label' else 'double'}" for n in names))
+        return {h["hypothesis"]: h["evidence"] for h in df.select(L.hypothesis_report(*[F.col(n) for n in names]).alias("h")).first()["h"]}
+
+    assert found() == {"mixed": {}}
+    assert set(found(domain=0.5)) == {"mixed"} and set(found(domain=0.5, length=1.0)) == {"conditional_bernstein_subgamma"}
+    assert set(found(mean=2.0, mom=1.0)) == {"mixed"}
+    assert found(ratio=1.5, p90=2.0)["dependence_present"] == {"mean_ordered_vs_naive_ratio": 1.5, "p90_ordered_vs_naive_ratio": 2.0}
+    assert set(found(label="sub_gaussian_like", coverage=float("nan"))) == {"mixed"}
+
+
 def test_interleave_and_pack(spark):
     rows = spark.range(100).select("id", F.when(F.col("id") < 80, "a").otherwise("b").alias("s"))
     under = R.interleave(rows, "s", ["id"], {"a": 0.5, "b": 0.5}, "under", "x").groupBy("s").count().collect()
