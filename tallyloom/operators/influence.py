@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators.gram import dense, gram_sums, mirror
+from tallyloom.session import known_small
 
 DEFAULT_DAMPING_DIVISOR = 10.0  # fixed value: layer damping is mean squared gradient over this
 
@@ -56,10 +57,10 @@ def layer_damping(train: DataFrame, layer: str = "layer", divisor: float = DEFAU
 def hvp_closed_form(train: DataFrame, target: DataFrame, damping: DataFrame) -> DataFrame:
     """(layer, hvp): sum_i (v - c_i g_i) / (n lam), c_i = v.g_i / (lam + |g_i|^2).
 
-    ``target`` is (layer, v); both small sides have one row per layer and Spark broadcasts them by
-    their measured size. One pass, one weighted vector sum.
+    ``target`` is (layer, v); the small side has one row per layer and is written first, so that the join with the
+    training rows is planned by its size. One pass, one weighted vector sum.
     """
-    per_layer = target.join(damping, "layer")
+    per_layer = known_small(target.join(damping, "layer"))
     weighted = train.join(per_layer, "layer").withColumn(
         "c", V.dot("v", "g") / (F.col("lam") + V.square_norm("g"))
     )
@@ -122,7 +123,7 @@ def hvp_exact(train: DataFrame, target: DataFrame, damping: DataFrame) -> DataFr
 def influence_values(train: DataFrame, hvp: DataFrame, sample: str = "vec_id") -> DataFrame:
     """(sample, influence): -sum over layers of hvp . g."""
     return (
-        train.join(hvp, "layer")
+        train.join(known_small(hvp), "layer")
         .groupBy(sample)
         .agg((-F.sum(V.dot("hvp", "g"))).alias("influence"))
     )
@@ -134,6 +135,7 @@ def hvp_many(train: DataFrame, targets: DataFrame, damping: DataFrame, target_id
     M is one weighted Gram per layer and does not depend on the target, so the training rows are read
     once however many targets there are.
     """
+    damping = known_small(damping)
     weighted = train.join(damping, "layer").withColumn("w", 1 / (F.col("lam") + V.square_norm("g")))
     m = matrix_rows(gram_sums(weighted, ["layer"], "g", "w"), ["layer"])
     both = targets.join(damping.join(m, "layer"), "layer")
@@ -219,7 +221,7 @@ def pair_scores(
     without damping (0) the sum is divided by n only. ``n`` counts all records, also those without a
     gradient; ``counted`` is (group, n) when the caller knows them, NULL gradients are skipped otherwise.
     """
-    rows = objects_row(objects, group, obj, vector)
+    rows = known_small(objects_row(objects, group, obj, vector))
     counts = counted if counted is not None else train.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     used = train.where(F.col("g").isNotNull())
     effective = used.groupBy(*group).agg(F.count(F.lit(1)).alias("n_eff"))
@@ -242,7 +244,7 @@ def pair_scores(
 
 def hessian_scores(train: DataFrame, objects: DataFrame, group: Sequence[str], obj: str, vector: str) -> DataFrame:
     """(group, a, b, score): (1/n) sum_i (a.g_i)(b.g_i), the undamped empirical-Hessian form."""
-    rows = objects_row(objects, group, obj, vector)
+    rows = known_small(objects_row(objects, group, obj, vector))
     projected = train.join(rows, list(group)).select(
         *group, F.transform("objs", lambda o: V.dot(o["a"], F.col("g"))).alias("p")
     )

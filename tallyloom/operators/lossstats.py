@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import sampling
 from tallyloom.functions.numeric import clip, finite, linspace
 from tallyloom.operators import ordering as O
-from tallyloom.session import cut_lineage
+from tallyloom.session import cut_lineage, known_small
 
 
 # --- rollups -----------------------------------------------------------------------------------
@@ -342,6 +342,7 @@ def log_mgf_curve(rows: DataFrame, keys: Sequence[str], value: str, lambdas: Seq
     """
     kept = rows.where(finite(value)).select(*keys, value)
     base = kept.groupBy(*keys).agg(F.avg(value).alias("__mu"), F.max(value).alias("__hi"), F.min(value).alias("__lo"))
+    base = known_small(base)
     joined = kept.join(base, list(keys))
     sums = []
     for k, lam in enumerate(lambdas):
@@ -360,16 +361,12 @@ def log_mgf_curve(rows: DataFrame, keys: Sequence[str], value: str, lambdas: Seq
 
 
 def stable_max_lambda(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, stable_max): the lambda before the first unstable one."""
-    bad = curve.groupBy(*keys).agg(
-        F.min(F.when(~F.col("stable"), F.col("k"))).alias("__bad"), F.max("k").alias("__last"), F.bool_or("stable").alias("__any")
-    )
-    wanted = F.greatest(F.lit(0), F.coalesce(F.col("__bad"), F.col("__last") + 1) - 1)
-    return (
-        curve.join(bad, list(keys))
-        .where((F.col("k") == wanted) & F.col("__any"))
-        .select(*keys, F.col("lam").alias("stable_max"))
-    )
+    """(keys, stable_max): the lambda before the first unstable one, from one pass over the curve."""
+    points = F.array_sort(F.collect_list(F.struct("k", "lam", "stable")))
+    packed = curve.groupBy(*keys).agg(points.alias("__p"), F.bool_or("stable").alias("__any")).where("__any")
+    first_bad = F.array_position(F.transform("__p", lambda p: p["stable"]), F.lit(False)).cast("int")
+    at = F.when(first_bad == 0, F.size("__p")).otherwise(F.greatest(first_bad - 1, F.lit(1)))
+    return packed.select(*keys, F.element_at("__p", at)["lam"].alias("stable_max"))
 
 
 def mgf_fits(curve: DataFrame, keys: Sequence[str], points: int, c_points: int = 100) -> DataFrame:
@@ -499,7 +496,7 @@ def bernstein_coverage(
 def positive_tail(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Ranked distinct positive parts of the centred values: (keys, x, cnt, before, total)."""
     kept = rows.where(finite(value)).select(*keys, value)
-    mu = kept.groupBy(*keys).agg(F.avg(value).alias("__mu"))
+    mu = known_small(kept.groupBy(*keys).agg(F.avg(value).alias("__mu")))
     centred = kept.join(mu, list(keys)).select(*keys, (F.col(value) - F.col("__mu")).alias("x")).where("x > 0")
     return O.ranked_values(centred, keys, "x")
 

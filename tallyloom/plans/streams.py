@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.plans.fixtures import table, tokens, with_ctes
+from tallyloom.plans.fixtures import sql_hash, table, tokens, with_ctes
 from tallyloom.plans.influence import rounded
 from tallyloom.plans.registry import query
 from tallyloom.session import scratch_path
@@ -16,13 +16,13 @@ def table_stream(spark, sf_dir, name):
     return runs.parquet_stream(spark, sf_dir, f"{name}.parquet", table(spark, sf_dir, name).schema)
 
 
-def event_files(spark, sf_dir, parts: int = 3) -> str:
-    """Events as JSON-line log files in time order."""
+def event_files(spark, sf_dir) -> str:
+    """Events as JSON-line log files in time order, as many as their size asks for."""
     path = scratch_path(spark, "log")
     rows = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.log(1 + F.col("value")).alias("loss"), "user_id"
     )
-    rows.repartitionByRange(parts, "step").sortWithinPartitions("step").write.json(path)
+    rows.repartitionByRange("step").sortWithinPartitions("step").write.json(path)
     return path
 
 
@@ -46,7 +46,7 @@ def resumable_collection(spark, sf_dir):
     """Two runs over the same checkpoint: the second starts where the first ended and adds nothing."""
     source, target, state = (scratch_path(spark, n) for n in ("tokens", "collected", "collected-state"))
     rows = tokens(spark, sf_dir).select("combo", "sample_idx", "u")
-    rows.repartition(3, "sample_idx").write.parquet(source)
+    rows.repartition("sample_idx").write.parquet(source)
     finished = rows.select("combo").distinct().where("combo = 'N_O'")
     for _ in range(2):
         stream = runs.parquet_stream(spark, source, "*.parquet", rows.schema)
@@ -73,17 +73,21 @@ WEIGHT = 0.9
     "streamed_training_log",
     "STR4 WIN6",
     f"""WITH s AS (SELECT event_type AS run, event_id AS step, ln(1 + value) AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS p FROM events)
-SELECT a.run, any_value(a.step) AS step, round(sum((1 - {WEIGHT}) * pow({WEIGHT}, a.p - b.p) * b.x) + max(CASE WHEN b.p = 0 THEN b.x * pow({WEIGHT}, a.p + 1) END), 7) AS smoothed
+SELECT a.run, any_value(a.step) AS step, round(any_value(a.step) / 1e4 * 100, 2) AS progress, round(sum((1 - {WEIGHT}) * pow({WEIGHT}, a.p - b.p) * b.x) + max(CASE WHEN b.p = 0 THEN b.x * pow({WEIGHT}, a.p + 1) END), 7) AS smoothed
 FROM s a JOIN s b ON a.run = b.run AND b.p <= a.p GROUP BY a.run, a.p""",
 )
 def streamed_training_log(spark, sf_dir):
     # the files are written at once, so they are read as one batch: only then is their step order known
     stream = runs.json_stream(spark, event_files(spark, sf_dir), LOG_SCHEMA, files_per_batch=1000)
-    out = runs.appended(ST.smoothed_log(stream, WEIGHT, 1_000_000), "training-log")
-    return rounded(out.select("run", "step", "smoothed"), "smoothed", digits=7)
+    out = runs.appended(ST.smoothed_log(stream, WEIGHT, 10_000), "training-log")
+    return rounded(out.select("run", "step", "progress", "smoothed"), "smoothed", digits=7)
 
 
-@query("shuffled_stream", "STR5", "SELECT event_id, user_id FROM events")
+@query(
+    "shuffled_stream",
+    "STR5",
+    f"""SELECT event_id, user_id, row_number() OVER (ORDER BY {sql_hash("event_id::VARCHAR", "buffer")}, event_id) - 1 AS place FROM events""",
+)
 def shuffled_stream(spark, sf_dir):
     stream = table_stream(spark, sf_dir, "events").select("event_id", "user_id")
     return runs.appended(stream, "shuffled", ST.shuffled_batch(["event_id"])).drop(runs.BATCH)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,13 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one folder for each application, which may go when that has ended."""
+    return f"{shared_folder(spark)}/tallyloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -54,3 +57,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def known_small(df: DataFrame) -> DataFrame:
+    """A side of a few rows, written once, so that the join with it is planned knowing its size.
+
+    For facts of a column of few values (layers, combinations, datasets): the large side would otherwise be shuffled
+    by that column before the small side is known to be small. Beyond the broadcast threshold Spark plans the
+    shuffle as ever.
+    """
+    return cut_lineage(df)

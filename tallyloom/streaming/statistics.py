@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.functions import sampling
+from tallyloom.operators import ordering as O
 from tallyloom.operators.lossstats import sample_rollup
 from tallyloom.streaming import runs
 
@@ -59,14 +61,32 @@ def collected_samples(parts: DataFrame, combo: Sequence[str], sample: str) -> Da
 
 
 def shuffled_batch(ids: Sequence[str], seed: str = "buffer"):
-    """Reorders a micro-batch by seeded hash: the batch is the shuffle buffer."""
+    """Puts a micro-batch in seeded hash order: the batch is the shuffle buffer, ``place`` the position in it."""
 
     def reorder(batch: DataFrame) -> DataFrame:
-        return batch.orderBy(sampling.hash_int(*ids, seed=seed), *ids)
+        hashed = batch.withColumn("__h", sampling.hash_int(*ids, seed=seed))
+        return O.positions(hashed, [], ["__h", *ids], "place").orderBy("place").drop("__h")
 
     return reorder
 
 
+SMOOTHED = 256
+
+
+def smoothed_from(last: float, losses: np.ndarray, weight: float) -> np.ndarray:
+    """last <- weight last + (1 - weight) loss after every loss, block by block as one product with a triangle."""
+    powers = weight ** np.arange(SMOOTHED + 1)
+    steps = np.subtract.outer(np.arange(SMOOTHED), np.arange(SMOOTHED))
+    triangle = (1.0 - weight) * np.where(steps >= 0, powers[np.maximum(steps, 0)], 0.0)
+    out = np.empty(len(losses))
+    for k in range(0, len(losses), SMOOTHED):
+        part = losses[k : k + SMOOTHED]
+        n = len(part)
+        out[k : k + n] = triangle[:n, :n] @ part + powers[1 : n + 1] * last
+        last = out[k + n - 1]
+    return out
+
+
 LOG_OUTPUT = "run string, step bigint, loss double, smoothed double, progress double"
 LOG_STATE = "smoothed double, count bigint"
 
@@ -82,11 +102,8 @@ def smoothed_log(stream: DataFrame, weight: float, total_steps: int) -> DataFram
     def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(parts)).sort_values("step")
         last, count = state.get if state.exists else (float(batch["loss"].iloc[0]), 0)
-        smoothed = []
-        for loss in batch["loss"]:
-            last = last * weight + (1.0 - weight) * loss
-            smoothed.append(last)
-        state.update((float(last), int(count + len(batch))))
+        smoothed = smoothed_from(last, batch["loss"].to_numpy(float), weight)
+        state.update((float(smoothed[-1]), int(count + len(batch))))
         progress = (batch["step"] / total_steps * 100).round(2) if total_steps else 100.0
         yield pd.DataFrame(
             {"run": key[0], "step": batch["step"], "loss": batch["loss"], "smoothed": smoothed, "progress": progress}
