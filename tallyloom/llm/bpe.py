@@ -13,7 +13,7 @@ import heapq
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +23,18 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from tallyloom.llm.common import pieces
+
 # fixed value: the public pattern of byte-level tokenizers; white space is Unicode's, spelled out
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: pieces of text remembered by one worker
-REMEMBERED = 300_000
-NO_MERGE, ID_BITS = 1 << 63, (1 << 32) - 1
-#: fragments longer than this are merged with a heap
-LONG = 40
+REMEMBERED = 400_000
+NO_MERGE, ID_BITS = 1 << 60, 28
+#: fragments of more bytes are merged with a heap
+LONG = 64
 
 
 def byte_letters() -> list[str]:
@@ -50,65 +52,111 @@ class Codec:
         model = spec["model"]
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in model["vocab"].items()}
-        self.first = [model["vocab"][letter] for letter in byte_letters()]
+        self.first = np.array([model["vocab"][letter] for letter in byte_letters()], np.int64)
         #: rank and new id of a pair of ids, packed so that a lower rank is a smaller number
         self.merges: dict[tuple[int, int], int] = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            pair = model["vocab"][left], model["vocab"][right]
-            self.merges[pair] = rank << 32 | model["vocab"][left + right]
+            self.merges[model["vocab"][left], model["vocab"][right]] = rank << ID_BITS | model["vocab"][left + right]
+        keys = np.array([x << ID_BITS | y for x, y in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.merge_keys, self.merge_values = keys[order], np.array(list(self.merges.values()), np.int64)[order]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        #: 1 for each pair of bytes that stands side by side in no token
-        self.apart = bytearray(b"\1" * (1 << 16))
+        #: pairs of bytes that stand side by side in no token
+        self.apart = np.ones((256, 256), bool)
         for token in self.bytes_of.values():
-            for x, y in zip(token, token[1:]):
-                self.apart[x << 8 | y] = 0
+            codes = np.frombuffer(token, np.uint8)
+            self.apart[codes[:-1], codes[1:]] = False
         self.pattern = regex.compile(PATTERN)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        #: ids of pieces of text as little-endian unsigned 32-bit integers
+        self.known: dict[str, bytes] = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
 
-    @cached_property
-    def pieces(self) -> dict[str, bytes]:
-        """Ids of a piece of text as little-endian unsigned 32-bit integers, filled as pieces come."""
-        codec = self
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                value = self[piece] = np.array(codec.piece_ids(piece.encode("utf-8", "replace")), "<u4").tobytes()
-                return value
-
-        return Pieces()
-
-    def fragments(self, piece: bytes) -> list[bytes]:
-        """The piece cut at every byte pair that no token holds."""
-        apart = self.apart
-        cuts = [k for k, (x, y) in enumerate(zip(piece, piece[1:]), 1) if apart[x << 8 | y]]
-        return [piece[i:j] for i, j in zip([0, *cuts], [*cuts, len(piece)])] if cuts else [piece]
-
-    def piece_ids(self, piece: bytes) -> list[int]:
-        out: list[int] = []
-        for fragment in self.fragments(piece):
-            out += self.merged([self.first[b] for b in fragment])
+    def pieces(self, text: str) -> list[str]:
+        """The pieces that are merged on their own, special tokens among them."""
+        if self.marks is None or not self.marks.search(text):
+            return self.pattern.findall(text)
+        out = []
+        for part in self.marks.split(text):
+            out += [part] if part in self.special else self.pattern.findall(part)
         return out
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """Merges the pair of lowest rank, the leftmost first, until no pair can be merged."""
-        if len(ids) > LONG:
-            return self.merged_long(ids)
-        merge_of = self.merges.get
-        merges = [merge_of(p, NO_MERGE) for p in zip(ids, ids[1:])]
-        while merges and (best := min(merges)) != NO_MERGE:
-            k, new = merges.index(best), best & ID_BITS
-            ids[k : k + 2] = [new]
-            del merges[k]
-            if k:
-                merges[k - 1] = merge_of((ids[k - 1], new), NO_MERGE)
-            if k < len(merges):
-                merges[k] = merge_of((new, ids[k + 1]), NO_MERGE)
-        return ids
+    def cuts(self, codes: np.ndarray) -> np.ndarray:
+        """For each byte but the first whether it starts a fragment: no token holds it after the byte before."""
+        return self.apart[codes[:-1], codes[1:]]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes the pieces, fragment by fragment, and remembers them."""
+        raw = [p.encode("utf-8", "replace") for p in pieces]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        codes = np.frombuffer(b"".join(raw), np.uint8)
+        head = np.zeros(len(codes), bool)
+        head[np.cumsum(lengths) - lengths] = True
+        head[1:] |= self.cuts(codes)
+        ids, fragment = self.merged(self.first[codes], np.cumsum(head) - 1)
+        piece_of = np.repeat(np.arange(len(raw)), lengths)[head]
+        ends = np.cumsum(np.bincount(piece_of[fragment], minlength=len(raw))) * 4
+        packed, start = ids.astype("<u4").tobytes(), 0
+        for piece, end in zip(pieces, ends.tolist()):
+            self.known[piece] = packed[start:end]
+            start = end
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The packed merge of each pair, NO_MERGE where it has none."""
+        wanted = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(self.merge_keys, wanted), len(self.merge_keys) - 1)
+        return np.where(self.merge_keys[at] == wanted, self.merge_values[at], NO_MERGE)
+
+    def merged(self, ids: np.ndarray, fragment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their fragments once nothing can be merged, in order.
+
+        In a round every fragment merges its pair of lowest rank, the leftmost first; finished fragments step out, and
+        so do those that would need very many rounds, which are merged with a heap.
+        """
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        long = np.bincount(fragment)[fragment] > LONG
+        if long.any():
+            for f in np.unique(fragment[long]).tolist():
+                own = np.array(self.merged_long(ids[fragment == f].tolist()), np.int64)
+                done.append((own, np.full(len(own), f)))
+            ids, fragment = ids[~long], fragment[~long]
+        merge = np.full(len(ids), NO_MERGE)
+        merge[:-1] = np.where(fragment[1:] == fragment[:-1], self.ranks(ids[:-1], ids[1:]), NO_MERGE)
+        while len(ids):
+            head = np.concatenate([[True], fragment[1:] != fragment[:-1]])
+            starts, group = np.flatnonzero(head), np.cumsum(head) - 1
+            lowest = np.minimum.reduceat(merge, starts)
+            ended = (lowest == NO_MERGE)[group]
+            if ended.any():
+                done.append((ids[ended], fragment[ended]))
+                ids, fragment, merge, lowest_of = ids[~ended], fragment[~ended], merge[~ended], lowest[group][~ended]
+                if not len(ids):
+                    break
+            else:
+                lowest_of = lowest[group]
+            found = np.flatnonzero(merge == lowest_of)
+            owner = fragment[found]
+            at = found[np.concatenate([[True], owner[1:] != owner[:-1]])]
+            ids[at] = merge[at] & ((1 << ID_BITS) - 1)
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids, fragment, merge = ids[stay], fragment[stay], merge[stay]
+            at -= np.arange(len(at))
+            for left in (at - 1, at):
+                left = left[(left >= 0) & (left + 1 < len(ids))]
+                same = fragment[left] == fragment[left + 1]
+                merge[left] = np.where(same, self.ranks(ids[left], ids[left + 1]), NO_MERGE)
+            if at[-1] == len(ids) - 1:
+                merge[-1] = NO_MERGE
+        if not done:
+            return ids, fragment
+        ids, fragment = (np.concatenate(parts) for parts in zip(*done))
+        order = np.argsort(fragment, kind="stable")
+        return ids[order], fragment[order]
 
     def merged_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap over a linked list, for fragments of any length."""
+        """The same for one fragment of any length, with a heap over a linked list."""
         merges, n = self.merges, len(ids)
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(merges[p], k, *p) for k, p in enumerate(zip(ids, ids[1:])) if p in merges]
@@ -118,7 +166,7 @@ class Codec:
             j = after[k]
             if not alive[k] or j >= n or ids[k] != left or ids[j] != right:
                 continue
-            ids[k], alive[j], after[k] = merge & ID_BITS, False, after[j]
+            ids[k], alive[j], after[k] = merge & ((1 << ID_BITS) - 1), False, after[j]
             if after[k] < n:
                 before[after[k]] = k
             for a, b in ((before[k], k), (k, after[k])):
@@ -126,20 +174,18 @@ class Codec:
                     heapq.heappush(heap, (merges[p], a, *p))
         return [i for i, kept in zip(ids, alive) if kept]
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        pieces = [self.pieces(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {t: self.known[t] for t in self.special}
+        if new := list(set(chain.from_iterable(pieces)).difference(self.known)):
+            self.learn(new)
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, own)) for own in pieces]
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        ids_of = self.pieces.__getitem__
-        if self.marks is None or not self.marks.search(text):
-            return b"".join(map(ids_of, self.pattern.findall(text)))
-        out = []
-        for part in self.marks.split(text):
-            if part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-            else:
-                out += map(ids_of, self.pattern.findall(part))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         token = self.bytes_of.__getitem__
@@ -178,7 +224,8 @@ def encoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
     @F.arrow_udf(BinaryType())
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(vocabulary)
-        return pa.array((codec.encode(t.as_py() or "") for t in texts), pa.binary(), size=len(texts))
+        ids = (i for piece in pieces(texts) for i in codec.encode_all([t.decode("utf-8", "replace") for t in piece]))
+        return pa.array(ids, pa.binary(), size=len(texts))
 
     return encode
 
