@@ -26,7 +26,7 @@ LONGEST = 4
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: words a worker remembers
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -105,11 +105,15 @@ class _Remembered(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.rows = model, []
+        self.model = model
+        self.table = np.zeros((1 << 12, len(model.languages)))
 
     def __missing__(self, word: str) -> int:
-        self.rows.append(self.model.scores(word))
-        at = self[word] = len(self.rows) - 1
+        at = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at] = self.model.scores(word)
+        self[word] = at
         return at
 
 
@@ -119,23 +123,21 @@ RESULT = StructType([StructField("lang_pred", StringType()), StructField("score"
 def predict(texts: list[str], memory: _Remembered) -> tuple[list[str], list[float]]:
     """Language and its posterior under equal priors; ties go to the first language in alphabetical order."""
     languages = memory.model.languages
-    lists = [words_of(t) for t in texts]
     names, scores = [], []
-    rows = [np.fromiter(map(memory.__getitem__, words), np.int64, len(words)) for words in lists]
-    table = np.array(memory.rows) if memory.rows else np.zeros((0, len(languages)))
-    for own in rows:
-        if not len(own) or not languages:
+    for text in texts:
+        words = words_of(text)
+        if not words or not languages:
             names.append(UNKNOWN)
             scores.append(0.0)
             continue
-        total = np.bincount(own, minlength=0)[:, None] * table[: own.max() + 1] if len(own) > len(table) else table[own]
-        total = total.sum(0)
+        # summed after the look-up, which may grow the table
+        rows = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
+        total = memory.table[rows].sum(0)
         odds = np.exp(total - total.max())
         names.append(languages[int(total.argmax())])
         scores.append(float(odds.max() / odds.sum()))
     if len(memory) > REMEMBERED:
         memory.clear()
-        memory.rows.clear()
     return names, scores
 
 
