@@ -48,13 +48,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (little-endian unsigned 32-bit integers), and digests of the ids and of their text."""
     codec = bpe.load(spark, public_tokenizers.path(VOCABULARY))
-    encoded = docs.select("doc_id", bpe.encoder(codec)("text").alias("ids"))
-    return encoded.select(
+    return bpe.encoded(docs, codec, decode=True).select(
         "doc_id",
         bpe.n_tokens(F.col("ids")).alias("n_tokens"),
         "ids",
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decoder(codec)("ids").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

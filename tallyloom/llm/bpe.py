@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from tallyloom.llm.common import pieces
 
@@ -31,7 +31,7 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: pieces of text remembered by one worker
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NO_MERGE, ID_BITS = 1 << 60, 28
 #: fragments of more bytes are merged with a heap
 LONG = 64
@@ -218,16 +218,30 @@ def _codec(vocabulary: Vocabulary) -> Codec:
     return _codecs[vocabulary.digest]
 
 
-def encoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:
-    """text -> token ids as BINARY of little-endian unsigned 32-bit integers; NULL encodes like the empty text."""
+def encoded(
+    documents: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", decode: bool = False
+) -> DataFrame:
+    """(doc_id, ids) of every document row, and with ``decode`` the text that the ids decode to.
 
-    @F.arrow_udf(BinaryType())
-    def encode(texts: pa.Array) -> pa.Array:
-        codec = _codec(vocabulary)
-        ids = (i for piece in pieces(texts) for i in codec.encode_all([t.decode("utf-8", "replace") for t in piece]))
-        return pa.array(ids, pa.binary(), size=len(texts))
+    ``ids`` is BINARY of little-endian unsigned 32-bit integers. NULL encodes like the empty text; other columns are
+    not read. A task holds one piece of text beside the batch it reads.
+    """
+    rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
-    return encode
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(vocabulary)
+        for batch in batches:
+            at = 0
+            for piece in pieces(batch.column(1)):
+                ids = codec.encode_all([t.decode("utf-8", "replace") for t in piece])
+                columns = [batch.column(0).slice(at, len(piece)), pa.array(ids, pa.binary())]
+                if decode:
+                    columns.append(pa.array(map(codec.decode, ids), pa.string(), size=len(ids)))
+                at += len(piece)
+                yield pa.record_batch(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+
+    schema = StructType([rows.schema["doc_id"], StructField("ids", BinaryType())])
+    return rows.mapInArrow(run, schema.add("decoded", StringType()) if decode else schema)
 
 
 def decoder(vocabulary: Vocabulary) -> Callable[[Column], Column]:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: bytes of text handled at once inside a task
-PIECE = 4 << 20
+PIECE = 2 << 20
 
 
 def pieces(column: pa.Array, most: int = PIECE) -> Iterator[list[bytes]]:
@@ -21,9 +21,9 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[list[bytes]]:
 
     What a task holds beside the Arrow batch is bounded by one piece, or one text that is longer.
     """
-    column = column.cast(pa.large_binary())
     if not len(column):
         return
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(ends):
@@ -31,6 +31,7 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[list[bytes]]:
         end = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
         yield [t or b"" for t in column.slice(start, end - start).to_pylist()]
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 def flat(lists: Sequence[Sequence]) -> tuple[list, np.ndarray]:

@@ -137,12 +137,11 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.load(spark, public_tokenizers.path(VOCABULARY))
-    encoded = read(spark, sf_dir, "documents").select("doc_id", bpe.encoder(codec)("text").alias("ids"))
-    return encoded.select(
+    return bpe.encoded(read(spark, sf_dir, "documents"), codec, decode=True).select(
         "doc_id",
         bpe.n_tokens(F.col("ids")).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decoder(codec)("ids").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

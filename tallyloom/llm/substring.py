@@ -32,7 +32,7 @@ from tallyloom.session import cut_lineage
 WINDOW = 50
 MER = 5
 #: bytes of distinct strings that a task gathers before it sends them
-GATHERED = 64 << 20
+GATHERED = 24 << 20
 #: buckets for each shuffle partition
 BUCKETS = 16
 #: strings of one minimiser from which on its windows are counted one by one, and the number of such minimisers at most
@@ -346,14 +346,14 @@ def cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """Struct of n_words, n_removed and the kept words of a text without the given word spans."""
     offsets = spans.offsets.to_numpy()
     begin, end = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-    rows, at = [], 0
+    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    parts, at = [pa.array([], kind)], 0
     for piece in pieces(texts):
-        for t in piece:
-            a, b = offsets[at], offsets[at + 1]
-            rows.append(kept_words(t, begin[a:b], end[a:b]))
-            at += 1
-    names = KEPT.fieldNames()
-    return pa.array([dict(zip(names, r)) for r in rows], pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+        bounds = zip(offsets[at:], offsets[at + 1 :])
+        columns = zip(*(kept_words(t, begin[a:b], end[a:b]) for t, (a, b) in zip(piece, bounds)))
+        at += len(piece)
+        parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind)))
+    return pa.concat_arrays(parts)
 
 
 def without_repeats(

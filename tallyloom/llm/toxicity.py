@@ -31,7 +31,7 @@ LEAST_DOCUMENTS, LEAST_Z = 4, 4.5
 ROUNDS, RATE, RIDGE = 300, 0.1, 1e-5
 THRESHOLD, OFFENDING = 0.7, 0.5
 #: words a task remembers
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _END = b"."
 #: letters become lower case, marks that end a sentence a full stop, all else of ASCII a space
@@ -88,18 +88,18 @@ def _bags(token_lists, number: dict[str, int]):
 
 
 def telling_features(lists: list[list[bytes]], labels: np.ndarray) -> list[str]:
-    """Features whose documents have another share of label 1 than all documents, beyond chance."""
-    spread, positive = Counter(), Counter()
-    for words, label in zip(lists, labels):
-        own = set(chain.from_iterable(map(features, set(words) - {_END})))
-        spread.update(own)
-        if label:
-            positive.update(own)
+    """Features of documents with label 1 whose documents have another share of label 1 than all, beyond chance."""
+
+    def found(words):
+        return set(chain.from_iterable(map(features, set(words) - {_END})))
+
+    positive = Counter(f for words, label in zip(lists, labels) if label for f in found(words))
+    spread = Counter(f for words in lists for f in found(words) if f in positive)
     share = labels.mean()
     return sorted(
-        w
-        for w, n in spread.items()
-        if n >= LEAST_DOCUMENTS and abs(positive[w] - n * share) >= LEAST_Z * np.sqrt(n * share * (1 - share))
+        f
+        for f, n in spread.items()
+        if n >= LEAST_DOCUMENTS and abs(positive[f] - n * share) >= LEAST_Z * np.sqrt(n * share * (1 - share))
     )
 
 

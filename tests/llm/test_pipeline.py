@@ -78,11 +78,15 @@ def test_memory_is_bounded_without_effect(codec, monkeypatch):
 def test_awkward_rows_round_trip(spark, library):
     df = documents(spark)
     vocabulary = bpe.load(spark, PATH)
-    rows = df.select("text", bpe.encoder(vocabulary)("text").alias("x")).select("text", "x", bpe.decoder(vocabulary)("x").alias("y"))
-    for r in rows.collect():
-        assert np.frombuffer(r["x"], "<u4").tolist() == library.encode(r["text"] or "", add_special_tokens=False).ids
-        assert r["y"] == (r["text"] or "")
-    assert documents(spark, []).select(bpe.encoder(vocabulary)("text")).count() == 0
+    rows = bpe.encoded(df, vocabulary, "text", "text", decode=True).withColumn("again", bpe.decoder(vocabulary)("ids"))
+    found = rows.collect()
+    assert len(found) == df.count()
+    for r in found:
+        text = r["doc_id"] or ""
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert r["decoded"] == r["again"] == text
+    assert bpe.encoded(df, vocabulary).columns == ["doc_id", "ids"]
+    assert bpe.encoded(documents(spark, []), vocabulary).count() == 0
 
 
 def test_round_trip_query(spark, sf_dir, library):
