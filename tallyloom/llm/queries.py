@@ -105,7 +105,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring.without_repeats(read(spark, sf_dir, "documents"))
+    cut = substring.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(
         "row.doc_id", "cut.n_words", "cut.n_removed", F.sha2(F.col("cut.kept").cast("binary"), 256).alias("kept_sha256")
     )

@@ -34,7 +34,7 @@ MER = 5
 #: bytes of distinct strings that a task gathers before it sends them
 GATHERED = 24 << 20
 #: buckets for each shuffle partition
-BUCKETS = 16
+BUCKETS = 4
 #: strings of one minimiser from which on its windows are counted one by one, and the number of such minimisers at most
 #: (those beyond go through their buckets, as all others do)
 HOT, MOST_HOT = 5_000, 100_000
@@ -148,7 +148,7 @@ def _pack(entries: list[tuple[int, int, int, bytes]]) -> bytes:
     """Minimiser, smallest and largest document and string of each entry, compressed."""
     head = np.array([(m, lo, hi) for m, lo, hi, _ in entries], "<u8,<i8,<i8").tobytes()
     raw = len(entries).to_bytes(4, "little") + head + b"\n".join(e[3] for e in entries)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 def _unpack(blob: bytes) -> Iterator[tuple[int, int, int, bytes]]:
@@ -366,5 +366,6 @@ def without_repeats(
     )
     none = F.array().cast("array<struct<`from`:int,`to`:int>>")
     return rows.join(spans, ["doc_id", "text_key"], "left").select(
-        "row", cut_text(F.col(f"row.`{text}`"), F.coalesce("spans", none)).alias("cut")
+        # declared nondeterministic, which it is not, so that filters on its figures do not cut the text again
+        "row", cut_text.asNondeterministic()(F.col(f"row.`{text}`"), F.coalesce("spans", none)).alias("cut")
     )
