@@ -26,21 +26,64 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 MISS = 1e-6
 
-# fixed values: public license notices
+# fixed values: public license notices, each as far as it differs from those of its family; MIT, Apache-2.0, GPL-3.0 and
+# CC-BY-NC-4.0 are sentences of the given documents
 TEMPLATES = {
+    "AGPL-3.0-or-later-header": "under the terms of the GNU Affero General Public License as published by the Free Software "
+    "Foundation",
+    "AGPL-3.0-spdx": "SPDX-License-Identifier: AGPL-3.0",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
     "compliance with the License. You may obtain a copy of the License at",
+    "Apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
+    "BSD-2-Clause-spdx": "SPDX-License-Identifier: BSD-2-Clause",
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
+    "BSD-3-Clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+    "or promote products derived from this software without specific prior written permission.",
+    "BSD-3-Clause-spdx": "SPDX-License-Identifier: BSD-3-Clause",
+    "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-4.0-notice": "licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0-notice": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-ND-4.0-notice": "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-notice": "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0-notice": "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0-notice": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0-notice": "have dedicated all copyright and related and neighboring rights to this software to the public domain "
+    "worldwide.",
+    "CC0-1.0-spdx": "SPDX-License-Identifier: CC0-1.0",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+    "2.0",
+    "GPL-2.0-or-later-header": "GNU General Public License as published by the Free Software Foundation; either version 2 of the "
+    "License",
+    "GPL-2.0-spdx": "SPDX-License-Identifier: GPL-2.0",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-or-later-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
     "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
     "option) any later version.",
+    "GPL-3.0-spdx": "SPDX-License-Identifier: GPL-3.0",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-or-later-header": "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 "
+    "of the License",
+    "LGPL-3.0-or-later-header": "terms of the GNU Lesser General Public License as published by the Free Software Foundation, either "
+    "version 3 of the License, or",
+    "LGPL-2.1-spdx": "SPDX-License-Identifier: LGPL-2.1",
+    "LGPL-3.0-spdx": "SPDX-License-Identifier: LGPL-3.0",
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT-licensed": "licensed under the MIT License",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-spdx": "SPDX-License-Identifier: MPL-2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib-warranty": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+    "held liable for any damages arising from the use of this software.",
 }
 
 
