@@ -9,11 +9,13 @@ from itertools import chain, count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 #: bytes of text handled at once inside a task
 PIECE = 2 << 20
+#: characters of all texts together that a model is fitted on, on the driver
+MOST_TOTAL_CHARS = 12_000_000
 
 
 def pieces(column: pa.Array, most: int = PIECE) -> Iterator[list[bytes]]:
@@ -86,19 +88,47 @@ def labelled_sample(
     )
 
 
+def fitting_texts(documents: DataFrame, key: str, text: str, most_chars: int, *others: Column) -> DataFrame:
+    """(k, others, t, n_chars, digest) of the rows to fit on: with key and text, of at most ``most_chars`` characters."""
+    return (
+        documents.select(F.col(key).alias("k"), *others, F.col(text).alias("t"))
+        .where("k IS NOT NULL AND t IS NOT NULL")
+        .withColumns({"n_chars": F.length("t"), "digest": F.xxhash64("t")})
+        .where(F.col("n_chars") <= most_chars)
+    )
+
+
+def one_row_each(texts: DataFrame) -> DataFrame:
+    """(k, place, digest, label, n_chars) of one row of each key, that of the smallest digest; place is the key's hash."""
+    own = texts.groupBy("k").agg(F.min(F.struct("digest", "label", "n_chars")).alias("own"))
+    return own.select("k", F.xxhash64("k").alias("place"), "own.*")
+
+
+def within(rows: list[Row], most_total: int) -> list[Row]:
+    """The first rows by place, as many as have ``most_total`` characters together at most."""
+    rows = sorted(rows, key=lambda r: (r["place"], r["k"]))
+    ends = np.cumsum([r["n_chars"] for r in rows])
+    return rows[: int(np.searchsorted(ends, most_total, "right"))]
+
+
+def collected(texts: DataFrame, chosen: DataFrame) -> list[Row]:
+    """(k, label, t) of the chosen (k, digest, label), copies once, on the driver."""
+    chosen = F.broadcast(chosen.select("k", "digest", "label"))
+    return texts.drop("label").join(chosen, ["k", "digest"]).groupBy("k", "label").agg(F.min("t").alias("t")).collect()
+
+
 def training_texts(
-    documents: DataFrame, sample: DataFrame, key: str, text: str, most_chars: int
+    documents: DataFrame, sample: DataFrame, key: str, text: str, most_chars: int, most_total: int = MOST_TOTAL_CHARS
 ) -> tuple[list[str], np.ndarray]:
     """Texts and labels of a labelled sample, in key order, on the driver.
 
-    The sample is bounded (rows by the sample, characters of a row by ``most_chars``: longer rows are not
-    used for fitting), so it may be broadcast and collected.
+    The sample is bounded: rows by the sample and by one text for each key, characters of a row by ``most_chars`` and
+    of all by ``most_total``. Longer rows and the keys beyond are not used for fitting.
     """
-    rows = (
-        documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
-        .where(F.col("t").isNotNull() & (F.length("t") <= most_chars))
-        .join(F.broadcast(sample.select(F.col(key).alias("k"), "label")), "k")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["k"], r["t"]))
+    sample = F.broadcast(sample.select(F.col(key).alias("k"), "label"))
+    texts = fitting_texts(documents, key, text, most_chars).join(sample, "k")
+    first = one_row_each(texts)
+    chosen = documents.sparkSession.createDataFrame(within(first.collect(), most_total), first.schema)
+    rows = collected(texts, chosen)
+    rows.sort(key=lambda r: r["k"])
     return [r["t"] for r in rows], np.array([r["label"] for r in rows], np.int64)

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tallyloom.llm.common import held_out, pieces
+from tallyloom.llm.common import collected, fitting_texts, held_out, one_row_each, pieces, within
 
 FOLDS, REST = 5, 0
 #: documents to learn from at most, longest text among them, occurrences that make a word known
 MOST_DOCUMENTS, MOST_CHARS, LEAST_COUNT = 6000, 200_000, 3
+#: characters of all of them together
+MOST_TOTAL_CHARS = 16_000_000
 LONGEST = 4
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -82,22 +84,17 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 def train(
     documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    folds: int = FOLDS, rest: int = REST, most: int = MOST_DOCUMENTS,
+    folds: int = FOLDS, rest: int = REST, most: int = MOST_DOCUMENTS, most_total: int = MOST_TOTAL_CHARS,
 ) -> Model:
-    """Learned from a bounded sample of documents with a language outside the held-out fold."""
-    known = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
-        "k IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL"
-    )
+    """Learned from a bounded sample of documents with a language outside the held-out fold, one text for each key."""
+    texts = fitting_texts(documents.where(F.col(lang).isNotNull()), key, text, MOST_CHARS, F.col(lang).alias("label"))
     # the ids are chosen first, so that texts are not sorted
-    sample = (
-        known.where(~held_out("k", folds, rest) & (F.length("t") <= MOST_CHARS))
-        .select("k")
-        .distinct()
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(most)
-    )
-    rows = known.where(F.length("t") <= MOST_CHARS).join(F.broadcast(sample), "k").collect()
-    return fit([r["t"] for r in rows], [r["l"] for r in rows])
+    sample = texts.where(~held_out("k", folds, rest)).select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(most)
+    texts = texts.join(F.broadcast(sample), "k")
+    first = one_row_each(texts)
+    chosen = documents.sparkSession.createDataFrame(within(first.collect(), most_total), first.schema)
+    rows = collected(texts, chosen)
+    return fit([r["t"] for r in rows], [r["label"] for r in rows])
 
 
 class _Remembered(dict):

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tallyloom.llm import language, line_crf, queries, toxicity
+from tallyloom.llm import common, language, line_crf, queries, toxicity
 from tests.llm.cases import documents
 
 SF = "/root/testdata/sf0.01"
@@ -122,6 +122,22 @@ def test_marginals_are_those_of_all_labellings():
         at, pair = at + size, pair + len(pair_sums)
 
 
+def test_a_fit_collects_one_text_a_key_and_bounded_characters(spark, monkeypatch):
+    rows = [(1, f"hot {k} " + "word " * 20) for k in range(300)] + [(k, f"own {k} text") for k in range(2, 60)]
+    df = spark.createDataFrame(rows * 2, "doc_id bigint, text string")
+    sample = spark.createDataFrame([(k, k % 2) for k in range(1, 60)], "doc_id bigint, label int")
+    texts, given = common.training_texts(df, sample, "doc_id", "text", 1000)
+    assert len(texts) == 59 and given.tolist() == [k % 2 for k in range(1, 60)] and texts[1] == "own 2 text"
+    for most in (0, 100, 250):
+        texts, given = common.training_texts(df, sample, "doc_id", "text", 1000, most)
+        assert sum(map(len, texts)) <= most and len(texts) == len(given) and (most == 0 or texts)
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda texts, langs: seen.append((texts, langs)))
+    language.train(df.selectExpr("doc_id", "text", "'en' AS lang"), folds=1, rest=1)
+    language.train(df.selectExpr("doc_id", "text", "'en' AS lang"), folds=1, rest=1, most_total=250)
+    assert len(seen[0][0]) == 59 and 0 < sum(map(len, seen[1][0])) <= 250
+
+
 def test_same_results_for_every_partitioning(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     tables = spark.read.parquet(f"{SF}/labels.parquet")
