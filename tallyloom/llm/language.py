@@ -82,18 +82,43 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(languages, _log_frequencies(words, LEAST_COUNT), tables)
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """``most`` shared out evenly, none getting more than its size."""
+    out, left = {}, most
+    for k, (name, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(size, left // (len(sizes) - k))
+        left -= out[name]
+    return out
+
+
 def train(
     documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
     folds: int = FOLDS, rest: int = REST, most: int = MOST_DOCUMENTS, most_total: int = MOST_TOTAL_CHARS,
 ) -> Model:
-    """Learned from a bounded sample of documents with a language outside the held-out fold, one text for each key."""
+    """Learned from a bounded sample of documents with a language outside the held-out fold, one text for each key.
+
+    Documents and characters are shared out among the languages, what a small one leaves going to the others, and
+    each language is drawn on its own by hash; one document of every language is always in.
+    """
     texts = fitting_texts(documents.where(F.col(lang).isNotNull()), key, text, MOST_CHARS, F.col(lang).alias("label"))
-    # the ids are chosen first, so that texts are not sorted
-    sample = texts.where(~held_out("k", folds, rest)).select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(most)
-    texts = texts.join(F.broadcast(sample), "k")
-    first = one_row_each(texts)
-    chosen = documents.sparkSession.createDataFrame(within(first.collect(), most_total), first.schema)
-    rows = collected(texts, chosen)
+    own = one_row_each(texts.where(~held_out("k", folds, rest)))
+    # a row for each language
+    sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).collect()
+    n, chars = {r["label"]: r["n"] for r in sizes}, {r["label"]: r["chars"] for r in sizes}
+    rows_of, chars_of = shares(n, most), shares(chars, most_total)
+    # somewhat more than the shares are drawn by hash, then cut exactly
+    rates = [(x, (50 + 1.2 * min(rows_of[x], n[x] * chars_of[x] / max(chars[x], 1))) / n[x]) for x in n]
+    spark = documents.sparkSession
+    drawn = own.join(F.broadcast(spark.createDataFrame(rates, "label string, rate double")), "label").where(
+        F.pmod(F.xxhash64("k", F.lit("language")), F.lit(1 << 31)) < F.col("rate") * (1 << 31)
+    )
+    found: dict[str, list] = {}
+    for r in drawn.select(own.columns).collect():
+        found.setdefault(r["label"], []).append(r)
+    chosen = []
+    for x, rows in found.items():
+        chosen += within(rows, chars_of[x])[: rows_of[x]] or [min(rows, key=lambda r: (r["place"], r["k"]))]
+    rows = collected(texts, spark.createDataFrame(chosen, own.schema))
     return fit([r["t"] for r in rows], [r["label"] for r in rows])
 
 

@@ -138,6 +138,19 @@ def test_a_fit_collects_one_text_a_key_and_bounded_characters(spark, monkeypatch
     assert len(seen[0][0]) == 59 and 0 < sum(map(len, seen[1][0])) <= 250
 
 
+def test_a_rare_language_is_in_the_sample(spark, monkeypatch):
+    rows = [(k, f"the house {k}", "en") for k in range(3000)] + [(k, "ett hus " * 4, "sv") for k in range(3000, 3004)]
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda texts, langs: seen.append((texts, langs)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    language.train(df, folds=1, rest=1, most=60)
+    language.train(df, folds=1, rest=1, most=60, most_total=300)
+    language.train(df, folds=1, rest=1, most=60, most_total=1)
+    assert [seen[0][1].count(x) for x in ("en", "sv")] == [56, 4]
+    assert sum(map(len, seen[1][0])) <= 300 and seen[1][1].count("sv") == 4
+    assert sorted(seen[2][1]) == ["en", "sv"]
+
+
 def test_same_results_for_every_partitioning(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     tables = spark.read.parquet(f"{SF}/labels.parquet")
