@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from tallyloom.llm import (
     bpe,
     decontaminate,
+    fill_in_middle,
     language,
     license_scan,
     line_crf,
     line_rules,
+    minmax,
     simhash,
     substring,
     toxicity,
     url_filter,
+    vector_codes,
 )
 from tallyloom.llm.common import held_out, read
 
@@ -145,6 +148,24 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    books = vector_codes.train(vectors)
+    return vector_codes.with_group_error(vector_codes.coded(vectors, books)).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256")
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.assembled(fill_in_middle.output_pieces(read(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -158,6 +179,9 @@ QUERIES = {
         op8_quality_crf,
         op9_simhash_components,
         op10_bpe_round_trip,
+        op11_vector_codes,
+        op12_fill_in_middle,
+        op13_minmax_near_duplicates,
     )
 }
 
@@ -298,10 +322,98 @@ def _license_sql() -> str:
     FROM d LEFT JOIN found USING (rid)"""
 
 
+def _vector_sql() -> str:
+    v = vector_codes
+    steps = []
+    for k in range(v.ROUNDS + 1):
+        # each part's nearest entry, ties to the lower one
+        steps.append(
+            f"""near{k} AS MATERIALIZED (
+      SELECT rid, p, min({{'d': d, 'i': i}}) AS b
+      FROM (SELECT rid, p, i, list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM part JOIN entry{k} USING (p)) GROUP BY rid, p)"""
+        )
+        if k < v.ROUNDS:
+            steps.append(
+                f"""entry{k + 1} AS MATERIALIZED (
+      SELECT p, i, coalesce(m, e) AS e FROM entry{k} LEFT JOIN (
+        SELECT p, i, list(m ORDER BY q) AS m
+        FROM (SELECT p, b.i AS i, q, floor(sum(x[q])::DOUBLE / count(*))::BIGINT AS m
+              FROM near{k} JOIN part USING (rid, p), (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM part))) AS q) GROUP BY ALL)
+        GROUP BY p, i) USING (p, i))"""
+            )
+    last = v.ROUNDS
+    return f"""
+    WITH d AS (
+      SELECT row_number() OVER () AS rid, vec_id, label,
+             list_transform(embedding, lambda x: floor({v.SCALE} * x::DOUBLE)::BIGINT) AS c
+      FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    part AS MATERIALIZED (
+      SELECT rid, p, c[p * (len(c) // {v.PARTS}) + 1:(p + 1) * (len(c) // {v.PARTS})] AS x
+      FROM (SELECT rid, c, unnest(range({v.PARTS})) AS p FROM d)),
+    entry0 AS MATERIALIZED (
+      SELECT p, r - 1 AS i, x AS e FROM part JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id, c) AS r FROM d) USING (rid)
+      WHERE r <= {v.ENTRIES}),
+    {", ".join(steps)},
+    done AS (
+      SELECT rid, string_agg(printf('%02x', b.i), '' ORDER BY p) AS code, sum(b.d)::BIGINT AS error FROM near{last} GROUP BY rid),
+    books AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM entry{last})
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM d JOIN done USING (rid), books"""
+
+
+def _fill_in_middle_sql() -> str:
+    m = fill_in_middle
+    space = r"\x20\x09-\x0D"
+    drawn = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+    p, s, x = (mark.decode() for mark in (m.PREFIX, m.SUFFIX, m.MIDDLE))
+    return rf"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('{m.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+             regexp_extract_all(coalesce(text, ''), '[{space}]*[^{space}]+|[{space}]+') AS units FROM documents),
+    r AS (SELECT doc_id, text, units, len(units) AS n, {drawn} FROM d),
+    f AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '{p}') OR contains(text, '{s}') OR contains(text, '{x}')
+                    OR h3 % 100 >= {m.TRANSFORMED} THEN 'plain'
+                  WHEN h4 % 100 < {m.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM r),
+    c AS (
+      SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS before, array_to_string(units[a + 1:b], '') AS mid,
+             array_to_string(units[b + 1:], '') AS after FROM f)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(before) END::BIGINT AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || before || '{s}' || after || '{x}' || mid
+                  ELSE '{s}' || after || '{p}' || before || '{x}' || mid END) AS output_sha256,
+           sha256(text) AS restored_sha256 FROM c"""
+
+
+def _minmax_sql() -> str:
+    k = minmax.SHINGLE
+    return rf"""
+    WITH RECURSIVE d AS (
+      SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents),
+    g AS MATERIALIZED (
+      SELECT DISTINCT rid, array_to_string(words[s:s + {k - 1}], ' ') AS gram
+      FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - {k - 2}, 2))) AS s FROM d WHERE len(words) > 0)),
+    n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+    link AS MATERIALIZED (
+      SELECT u, v FROM (SELECT a.rid AS u, b.rid AS v, count(*) AS i FROM g a JOIN g b ON a.gram = b.gram AND a.rid < b.rid GROUP BY ALL)
+      JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * i >= {minmax.SIMILAR} * (x.n + y.n - i)),
+    either AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+    reached AS (SELECT rid AS u, rid AS v FROM d UNION SELECT r.u, e.v FROM reached r JOIN either e ON e.u = r.v),
+    least AS (SELECT r.u AS rid, min(d.doc_id) AS component_id FROM reached r JOIN d ON d.rid = r.v GROUP BY r.u)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+    FROM d JOIN least USING (rid) LEFT JOIN n USING (rid)"""
+
+
 #: the others hash with XXH64, fit models or encode by a vocabulary; tests hold them against brute force or accuracy
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _line_rules_sql(),
     "op4_decontamination": _decontamination_sql(),
     "op6_substring_dedup": _substring_sql(),
     "op7_license_scan": _license_sql(),
+    "op11_vector_codes": _vector_sql(),
+    "op12_fill_in_middle": _fill_in_middle_sql(),
+    "op13_minmax_near_duplicates": _minmax_sql(),
 }
