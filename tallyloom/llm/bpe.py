@@ -30,8 +30,8 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: pieces of text remembered by one worker
-REMEMBERED = 200_000
+#: bytes of remembered pieces and their ids in one task, about, and what one takes beside its letters and ids
+REMEMBERED, OVERHEAD = 8 << 20, 200
 NO_MERGE, ID_BITS = 1 << 60, 28
 #: fragments of more bytes are merged with a heap
 LONG = 64
@@ -44,11 +44,32 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def check_supported(spec: dict) -> None:
+    """Refuses a vocabulary file that asks for another way of cutting or merging than the one built here."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        name
+        for name, found in {
+            "model": model.get("type", "BPE") != "BPE",
+            "normalizer": spec.get("normalizer"),
+            "pre_tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True),
+            "ignore_merges": model.get("ignore_merges"),
+            "dropout": model.get("dropout"),
+            "byte_fallback": model.get("byte_fallback"),
+            "affixes": model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"),
+        }.items()
+        if found
+    ]
+    if wrong:
+        raise ValueError(f"vocabulary file not supported: {', '.join(wrong)}")
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
+        check_supported(spec)
         model = spec["model"]
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in model["vocab"].items()}
@@ -71,7 +92,13 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         #: ids of pieces of text as little-endian unsigned 32-bit integers
-        self.known: dict[str, bytes] = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the remembered pieces."""
+        self.known = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        self.held = 0
 
     def pieces(self, text: str) -> list[str]:
         """The pieces that are merged on their own, special tokens among them."""
@@ -98,8 +125,10 @@ class Codec:
         piece_of = np.repeat(np.arange(len(raw)), lengths)[head]
         ends = np.cumsum(np.bincount(piece_of[fragment], minlength=len(raw))) * 4
         packed, start = ids.astype("<u4").tobytes(), 0
-        for piece, end in zip(pieces, ends.tolist()):
+        for piece, own, end in zip(pieces, raw, ends.tolist()):
             self.known[piece] = packed[start:end]
+            # a letter takes up to four bytes in memory, about twice its bytes in UTF-8
+            self.held += OVERHEAD + 2 * len(own) + end - start
             start = end
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -177,8 +206,8 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {t: self.known[t] for t in self.special}
+        if self.held > REMEMBERED:
+            self.forget()
         if new := list(set(chain.from_iterable(pieces)).difference(self.known)):
             self.learn(new)
         ids_of = self.known.__getitem__
@@ -224,7 +253,8 @@ def encoded(
     """(doc_id, ids) of every document row, and with ``decode`` the text that the ids decode to.
 
     ``ids`` is BINARY of little-endian unsigned 32-bit integers. NULL encodes like the empty text; other columns are
-    not read. A task holds one piece of text beside the batch it reads.
+    not read. Repeated rows give repeated rows. A task holds one piece of text, or one text that is longer, beside the
+    batch it reads, and forgets the pieces it remembered when it ends.
     """
     rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
@@ -239,6 +269,7 @@ def encoded(
                     columns.append(pa.array(map(codec.decode, ids), pa.string(), size=len(ids)))
                 at += len(piece)
                 yield pa.record_batch(columns, ["doc_id", "ids", "decoded"][: len(columns)])
+        codec.forget()
 
     schema = StructType([rows.schema["doc_id"], StructField("ids", BinaryType())])
     return rows.mapInArrow(run, schema.add("decoded", StringType()) if decode else schema)

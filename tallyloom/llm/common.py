@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from itertools import chain, count
@@ -33,7 +34,17 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[list[bytes]]:
         end = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
         yield [t or b"" for t in column.slice(start, end - start).to_pylist()]
         start = end
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory of Arrow and, where it can be asked to, of the C library back to the system.
+
+    Python workers live as long as the application; what a batch has freed would else stay with each of them.
+    """
     pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def flat(lists: Sequence[Sequence]) -> tuple[list, np.ndarray]:

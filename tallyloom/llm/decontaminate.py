@@ -24,7 +24,7 @@ from tallyloom.session import cut_lineage
 WINDOW = 10
 #: words of the test items that one pass over the index holds
 BLOCK_WORDS = 1_000_000
-#: rarest terms of an item that have to stand within so many words of the rarest one to be near
+#: rarest terms of an item, of which all but one have to stand within so many words of one of them to be near
 NEAR_TERMS, NEAR_SPAN = 4, 30
 
 #: letters a-z, digits and all of non-ASCII stay, A-Z become a-z, all else separates
@@ -103,14 +103,14 @@ class Block:
             for s in range(len(words) - size + 1) if words else ():
                 self.windows.setdefault(tuple(words[s : s + size]), []).append(k)
         self.near: list[tuple[int, ...]] = [()] * len(items)
+        self.near_terms = 0
 
     def choose_near(self, counts: dict[bytes, int], n: int) -> None:
-        """The ``n`` rarest terms of each item, rarest first; none where one of them occurs nowhere."""
-        names = list(self.terms)
+        """The ``n`` rarest terms of each item among those that the corpus has, rarest first."""
+        names, self.near_terms = list(self.terms), n
         for k, words in enumerate(self.items):
-            ranked = sorted({(counts.get(names[w], 0), names[w], w) for w in words})[:n]
-            if len(ranked) == n and ranked[0][0]:
-                self.near[k] = tuple(w for _, _, w in ranked)
+            ranked = sorted({(counts[names[w]], names[w], w) for w in words if counts.get(names[w])})[:n]
+            self.near[k] = tuple(w for _, _, w in ranked)
 
 
 def phrase_starts(lists: list[np.ndarray], window: tuple[int, ...]) -> np.ndarray:
@@ -126,19 +126,15 @@ def phrase_starts(lists: list[np.ndarray], window: tuple[int, ...]) -> np.ndarra
     return found
 
 
-def near_places(lists: list[np.ndarray], terms: tuple[int, ...], span: int, first, last) -> np.ndarray:
-    """Positions of the first term with every other term within ``span`` words in the same document.
+def near_places(lists: list[np.ndarray], terms: tuple[int, ...], needed: int, span: int, first, last) -> np.ndarray:
+    """Positions of a term with ``needed`` of the terms, itself among them, within ``span`` words in the same document.
 
     ``first`` and ``last`` give the bounds of the document around a position.
     """
-    found = lists[terms[0]]
-    for t in terms[1:]:
-        postings = lists[t]
-        low, high = np.maximum(found - span, first(found)), np.minimum(found + span, last(found))
-        found = found[np.searchsorted(postings, low) < np.searchsorted(postings, high, "right")]
-        if not len(found):
-            break
-    return found
+    places = np.concatenate([lists[t] for t in terms])
+    low, high = np.maximum(places - span, first(places)), np.minimum(places + span, last(places))
+    met = sum((np.searchsorted(lists[t], low) < np.searchsorted(lists[t], high, "right")).astype(int) for t in terms)
+    return places[met >= needed]
 
 
 RESULT = (
@@ -179,8 +175,10 @@ def _match_segment(row: dict[str, pa.Scalar], block: Block, wide, span: int) ->
                 docs = np.unique(document(found)).tolist()
                 pairs += [(d, k) for k in block.windows[window] for d in docs]
     for k, terms in enumerate(block.near):
-        if terms and here[list(terms)].all():
-            found = near_places(lists, terms, span, lambda p: starts[document(p)], lambda p: (starts + n_words)[document(p)])
+        # most of the terms where there are as many as were asked for, else all
+        needed = len(terms) - (len(terms) == block.near_terms)
+        if terms and here[list(terms)].sum() >= needed:
+            found = near_places(lists, terms, needed, span, lambda p: starts[document(p)], lambda p: (starts + n_words)[document(p)])
             near += [(d, k) for d in np.unique(document(found)).tolist()]
     hit = np.cumsum(covered) > 0
     edges = np.flatnonzero(np.diff(hit, prepend=False, append=False))
@@ -241,7 +239,8 @@ def matches(
     """(doc_id, n_words, hits, n_hit, items, near_items) of every document row.
 
     ``hits`` are the spans of words (from, to) inside an occurrence of a window of some item, ``items`` the sorted ids of
-    the items with an occurring window, ``near_items`` those whose rarest terms stand within ``near_span`` words. An
+    the items with an occurring window, ``near_items`` those of whose rarest terms that the corpus has all but one stand
+    within ``near_span`` words of one of them (all, where it has fewer than ``near_terms``). An
     item of fewer words than a window is one window. A NULL text has no words; an item without an id hits but is not
     listed; repeated items count once. Repeated document rows give repeated rows; other columns are not read.
     """

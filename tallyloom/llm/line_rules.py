@@ -1,8 +1,7 @@
 """Quality rules: rules within a document, and lines that are frequent across the documents of a host.
 
-Normalised lines are hashed; a line is frequent in a host where more distinct documents have it than both an absolute
-limit and a share of the host's documents. Frequent lines are removed, and a document of which too little is left is
-rejected.
+Normalised lines are hashed; a line is frequent in a host where more distinct documents than a limit have it, however
+large the host. Frequent lines are removed, and a document of which too little is left is rejected.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ from tallyloom.llm.common import flat, numbered, pieces, starts_of, sums_of
 
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: a line is frequent in a host from more than so many documents and more than this share of the host's documents
-LEAST_DOCUMENTS, SHARE = 20, 0.05
+#: a line is frequent in a host from more than so many documents (and, if asked for, a share of the host's documents)
+LEAST_DOCUMENTS, SHARE = 20, 0.0
 #: a document is depleted when less than this share of its words, or fewer than LEAST_WORDS, remain
 LEFT = 0.5
 
@@ -127,17 +126,17 @@ def frequent_lines(
 ) -> DataFrame:
     """(host, hash, n_docs) of the lines that are frequent in a host; every row is a document, a NULL host is a host."""
     rows = documents.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("binary").alias("text"))
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return (
+    found = (
         rows.mapInArrow(_host_lines, f"host string, lines {LINES}")
         .select("host", F.explode("lines.hash").alias("hash"))
         .groupBy("host", "hash")
         .agg(F.count(F.lit(1)).alias("n_docs"))
         .where(F.col("n_docs") > least)
-        .join(sizes, "host")
-        .where(F.col("n_docs") > share * F.col("host_docs"))
-        .select("host", "hash", "n_docs")
     )
+    if not share:
+        return found
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    return found.join(sizes, "host").where(F.col("n_docs") > share * F.col("host_docs")).select("host", "hash", "n_docs")
 
 
 def judged(

@@ -211,10 +211,7 @@ def _line_rules_sql() -> str:
       SELECT rid, host, regexp_replace(trim(regexp_replace(
                translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{space}+', ' ', 'g')),
                '[0-9]+', '0', 'g') AS line FROM spoken),
-    size AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
-    freq AS (
-      SELECT host, line FROM (SELECT host, line, count(DISTINCT rid) AS n_docs FROM n GROUP BY host, line) JOIN size USING (host)
-      WHERE n_docs > {r.LEAST_DOCUMENTS} AND n_docs > {r.SHARE}::DOUBLE * docs),
+    freq AS (SELECT host, line FROM n GROUP BY host, line HAVING count(DISTINCT rid) > {r.LEAST_DOCUMENTS}),
     gone AS (
       SELECT rid, sum(len(string_split(line, ' '))) AS n_frequent_words FROM n JOIN freq USING (host, line) GROUP BY rid),
     f AS (
@@ -230,24 +227,21 @@ def _line_rules_sql() -> str:
 
 
 def _near_sql() -> str:
-    """Items whose rarest terms stand within a span of the rarest one."""
+    """Items most of whose rarest terms that the corpus has stand within a span of one of them."""
     d = decontaminate
     return rf"""
     total AS (SELECT term, count(*) AS n FROM dw WHERE term IN (SELECT term FROM iw) GROUP BY term),
     rank AS (
-      SELECT iid, term, coalesce(n, 0) AS n,
-             row_number() OVER (PARTITION BY iid ORDER BY coalesce(n, 0), encode(term)) AS r,
-             count(*) OVER (PARTITION BY iid) AS terms
-      FROM (SELECT DISTINCT iid, term FROM iw) LEFT JOIN total USING (term)),
-    chosen AS (SELECT iid, term, n, r FROM rank WHERE r <= {d.NEAR_TERMS} AND terms >= {d.NEAR_TERMS}),
-    base AS (SELECT c.iid, rid, p FROM chosen c JOIN dw USING (term) WHERE c.r = 1),
+      SELECT iid, term, row_number() OVER (PARTITION BY iid ORDER BY n, encode(term)) AS r
+      FROM (SELECT DISTINCT iid, term FROM iw) JOIN total USING (term)),
+    chosen AS (SELECT iid, term, r, count(*) OVER (PARTITION BY iid) AS terms FROM rank WHERE r <= {d.NEAR_TERMS}),
+    base AS MATERIALIZED (SELECT c.iid, c.r, c.terms, rid, p FROM chosen c JOIN dw USING (term)),
     reached AS (
-      SELECT DISTINCT b.iid, b.rid, b.p, c.r FROM base b JOIN chosen c USING (iid)
-      JOIN dw x ON x.term = c.term AND x.rid = b.rid AND x.p BETWEEN b.p - {d.NEAR_SPAN} AND b.p + {d.NEAR_SPAN}
-      WHERE c.r > 1),
+      SELECT b.iid, b.rid, b.p, b.terms, count(DISTINCT x.r) AS met FROM base b JOIN base x
+      ON x.iid = b.iid AND x.rid = b.rid AND x.p BETWEEN b.p - {d.NEAR_SPAN} AND b.p + {d.NEAR_SPAN} GROUP BY ALL),
     near AS (
-      SELECT rid, count(DISTINCT item_id) AS n_near_items
-      FROM (SELECT iid, rid, p FROM reached GROUP BY ALL HAVING count(*) = {d.NEAR_TERMS - 1}) JOIN i USING (iid) GROUP BY rid)"""
+      SELECT rid, count(DISTINCT item_id) AS n_near_items FROM reached JOIN i USING (iid)
+      WHERE met >= CASE WHEN terms = {d.NEAR_TERMS} THEN {d.NEAR_TERMS - 1} ELSE terms END GROUP BY rid)"""
 
 
 def _decontamination_sql() -> str:
@@ -392,7 +386,8 @@ def _minmax_sql() -> str:
     return rf"""
     WITH RECURSIVE d AS (
       SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
-             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words FROM documents),
     g AS MATERIALIZED (
       SELECT DISTINCT rid, array_to_string(words[s:s + {k - 1}], ' ') AS gram
       FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - {k - 2}, 2))) AS s FROM d WHERE len(words) > 0)),

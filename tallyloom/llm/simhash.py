@@ -188,18 +188,23 @@ def near_duplicates(
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, with all its columns: the one of the smallest key (then the smallest text
-    hash); a document without a key only where its component has no other. Rows that repeat it are dropped."""
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
-    chosen = (
-        near_duplicates(documents, key, text)
-        .groupBy("root")
-        .agg(F.min(order).alias("o"))
-        .select(F.col("o.doc_id").alias("__k"), F.col("o.text_key").alias("__t"))
-    )
-    rows = documents.select(F.struct("*").alias("__row")).withColumns(
-        {"__k": F.col(f"__row.`{key}`"), "__t": F.xxhash64(F.col(f"__row.`{text}`"))}
-    )
-    rows = rows.alias("r").join(
-        chosen.alias("c"), F.col("r.__k").eqNullSafe(F.col("c.__k")) & (F.col("r.__t") == F.col("c.__t")), "left_semi"
-    )
-    return rows.dropDuplicates(["__k", "__t"]).select("__row.*")
+    hash); a document without a key only where its component has no other. Rows that repeat it are dropped.
+
+    What goes is written first, as keys and text hashes, so that texts are only moved where that is large; rows that
+    have to be told from their repetitions are dealt out on their own.
+    """
+    found = near_duplicates(documents, key, text)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("k"), F.col("text_key").alias("t"))
+    each = found.groupBy("doc_id", "text_key", "root").agg(F.count(F.lit(1)).alias("times"))
+    best = each.groupBy("root").agg(F.min(order).alias("best"))
+    named = F.struct("doc_id", "text_key").alias("id")
+    marked = each.join(best, "root").select(named, (order != F.col("best")).alias("lost"), "times").where("lost OR times > 1")
+    marked = cut_lineage(marked)
+    rows = documents.select(F.struct("*").alias("__row"))
+    rows = rows.withColumn("__id", F.struct(F.col(f"__row.`{key}`").alias("doc_id"), F.xxhash64(F.col(f"__row.`{text}`")).alias("text_key")))
+    kept = rows.join(marked, F.col("__id") == F.col("id"), "left_anti").select("__row.*")
+    again = marked.where("NOT lost")
+    if again.isEmpty():
+        return kept
+    first = rows.join(again, F.col("__id") == F.col("id"), "left_semi").dropDuplicates(["__id"])
+    return kept.unionByName(first.select("__row.*"))

@@ -31,8 +31,8 @@ from tallyloom.session import cut_lineage
 
 WINDOW = 50
 MER = 5
-#: bytes of distinct strings that a task gathers before it sends them
-GATHERED = 24 << 20
+#: bytes of distinct strings that a task gathers before it sends them, and what one takes beside its letters
+GATHERED, OVERHEAD = 24 << 20, 350
 #: buckets for each shuffle partition
 BUCKETS = 4
 #: strings of one minimiser from which on its windows are counted one by one, and the number of such minimisers at most
@@ -189,7 +189,7 @@ def _sender(buckets: int, window: int, hot: frozenset[int]):
                     entry = held.get(digest)
                     if entry is None:
                         held[digest] = [minimiser, owner, owner, text]
-                        size += len(text)
+                        size += len(text) + OVERHEAD
                     elif owner < entry[1]:
                         entry[1] = owner
                     elif owner > entry[2]:
@@ -314,11 +314,12 @@ def repeated_spans(
     answers = cut_lineage(answers)
     places = rows.mapInArrow(_placer(window, many), "digest binary, doc_id bigint, text_key bigint, first int")
     cut = F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + window - 1).alias("to"))
+    # a row that is repeated has each of its places many times
     return (
         places.join(answers, "digest")
         .where("lo < doc_id")
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_list(cut).alias("spans"))
+        .agg(F.collect_set(cut).alias("spans"))
     )
 
 
@@ -359,7 +360,11 @@ def cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def without_repeats(
     documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT, most_hot: int = MOST_HOT
 ) -> DataFrame:
-    """(row, cut) of every document row: all its columns as a struct, and n_words, n_removed and the kept words."""
+    """(row, cut) of every document row: all its columns as a struct, and n_words, n_removed and the kept words.
+
+    A text that is NULL, empty or without a word has no words and nothing is removed; ``kept`` is then empty. Windows are
+    equal where their 128-bit digests or bytes are. Repeated rows give repeated rows, cut alike.
+    """
     spans = repeated_spans(documents, key, text, window, hot, most_hot)
     rows = documents.select(F.struct("*").alias("row")).withColumns(
         {"doc_id": F.col(f"row.`{key}`").cast("bigint"), "text_key": F.xxhash64(F.col(f"row.`{text}`"))}

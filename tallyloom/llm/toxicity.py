@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +158,18 @@ def sentence_scores(texts: list[bytes], weights: WordWeights, bias: float) -> tu
     return owner[heads], ordinal[heads], 1 / (1 + np.exp(-np.clip(z[spoken], -30, 30)))
 
 
+def offending_sentences(texts: list[bytes], document: np.ndarray, ordinal: np.ndarray, p: np.ndarray) -> list[list[dict]]:
+    """The sentences of each text whose own score is high, a text being split once."""
+    found: list[list[dict]] = [[] for _ in texts]
+    high = np.flatnonzero(p >= OFFENDING)
+    for d, own in groupby(high.tolist(), key=lambda k: int(document[k])):
+        sentences = _ENDS.split(texts[d])
+        for k in own:
+            text = sentences[ordinal[k]].strip().decode("utf-8", "replace")
+            found[d].append({"ordinal": int(ordinal[k]), "text": text, "score": float(p[k])})
+    return found
+
+
 RESULT = StructType(
     [
         StructField("score", DoubleType()),
@@ -174,7 +186,10 @@ RESULT = StructType(
 
 
 def scorer(model: Model):
-    """text -> struct of the document's score and its offending sentences. NULL and wordless texts score 0."""
+    """text -> struct of the document's score and its offending sentences.
+
+    NULL and wordless texts score 0; equal texts score alike. A text of any length is one bag, split once.
+    """
 
     @F.arrow_udf(RESULT)
     def score(texts: pa.Array) -> pa.Array:
@@ -186,11 +201,7 @@ def scorer(model: Model):
             document, ordinal, p = sentence_scores(piece, weights, model.bias)
             clean = np.bincount(document, np.log1p(-p), len(piece)) if len(p) else np.zeros(len(piece))
             scores += (-np.expm1(clean)).tolist()
-            found: list[list] = [[] for _ in piece]
-            for k in np.flatnonzero(p >= OFFENDING).tolist():
-                sentence = _ENDS.split(piece[document[k]])[ordinal[k]].strip().decode("utf-8", "replace")
-                found[document[k]].append({"ordinal": int(ordinal[k]), "text": sentence, "score": float(p[k])})
-            offending += found
+            offending += offending_sentences(piece, document, ordinal, p)
         sentences = pa.list_(pa.struct([("ordinal", pa.int32()), ("text", pa.string()), ("score", pa.float64())]))
         return pa.StructArray.from_arrays(
             [pa.array(scores, pa.float64()), pa.array(offending, sentences)], ["score", "offending"]

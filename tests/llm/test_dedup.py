@@ -94,6 +94,21 @@ def test_keep_one_keeps_columns_and_one_row_of_each_component(spark):
     assert [r["doc_id"] for r in rows if r["text"] == passage(5, 70)] == [9]
 
 
+def test_keep_one_drops_repeated_rows_and_tells_texts_of_a_key_apart(spark):
+    rows = [(1, passage(1, 90), "a")] * 40 + [(1, passage(2, 90), "b"), (2, passage(2, 90), "c"), (3, passage(3, 90), "d")]
+    rows += [(None, passage(3, 90), "e"), (None, passage(4, 90), "f"), (None, passage(4, 90), "f"), (5, None, "g"), (6, "", "h")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, lost string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["lost"]) for r in kept) == [("1", "a"), ("1", "b"), ("3", "d"), ("5", "g"), ("None", "f")]
+
+
+def test_a_row_repeated_many_times_and_a_passage_in_every_document(spark):
+    shared = passage(7, 70)
+    rows = [(1000, passage(11, 120) + " " + shared)] * 10_000 + [(k, f"{passage(100 + k, 20)} {shared} {passage(300 + k, 20)}") for k in range(300)]
+    df = spark.createDataFrame(rows, SIMPLE).repartition(6)
+    expected = {r[0]: r for r in brute_cut(list(set(rows)), substring.WINDOW)}
+    assert cut(df) == sorted((expected[i] for i, _ in rows), key=str)
+
+
 def test_empty_tables(spark):
     df = documents(spark, [])
     assert simhash.near_duplicates(df).count() == 0

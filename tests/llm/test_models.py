@@ -1,5 +1,9 @@
 """Language, toxicity and line quality: held-out accuracy, and the awkward rows."""
 
+import math
+import re
+import time
+
 import numpy as np
 import pytest
 
@@ -72,6 +76,43 @@ def test_offending_sentences_are_located():
     assert p[1] > 0.5 > max(p[0], p[2])
 
 
+def brute_toxicity(text, model):
+    """Noisy-or of the sentences by plain Python: words and their beginnings, sentence by sentence."""
+    clean, found = 1.0, []
+    for k, sentence in enumerate(re.split(r"[.!?\n]", text or "")):
+        words = re.findall(r"[^\x00-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in sentence))
+        if words:
+            z = model.bias
+            for w in words:
+                z += model.weights.get(w, 0) + sum(model.weights.get(f"{w[:n]}*", 0) for n in range(3, 9) if n <= len(w))
+            p = 1 / (1 + math.exp(-max(-30, min(30, z))))
+            clean *= 1 - p
+            found += [(k, p)] if p >= 0.5 else []
+    return 1 - clean, found
+
+
+def test_toxicity_of_the_tables_is_that_of_brute_force(spark, labels):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(documents(spark).select("doc_id", "text"))
+    model = toxicity.train(df, labels)
+    assert model.weights
+    for r in df.select("text", toxicity.scorer(model)("text").alias("s")).collect():
+        score, found = brute_toxicity(r["text"], model)
+        assert r["s"]["score"] == pytest.approx(score, abs=1e-9)
+        assert [x["ordinal"] for x in r["s"]["offending"]] == [k for k, _ in found]
+        assert [x["score"] for x in r["s"]["offending"]] == pytest.approx([p for _, p in found])
+
+
+def test_a_long_text_of_offending_sentences_is_split_once():
+    model = toxicity.Model({"scumbag": 9.0}, -4.0)
+    text = ("you scumbag! " * 80_000).encode()
+    start = time.perf_counter()
+    document, ordinal, p = toxicity.sentence_scores([b"birds sing", text], toxicity.WordWeights(model.weights), model.bias)
+    found = toxicity.offending_sentences([b"birds sing", text], document, ordinal, p)
+    assert time.perf_counter() - start < 5
+    assert [len(f) for f in found] == [0, 80_000] and found[1][79_999]["ordinal"] == 79_999
+    assert {f["text"] for f in found[1]} == {"you scumbag"}
+
+
 def test_toxicity_of_awkward_rows(spark, labels):
     df = documents(spark)
     train = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, None), (9, 0)], "doc_id bigint, toxic int")

@@ -1,6 +1,7 @@
 """BPE against the public library, registered queries against their SQL, and the pipeline against brute force."""
 
 import hashlib
+import json
 import random
 
 import duckdb
@@ -70,9 +71,33 @@ def test_fragments_cut_only_where_no_token_reaches(codec):
 
 
 def test_memory_is_bounded_without_effect(codec, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED", 700)
     text = "one two three four five six seven one two"
     assert codec.encode(text) == codec.encode(text)
+    assert codec.held > 700
+    codec.encode("eight")
+    assert codec.held < 700
+    codec.forget()
+    assert codec.held == 0 and set(codec.known) == set(codec.special)
+
+
+def test_other_ways_of_cutting_and_merging_are_refused():
+    with open(PATH) as file:
+        spec = json.load(file)
+    bpe.check_supported(spec)
+    for part, change in (
+        (spec, {"normalizer": {"type": "NFC"}}),
+        (spec["pre_tokenizer"], {"add_prefix_space": True}),
+        (spec["pre_tokenizer"], {"type": "Whitespace"}),
+        (spec["model"], {"ignore_merges": True}),
+        (spec["model"], {"dropout": 0.1}),
+    ):
+        old = dict(part)
+        part.update(change)
+        with pytest.raises(ValueError, match=next(iter(change)) if part is not spec["pre_tokenizer"] else "pre_tokenizer"):
+            bpe.Codec(json.dumps(spec).encode())
+        part.clear()
+        part.update(old)
 
 
 def test_awkward_rows_round_trip(spark, library):

@@ -71,7 +71,7 @@ def test_random_phrases(spark, seed):
     assert sorted(got, key=str) == brute_matches(docs, items, 4)
 
 
-def test_proximity_needs_all_rare_terms_in_one_document(spark):
+def test_proximity_needs_most_rare_terms_in_one_document(spark):
     rare = "alpha beta gamma delta"
     docs = [
         (1, f"x {rare} y"),
@@ -79,13 +79,21 @@ def test_proximity_needs_all_rare_terms_in_one_document(spark):
         (3, "alpha " + "x " * 40 + "beta gamma delta"),
         (4, "alpha beta gamma"),
         (5, "delta"),
+        (6, "alpha " + "x " * 40 + "beta " + "x " * 40 + "gamma"),
+        (7, "omega x x psi"),
+        (8, "omega " + "x " * 40 + "psi"),
     ]
+    # an edited copy whose rarest word is nowhere, and an item of two words of the corpus
+    items = [(1, rare + " x", 0), (2, rare + " nowhere", 0), (3, "psi nothere omega", 0), (4, "never seen", 0)]
     found = decontaminate.matches(
         spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1),
-        spark.createDataFrame([(1, rare + " x", 0)], ITEMS),
+        spark.createDataFrame(items, ITEMS),
         near_span=10,
     )
-    assert {r["doc_id"]: list(r["near_items"]) for r in found.collect()} == {1: ["1"], 2: ["1"], 3: [], 4: [], 5: []}
+    both = ["1", "2"]
+    assert {r["doc_id"]: list(r["near_items"]) for r in found.collect()} == {
+        1: both, 2: both, 3: both, 4: both, 5: [], 6: [], 7: ["3"], 8: []
+    }
 
 
 def test_empty_tables(spark):
@@ -214,6 +222,19 @@ def test_lines_frequent_in_a_host_are_removed_and_depleted_documents_rejected(sp
     assert got[501] == (0, True)
 
 
+def test_a_line_in_few_percent_of_a_large_host_is_removed(spark):
+    letters = str.maketrans("0123456789", "qrstuvyzkj")
+    menu = " ".join(["all rights of this place are reserved by its owner"] * 3)
+    rows = []
+    for k in range(3000):
+        own = passage(k, 25).translate(letters)
+        rows.append((k, "hot", f"{menu}\n{own}" if k % 50 == 0 else own))
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_frequent_words"], r["kept"]) for r in line_rules.judged(df).collect()}
+    assert all(got[k] == ((30, False) if k % 50 == 0 else (0, True)) for k in range(3000))
+    assert all(r["n_frequent_words"] == 0 for r in line_rules.judged(df, share=0.05).collect())
+
+
 def test_urls_rules_first_then_the_model(spark):
     urls = [
         None, "", "no scheme", "http://", "ftp://Sub.Example.COM/en/x?y#z", "https://www.example.com/en/1", "http://example.com/en",
