@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +44,38 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, below one folder for each application, which may go when that has ended."""
-    return f"{shared_folder(spark)}/tallyloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+#: paths handed out inside each open scope, the innermost last
+_scopes: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder, below one folder for each application, which may go when that has ended.
+
+    Inside a ``scratch_scope`` the path goes with the scope, unless it is to be kept.
+    """
+    path = f"{shared_folder(spark)}/tallyloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table; one that was never written is no error."""
+    if f"/tallyloom-{spark.sparkContext.applicationId}/" not in path:
+        raise ValueError(f"not a scratch table of this application: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables written inside on leaving: for work whose result is written before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
