@@ -10,11 +10,11 @@ from itertools import chain, count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: bytes of text handled at once inside a task
-PIECE = 2 << 20
+#: bytes of text handled at once inside a task, and of a record batch that a task gets
+PIECE, BATCH = 2 << 20, 4 << 20
 #: characters of all texts together that a model is fitted on, on the driver
 MOST_TOTAL_CHARS = 12_000_000
 
@@ -69,7 +69,21 @@ def sums_of(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def read(spark, sf_dir: str, table: str) -> DataFrame:
+def bounded_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """From here on the record batches that the session's Python tasks get are bounded in bytes, not in rows alone.
+
+    Texts are long: ten thousand of them, Spark's usual batch, are tens of megabytes that a task holds several times, as
+    rows, as Arrow memory of the executor and of the worker. A smaller bound that is set already stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the corpus, handed to Python tasks in bounded batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -191,14 +191,16 @@ def scorer(model: Model):
     NULL and wordless texts score 0; equal texts score alike. A text of any length is one bag, split once.
     """
 
+    # weights of words seen, kept from batch to batch of a task, which gets a copy of the list
+    held: list[WordWeights] = []
+
     @F.arrow_udf(RESULT)
     def score(texts: pa.Array) -> pa.Array:
         scores, offending = [], []
-        weights = WordWeights(model.weights)
         for piece in pieces(texts):
-            if len(weights) > REMEMBERED:
-                weights = WordWeights(model.weights)
-            document, ordinal, p = sentence_scores(piece, weights, model.bias)
+            if not held or len(held[0]) > REMEMBERED:
+                held[:] = [WordWeights(model.weights)]
+            document, ordinal, p = sentence_scores(piece, held[0], model.bias)
             clean = np.bincount(document, np.log1p(-p), len(piece)) if len(p) else np.zeros(len(piece))
             scores += (-np.expm1(clean)).tolist()
             offending += offending_sentences(piece, document, ordinal, p)
