@@ -145,25 +145,50 @@ def _reached(node, path) -> list:
     return nodes
 
 
+def _branches(root) -> dict[int, list]:
+    """What is listed of each list and object that is reached, by identity; nothing where no text lies below.
+
+    Every node is looked at once, the nodes below it first, so that an object knows whether it has to fall back on its
+    remarks without walking what lies below again.
+    """
+    below: dict[int, list] = {}
+    waiting = [(root, False)]
+    while waiting:
+        node, seen_below = waiting.pop()
+        if not isinstance(node, (list, dict)):
+            continue
+        if not seen_below:
+            if id(node) not in below:
+                found = node if isinstance(node, list) else list(chain.from_iterable(_reached(node, p) for p in ANSWER_PATHS))
+                below[id(node)] = found
+                waiting.append((node, True))
+                waiting += [(n, False) for n in found]
+            continue
+        told = [n for n in below[id(node)] if (n.strip() if isinstance(n, str) else below.get(id(n)))]
+        if not told and isinstance(node, dict):
+            told = [v for v in node.values() if isinstance(v, str) and len(v.strip()) > LEAST_REMARK]
+        below[id(node)] = told
+    return below
+
+
 def _listed(root) -> list[str]:
-    """Texts below a parsed record, depth first along the paths."""
+    """Texts below a parsed record, depth first along the paths; only nodes with a text below are entered."""
+    below = _branches(root)
     out, waiting = [], [root]
     while waiting:
         node = waiting.pop()
         if isinstance(node, str):
             out += [node.strip()] if node.strip() else []
-        elif isinstance(node, list):
-            waiting += reversed(node)
-        elif isinstance(node, dict):
-            below = list(chain.from_iterable(_reached(node, path) for path in ANSWER_PATHS))
-            if not any(map(_listed, below)):
-                below = [v for v in node.values() if isinstance(v, str) and len(v.strip()) > LEAST_REMARK]
-            waiting += reversed(below)
+        else:
+            waiting += reversed(below.get(id(node), ()))
     return out
 
 
 def answer_texts(records) -> Column:
-    """All answer-like texts of a nested JSON record; an unreadable record has none."""
+    """All answer-like texts of a nested JSON record; an unreadable record, or one nested too deep to parse, has none.
+
+    The work is linear in the record and in what it lists (a text that several paths reach is listed for each).
+    """
 
     @F.arrow_udf(ArrayType(StringType()))
     def extract(batch: pa.Array) -> pa.Array:
@@ -171,7 +196,7 @@ def answer_texts(records) -> Column:
         for raw in batch.to_pylist():
             try:
                 out.append(_listed(json.loads(raw)))
-            except (TypeError, ValueError):
+            except (TypeError, ValueError, RecursionError):
                 out.append([])
         return pa.array(out, pa.list_(pa.string()))
 

@@ -215,21 +215,30 @@ def catoni_mean(spark, sf_dir):
     return rounded(L.catoni_means(stored_samples(spark, sf_dir), ["combo"], "lbar", "catoni"), "catoni", digits=7)
 
 
-def subsample_sql(n: str, repeats: int, seed: str) -> str:
-    """Table expressions facts and sub (rep, pos, combo, sample_idx, lbar) as the operator draws them."""
+def scatter_sql(x: str, seed: str) -> str:
+    """Columns that scatter ``x`` as the operator does, the result being ``y``."""
+    bits, (first, second) = 1 << L.SCATTER_BITS, L.SCATTER_SHIFTS
+    names, columns = [f"{x} // v", f"{x} % v"], []
+    for k, (key, one, two) in enumerate(L.SCATTER_ROUNDS):
+        own, other, width = names[k % 2], names[1 - k % 2], "uv"[k % 2]
+        columns += [
+            f"((({other} + (rep + 1) * {key} + {L.seed_number(seed)}) % {bits}) * {one}) % {bits} AS a{k}",
+            f"(xor(a{k}, a{k} >> {first}) * {two}) % {bits} AS b{k}",
+            f"xor({own}, xor(b{k}, b{k} >> {second}) % {width}) AS h{k}",
+        ]
+        names[k % 2] = f"h{k}"
+    return ", ".join([*columns, f"{names[0]} * v + {names[1]} AS y"])
 
-    def keyed(k, half):
-        return sql_hash(f"rep || ':{k}:' || {half}", seed)
 
-    return f"""halves AS (SELECT count(*) AS big, {n} AS n, 1::BIGINT << (length(bin(count(*) - 1)) // 2) AS u,
+def subsample_sql(n: str, repeats: int, seed: str) -> str:
+    """Table expressions halves and sub (rep, pos, combo, sample_idx, lbar) as the operator draws them (recursive)."""
+    return f"""halves AS (SELECT count(*) AS big, least({n}, count(*)) AS n, 1::BIGINT << (length(bin(count(*) - 1)) // 2) AS u,
   1::BIGINT << (length(bin(count(*) - 1)) - length(bin(count(*) - 1)) // 2) AS v FROM smp),
-dr0 AS (SELECT *, t // v AS l, t % v AS r FROM (SELECT rep, halves.*, unnest(range(least(u * v, 4 * n + 256))) AS t
-  FROM halves CROSS JOIN generate_series(0, {repeats - 1}) a(rep))),
-dr1 AS (SELECT * REPLACE (xor(l, {keyed(0, "r")} % u) AS l) FROM dr0), dr2 AS (SELECT * REPLACE (xor(r, {keyed(1, "l")} % v) AS r) FROM dr1),
-dr3 AS (SELECT * REPLACE (xor(l, {keyed(2, "r")} % u) AS l) FROM dr2), dr4 AS (SELECT * REPLACE (xor(r, {keyed(3, "l")} % v) AS r) FROM dr3),
-places AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY t) - 1 AS pos, l * v + r AS p, n FROM dr4 WHERE l * v + r < big),
-sub AS (SELECT rep::INTEGER AS rep, pos, s.* EXCLUDE (p) FROM places JOIN
-  (SELECT *, row_number() OVER (ORDER BY combo, sample_idx) - 1 AS p FROM smp) s USING (p) WHERE pos < n)"""
+draws AS (SELECT rep, big, u, v, unnest(range(n)) AS t FROM halves CROSS JOIN generate_series(0, {repeats - 1}) a(rep)),
+walk AS (SELECT rep, big, u, v, t, y FROM (SELECT *, {scatter_sql("t", seed)} FROM draws)
+  UNION ALL SELECT rep, big, u, v, t, y FROM (SELECT * EXCLUDE (y0), {scatter_sql("y0", seed)} FROM (SELECT * RENAME (y AS y0) FROM walk WHERE y >= big))),
+sub AS (SELECT rep::INTEGER AS rep, t AS pos, s.* EXCLUDE (p) FROM walk JOIN
+  (SELECT *, row_number() OVER (ORDER BY combo, sample_idx) - 1 AS p FROM smp) s ON p = y WHERE y < big)"""
 
 
 ROBUST_N, ROBUST_REPEATS = 512, 400
@@ -344,7 +353,8 @@ BERNSTEIN_MAX = f"(SELECT max(n) FROM {USED_SIZES})"
 
 
 BERNSTEIN_SQL = (
-    with_ctes("smp", ", " + subsample_sql(BERNSTEIN_MAX, BERNSTEIN_REPEATS, "bernstein"))
+    "WITH RECURSIVE "
+    + with_ctes("smp", ", " + subsample_sql(BERNSTEIN_MAX, BERNSTEIN_REPEATS, "bernstein"))[5:]
     + f""", f AS (SELECT avg(lbar) AS mu FROM smp), b AS (SELECT any_value(mu) AS mu, quantile_cont(abs(lbar - mu), 0.99) AS b FROM smp CROSS JOIN f),
 h AS (SELECT rep, n, avg(lbar) AS m, var_samp(lbar) AS v FROM sub JOIN {USED_SIZES} s ON pos < n GROUP BY ALL),
 r AS (SELECT rep, n, delta, abs(m - mu) AS dev, sqrt(2 * greatest(v, 0) * ln(3 / delta) / n) + 3 * b * ln(3 / delta) / n AS radius, mu, b

@@ -119,17 +119,20 @@ def feature_evaluation(spark, sf_dir):
 
 DOMAINS = ["gsm8k", "openfunction", "magicoder", "alpaca", "dolly"]
 TESTS = ["gsm8k", "openfunction", "humaneval"]
+#: the experiment of which no metric is known
+NO_METRICS = "o_orderpriority = '5-LOW' AND o_orderstatus = 'O' AND ckpt = 'sft'"
+METRICS = ("dot_before", "dot_after", "c_start", "c_end", "v_align")
 CTE["expm"] = f"""
-SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'gsm8k' WHEN '2-HIGH' THEN 'openfunction' WHEN '3-MEDIUM' THEN 'magicoder' WHEN '4-NOT SPECIFIED' THEN 'alpaca' ELSE 'dolly' END AS domain,
+SELECT domain, test, ckpt, {", ".join(f"CASE WHEN NOT unknown THEN {c} END AS {c}" for c in METRICS)} FROM (
+SELECT {NO_METRICS} AS unknown, CASE o_orderpriority WHEN '1-URGENT' THEN 'gsm8k' WHEN '2-HIGH' THEN 'openfunction' WHEN '3-MEDIUM' THEN 'magicoder' WHEN '4-NOT SPECIFIED' THEN 'alpaca' ELSE 'dolly' END AS domain,
   CASE o_orderstatus WHEN 'F' THEN 'gsm8k' WHEN 'O' THEN 'openfunction' ELSE 'humaneval' END AS test, CASE WHEN {sql_uniform('o_custkey::VARCHAR', 'method')} < 0.5 THEN 'sft' ELSE 'sdft' END AS ckpt,
   avg(o_totalprice) / 1e7 AS dot_before, avg(sqrt(o_totalprice)) / 1e4 AS dot_after, CASE WHEN o_orderpriority <> '2-HIGH' THEN avg(ln(o_totalprice)) / 1e3 END AS c_start,
   stddev_pop(o_totalprice) / 1e6 AS c_end, CASE WHEN o_orderstatus <> 'P' THEN avg(1e5 / (o_totalprice + 1e4)) END AS v_align
-FROM orders GROUP BY o_orderpriority, o_orderstatus, ckpt
-HAVING NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'O' AND ckpt = 'sft')"""
+FROM orders GROUP BY o_orderpriority, o_orderstatus, ckpt)"""
 
 
 def experiment_metrics(spark, sf_dir):
-    """(domain, test, ckpt, metrics) with some metrics and one cell missing."""
+    """(domain, test, ckpt, metrics) with some metrics, and all those of one experiment, NULL."""
     orders = table(spark, sf_dir, "orders").withColumn(
         "ckpt", F.when(sampling.uniform("o_custkey", seed="method") < 0.5, "sft").otherwise("sdft")
     )
@@ -147,7 +150,7 @@ def experiment_metrics(spark, sf_dir):
             (F.stddev_pop(price) / 1e6).alias("c_end"),
             F.avg(1e5 / (price + 1e4)).alias("v_align"),
         )
-        .where("not (o_orderpriority = '5-LOW' and o_orderstatus = 'O' and ckpt = 'sft')")
+        .withColumns({c: F.when(~F.expr(NO_METRICS), F.col(c)) for c in METRICS})
         .select(
             domain.alias("domain"),
             F.when(F.col("o_orderstatus") == "F", "gsm8k").when(F.col("o_orderstatus") == "O", "openfunction").otherwise("humaneval").alias("test"),

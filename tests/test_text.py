@@ -1,5 +1,7 @@
 """Text functions and text metrics against small direct implementations."""
 
+import json
+import time
 from collections import Counter
 from math import exp, log
 
@@ -111,6 +113,17 @@ def test_answer_texts(spark):
         '["h", {"text": "i"}]': ["h", "i"],
         "{broken": [],
     }
+    # nested deep, by a path that lists once, by two paths each level, and by names that no path knows
+    once, twice, other = '"k"', '"k"', '"a remark that is longer than that"'
+    for _ in range(200):
+        once, other = f'{{"messages": [{once}]}}', f'{{"x": {other}, "messages": {{"note": 1}}}}'
+    for _ in range(18):
+        twice = f'{{"answer": {twice}}}'
+    cases |= {once: ["k"], other: [], twice: ["k"] * 4181, '{"output": ' * 100_000: []}
+    start = time.perf_counter()
+    for text in (once, other):
+        R._listed(json.loads(text))
+    assert time.perf_counter() - start < 1
     rows = spark.createDataFrame([(k,) for k in cases], "j string").select("j", R.answer_texts("j").alias("t")).collect()
     assert {r["j"]: r["t"] for r in rows} == cases
 
@@ -182,7 +195,27 @@ def test_catoni_both_forms(spark):
     df = spark.createDataFrame(pd.DataFrame({"g": "x", "v": y}))
     grouped = L.catoni_means(df, ["g"], "v", "m").first()["m"]
     arrays = df.groupBy("g").agg(F.collect_list("v").alias("a")).select(L.array_catoni(F.col("a")).alias("m")).first()["m"]
-    assert np.isclose(grouped, catoni(y)) and np.isclose(arrays, catoni(y))
+    assert np.isclose(grouped, catoni(y), rtol=1e-10) and np.isclose(arrays, catoni(y))
+
+
+def test_catoni_of_many_groups_and_without_a_job(spark):
+    rng = np.random.default_rng(4)
+    groups = {
+        "normal": rng.normal(5, 2, 300), "heavy": rng.standard_cauchy(400), "one": np.array([3.5]), "same": np.full(9, -2.0),
+        "two": np.array([0.0, 1e6]), "outlier": np.append(rng.normal(0, 1, 99), 1e9), "skewed": rng.pareto(1.1, 500) * 1e3,
+    }
+    rows = [(g, float(x)) for g, y in groups.items() for x in y] + [("normal", float("nan")), ("heavy", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("catoni", "plan")
+    plan = L.catoni_means(df, ["g"], "v", "m")
+    assert not tracker.getJobIdsForGroup("catoni")
+    got = {r["g"]: r["m"] for r in plan.collect()}
+    for g, y in groups.items():
+        m, alpha = got[g], 1 / (2 * (y.std() + 1e-12))
+        assert abs(np.tanh(alpha * (y - m)).mean()) < 1e-9, g
+        assert abs(m - y.mean()) <= 3 * y.std() + 1e-9
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_poisson_weights_have_mean_one(spark):
