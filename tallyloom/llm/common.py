@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: bytes of text handled at once inside a task, and of a record batch that a task gets
 PIECE, BATCH = 2 << 20, 4 << 20
+#: bytes of text after which a worker gives freed memory back to the system
+TRIMMED = 32 << 20
 #: characters of all texts together that a model is fitted on, on the driver
 MOST_TOTAL_CHARS = 12_000_000
 
@@ -34,16 +36,24 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[list[bytes]]:
         end = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
         yield [t or b"" for t in column.slice(start, end - start).to_pylist()]
         start = end
-    release_memory()
+    release_memory(int(ends[-1]))
 
 
-def release_memory() -> None:
-    """Gives freed memory of Arrow and, where it can be asked to, of the C library back to the system.
+#: bytes of text a worker has handled since it gave memory back
+_handled = 0
 
-    Python workers live as long as the application; what a batch has freed would else stay with each of them.
+
+def release_memory(n_bytes: int) -> None:
+    """Gives freed memory of Arrow back to the system, and every ``TRIMMED`` bytes of text that of the C library, where
+    it can be asked to.
+
+    Python workers live as long as the application; what their batches have freed would else stay with each of them.
     """
+    global _handled
     pa.default_memory_pool().release_unused()
-    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+    _handled += n_bytes
+    if _handled >= TRIMMED and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        _handled = 0
         trim(0)
 
 

@@ -148,7 +148,7 @@ def _pack(entries: list[tuple[int, int, int, bytes]]) -> bytes:
     """Minimiser, smallest and largest document and string of each entry, compressed."""
     head = np.array([(m, lo, hi) for m, lo, hi, _ in entries], "<u8,<i8,<i8").tobytes()
     raw = len(entries).to_bytes(4, "little") + head + b"\n".join(e[3] for e in entries)
-    return zstandard.ZstdCompressor(level=6).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(blob: bytes) -> Iterator[tuple[int, int, int, bytes]]:
