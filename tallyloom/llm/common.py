@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: bytes of text handled at once inside a task, and of a record batch that a task gets
 PIECE, BATCH = 2 << 20, 4 << 20
 #: bytes of text after which a worker gives freed memory back to the system
-TRIMMED = 32 << 20
+TRIMMED = 8 << 20
 #: characters of all texts together that a model is fitted on, on the driver
 MOST_TOTAL_CHARS = 12_000_000
 
