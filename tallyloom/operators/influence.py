@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import vectors as V
+from tallyloom.operators import blocks
 from tallyloom.operators.gram import dense, gram_sums, mirror
-from tallyloom.session import known_small
+from tallyloom.session import cut_lineage, known_small
 
 DEFAULT_DAMPING_DIVISOR = 10.0  # fixed value: layer damping is mean squared gradient over this
 
@@ -72,13 +73,9 @@ def hvp_closed_form(train: DataFrame, target: DataFrame, damping: DataFrame) ->
 
 
 def second_moments(train: DataFrame, damping: DataFrame) -> DataFrame:
-    """(layer, m, n, lam): (1/n) sum g g' per layer as an array of rows, one D x D matrix per layer."""
-    return matrix_rows(gram_sums(train, ["layer"], "g"), ["layer"]).join(damping, "layer").select(
-        "layer",
-        F.transform("m", lambda row: F.transform(row, lambda x: x / F.col("n"))).alias("m"),
-        "n",
-        "lam",
-    )
+    """(layer, bi, bj, high, block, lam): (1/n) sum g g' per layer in blocks; no row holds more than one of them."""
+    matrix = blocks.from_cells(gram_sums(train, ["layer"], "g"), ["layer"], blocks.SIZE).join(known_small(damping), "layer")
+    return matrix.withColumn("block", F.transform("block", lambda x: x / F.col("n"))).drop("n")
 
 
 def matrix_rows(triangle: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,36 +85,48 @@ def matrix_rows(triangle: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hvp_lissa(
-    train: DataFrame, target: DataFrame, damping: DataFrame, iterations: int = 10, alpha: float = 1.0
+    train: DataFrame,
+    target: DataFrame,
+    damping: DataFrame,
+    iterations: int = 10,
+    alpha: float = 1.0,
+    width: int | None = None,
 ) -> DataFrame:
     """(layer, hvp): r <- v + r - alpha (C r - lam r) with C = (1/n) sum g g', ``iterations`` times.
 
-    C is built once from the training rows; the iterations fold over it inside one expression per layer.
+    C is built once, in blocks. Layers of one block (``width`` components, looked up where not given) are iterated
+    where the block is; wider ones by a product of blocks and parts an iteration, whose small result is written.
     """
-
-    def step(r, _):
-        product = F.transform("m", lambda row: V.dot(row, r))
-        shifted = F.zip_with(product, r, lambda c, x: x - F.lit(alpha) * (c - F.col("lam") * x))
-        return F.zip_with("v", shifted, lambda v, s: v + s)
-
-    state = second_moments(train, damping).join(target, "layer")
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.col("v"), step)
-    return state.select("layer", folded.alias("hvp"))
-
-
-def hvp_exact(train: DataFrame, target: DataFrame, damping: DataFrame) -> DataFrame:
-    """(layer, hvp): (lam I + (1/n) sum g g')^-1 v by eigendecomposition of one D x D matrix per layer."""
-    layers = second_moments(train, damping).join(target, "layer")
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for m, lam, v in zip(pdf["m"], pdf["lam"], pdf["v"]):
-                values, basis = np.linalg.eigh(np.array(m.tolist()))
-                out.append(basis @ ((basis.T @ v) / (lam + values)))
-            yield pd.DataFrame({"layer": pdf["layer"], "hvp": out})
-
-    return layers.select("layer", "m", "lam", "v").mapInPandas(solve, "layer int, hvp array<double>")
+    moments = second_moments(train, damping)
+    if blocks.block_count(target, "v", width, blocks.SIZE) == 1:
+
+        def fold(row):
+            r = v = blocks.numbers(row["v"])
+            c = blocks.numbers(row["block"]).reshape(len(v), len(v))
+            for _ in range(iterations):
+                r = v + r - alpha * (c @ r - row["lam"].as_py() * r)
+            return r
+
+        schema = T.StructType([train.schema["layer"], T.StructField("hvp", T.ArrayType(T.DoubleType()))])
+        return blocks.each_row(moments.join(target.select("layer", V.doubles("v").alias("v")), "layer"), schema, "hvp", fold)
+    parts = blocks.cut(target.select("layer", V.doubles("v").alias("v")), ["layer"], "v", blocks.SIZE)
+    v = cut_lineage(parts.join(damping.select("layer", "lam"), "layer").withColumnRenamed("part", "v"))
+    matrix = cut_lineage(moments.drop("lam"))
+    r = v.select("layer", "bi", F.col("v").alias("part"))
+    for _ in range(iterations):
+        met = r.join(blocks.times(matrix, r, ["layer"]).withColumnRenamed("part", "c"), ["layer", "bi"]).join(v, ["layer", "bi"])
+        shifted = F.zip_with("c", "part", lambda c, x: x - F.lit(alpha) * (c - F.col("lam") * x))
+        r = cut_lineage(met.select("layer", "bi", F.zip_with("v", shifted, lambda a, b: a + b).alias("part")))
+    return blocks.joined(r, ["layer"], "hvp")
+
+
+def hvp_exact(train: DataFrame, target: DataFrame, damping: DataFrame, width: int | None = None) -> DataFrame:
+    """(layer, hvp): (lam I + (1/n) sum g g')^-1 v by block elimination; ``width`` as in :func:`hvp_lissa`."""
+    count = blocks.block_count(target, "v", width, blocks.SIZE)
+    moments = second_moments(train, damping)
+    matrix = blocks.plus_diagonal(moments, F.col("lam")).drop("lam")
+    parts = blocks.cut(target.select("layer", V.doubles("v").alias("v")), ["layer"], "v", blocks.SIZE)
+    return blocks.joined(blocks.solve(matrix if count == 1 else cut_lineage(matrix), parts, ["layer"], count), ["layer"], "hvp")
 
 
 def influence_values(train: DataFrame, hvp: DataFrame, sample: str = "vec_id") -> DataFrame:

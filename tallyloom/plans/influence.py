@@ -8,7 +8,7 @@ from tallyloom.functions import sampling
 from tallyloom.functions import vectors as V
 from tallyloom.operators import influence as I
 from tallyloom.operators import gradients
-from tallyloom.plans.fixtures import CTE, NEEDS, layered, sql_hash, vectors, with_ctes
+from tallyloom.plans.fixtures import CTE, LAYER_WIDTH, NEEDS, layered, sql_hash, vectors, with_ctes
 from tallyloom.plans.registry import query
 
 DAMPING = 0.1
@@ -250,7 +250,7 @@ FROM lay JOIN it USING (layer) WHERE NOT is_val AND k = 10 GROUP BY vec_id"""
 @query("influence_lissa", "AGG10 AGG12", LISSA_SQL)
 def influence_lissa(spark, sf_dir):
     train, val = split(spark, sf_dir)
-    hvp = I.hvp_lissa(train, target(val), I.layer_damping(train))
+    hvp = I.hvp_lissa(train, target(val), I.layer_damping(train), width=LAYER_WIDTH)
     return rounded(I.influence_values(train, hvp), "influence", digits=5)
 
 
@@ -264,7 +264,7 @@ EXACT_SQL = LISSA_SQL.replace(
 @query("influence_exact", "AGG11 AGG12", EXACT_SQL)
 def influence_exact(spark, sf_dir):
     train, val = split(spark, sf_dir)
-    hvp = I.hvp_exact(train, target(val), I.layer_damping(train))
+    hvp = I.hvp_exact(train, target(val), I.layer_damping(train), width=LAYER_WIDTH)
     return rounded(I.influence_values(train, hvp), "influence", digits=5)
 
 

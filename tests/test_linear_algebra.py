@@ -61,6 +61,28 @@ def test_exact(parts):
     assert np.allclose(I.hvp_exact(*parts).first()["hvp"], expected)
 
 
+def test_blocked_products_and_systems(spark, monkeypatch):
+    """Layers of 3 and 1 blocks, the last block narrower, against the dense forms; equal training rows count each."""
+    monkeypatch.setattr(I.blocks, "SIZE", 3)
+    wide, narrow = np.concatenate([RNG.normal(size=(30, 7)), np.ones((12, 7))]), RNG.normal(size=(9, 2))
+    rows = [(0, x.tolist()) for x in wide] + [(1, x.tolist()) for x in narrow]
+    train = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "vec_id long, layer int, g array<double>")
+    v = [RNG.normal(size=7), RNG.normal(size=2)]
+    target = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "layer int, v array<double>")
+    damping = I.layer_damping(train)
+    exact = {r["layer"]: r["hvp"] for r in I.hvp_exact(train, target, damping).collect()}
+    lissa = {r["layer"]: r["hvp"] for r in I.hvp_lissa(train, target, damping, iterations=4).collect()}
+    for layer, g in enumerate((wide, narrow)):
+        lam, c = np.mean(g**2) / 10, g.T @ g / len(g)
+        assert np.allclose(exact[layer], np.linalg.solve(c + lam * np.eye(len(c)), v[layer]))
+        r = v[layer]
+        for _ in range(4):
+            r = v[layer] + r - (c @ r - lam * r)
+        assert np.allclose(lissa[layer], r)
+    assert I.hvp_exact(train.where("false"), target, damping).count() == 0
+    assert I.hvp_lissa(train.where("false"), target, damping, iterations=2).count() == 0
+
+
 def test_closed_form_is_exact_for_one_sample(spark):
     one = frame(spark, G[:1])
     damping = I.layer_damping(one)
