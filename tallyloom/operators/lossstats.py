@@ -717,18 +717,30 @@ def length_ablation(rows: DataFrame, targets: Mapping[str, str]) -> DataFrame:
 # --- dependence --------------------------------------------------------------------------------
 
 
+SEQUENCE_SLICE = 4096  # positions of a sequence in one window
+
+
 def autocorrelation(
     rows: DataFrame, sequence: Sequence[str], pos: str, value: str, lags: Sequence[int], total: str
 ) -> DataFrame:
     """(sequence, lag, acf): correlation of x[:-lag] and x[lag:]; NULL if too short or constant.
 
-    Neighbours meet through an equi join on (sequence, position), so a long sequence is spread over tasks.
+    A sequence is cut into slices of positions, each with the first rows of the next one as far as the largest lag
+    reaches; all lags are looked up inside a slice and folded there, so a value is shuffled once whatever the number
+    of lags. Pairs with a NULL or a missing position count nothing.
     """
-    shifted = rows.select(
-        *sequence, F.col(value).alias("__a"), total, F.col(pos).alias("__p"), F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag")
-    ).where(F.col(total) > F.col("lag") + 1)
-    shifted = shifted.withColumn(pos, F.col("__p") + F.col("lag"))
-    paired = shifted.join(rows.select(*sequence, pos, F.col(value).alias("__b")), [*sequence, pos])
+    length = max(SEQUENCE_SLICE, 4 * max(lags))
+    own = F.floor(F.col(pos) / length)
+    reached = (own > 0) & (F.col(pos) % length < max(lags))
+    homes = F.when(reached, F.array(own, own - 1)).otherwise(F.array(own))
+    sliced = rows.select(
+        *sequence, F.col(pos).cast("bigint").alias("__p"), F.col(value).alias("__a"), F.col(total).alias("__n"), F.explode(homes).alias("__slice")
+    )
+    ahead = Window.partitionBy(*sequence, "__slice").orderBy("__p")
+    found = F.array(*[F.struct(F.lit(k).alias("lag"), F.first("__a").over(ahead.rangeBetween(k, k)).alias("__b")) for k in lags])
+    pairs = sliced.withColumn("__found", found).where(F.floor(F.col("__p") / length) == F.col("__slice"))
+    pairs = pairs.select(*sequence, "__a", "__n", F.inline("__found")).where(F.col("__n") > F.col("lag") + 1)
+    paired = pairs.where("__a IS NOT NULL AND __b IS NOT NULL")
     ok = (F.var_pop("__a") > 0) & (F.var_pop("__b") > 0)
     corr = F.when(ok, F.try_divide(F.covar_pop("__a", "__b"), F.stddev_pop("__a") * F.stddev_pop("__b")))
     return paired.groupBy(*sequence, "lag").agg(corr.alias("acf"))

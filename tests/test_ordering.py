@@ -69,6 +69,49 @@ def test_average_ranks_and_spearman(spark):
         assert np.isclose(rho[g], expected)
 
 
+def test_correlation_matrices_with_missing_values(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({c: rng.integers(0, 9, 300).astype(float) for c in ("a", "b")})
+    pdf["b"] += pdf["a"] / 2 + 1e6
+    pdf["flat"], pdf["none"] = 0.1, np.nan
+    pdf["rare"] = np.where(np.arange(300) == 7, 1.0, np.nan)
+    pdf.loc[rng.random(300) < 0.3, "a"] = np.nan
+    pdf.loc[rng.random(300) < 0.2, "b"] = np.nan
+    pdf = pd.concat([pdf, pdf.iloc[:40]])  # repeated rows
+    columns = list(pdf.columns)
+    rows = [tuple(None if x != x else float(x) for x in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    out = {(r["a"], r["b"]): (r["pearson"], r["spearman"]) for r in E.correlation_matrices(df, columns).collect()}
+    assert not [p for p in out if "none" in p]
+    for x in ("a", "b"):
+        for y in ("a", "b"):
+            u, v = (pdf.loc[pdf[x].notna() & pdf[y].notna(), c] for c in (x, y))
+            assert np.allclose(out[x, y], (np.corrcoef(u, v)[0, 1], np.corrcoef(u.rank(), v.rank())[0, 1]))
+    assert all(v == (None, None) for p, v in out.items() if set(p) & {"flat", "rare"})
+    assert E.correlation_matrices(df.where("false"), columns).count() == 0
+
+
+def test_autocorrelation_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(L, "SEQUENCE_SLICE", 16)
+    rng = np.random.default_rng(4)
+    rows, expected = [], {}
+    for g, n in ((1, 137), (2, 6), (3, 40)):
+        x = np.cumsum(rng.normal(size=n)) if g != 3 else np.ones(n)
+        rows += [(g, k, float(v), n) for k, v in enumerate(x)]
+        for lag in (1, 2, 5):
+            if n > lag + 1:
+                expected[g, lag] = np.corrcoef(x[:-lag], x[lag:])[0, 1] if g != 3 else None
+    df = spark.createDataFrame(rows, "g int, pos long, v double, n long").repartition(4)
+    out = {(r["g"], r["lag"]): r["acf"] for r in L.autocorrelation(df, ["g"], "pos", "v", [1, 2, 5], "n").collect()}
+    assert out.keys() == expected.keys()
+    assert all(out[k] is None if v is None else np.isclose(out[k], v) for k, v in expected.items())
+    gaps = df.where("g = 1 AND pos <> 15 AND pos <> 16")
+    x = np.array([np.nan if k in (15, 16) else v for g, k, v, n in rows if g == 1])
+    ok = ~np.isnan(x[:-2]) & ~np.isnan(x[2:])
+    got = L.autocorrelation(gaps, ["g"], "pos", "v", [2], "n").first()["acf"]
+    assert np.isclose(got, np.corrcoef(x[:-2][ok], x[2:][ok])[0, 1])
+
+
 def test_near_equal_blocks_match_array_split(spark):
     for n, k in ((10, 3), (7, 7), (23, 8), (8, 8)):
         rows = spark.range(n).select("id", O.near_equal_block(F.col("id"), F.lit(n), F.lit(k)).alias("b")).collect()
