@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators.gram import BUDGET, dense
+from tallyloom.session import cut_lineage
 
 #: rows of a group that meet its pivots in one task, rows handled at a time, and blocks of tasks whose pivots are merged first
 SLICE, CHUNK, MERGED = 65536, 4096, 256
@@ -143,6 +144,43 @@ def pivots(rows: DataFrame, keys: Sequence[str], variances: Sequence[float], tol
     return out.groupBy(*keys, "side").applyInArrow(merge, schema)
 
 
+def sound(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows whose vectors are there, with components that are there and finite."""
+    for c in columns:
+        finite = F.forall(c, lambda t: t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf")))
+        rows = rows.where(F.col(c).isNotNull() & finite)
+    return rows
+
+
+def distinct_rows(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("__cnt"))
+
+
+def in_slices(distinct: DataFrame, small: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple:
+    """Both sides grouped by (keys, slice): slices of distinct rows by hash, each with all rows of ``small`` of its keys."""
+    slices = distinct.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("__slices"))
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+
+    def with_slices(df: DataFrame) -> DataFrame:
+        kept = [F.col(f"a.{c}").alias(c) for c in df.columns]
+        return df.alias("a").join(slices.alias("b"), condition).select(*kept, F.col("b.__slices").alias("__slices"))
+
+    left = with_slices(distinct).withColumn("__slice", F.pmod(F.xxhash64(*columns), F.col("__slices"))).drop("__slices")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__slices") - 1)).alias("__slice")
+    right = with_slices(small).select(*small.columns, every)
+    return left.groupBy(*keys, "__slice"), right.groupBy(*keys, "__slice")
+
+
+def rebuilt(points: pa.Table, side: int, variance: float) -> Basis:
+    points, _ = dense(points.filter(pc.equal(points["side"], side)).sort_by("place")["point"].combine_chunks())
+    basis = Basis(points.shape[1], variance)
+    for k in range(len(points)):  # one by one, so that the order of the pivots stays
+        basis.grow(points[k : k + 1], NOISE / 2)
+    return basis
+
+
 def kernel_moments(
     rows: DataFrame, keys: Sequence[str], columns: Sequence[str], variances: Sequence[float], tolerance: float, most: int
 ) -> DataFrame:
@@ -156,25 +194,9 @@ def kernel_moments(
     """
     keys = list(keys)
     sides = [f"x{s}" for s in range(len(columns))]
-    usable = rows.select(*keys, *[V.doubles(c).alias(s) for c, s in zip(columns, sides)])
-    for s in sides:
-        sound = F.forall(s, lambda t: t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf")))
-        usable = usable.where(F.col(s).isNotNull() & sound)
+    usable = sound(rows.select(*keys, *[V.doubles(c).alias(s) for c, s in zip(columns, sides)]), sides)
     points = pivots(usable, keys, variances, max(tolerance, NOISE), most)
-    slices = usable.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("__slices"))
-    distinct = usable.groupBy(*keys, *sides).agg(F.count(F.lit(1)).alias("__cnt"))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-
-    def with_slices(df: DataFrame) -> DataFrame:
-        condition = same[0] if same else F.lit(True)
-        for more in same[1:]:
-            condition = condition & more
-        kept = [F.col(f"a.{c}").alias(c) for c in df.columns]
-        return df.alias("a").join(slices.alias("b"), condition).select(*kept, F.col("b.__slices").alias("__slices"))
-
-    left = with_slices(distinct).withColumn("__slice", F.pmod(F.xxhash64(*sides), F.col("__slices"))).drop("__slices")
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__slices") - 1)).alias("__slice")
-    right = with_slices(points).select(*points.columns, every)
+    left, right = in_slices(distinct_rows(usable, keys, sides), points, keys, sides)
     schema = T.StructType(
         [rows.schema[k] for k in keys]
         + [T.StructField(c, T.IntegerType()) for c in ("width", "i", "j")]
@@ -185,14 +207,7 @@ def kernel_moments(
     def fold(own: pa.Table, basis_rows: pa.Table) -> pa.Table:
         if not own.num_rows or not basis_rows.num_rows:
             return pa.Table.from_pylist([], schema=out_type(own))
-        basis_rows = basis_rows.sort_by("place")
-        bases = []
-        for side, variance in enumerate(variances):
-            points, _ = dense(basis_rows.filter(pc.equal(basis_rows["side"], side))["point"].combine_chunks())
-            basis = Basis(points.shape[1], variance)
-            for k in range(len(points)):  # one by one, so that the order of the pivots stays
-                basis.grow(points[k : k + 1], NOISE / 2)
-            bases.append(basis)
+        bases = [rebuilt(basis_rows, side, variance) for side, variance in enumerate(variances)]
         size = sum(b.rank for b in bases) + 1
         sums, loss, n = np.zeros((size, size)), 0.0, 0
         for batch in own.to_batches(max_chunksize=CHUNK):
@@ -215,5 +230,84 @@ def kernel_moments(
         numbers = [("width", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("v", pa.float64()), ("loss", pa.float64())]
         return pa.schema([own.schema.field(k) for k in keys] + [pa.field(c, t) for c, t in [*numbers, ("n", pa.int64())]])
 
-    cells = left.groupBy(*keys, "__slice").cogroup(right.groupBy(*keys, "__slice")).applyInArrow(fold, schema)
+    cells = left.cogroup(right).applyInArrow(fold, schema)
     return cells.groupBy(*keys, "width", "i", "j").agg(F.sum("v").alias("v"), F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+
+
+def whitened(distinct: DataFrame, maps: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Distinct rows with their vectors taken through a linear map of their key, ``maps`` (keys, map) in row-major order."""
+    left, right = in_slices(distinct, maps, keys, [column])
+    schema = T.StructType([distinct.schema[k] for k in [*keys, column, "__cnt"]])
+
+    def turn(own: pa.Table, map_row: pa.Table) -> pa.Table:
+        if not own.num_rows or not map_row.num_rows:
+            return own.slice(0, 0).select([*keys, column, "__cnt"])
+        x, _ = dense(own[column].combine_chunks())
+        linear = map_row["map"][0].values.to_numpy(zero_copy_only=False).reshape(x.shape[1], -1)
+        turned = pa.array(list(x @ linear.T), pa.list_(pa.float64()))
+        return pa.Table.from_arrays([*[own[k] for k in keys], turned, own["__cnt"]], names=[*keys, column, "__cnt"])
+
+    return left.cogroup(right).applyInArrow(turn, schema)
+
+
+def mean_log_densities(
+    distinct: DataFrame, facts: DataFrame, keys: Sequence[str], column: str, floor: float, tolerance: float, most: int
+) -> DataFrame:
+    """(keys, total, loss): sums over rows of log(p + floor), p the mean over all rows y of exp(-|x - y|^2 / 2) / c.
+
+    ``facts`` is (keys, n, log_norm), the number of rows and log c. The kernel sum of a row is the product of its coordinates with the sum of
+    all rows' coordinates, and its own kernel is one whatever the pivots; what the product misses between two rows is at most the root
+    of the product of their residuals. ``loss`` sums the widest error of the logarithm that leaves.
+    """
+    keys = list(keys)
+    source = distinct.select(*keys, F.col(column).alias("x0"), "__cnt")
+    points = cut_lineage(pivots(source, keys, [2.0], max(tolerance, NOISE), most))
+    left, right = in_slices(source, points, keys, ["x0"])
+    fields = [source.schema[k] for k in keys]
+
+    def parts(own: pa.Table, basis: Basis) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in own.to_batches(max_chunksize=CHUNK):
+            c = basis.coordinates(dense(batch.column("x0"))[0])
+            weight = batch.column("__cnt").to_numpy(zero_copy_only=False).astype(float)
+            yield weight, c, np.maximum(1.0 - (c**2).sum(1), 0.0)
+
+    def result(own: pa.Table, names: list[str], columns: list[np.ndarray]) -> pa.Table:
+        head = own.slice(0, 1).take(pa.array(np.zeros(len(columns[0]), dtype=np.int64)))
+        return pa.Table.from_arrays([*[head[k] for k in keys], *map(pa.array, columns)], names=[*keys, *names])
+
+    def add(own: pa.Table, basis_rows: pa.Table) -> pa.Table:
+        if not own.num_rows or not basis_rows.num_rows:
+            return result(own, ["place", "sum"], [np.zeros(0, np.int32), np.zeros(0)])
+        basis = rebuilt(basis_rows, 0, 2.0)
+        sums = np.zeros(basis.rank + 1)  # the last place holds the sum of the roots of the residuals
+        for weight, c, left_over in parts(own, basis):
+            sums[:-1] += weight @ c
+            sums[-1] += weight @ np.sqrt(left_over)
+        return result(own, ["place", "sum"], [np.append(np.arange(basis.rank), -1).astype(np.int32), sums])
+
+    sums = left.cogroup(right).applyInArrow(add, T.StructType([*fields, *T.StructType.fromDDL("place int, sum double").fields]))
+    sums = sums.groupBy(*keys, "place").agg(F.sum("sum").alias("sum"))
+    roots = sums.where("place = -1").select(*keys, F.col("sum").alias("roots"))
+    known = points.join(sums, [*keys, "place"]).join(roots, keys).join(facts, keys)
+    left, right = in_slices(source, known, keys, ["x0"])
+
+    def read(own: pa.Table, basis_rows: pa.Table) -> pa.Table:
+        if not own.num_rows or not basis_rows.num_rows:
+            return result(own, ["total", "loss"], [np.zeros(0), np.zeros(0)])
+        basis_rows = basis_rows.sort_by("place")
+        basis = rebuilt(basis_rows, 0, 2.0)
+        sums = basis_rows["sum"].to_numpy()[: basis.rank]
+        roots, n, log_norm = (basis_rows[c][0].as_py() for c in ("roots", "n", "log_norm"))
+        total = loss = 0.0
+        for weight, c, left_over in parts(own, basis):
+            near = np.maximum(c @ sums + left_over * weight, weight)  # equal rows are each other's own kernel
+            miss = np.maximum(np.sqrt(left_over) * (roots - weight * np.sqrt(left_over)), 0.0)
+            low, mid, high = (
+                np.log(np.exp(np.log(k) - np.log(n) - log_norm) + floor) for k in (np.maximum(near - miss, weight), near, near + miss)
+            )
+            total += float(weight @ mid)
+            loss += float(weight @ np.maximum(high - mid, mid - low))
+        return result(own, ["total", "loss"], [np.array([total]), np.array([loss])])
+
+    out = left.cogroup(right).applyInArrow(read, T.StructType([*fields, *T.StructType.fromDDL("total double, loss double").fields]))
+    return out.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("loss").alias("loss"))

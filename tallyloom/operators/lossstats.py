@@ -593,10 +593,16 @@ def survival_grid(tail: DataFrame, keys: Sequence[str], max_points: int) -> Data
     return points.select(*keys, "idx", "x", ((n - F.col("idx")) / n).alias("s"))
 
 
+POINTS = 65536  # positions of one value that are listed at a time
+
+
 def survival_points(tail: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, idx, x, s): S = (n - idx) / n at every position of the tail."""
-    places = F.explode(F.sequence(F.col("before"), F.col("before") + F.col("cnt") - 1)).alias("idx")
-    points = tail.select(*keys, "x", "total", places)
+    """(keys, idx, x, s): S = (n - idx) / n at every position of the tail, those of a tied value in pieces."""
+    end = F.col("before") + F.col("cnt") - 1
+    starts = F.explode(F.sequence(F.col("before"), end, F.lit(POINTS).cast("bigint"))).alias("start")
+    pieces = tail.select(*keys, "x", "total", starts, end.alias("end"))
+    places = F.explode(F.sequence(F.col("start"), F.least(F.col("end"), F.col("start") + POINTS - 1))).alias("idx")
+    points = pieces.select(*keys, "x", "total", places)
     return points.select(*keys, "idx", "x", ((F.col("total") - F.col("idx")) / F.col("total")).alias("s"))
 
 
@@ -795,6 +801,9 @@ def bootstrap_width(
     return means.groupBy(*keys).agg((F.percentile("m", 0.975) - F.percentile("m", 0.025)).alias(name))
 
 
+DRAWS = 4096  # draws of a repeat that a task makes at a time
+
+
 def block_bootstrap_width(
     rows: DataFrame,
     keys: Sequence[str],
@@ -807,32 +816,34 @@ def block_bootstrap_width(
 ) -> DataFrame:
     """95% interval width of the block-bootstrap mean; rows are blocked in ``order``, groups without a block size have none.
 
-    ``blocks`` is (keys, block), as :func:`bootstrap_blocks` gives it. Blocks are summed once; a repeat draws ceil(n / size) block numbers and joins them to the block
-    sums. The concatenated draws are cut at n, which touches the last draws only: a running sum per row
-    gives the part of a block that is kept.
+    ``blocks`` is (keys, block), as :func:`bootstrap_blocks` gives it. A repeat draws ceil(n / size) block numbers, cuts
+    the concatenated blocks at n and divides their sum by n. Only the last block is shorter, by ``short`` rows, so
+    the draws exceed n only where it was not drawn, by ``short`` rows of the last draw: numbers of draws per block, the
+    last draw and two sums per block say everything. Draws are made in pieces of DRAWS, spread over tasks.
     """
-    at = O.running_totals(rows.where(finite(value)), keys, order, {"pos": None, "__sum": value}, {"n": None, "__all": value})
+    at = O.positions(rows.where(finite(value)), keys, order, total="n")
     at = at.join(blocks.select(*keys, F.col("block").alias("size")), list(keys))
-    # prefix[p] = sum of the first p values; one extra row closes the last block
-    prefix = at.select(*keys, F.col("pos").alias("p"), F.col("__sum").alias("prefix"))
-    heads = at.groupBy(*keys).agg(F.max("n").alias("n"), F.max("size").alias("size"), F.max("__all").alias("__all"))
-    prefix = prefix.unionByName(heads.select(*keys, F.col("n").alias("p"), F.col("__all").alias("prefix")))
+    heads = at.groupBy(*keys).agg(F.max("n").alias("n"), F.max("size").alias("size"))
     heads = heads.withColumn("blocks", F.ceil(F.col("n") / F.col("size")))
-    draws = heads.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
-        "draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    )
+    short = F.ceil(F.col("n") / F.col("size")) * F.col("size") - F.col("n")
+    kept = F.col("pos") % F.col("size") < F.col("size") - short
+    sums = at.groupBy(*keys, F.floor(F.col("pos") / F.col("size")).alias("block")).agg(
+        F.sum(value).alias("__sum"), F.sum(F.when(kept, F.col(value)).otherwise(0.0)).alias("__kept")
+    )
+    last = F.col("blocks") - 1
+    pieces = heads.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / DRAWS))))
+    numbers = F.sequence(F.col("piece") * DRAWS, F.least(last, F.col("piece") * DRAWS + DRAWS - 1))
+    draws = pieces.repartition(*keys, "rep", "piece").withColumn("draw", F.explode(numbers))
     draws = draws.withColumn("block", sampling.hash_int(*keys, "rep", "draw", seed=seed) % F.col("blocks"))
-    short = F.col("blocks") * F.col("size") - F.col("n")
-    draws = draws.withColumn("length", F.col("size") - F.when(F.col("block") == F.col("blocks") - 1, short).otherwise(0))
-    # rows taken before this draw: draws are numbered, so a repeat's running total has few rows
-    earlier = Window.partitionBy(*keys, "rep").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
-    draws = draws.withColumn("taken", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
-    keep = F.greatest(F.lit(0), F.least(F.col("length"), F.col("n") - F.col("taken")))
-    draws = draws.withColumn("start", F.col("block") * F.col("size")).withColumn("stop", F.col("start") + keep)
-    summed = draws.join(
-        prefix.select(*keys, F.col("p").alias("start"), F.col("prefix").alias("__from")), [*keys, "start"]
-    ).join(prefix.select(*keys, F.col("p").alias("stop"), F.col("prefix").alias("__to")), [*keys, "stop"])
-    means = summed.groupBy(*keys, "rep").agg((F.sum(F.col("__to") - F.col("__from")) / F.max("n")).alias("m"))
+    drawn = draws.groupBy(*keys, "n", "blocks", "rep", "block").agg(
+        F.count(F.lit(1)).alias("__times"), F.bool_or(F.col("draw") == last).alias("__final")
+    )
+    repeated = drawn.join(sums, [*keys, "block"]).groupBy(*keys, "n", "rep")
+    cut = F.sum(F.when(F.col("__final"), F.col("__sum") - F.col("__kept")))
+    means = repeated.agg(
+        ((F.sum(F.col("__times") * F.col("__sum")) - F.when(F.bool_or(F.col("block") == last), 0.0).otherwise(cut)) / F.col("n")).alias("m")
+    )
     return means.groupBy(*keys).agg((F.percentile("m", 0.975) - F.percentile("m", 0.025)).alias(name))
 
 

@@ -239,6 +239,35 @@ def test_normalized_cca_of_unusable_rows(spark):
     assert moments.normalized_cca(df.where("false"), ["k"], "x", "y", 2, 1).count() == 0
 
 
+def brute_entropy(x, scale):
+    z = x / scale
+    n, d = z.shape
+    cov = np.cov(z, rowvar=False).reshape(d, d) * n ** (-2.0 / (d + 4))
+    gap = z[:, None] - z[None]
+    near = np.exp(-np.einsum("ijk,kl,ijl->ij", gap, np.linalg.inv(cov), gap) / 2)
+    p = near.mean(1) / np.sqrt(np.linalg.det(2 * np.pi * cov))
+    return -np.mean(np.log(p + 1e-12))
+
+
+def test_density_entropies_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("tallyloom.operators.kernels.SLICE", 100)
+    p, q = RNG.normal(size=(400, 2)) * [3.0, 0.01], RNG.exponential(size=(150, 2))
+    q[100:] = q[0]  # a third of all rows are equal
+    flat = np.stack([np.arange(9.0), np.ones(9)], 1)
+    rows = [(1, part, r.tolist()) for part, m in (("p", p), ("q", q), ("flat", flat)) for r in m]
+    rows += [(1, "p", None), (1, "p", [float("nan"), 1.0]), (2, "q", [1.0, 2.0]), (2, "q", [2.0, 0.0]), (2, "q", [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "k int, part string, x array<double>").repartition(4)
+    out = {(r["k"], r["part"]): r for r in moments.density_entropies(df, ["k"], "part", "x", "p").collect()}
+    for part, m in (("p", p), ("q", q)):
+        row = out[1, part]
+        assert row["status"] == "success" and row["n"] == len(m) and row["error"] < 1e-6
+        assert abs(row["entropy"] - brute_entropy(m, p.std(0))) < 1e-6
+    assert out[1, "flat"]["status"] == out[2, "q"]["status"] == "failed" and out[2, "q"]["entropy"] is None
+    loose = moments.density_entropies(df, ["k"], "part", "x", "p", most_rank=20).where("k = 1 AND part = 'p'").first()
+    assert loose["status"] == "loose" and abs(loose["entropy"] - brute_entropy(p, p.std(0))) < loose["error"]
+    assert moments.density_entropies(df.where("false"), ["k"], "part", "x", "p").count() == 0
+
+
 def test_content_style(spark):
     raw, rew = G[:4], G[4:8]
     pdf = pd.DataFrame({"k": 0, "raw": raw.tolist(), "rew": rew.tolist()})

@@ -1,5 +1,7 @@
 """Distributed order statistics against pandas and NumPy, with heavy ties and one hot group."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
@@ -112,6 +114,31 @@ def test_autocorrelation_over_slices(spark, monkeypatch):
     assert np.isclose(got, np.corrcoef(x[:-2][ok], x[2:][ok])[0, 1])
 
 
+def test_block_bootstrap_equals_concatenated_draws(spark, monkeypatch):
+    """Draws in small pieces, a shorter last block, against the blocks laid one after another and cut at n."""
+    monkeypatch.setattr(L, "DRAWS", 5)
+    values = {"a": np.random.default_rng(5).normal(size=47).round(3), "b": np.arange(40.0)}
+    size = {"a": 2, "b": 7}
+    rows = [(g, k, float(v)) for g, vs in values.items() for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    blocks = spark.createDataFrame(list(size.items()), "g string, block long")
+    out = {r["g"]: r["w"] for r in L.block_bootstrap_width(df, ["g"], "v", ["k"], blocks, 30, "s", "w").collect()}
+    for g, vs in values.items():
+        count, means = -(-len(vs) // size[g]), []
+        for rep in range(30):
+            draws = [int(hashlib.md5(f"s:{g}:{rep}:{d}".encode()).hexdigest()[:8], 16) % count for d in range(count)]
+            taken = np.concatenate([vs[b * size[g] : (b + 1) * size[g]] for b in draws])[: len(vs)]
+            means.append(taken.sum() / len(vs))
+        assert np.isclose(out[g], np.quantile(means, 0.975) - np.quantile(means, 0.025))
+
+
+def test_survival_points_of_ties_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(L, "POINTS", 4)
+    tail = spark.createDataFrame([("a", 1.0, 0, 9, 10), ("a", 2.0, 9, 1, 10)], "g string, x double, before long, cnt long, total long")
+    out = sorted((r["idx"], r["x"], r["s"]) for r in L.survival_points(tail, ["g"]).collect())
+    assert out == [(k, 1.0 if k < 9 else 2.0, (10 - k) / 10) for k in range(10)]
+
+
 def test_near_equal_blocks_match_array_split(spark):
     for n, k in ((10, 3), (7, 7), (23, 8), (8, 8)):
         rows = spark.range(n).select("id", O.near_equal_block(F.col("id"), F.lit(n), F.lit(k)).alias("b")).collect()
