@@ -323,6 +323,56 @@ def normalized_cca_statuses(spark, sf_dir):
     return cca_batch(spark, sf_dir).drop("value")
 
 
+DENSITY_WIDTHS = (10, 25)
+
+# all pairs of rows; inverse and determinant of each covariance by Gauss-Jordan steps over lists
+DENSITY_SQL = (
+    "WITH RECURSIVE "
+    + with_ctes("vec", "")[5:].rstrip()
+    + f""",
+rw AS (SELECT d, CASE WHEN is_val THEN 'q' ELSE 'p' END AS part, vec_id, unnest(range(1, d + 1)) AS i, unnest(g[1:d]) AS v
+  FROM vec CROSS JOIN (SELECT unnest({list(DENSITY_WIDTHS)}) AS d) w),
+sc AS (SELECT d, i, stddev_pop(v) AS s, avg(v) AS m FROM rw WHERE part = 'p' GROUP BY ALL),
+st AS MATERIALIZED (SELECT d, part, vec_id, i, (v - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS v FROM rw JOIN sc USING (d, i)),
+sx AS MATERIALIZED (SELECT d, part, vec_id, list(v ORDER BY i) AS x FROM st GROUP BY ALL),
+nn AS (SELECT d, part, count(*) AS n FROM sx GROUP BY ALL),
+cv AS MATERIALIZED (SELECT d, part, a.i, b.i AS j, covar_samp(a.v, b.v) AS v FROM st a JOIN st b USING (d, part, vec_id) GROUP BY ALL),
+aug AS (SELECT d, part, list(r ORDER BY i) AS m FROM (
+  SELECT d, part, i, list(v * pow(n, -2.0 / (d + 4)) ORDER BY j) || list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY j) AS r
+  FROM cv JOIN nn USING (d, part) GROUP BY ALL) GROUP BY ALL),
+ge AS (SELECT d, part, 0 AS k, m, 0.0::DOUBLE AS ld FROM aug UNION ALL
+  SELECT d, part, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda t: t / pv[k + 1])
+    ELSE list_transform(list_zip(r, pv), lambda z: z[1] - z[2] * r[k + 1] / pv[k + 1]) END), ld + ln(pv[k + 1])
+  FROM (SELECT *, m[k + 1] AS pv FROM ge WHERE k < d)),
+inv AS (SELECT d, part, ld, list_transform(m, lambda r: r[d + 1:2 * d]) AS q FROM ge WHERE k = d),
+xy AS (SELECT d, part, vec_id, x, list_transform(q, lambda r: list_dot_product(r, x)) AS y, ld FROM sx JOIN inv USING (d, part)),
+xq AS MATERIALIZED (SELECT *, list_dot_product(x, y) AS s FROM xy),
+pd AS (SELECT d, part, a.vec_id, avg(exp(-(a.s + b.s - 2 * list_dot_product(a.x, b.y)) / 2)) / sqrt(exp(any_value(a.ld)) * pow(2 * pi(), d)) AS p
+  FROM xq a JOIN xq b USING (d, part) GROUP BY d, part, a.vec_id),
+h AS (SELECT d, part, -avg(ln(p + 1e-12)) AS h FROM pd GROUP BY ALL)
+SELECT p.d::INTEGER AS width, round(p.h, 5) AS entropy_p, round(q.h, 5) AS entropy_q, round(p.h - q.h, 5) AS difference, 'success' AS status
+FROM h p JOIN h q USING (d) WHERE p.part = 'p' AND q.part = 'q'"""
+)
+
+
+@query("density_entropy_difference", "MAT12", DENSITY_SQL)
+def density_entropy_difference(spark, sf_dir):
+    """Entropy of the training rows less that of the validation rows, for reductions of two widths."""
+    rows = vectors(spark, sf_dir).withColumn("part", F.when(F.col("is_val"), "q").otherwise("p"))
+    entropies = None
+    for width in DENSITY_WIDTHS:
+        reduced = rows.select(F.lit(width).alias("width"), "part", F.slice("g", 1, width).alias("x"))
+        one = moments.density_entropies(reduced, ["width"], "part", "x", "p")
+        entropies = one if entropies is None else entropies.unionByName(one)
+    sides = [
+        entropies.where(F.col("part") == side).select("width", F.col("entropy").alias(f"entropy_{side}"), F.col("status").alias(f"status_{side}"))
+        for side in ("p", "q")
+    ]
+    out = sides[0].join(sides[1], "width").withColumn("difference", F.col("entropy_p") - F.col("entropy_q"))
+    sound = F.when(F.col("status_p") == F.col("status_q"), F.col("status_p")).otherwise("loose").alias("status")
+    return rounded(out.select("width", "entropy_p", "entropy_q", "difference", sound), "entropy_p", "entropy_q", "difference", digits=5)
+
+
 @query(
     "kernel_matrix_imq",
     "MAT10",
