@@ -147,12 +147,5 @@ def mixed_records(a: DataFrame, b: DataFrame, group: str) -> tuple[DataFrame, Da
 
 
 def carry_forward(rows: DataFrame, keys: Sequence[str], order: Sequence[str], marker: str, name: str) -> DataFrame:
-    """Adds the latest non-NULL ``marker`` before the row, per key in ``order``.
-
-    Rows are numbered by how many markers stand before them and meet their marker through an equi join,
-    so a long sequence is spread over tasks instead of being walked by one.
-    """
-    flagged = rows.withColumn("__is", F.col(marker).isNotNull().cast("int").cast("bigint"))
-    segmented = O.running_total(flagged, keys, order, weight="__is", before="__seg", total=None)
-    markers = segmented.where("__is = 1").select(*keys, (F.col("__seg") + 1).alias("__seg"), F.col(marker).alias(name))
-    return segmented.join(markers, [*keys, "__seg"], "left").drop("__seg", "__is")
+    """Adds the latest non-NULL ``marker`` before the row, per key in ``order``; see :func:`ordering.last_before`."""
+    return O.last_before(rows, keys, order, marker, name)

@@ -22,8 +22,10 @@ from tallyloom.session import cut_lineage
 
 #: rows of a group that meet its pivots in one task, rows handled at a time, and blocks of tasks whose pivots are merged first
 SLICE, CHUNK, MERGED = 65536, 4096, 256
-#: residuals below this are rounding noise of a kernel whose diagonal is one
-NOISE = 2e-14
+#: pivots that a basis takes up at a time
+BLOCK = 256
+#: residuals below this are not told from rounding of a kernel whose diagonal is one
+NOISE = 1e-12
 
 
 class Basis:
@@ -50,15 +52,24 @@ class Basis:
         """Rows whose products are the kernel of the rows' parts inside the span of the pivots."""
         return self.kernel(x, self.points) @ self._inverse[: self.rank, : self.rank].T
 
-    def _add(self, point: np.ndarray, along: np.ndarray, height: float) -> None:
-        r = self.rank
-        if r == len(self._points):
-            self._points = np.concatenate([self._points, np.zeros_like(self._points)])
-            self._inverse = np.pad(self._inverse, ((0, r), (0, r)))
-        self._points[r] = point
-        self._inverse[r, :r] = -(along @ self._inverse[:r, :r]) / height
-        self._inverse[r, r] = 1.0 / height
-        self.rank = r + 1
+    def _extend(self, points: np.ndarray, along: np.ndarray, lower: np.ndarray) -> None:
+        """New pivots: their coordinates on the old ones, and the Cholesky factor of what those leave of their kernel."""
+        r, new = self.rank, self.rank + len(points)
+        if new > len(self._points):
+            more = max(new, 2 * r) - len(self._points)
+            self._points, self._inverse = np.pad(self._points, ((0, more), (0, 0))), np.pad(self._inverse, ((0, more), (0, more)))
+        self._points[r:new] = points
+        self._inverse[r:new, :r] = -np.linalg.solve(lower, along @ self._inverse[:r, :r])
+        self._inverse[r:new, r:new] = np.linalg.solve(lower, np.eye(len(points)))
+        self.rank = new
+
+    def append(self, points: np.ndarray) -> None:
+        """All points as pivots, in their order; they were picked, so none lies in the span of the others."""
+        for start in range(0, len(points), BLOCK):
+            part = points[start : start + BLOCK]
+            along = self.coordinates(part)
+            left = self.kernel(part, part) - along @ along.T + np.eye(len(part)) * (NOISE / 8)
+            self._extend(part, along, np.linalg.cholesky(left))
 
     def grow(self, x: np.ndarray, tolerance: float, most: int | None = None) -> None:
         """Takes rows of ``x`` as pivots, the one with the largest residual first, until all are below ``tolerance``."""
@@ -68,16 +79,17 @@ class Basis:
             left = 1.0 - (known**2).sum(1)
             part, known, left = part[left > tolerance], known[left > tolerance], left[left > tolerance]
             room = len(part) if most is None else min(len(part), most - self.rank)
-            added = np.zeros((len(part), max(room, 0)))
+            added, chosen = np.zeros((len(part), max(room, 0))), []
             for k in range(room):
                 at = int(left.argmax())
                 if left[at] <= tolerance:
                     break
-                along, height = np.concatenate([known[at], added[at, :k]]), float(np.sqrt(left[at]))
                 own = self.kernel(part, part[at : at + 1])[:, 0]
-                added[:, k] = (own - known @ known[at] - added[:, :k] @ added[at, :k]) / height
+                added[:, k] = (own - known @ known[at] - added[:, :k] @ added[at, :k]) / np.sqrt(left[at])
                 left = left - added[:, k] ** 2
-                self._add(part[at], along, height)
+                chosen.append(at)
+            if chosen:
+                self._extend(part[chosen], known[chosen], np.tril(added[chosen, : len(chosen)]))
 
 
 def _points_schema(source: DataFrame, keys: Sequence[str]) -> T.StructType:
@@ -176,8 +188,7 @@ def in_slices(distinct: DataFrame, small: DataFrame, keys: Sequence[str], column
 def rebuilt(points: pa.Table, side: int, variance: float) -> Basis:
     points, _ = dense(points.filter(pc.equal(points["side"], side)).sort_by("place")["point"].combine_chunks())
     basis = Basis(points.shape[1], variance)
-    for k in range(len(points)):  # one by one, so that the order of the pivots stays
-        basis.grow(points[k : k + 1], NOISE / 2)
+    basis.append(points)
     return basis
 
 

@@ -67,6 +67,24 @@ def running_totals(
     )
 
 
+def last_before(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Adds the latest non-NULL ``value`` of an earlier row of the group, NULL where there is none.
+
+    A slice starts with the last value of the slices before it, one row per (group, slice), so rows between two
+    values may be any number. ``order`` has to identify a row inside its group.
+    """
+    keys = list(groups)
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn(SLICE, F.spark_partition_id())
+    ranged = cut_lineage(ranged)  # both readers below need the same slices
+    place = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = ranged.groupBy(*keys, SLICE).agg(F.max_by(value, place).alias("__end"))
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, SLICE, F.last("__end", ignorenulls=True).over(earlier).alias("__start"))
+    inside = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("__last", F.last(value, ignorenulls=True).over(inside))
+    return local.join(starts, [*keys, SLICE]).select(*df.columns, F.coalesce("__last", "__start").alias(name))
+
+
 def running_total(
     df: DataFrame,
     groups: Sequence[str],

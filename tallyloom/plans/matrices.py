@@ -509,6 +509,41 @@ def content_style_angles(spark, sf_dir):
     return moments.principal_angles(split, ["label"], 64)
 
 
+# the trace of the product of both projections, from inverse Gram matrices of the pairs by Gauss-Jordan steps over lists,
+# pairs that others span left out
+OVERLAP_SQL = (
+    "WITH RECURSIVE "
+    + with_ctes("prs", "")[5:].rstrip()
+    + """,
+nn AS (SELECT label, count(*) AS n FROM prs GROUP BY label),
+ps AS MATERIALIZED (SELECT label, s, row_number() OVER (PARTITION BY label, s ORDER BY vec_id) AS i, CASE WHEN s = 0 THEN m ELSE d END AS x
+  FROM prs CROSS JOIN (VALUES (0), (1)) t(s)),
+aug AS (SELECT label, s, list(r ORDER BY i) AS m, avg(r[i]) AS w FROM (
+  SELECT a.label, a.s, a.i, list(list_dot_product(a.x, b.x) ORDER BY b.i) || list(CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY b.i) AS r
+  FROM ps a JOIN ps b USING (label, s) GROUP BY ALL) GROUP BY ALL),
+ge AS (SELECT label, s, n, w, 0 AS k, m FROM aug JOIN nn USING (label) UNION ALL
+  SELECT label, s, n, w, k + 1, list_transform(m, lambda r, i: CASE WHEN pv[k + 1] < 1e-9 * w THEN list_transform(r, lambda t: CASE WHEN i = k + 1 THEN 0 ELSE t END)
+    WHEN i = k + 1 THEN list_transform(r, lambda t: t / pv[k + 1])
+    ELSE list_transform(list_zip(r, pv), lambda z: z[1] - z[2] * r[k + 1] / pv[k + 1]) END)
+  FROM (SELECT *, m[k + 1] AS pv FROM ge WHERE k < n)),
+inv AS MATERIALIZED (SELECT label, s, unnest(range(1, n + 1)) AS i, unnest(list_transform(m, lambda r: r[n + 1:2 * n])) AS r FROM ge WHERE k = n),
+cr AS MATERIALIZED (SELECT a.label, a.i, list(list_dot_product(a.x, b.x) ORDER BY b.i) AS c
+  FROM ps a JOIN ps b USING (label) WHERE a.s = 0 AND b.s = 1 GROUP BY a.label, a.i),
+half AS (SELECT c.label, c.i, list(list_dot_product(c.c, v.r) ORDER BY v.i) AS h FROM cr c JOIN inv v ON v.label = c.label AND v.s = 1 GROUP BY c.label, c.i),
+full_ AS (SELECT h.label, h.i, list(list_dot_product(h.h, c.c) ORDER BY c.i) AS f FROM half h JOIN cr c USING (label) GROUP BY h.label, h.i)
+SELECT label, round(sum(list_dot_product(f.f, v.r)), 4) AS overlap FROM full_ f JOIN inv v USING (label, i) WHERE v.s = 0 GROUP BY label"""
+)
+
+
+@query("content_style_overlap", "MAT16", OVERLAP_SQL)
+def content_style_overlap(spark, sf_dir):
+    """The sum of squared cosines of all angles between content and style: the trace of the product of their projections."""
+    split = moments.content_style(raw_rewrite(spark, sf_dir), "raw", "rewrite")
+    angles = moments.principal_angles(split, ["label"], 64, k=64)
+    square = F.aggregate("angles", F.lit(0.0), lambda total, t: total + F.pow(F.cos(F.radians(t)), 2))
+    return angles.select("label", F.round(square, 4).alias("overlap"))
+
+
 @query(
     "method_difference_matrix",
     "MAT18",

@@ -139,6 +139,15 @@ def test_survival_points_of_ties_in_pieces(spark, monkeypatch):
     assert out == [(k, 1.0 if k < 9 else 2.0, (10 - k) / 10) for k in range(10)]
 
 
+def test_last_before_over_slices(spark):
+    """One marker for thousands of rows, markers of their own group only, nothing before the first."""
+    rows = [("a", k, f"m{k}" if k in (3, 700) else None) for k in range(3000)] + [("b", k, None) for k in range(50)]
+    df = spark.createDataFrame(rows, "g string, k long, m string").repartition(4)
+    out = {(r["g"], r["k"]): r["c"] for r in O.last_before(df, ["g"], ["k"], "m", "c").collect()}
+    expected = {("a", k): None if k <= 3 else "m3" if k <= 700 else "m700" for k in range(3000)}
+    assert out == expected | {("b", k): None for k in range(50)}
+
+
 def test_near_equal_blocks_match_array_split(spark):
     for n, k in ((10, 3), (7, 7), (23, 8), (8, 8)):
         rows = spark.range(n).select("id", O.near_equal_block(F.col("id"), F.lit(n), F.lit(k)).alias("b")).collect()
