@@ -14,31 +14,12 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.operators import joins as J
 from tallyloom.operators import ordering as O
-
-WRAPPERS = ("data", "records", "examples", "items")  # fixed values: keys a record list may be wrapped in
-RECORDS = "array<map<string,string>>"
-
+from tallyloom.sources.arrays import read_json_records
 
 def _source() -> Column:
     return F.col("_metadata.file_path").alias("source")
 
 
-def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files holding an array of records, an object wrapping one, or a single record.
-
-    Such a file is one JSON value and is parsed by one task; large sets belong in JSON lines.
-    """
-    files = spark.read.option("wholetext", True).text(path).select("value", _source())
-    whole = F.ltrim(F.regexp_replace("value", r"^\s+", ""))
-    lists = F.when(whole.startswith("["), F.from_json(whole, RECORDS))
-    for key in WRAPPERS:
-        wrapped = F.get_json_object(whole, f"$.{key}")
-        lists = lists.when(wrapped.startswith("["), F.from_json(wrapped, RECORDS))
-    lists = lists.otherwise(F.array(F.from_json(whole, "map<string,string>")))
-    rows = files.select("source", F.posexplode(lists).alias("ordinal", "fields"))
-    return rows.where("fields is not null").withColumn("ordinal", F.col("ordinal").cast("bigint"))
-
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(source, value, and the line's place as two columns); lines keep file order by block and place in the block."""
     return spark.read.text(path).select(

@@ -36,6 +36,45 @@ def test_single_json_object(spark, tmp_path):
     assert fields(S.read_records(spark, str(tmp_path / "x.json"))) == [(0, {"a": "1"})]
 
 
+@pytest.mark.parametrize(
+    "content, expected",
+    [
+        ("[]", []),
+        ("", []),
+        ("not json", []),
+        ('{"a": {"b": 1}, "c": "}"}\n', [(0, {"a": '{"b":1}', "c": "}"})]),
+        ('[null, {"a": "1"}, 3, {"a": "2"}]', [(0, {"a": "1"}), (1, {"a": "2"})]),
+        ('{"note": "a}b{[", "items": [{"a": "1"}], "records": [{"a": "2"}], "x": {"data": [{"a": "3"}]}}', [(0, {"a": "2"})]),
+        ('{"note": "\\"data\\": [", "items": [{"a": "\\\\"}, {"a": "\\"}{"}]}', [(0, {"a": "\\"}), (1, {"a": '"}{'})]),
+        ('{"data": [], "items": [{"a": "1"}]}', []),
+    ],
+)
+def test_awkward_json_files(spark, tmp_path, content, expected):
+    (tmp_path / "x.json").write_text(content)
+    assert fields(S.read_records(spark, str(tmp_path / "x.json"))) == expected
+
+
+@pytest.mark.parametrize("wrapper", [None, "examples"])
+def test_json_array_is_cut_into_byte_ranges(spark, tmp_path, wrapper):
+    """Blocks of 2 KB begin anywhere: in strings with braces and quotes, in nested objects, between records."""
+    rng = np.random.default_rng(6)
+    alphabet = list('{}[]",:\\ ab\n\u00e9\u4e2d')
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 90))) for _ in range(600)] + ["{}" * 4000]
+    records = [{"k": str(i), "t": t, "n": {"m": {"t": t}}} for i, t in enumerate(texts)]
+    whole = records if wrapper is None else {"meta": {"items": ["}"]}, wrapper: records, "z": [{"k": "no"}]}
+    (tmp_path / "x.json").write_text(json.dumps(whole, ensure_ascii=False, indent=1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = S.read_records(spark, str(tmp_path / "x.json")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {r["ordinal"]: r["fields"] for r in rows}
+    assert len(rows) == len(records) == len(got)
+    for i, r in enumerate(records):
+        assert (got[i]["k"], got[i]["t"], json.loads(got[i]["n"])) == (r["k"], r["t"], r["n"])
+
+
 def test_jsonl_skips_bad_lines_and_keeps_order(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": "1"}\n\nnot json\n[1]\n{"a": "2"}\n')
     assert fields(S.read_records(spark, str(tmp_path / "x.jsonl"))) == [(0, {"a": "1"}), (1, {"a": "2"})]
