@@ -14,6 +14,7 @@ from tallyloom.functions import text as X
 from tallyloom.functions import vectors as V
 from tallyloom.functions.numeric import log_sigmoid, pearson
 from tallyloom.operators import ordering as O
+from tallyloom.operators import smoothing
 
 
 def accuracy(rows: DataFrame, keys: Sequence[str], ok: Column, name: str = "accuracy") -> DataFrame:
@@ -450,41 +451,7 @@ def smoothing_weight(length) -> Column:
     return 1.8 * (1 / (1 + F.exp(-0.05 * length)) - 0.5)
 
 
-SMOOTHING_BLOCK = 512
-
-
 def exponential_smoothing(rows: DataFrame, series: Sequence[str], order: Sequence[str], value: str, name: str = "smoothed") -> DataFrame:
-    """(series, pos, value, smoothed): s = w s_prev + (1 - w) x, starting from the first value.
-
-    The recursion runs inside blocks of 512 rows, all blocks at once. A block starts from the end of
-    the block before it; with w < 0.9 anything older weighs less than 0.9^512, below double precision.
-    """
+    """(series, pos, value, smoothed): s = w s_prev + (1 - w) x, starting from the first value; w by the series' length."""
     placed = O.positions(rows.select(*series, *order, value), series, order, "pos", total="__n")
-    placed = placed.withColumn("__block", F.floor(F.col("pos") / SMOOTHING_BLOCK)).withColumn("__w", smoothing_weight(F.col("__n")))
-    arrays = placed.groupBy(*series, "__block").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda s: s[value]).alias("__x"), F.first("__w").alias("__w")
-    )
-
-    def fold(start):
-        return F.aggregate(F.col("__x"), start, lambda s, x: s * F.col("__w") + (1 - F.col("__w")) * x)
-
-    ends = arrays.select(
-        *series,
-        (F.col("__block") + 1).alias("__block"),
-        fold(F.when(F.col("__block") == 0, F.get("__x", F.lit(0))).otherwise(F.lit(0.0))).alias("__start"),
-    )
-    started = arrays.join(ends, [*series, "__block"], "left").withColumn(
-        "__start", F.coalesce("__start", F.get("__x", F.lit(0)))
-    )
-    states = F.aggregate(
-        F.col("__x"),
-        F.array(F.col("__start")),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) * F.col("__w") + (1 - F.col("__w")) * x)),
-    )
-    out = started.select(*series, "__block", "__x", F.slice(states, F.lit(2), F.size("__x")).alias("__s"))
-    return out.select(*series, "__block", F.posexplode(F.arrays_zip("__x", "__s")).alias("__p", "__z")).select(
-        *series,
-        (F.col("__block") * SMOOTHING_BLOCK + F.col("__p")).alias("pos"),
-        F.col("__z.__x").alias(value),
-        F.col("__z.__s").alias(name),
-    )
+    return smoothing.smoothed(placed.withColumn("__w", smoothing_weight(F.col("__n"))), series, "pos", value, "__w", "__n", name)

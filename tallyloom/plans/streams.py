@@ -16,13 +16,17 @@ def table_stream(spark, sf_dir, name):
     return runs.parquet_stream(spark, sf_dir, f"{name}.parquet", table(spark, sf_dir, name).schema)
 
 
-def event_files(spark, sf_dir) -> str:
-    """Events as JSON-line log files in time order, as many as their size asks for."""
+LATE_FILES = 8
+
+
+def event_files(spark, sf_dir, late: bool = False) -> str:
+    """Events as JSON-line log files: in time order and as many as their size asks for, or dealt out by hash."""
     path = scratch_path(spark, "log")
     rows = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("run"), F.col("event_id").alias("step"), F.log(1 + F.col("value")).alias("loss"), "user_id"
     )
-    rows.repartitionByRange("step").sortWithinPartitions("step").write.json(path)
+    ranged = rows.repartition(LATE_FILES, "step") if late else rows.repartitionByRange("step").sortWithinPartitions("step")
+    ranged.write.json(path)
     return path
 
 
@@ -77,9 +81,10 @@ SELECT a.run, any_value(a.step) AS step, round(any_value(a.step) / 1e4 * 100, 2)
 FROM s a JOIN s b ON a.run = b.run AND b.p <= a.p GROUP BY a.run, a.p""",
 )
 def streamed_training_log(spark, sf_dir):
-    # the files are written at once, so they are read as one batch: only then is their step order known
-    stream = runs.json_stream(spark, event_files(spark, sf_dir), LOG_SCHEMA, files_per_batch=1000)
-    out = runs.appended(ST.smoothed_log(stream, WEIGHT, 10_000), "training-log")
+    """Four micro-batches of lines in no order: nearly every line but those of the first batch is late."""
+    stream = runs.json_stream(spark, event_files(spark, sf_dir, late=True), LOG_SCHEMA, files_per_batch=LATE_FILES // 4)
+    parts = runs.latest(ST.log_blocks(stream, WEIGHT), ["run", "part"], "training-log")
+    out = ST.smoothed_blocks(parts, WEIGHT, 10_000)
     return rounded(out.select("run", "step", "progress", "smoothed"), "smoothed", digits=7)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyloom.functions import sampling
 from tallyloom.operators import ordering as O
 from tallyloom.operators.lossstats import sample_rollup
+from tallyloom.operators.smoothing import BLOCK, block_starts, smoothed_from
 from tallyloom.streaming import runs
 
 
@@ -70,23 +71,6 @@ def shuffled_batch(ids: Sequence[str], seed: str = "buffer"):
     return reorder
 
 
-SMOOTHED = 256
-
-
-def smoothed_from(last: float, losses: np.ndarray, weight: float) -> np.ndarray:
-    """last <- weight last + (1 - weight) loss after every loss, block by block as one product with a triangle."""
-    powers = weight ** np.arange(SMOOTHED + 1)
-    steps = np.subtract.outer(np.arange(SMOOTHED), np.arange(SMOOTHED))
-    triangle = (1.0 - weight) * np.where(steps >= 0, powers[np.maximum(steps, 0)], 0.0)
-    out = np.empty(len(losses))
-    for k in range(0, len(losses), SMOOTHED):
-        part = losses[k : k + SMOOTHED]
-        n = len(part)
-        out[k : k + n] = triangle[:n, :n] @ part + powers[1 : n + 1] * last
-        last = out[k + n - 1]
-    return out
-
-
 LOG_OUTPUT = "run string, step bigint, loss double, smoothed double, progress double"
 LOG_STATE = "smoothed double, count bigint"
 
@@ -113,3 +97,56 @@ def smoothed_log(stream: DataFrame, weight: float, total_steps: int) -> DataFram
     return lines.groupBy("run").applyInPandasWithState(
         fold, LOG_OUTPUT, LOG_STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+LOG_STEPS = 1024
+BLOCK_STATE = "step array<bigint>, loss array<double>"
+BLOCK_OUTPUT = f"run string, part bigint, {BLOCK_STATE}, response array<double>"
+
+
+def log_blocks(stream: DataFrame, weight: float) -> DataFrame:
+    """(run, part, step, loss, response) of a stream of (run, step, loss) that may arrive in any order.
+
+    A part is the lines of a run within 1024 steps. Its state is these lines, so a late line changes its own part
+    alone, however late it is, and a run is spread over tasks. A part is put out again whenever lines reach it;
+    ``response`` is its smoothing from 0. A step that is logged again counts once, with its larger loss; lines
+    without a step or a loss are skipped.
+    """
+
+    def fold(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = dict(zip(*state.get)) if state.exists else {}
+        for lines in parts:
+            for step, loss in zip(lines["step"].tolist(), lines["loss"].tolist()):
+                known[step] = max(loss, known.get(step, loss))
+        steps = sorted(known)
+        losses = [known[s] for s in steps]
+        state.update((steps, losses))
+        response = smoothed_from(0.0, np.array(losses), weight).tolist()
+        yield pd.DataFrame({"run": [key[0]], "part": [key[1]], "step": [steps], "loss": [losses], "response": [response]})
+
+    lines = stream.where("step IS NOT NULL AND loss IS NOT NULL AND loss <> 0 AND NOT isnan(loss)")
+    lines = lines.select("run", "step", "loss", F.floor(F.col("step") / LOG_STEPS).alias("part"))
+    return lines.groupBy("run", "part").applyInPandasWithState(
+        fold, BLOCK_OUTPUT, BLOCK_STATE, "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def smoothed_blocks(parts: DataFrame, weight: float, total_steps: int) -> DataFrame:
+    """(run, step, loss, smoothed, progress) from the current state of all parts of :func:`log_blocks`."""
+    lines = F.size("step")
+    maps = parts.select(
+        "run",
+        "part",
+        F.pow(F.lit(float(weight)), lines).alias("a"),
+        F.element_at("response", -1).alias("b"),
+        F.get("loss", F.lit(0)).alias("__start"),
+    )
+    numbered = O.positions(maps, ["run"], ["part"], BLOCK)
+    starts = block_starts(numbered, ["run"], "__start")
+    starts = numbered.select("run", "part", BLOCK).join(starts, ["run", BLOCK]).select("run", "part", "__start")
+    rows = parts.join(starts, ["run", "part"]).select(
+        "run", "__start", F.posexplode(F.arrays_zip("step", "loss", "response")).alias("k", "z")
+    )
+    progress = F.round(F.col("z.step") / total_steps * 100, 2) if total_steps else F.lit(100.0)
+    state = F.col("z.response") + F.pow(F.lit(float(weight)), F.col("k") + 1) * F.col("__start")
+    return rows.select("run", "z.step", "z.loss", state.alias("smoothed"), progress.alias("progress"))

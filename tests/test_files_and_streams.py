@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import joins as J
+from tallyloom.operators import smoothing as SM
 from tallyloom.sources import readers as S
 from tallyloom.sources import writers as W
 from tallyloom.streaming import runs
@@ -175,6 +176,32 @@ def test_smoothed_log_keeps_state_between_batches(spark, tmp_path):
     assert rows[-1]["progress"] == round(11 / 24 * 100, 2)
 
 
+def test_late_lines_change_their_own_part(spark, tmp_path, monkeypatch):
+    """Lines in no order over five batches, repeated and empty ones among them, against one fold in step order."""
+    monkeypatch.setattr(ST, "LOG_STEPS", 16)
+    monkeypatch.setattr(SM, "ROWS", 3)  # several upper blocks
+    source = tmp_path / "log"
+    source.mkdir()
+    rng = np.random.default_rng(2)
+    lines = [{"run": r, "step": int(s), "loss": float(rng.random() + 0.1)} for r, n in (("a", 300), ("b", 5)) for s in rng.permutation(4 * n)[:n]]
+    again = [{**x, "loss": x["loss"] - 0.05} for x in lines[::20]]
+    empty = [{"run": "a", "step": 7, "loss": None}, {"run": "c", "step": None, "loss": 1.0}, {"run": "c", "step": 1, "loss": 0.0}]
+    every = [(lines + again + empty)[k] for k in rng.permutation(len(lines) + len(again) + 3)]
+    for part in range(5):
+        (source / f"{part}.json").write_text("".join(json.dumps(x) + "\n" for x in every[part::5]) + "oops\n")
+    stream = runs.json_stream(spark, str(source), "run string, step bigint, loss double")
+    parts = runs.latest(ST.log_blocks(stream, 0.95), ["run", "part"], "late-log")
+    rows = ST.smoothed_blocks(parts, 0.95, 1200).orderBy("run", "step").collect()
+    expected = []
+    for run in ("a", "b"):
+        last = None
+        for x in sorted((x for x in lines if x["run"] == run), key=lambda x: x["step"]):
+            last = 0.05 * x["loss"] + 0.95 * (x["loss"] if last is None else last)
+            expected.append((run, x["step"], last))
+    assert [(r["run"], r["step"]) for r in rows] == [e[:2] for e in expected]
+    assert np.allclose([r["smoothed"] for r in rows], [e[2] for e in expected], rtol=1e-12)
+
+
 def test_running_moments_over_batches(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

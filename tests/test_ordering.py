@@ -156,7 +156,7 @@ def test_near_equal_blocks_match_array_split(spark):
 
 
 def test_exponential_smoothing_across_blocks(spark):
-    n = 3 * E.SMOOTHING_BLOCK + 17
+    n = 3 * E.smoothing.ROWS + 17
     x = np.random.default_rng(3).normal(size=n)
     df = spark.createDataFrame(pd.DataFrame({"s": "run", "t": np.arange(n), "x": x}))
     out = E.exponential_smoothing(df, ["s"], ["t"], "x").toPandas().sort_values("pos")
@@ -168,6 +168,25 @@ def test_exponential_smoothing_across_blocks(spark):
     assert np.allclose(out["smoothed"], expected, rtol=1e-12)
 
 
+def test_smoothing_keeps_the_whole_history(spark, monkeypatch):
+    """A weight near 1, blocks of 4 rows and upper blocks of 4 blocks; a series without a name and one of one row."""
+    monkeypatch.setattr(E.smoothing, "ROWS", 4)
+    rng = np.random.default_rng(8)
+    rows, expected = [], {}
+    for s, n in (("a", 150), (None, 33), ("one", 1)):
+        x = rng.normal(size=n) + 5
+        last = x[0]
+        for k, v in enumerate(x):
+            rows.append((s, k, float(v), 0.999, n))
+            last = last * 0.999 + 0.001 * v
+            expected[s, k] = last
+    df = spark.createDataFrame(rows, "s string, p long, x double, w double, n long").repartition(5)
+    out = {(r["s"], r["p"]): r["y"] for r in E.smoothing.smoothed(df, ["s"], "p", "x", "w", "n", "y").collect()}
+    assert out.keys() == expected.keys()
+    assert all(np.isclose(out[k], v, rtol=1e-12) for k, v in expected.items())
+    assert E.smoothing.smoothed(df.where("false"), ["s"], "p", "x", "w", "n", "y").count() == 0
+
+
 def test_survival_grid(spark):
     rng = np.random.default_rng(4)
     for n in (5, 40, 41, 300):
