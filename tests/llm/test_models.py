@@ -1,8 +1,11 @@
 """Language, toxicity and line quality: held-out accuracy, and the awkward rows."""
 
+import itertools
 import math
 import re
 import time
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,6 +51,53 @@ def test_unseen_words_back_off_to_shorter_grams():
     assert other.scores("ж") == (0.0, 0.0)
 
 
+def plain_words(text):
+    """Runs of letters, found by the category of every character."""
+    runs = itertools.groupby(text.lower(), lambda c: unicodedata.category(c)[0] == "L")
+    return ["".join(g) for letters, g in runs if letters]
+
+
+def brute_language(text, model):
+    """Language and score word by word from the model's tables, longest known n-grams first."""
+    sums = [0.0] * len(model.languages)
+    words = plain_words(text or "")
+    if not words or not model.languages:
+        return "und", 0.0
+    for word in words:
+        found = [model.words[word]] if word in model.words else []
+        for n in (4, 3, 2, 1):
+            whole = f"^{word}$" if n > 1 else word
+            found = found or [model.grams[n][whole[k : k + n]] for k in range(len(whole)) if whole[k : k + n] in model.grams[n] and k + n <= len(whole)]
+        for k in range(len(sums)):
+            sums[k] += sum(f[k] for f in found) / len(found) if found else 0.0
+    best = max(sums)
+    return model.languages[sums.index(best)], 1 / sum(math.exp(s - best) for s in sums)
+
+
+def test_language_of_the_tables_is_that_of_brute_force(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(df, most=300)
+    long = spark.createDataFrame([(-1, "Stra\u00dfenbahn " * 30_000, None), (-2, "a\u0301 \u4e2d1\u6587 x_y", None)], df.schema)
+    rows = df.union(long).union(documents(spark).select("doc_id", "text", "lang"))
+    for r in rows.select("text", language.predictor(language.broadcast(spark, model))("text").alias("x")).collect():
+        lang, score = brute_language(r["text"], model)
+        assert r["x"]["score"] == pytest.approx(score, abs=1e-6)
+        assert r["x"]["lang_pred"] == lang
+
+
+def test_language_tables_are_plain_counts():
+    texts, langs = ["Haus haus HAUS baum1baum", "casa la casa la la", "haus la"], ["de", "es", "de"]
+    model = language.fit(texts, langs)
+    counts = {x: Counter(w for t, y in zip(texts, langs) if x == y for w in plain_words(t)) for x in ("de", "es")}
+    known = [w for w in set(counts["de"]) | set(counts["es"]) if counts["de"][w] + counts["es"][w] >= 3]
+    assert sorted(model.words) == sorted(known) == ["haus", "la"]
+    for w in known:
+        for k, x in enumerate(("de", "es")):
+            expected = math.log((counts[x][w] + 0.5) / (counts[x].total() + 0.5 * (len(known) + 1)))
+            assert model.words[w][k] == pytest.approx(expected)
+    assert "^hau" in model.grams[4] and "aus$" in model.grams[4] and "bau" not in model.grams[3]
+
+
 def rates(rows, label):
     held = [r for r in rows if r["held_out"]]
     order = np.argsort(np.argsort([r["score"] for r in held])) + 1
@@ -133,6 +183,44 @@ def test_held_out_quality(spark, labels):
     assert np.mean([r["predicted"] for r in held if not r["quality"]]) < 0.25
 
 
+def brute_quality(text, model):
+    """Length-weighted probability of good lines, by forward and backward sums line by line."""
+    lines = [line for line in (text or "").encode().split(b"\n") if line.split()]
+    if not lines:
+        return 0.0
+    own = [line_crf.line_figures(line, line.split()) for line in lines]
+    none = (0.0,) * line_crf.N_FIGURES
+    emit = []
+    for k, figures in enumerate(own):
+        before, after = own[k - 1] if k else none, own[k + 1] if k + 1 < len(own) else none
+        x = (*figures, *before, *after, float(k == 0), float(k == len(own) - 1), 1.0)
+        emit.append((0.0, math.fsum(a * b for a, b in zip(x, model.weights))))
+
+    def both(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+    ahead, back = [emit[0]], [(0.0, 0.0)]
+    for e in emit[1:]:
+        p = ahead[-1]
+        ahead.append(tuple(e[j] + both(p[0] + model.moves[0][j], p[1] + model.moves[1][j]) for j in (0, 1)))
+    for e in emit[:0:-1]:
+        p = back[-1]
+        back.append(tuple(both(model.moves[i][0] + e[0] + p[0], model.moves[i][1] + e[1] + p[1]) for i in (0, 1)))
+    odds = [(f[1] + b[1]) - (f[0] + b[0]) for f, b in zip(ahead, back[::-1])]
+    good = [1 / (1 + math.exp(-max(-700, min(700, z)))) for z in odds]
+    return sum(len(line) * g for line, g in zip(lines, good)) / sum(map(len, lines))
+
+
+def test_quality_of_the_tables_is_that_of_brute_force(spark, labels):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = line_crf.train(df, labels, most=300)
+    assert np.abs(model.moves).max() > 0.1
+    long = spark.createDataFrame([(-1, "a plain line of words.\n" * 20_000), (-2, "one line " * 50_000)], df.schema)
+    rows = df.union(long).union(documents(spark).select("doc_id", "text"))
+    for r in rows.select("text", line_crf.scorer(model)("text").alias("s")).collect():
+        assert r["s"] == pytest.approx(brute_quality(r["text"], model), abs=1e-8)
+
+
 def test_quality_of_awkward_rows(spark):
     df = documents(spark)
     train = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (9, 1), (7, 0)], "doc_id bigint, quality int")

@@ -1,6 +1,8 @@
 """Decontamination, licenses, line rules and URLs against brute force."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +271,42 @@ def test_unwanted_hosts_of_the_pages_are_blocked_and_others_allowed(spark, sf_di
     telling = F.col("host").rlike("casino|bets|pills|adult|spam|ads-")
     wrong = found.where((F.col("verdict") == "block") != telling).count()
     assert wrong <= 0.05 * pages.count()
+
+
+def brute_url_score(host, path, weights):
+    """The model's probability from its weights, one n-gram after another in plain integers."""
+    total, n_features = 0.0, 0
+    for salt, text in ((0, f".{host}.".encode()), (1, path.encode())):
+        for n in url_filter.SIZES:
+            for k in range(len(text) - n + 1):
+                value = 1469598103 + salt * 7919 + n
+                for byte in text[k : k + n]:
+                    value = (value * 1099511628211 + byte) % 2**64
+                value ^= value >> 29
+                total += weights[(value * 0xD6E8FEB86659FD93 % 2**64 >> 48) % url_filter.BUCKETS]
+                n_features += 1
+    return 1 / (1 + math.exp(-(total / math.sqrt(max(n_features, 1)) + weights[-1])))
+
+
+def test_urls_of_the_tables_are_judged_as_by_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    odd = [(-1, None), (-2, ""), (-3, "no scheme"), (-4, "x://"), (-5, "http://\u00e9\u4e2d.test/" + "a" * 5000 + "?q"), (-6, "http://A.NET/es/")]
+    weights = url_filter.train(labelled_urls(spark))
+    rows = pages.union(spark.createDataFrame(odd, pages.schema))
+    got = url_filter.judged(rows, weights, RULES).join(rows, "page_id").collect()
+    assert len(got) == rows.count()
+    for r in got:
+        _, found, rest = (r["url"] or "").partition("://")
+        rest = re.split(r"[?#]", rest)[0] if found else ""
+        own, slash, after = rest.partition("/")
+        own = "".join(c.lower() if "A" <= c <= "Z" else c for c in own)
+        assert (r["host"], r["path"]) == (own, slash + after)
+        fits = [
+            x for x in RULES
+            if f".{own}".endswith("." + x.name.split("/")[0]) and r["path"].startswith(x.name[x.name.index("/") :])
+        ]
+        best = max(fits, key=lambda x: len(x.name), default=None)
+        score = brute_url_score(own, slash + after, weights)
+        assert r["score"] == pytest.approx(score, abs=1e-9)
+        assert r["rule"] == (best and best.name)
+        assert r["verdict"] == (best.verdict if best else url_filter.BLOCK if r["score"] >= 0.5 else url_filter.ALLOW)
