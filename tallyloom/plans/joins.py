@@ -12,20 +12,21 @@ from tallyloom.plans.influence import rounded
 from tallyloom.plans.registry import query
 
 CTE["rawrec"] = "SELECT o_orderkey AS k, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders"
-CTE["rwrec"] = "SELECT o_orderkey AS k, o_custkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS ordinal FROM orders WHERE o_orderstatus <> 'F'"
+CTE["rwrec"] = "SELECT o_orderkey AS k, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS o_custkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS ordinal FROM orders"
 
 
 def record_sides(spark, sf_dir, keyed: bool):
+    """All orders on both sides; on the rewritten one the records of status F have no key."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     key = F.lit("question_id") if keyed else F.lit("note")
-    fields = F.create_map(
-        F.lit("id"), F.when(F.col("o_orderkey") < 3, F.col("o_orderkey").cast("string")), key, F.col("o_custkey").cast("string")
-    )
-    raw = O.positions(orders.withColumn("fields", fields), [], ["o_orderkey"], "ordinal")
-    rewritten = O.positions(
-        orders.where("o_orderstatus <> 'F'").withColumn("fields", fields), [], ["o_totalprice", "o_orderkey"], "ordinal"
-    )
-    return raw, rewritten
+
+    def with_fields(value):
+        first = F.when(F.col("o_orderkey") < 3, F.col("o_orderkey").cast("string"))
+        return orders.withColumn("fields", F.create_map(F.lit("id"), first, key, value.cast("string")))
+
+    raw = O.positions(with_fields(F.col("o_custkey")), [], ["o_orderkey"], "ordinal")
+    kept = F.when(F.col("o_orderstatus") != "F", F.col("o_custkey"))
+    return raw, O.positions(with_fields(kept), [], ["o_totalprice", "o_orderkey"], "ordinal")
 
 
 @query(
@@ -176,13 +177,13 @@ def method_deltas(spark, sf_dir):
     "outer_difference",
     "JOIN8",
     with_ctes(
-        "base",
+        "summ",
         """SELECT dataset, epoch, h_mode, round(CASE WHEN a.lambda1 IS NOT NULL OR b.lambda1 IS NOT NULL THEN coalesce(a.lambda1, 0) - coalesce(b.lambda1, 0) END, 8) AS diff
-FROM (SELECT * FROM base WHERE method = 'sft') a FULL JOIN (SELECT * FROM base WHERE method = 'sdft') b USING (dataset, epoch, h_mode)""",
+FROM (SELECT * FROM summ WHERE method = 'sft') a FULL JOIN (SELECT * FROM summ WHERE method = 'sdft') b USING (dataset, epoch, h_mode)""",
     ),
 )
 def outer_difference(spark, sf_dir):
-    rows = summary(spark, sf_dir).where("h_mode <> 'cross_oracle_sdft'")
+    rows = summary(spark, sf_dir)
     out = J.outer_difference(
         rows.where("method = 'sft'"), rows.where("method = 'sdft'"), ["dataset", "epoch", "h_mode"], "lambda1", "diff"
     )
