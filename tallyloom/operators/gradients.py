@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators import influence as I
+from tallyloom.operators import tiles
 
 
 def gradient_moments(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
@@ -72,21 +73,17 @@ def every_group(objects: DataFrame, obj: str, vector: str, group: str) -> DataFr
 
 
 def cosine_jobs(objects: DataFrame, obj: str, vector: str) -> DataFrame:
-    """(base, target, status, cosine) for every ordered pair of dataset-level vectors."""
-    item = F.struct(F.col(obj).alias("obj"), F.col(vector).alias("v"), V.norm(vector).alias("norm"))
-    packed = objects.agg(V.few(F.array_sort(F.collect_list(item))).alias("objs"))
-    pairs = packed.select(F.explode("objs").alias("x"), "objs").select("x", F.explode("objs").alias("y"))
+    """(base, target, status, cosine) for every ordered pair of dataset-level vectors, clipped to [-1, 1]."""
     status = (
-        F.when(F.size("x.v") != F.size("y.v"), "shape_mismatch")
-        .when((F.col("x.norm") == 0) | (F.col("y.norm") == 0), "zero_norm")
+        F.when(~F.col("same_size"), "shape_mismatch")
+        .when((F.col("norm_a") == 0) | (F.col("norm_b") == 0), "zero_norm")
         .otherwise("success")
     )
-    return pairs.select(
-        F.col("x.obj").alias("base"),
-        F.col("y.obj").alias("target"),
-        status.alias("status"),
-        F.when(status == "success", V.cosine("x.v", "y.v")).alias("cosine"),
-    )
+    raw = F.try_divide("dot", F.col("norm_a") * F.col("norm_b"))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
+    pairs = tiles.vector_pairs(objects, [], obj, vector).withColumn("status", status)
+    cells = pairs.select("a", "b", "status", F.when(F.col("status") == "success", cosine).alias("cosine"))
+    return mirror_pairs(cells).select(F.col("a").alias("base"), F.col("b").alias("target"), "status", "cosine")
 
 
 def quadratic_forms(rows: DataFrame, directions: DataFrame, keys: Sequence[str], vector: str, direction: str) -> DataFrame:
@@ -170,12 +167,7 @@ def h_mode_scores(rows: DataFrame, objects: DataFrame, method: str, obj: str, da
 
 def object_pairs(objects: DataFrame, obj: str) -> DataFrame:
     """(a, b), a <= b, over dataset-level objects."""
-    packed = objects.agg(V.few(F.sort_array(F.collect_set(obj))).alias("objs"))
-    return (
-        packed.select(F.explode("objs").alias("a"), "objs")
-        .select("a", F.explode("objs").alias("b"))
-        .where("a <= b")
-    )
+    return tiles.name_pairs(objects, obj)
 
 
 def pending_pairs(expected: DataFrame, scored: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import vectors as V
-from tallyloom.operators import blocks
+from tallyloom.operators import blocks, tiles
 from tallyloom.operators.gram import dense, gram_sums, mirror
 from tallyloom.session import cut_lineage, known_small
 
@@ -272,23 +272,9 @@ def hessian_scores(train: DataFrame, objects: DataFrame, group: Sequence[str], o
 
 def object_gram(objects: DataFrame, group: Sequence[str], obj: str, vector: str) -> DataFrame:
     """(group, a, b, dot, cos) with a <= b over dataset-level objects; a zero norm counts as 1."""
-    by_pos = objects.select(*group, obj, F.posexplode(vector).alias("pos", "x"))
-    columns = by_pos.groupBy(*group, "pos").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(obj, "x"))), lambda s: s["x"]).alias("col")
-    )
-    cells = gram_sums(columns, group, "col")
-    names = objects.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(obj).alias("obj"), V.norm(vector).alias("norm")))).alias("objs")
-    )
-    left, right = F.col("objs")[F.col("i")], F.col("objs")[F.col("j")]
 
     def unit(n):
-        return F.when(n == 0, F.lit(1.0)).otherwise(n)
+        return F.when(F.col(n) == 0, F.lit(1.0)).otherwise(F.col(n))
 
-    return cells.join(names, list(group)).select(
-        *group,
-        left["obj"].alias("a"),
-        right["obj"].alias("b"),
-        F.col("v").alias("dot"),
-        (F.col("v") / (unit(left["norm"]) * unit(right["norm"]))).alias("cos"),
-    )
+    cells = tiles.vector_pairs(objects, group, obj, vector)
+    return cells.select(*group, "a", "b", "dot", (F.col("dot") / (unit("norm_a") * unit("norm_b"))).alias("cos"))

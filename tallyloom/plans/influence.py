@@ -443,7 +443,7 @@ NEEDS.update({"gp": ("objs", "lay0"), "gscore": ("gp", "objs", "lay0", "vec")})
     with_ctes(
         "gscore",
         """, sizes AS (SELECT label AS ds, count(*) AS n FROM vec GROUP BY label),
-diag AS (SELECT g.ds AS obj, g.score FROM gscore g JOIN sizes s ON s.ds = g.ds WHERE g.a = g.ds AND g.b = g.ds AND s.n % 2 = 0)
+diag AS (SELECT g.ds AS obj, CASE WHEN s.n % 2 = 0 THEN g.score END AS score FROM gscore g JOIN sizes s ON s.ds = g.ds WHERE g.a = g.ds AND g.b = g.ds)
 SELECT t.ds AS train, t.b AS test, round(t.score, 6) AS t,
        CASE WHEN sa.score > 0 AND coalesce(diag.score, sb.score) > 0
             THEN round(t.score / sqrt(sa.score * coalesce(diag.score, sb.score)), 6) END AS c
@@ -459,8 +459,9 @@ def train_test_rect(spark, sf_dir):
     per_dataset = gradients.every_group(objects, "label", "a", "ds")
     scores = I.pair_scores(train, per_dataset, ["ds"], "label", "a", DAMPING)
     sizes = train.groupBy("ds").agg(F.count(F.lit(1)).alias("n"))
-    own = scores.where("a = ds and b = ds").join(sizes, "ds").where("n % 2 = 0")
-    out = gradients.rectangular_scores(scores, own.select(F.col("ds").alias("test"), F.col("score").alias("own")))
+    # a dataset of an odd number of rows has no score of its own, as one that was never computed
+    own = scores.where("a = ds and b = ds").join(sizes, "ds").withColumn("own", F.when(F.col("n") % 2 == 0, F.col("score")))
+    out = gradients.rectangular_scores(scores, own.select(F.col("ds").alias("test"), "own"))
     return rounded(out, "t", "c")
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.operators import tiles
 from tallyloom.operators import gradients as GR
 from tallyloom.operators import gram, moments
 from tallyloom.operators import influence as I
@@ -293,3 +294,27 @@ def test_kernel_matrices(spark):
     assert np.allclose(out.pivot(index="i", columns="j", values="v"), expected)
     out = M.kernel_matrix(cells(spark, k), ["matrix_id"], "gaussian", 50.0, 6).toPandas()
     assert np.allclose(out.pivot(index="i", columns="j", values="v"), np.exp(-d / (2 * 2500 * 6)) @ h)
+
+
+def test_pairs_of_objects_by_tiles(spark):
+    """More objects than a part, several lengths, a zero and a NULL vector, a group of one, a repeated object."""
+    rng = np.random.default_rng(11)
+    rows = [("g", f"o{k}", rng.normal(size=3 + (k % 9 == 0)).tolist()) for k in range(40)]
+    rows += [("g", "zero", [0.0, 0.0, 0.0]), ("g", "none", None), ("g", "o1", rows[1][2]), ("h", "o1", [1.0]), (None, "o1", [])]
+    df = spark.createDataFrame(rows, "s string, o string, v array<double>").repartition(3)
+    got = tiles.vector_pairs(df, ["s"], "o", "v", part=7).collect()
+    expected = []
+    for k, (s, o, v) in enumerate(rows):
+        for t, p, w in rows[k:]:
+            if s == t:
+                same = v is not None and w is not None and len(v) == len(w)
+                norms = {n: None if x is None else round(float(np.linalg.norm(x)), 9) for n, x in ((o, v), (p, w))}
+                a, b = sorted((o, p))
+                expected.append((str(s), a, b, same, norms[a], norms[b], round(float(np.dot(v, w)), 9) if same else None))
+    places = lambda x: None if x is None else round(x, 9) + 0.0
+    found = [(str(r["s"]), r["a"], r["b"], r["same_size"], places(r["norm_a"]), places(r["norm_b"]), places(r["dot"])) for r in got]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    names = tiles.name_pairs(df, "o", part=5).collect()
+    every = sorted({o for _, o, _ in rows})
+    assert sorted(map(tuple, names)) == [(a, b) for k, a in enumerate(every) for b in every[k:]]
+    assert tiles.vector_pairs(df.where("false"), ["s"], "o", "v").count() == tiles.name_pairs(df.where("false"), "o").count() == 0
