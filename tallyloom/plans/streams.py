@@ -12,10 +12,11 @@ from tallyloom.streaming import runs
 from tallyloom.streaming import statistics as ST
 
 
-def table_stream(spark, sf_dir, name):
-    return runs.parquet_stream(spark, sf_dir, f"{name}.parquet", table(spark, sf_dir, name).schema)
+def table_stream(spark, sf_dir, name, files_per_batch=1):
+    return runs.parquet_stream(spark, sf_dir, f"{name}.parquet", table(spark, sf_dir, name).schema, files_per_batch)
 
 
+ALL_FILES = 2**31 - 1
 LATE_FILES = 8
 
 
@@ -94,7 +95,8 @@ def streamed_training_log(spark, sf_dir):
     f"""SELECT event_id, user_id, row_number() OVER (ORDER BY {sql_hash("event_id::VARCHAR", "buffer")}, event_id) - 1 AS place FROM events""",
 )
 def shuffled_stream(spark, sf_dir):
-    stream = table_stream(spark, sf_dir, "events").select("event_id", "user_id")
+    # the buffer is the whole table, however many files it has
+    stream = table_stream(spark, sf_dir, "events", ALL_FILES).select("event_id", "user_id")
     return runs.appended(stream, "shuffled", ST.shuffled_batch(["event_id"])).drop(runs.BATCH)
 
 

@@ -17,11 +17,14 @@ BATCH = "batch"
 
 
 def parquet_stream(spark: SparkSession, folder: str, file: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """Rows of the files of a folder that have this name or pattern; a table of that name may be a folder of files.
+
+    A stream reads a path without a pattern as a folder, so the name stands in braces, a pattern of one.
+    """
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", file)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(f"{folder}/{{{file}}}")
     )
 
 

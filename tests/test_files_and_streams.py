@@ -211,3 +211,16 @@ def test_running_moments_over_batches(spark, tmp_path):
     stream = runs.json_stream(spark, str(source), "k string, x double")
     row = runs.latest(ST.running_moments(stream, ["k"], "x"), ["k"], "test-moments").first()
     assert row["n"] == 30 and np.isclose(row["variance"], values.var())
+
+
+def test_streamed_table_of_several_files(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id % 3 AS label", "array(double(id), 1.0D) AS v", "id")
+    rows.repartition(4, "id").write.parquet(str(tmp_path / "many.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "single.parquet")
+    found = []
+    for name in ("many", "single"):
+        stream = runs.parquet_stream(spark, str(tmp_path), f"{name}.parquet", rows.schema)
+        out = runs.latest(ST.vector_moments(stream.select("label", "v"), ["label"], "v"), ["label", "pos"], "moments")
+        found.append(sorted(map(tuple, out.collect())))
+    assert found[0] == found[1] and [r[2] for r in found[0]] == [14, 14, 13, 13, 13, 13]
