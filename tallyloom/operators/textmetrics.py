@@ -11,34 +11,56 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import ngrams as G
 from tallyloom.functions import text as X
 
-OVERLAP = "struct<size_a:int,size_b:int,matches:array<int>,shared:array<int>,kinds_a:array<int>,kinds_b:array<int>>"
+COUNTS = ("matches", "shared", "kinds_a", "kinds_b")
+OVERLAP = "struct<size_a:int,size_b:int," + ",".join(f"{c}:array<int>" for c in COUNTS) + ">"
+UNITS = 1 << 18  # units of both sides that are numbered at a time, unless one pair has more
 
 
-def _units(value) -> np.ndarray:
-    """Characters of a text as code points, tokens of an array as they are."""
-    if isinstance(value, str):
-        return np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    return np.array([] if value is None else list(value), dtype=object)
+def _is_text(kind: pa.DataType) -> bool:
+    return pa.types.is_string(kind) or pa.types.is_large_string(kind)
 
 
-def _numbered(columns) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A number for every unit of a batch, and the lengths of the rows of each column; columns lie end to end."""
-    rows = [[_units(v) for v in column] for column in columns]
-    lengths = [np.fromiter(map(len, r), np.int64, len(r)) for r in rows]
-    parts = [x for r in rows for x in r if len(x)]
-    return pd.factorize(np.concatenate(parts))[0].astype(np.int64) if parts else np.zeros(0, np.int64), lengths
+def _lengths(values: pa.Array) -> np.ndarray:
+    """Characters of every text, or tokens of every array; 0 for NULL."""
+    size = pc.utf8_length(values) if _is_text(values.type) else pc.list_value_length(values)
+    return pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def batch_overlap(left, right, order: int) -> pd.DataFrame:
-    """The overlap of every pair of a batch: units and n-grams are numbered once for all pairs."""
-    pairs = len(left)
-    units, (size_a, size_b) = _numbered([left, right])
+def _numbered(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """A number for every unit of the left rows and then of the right ones, laid end to end."""
+    if _is_text(left.type):
+        text = "".join(v for side in (left, right) for v in side.to_pylist() if v)
+        return pd.factorize(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))[0].astype(np.int64)
+    units = pa.concat_arrays([left.flatten(), right.flatten()])
+    return units.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pieces(left: pa.Array, right: pa.Array):
+    """(left, right, sizes of both, numbered units) of runs of rows that have UNITS units together.
+
+    A batch has as many rows as Spark puts in it, whatever their length, so what is worked out at a time is
+    bounded by its units here.
+    """
+    size_a, size_b = _lengths(left), _lengths(right)
+    place = np.cumsum(size_a + size_b) // UNITS
+    bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(left)]
+    for start, end in zip(bounds, bounds[1:]):
+        if start < end:
+            a, b = left.slice(start, end - start), right.slice(start, end - start)
+            yield size_a[start:end], size_b[start:end], _numbered(a, b)
+
+
+def _counted(size_a: np.ndarray, size_b: np.ndarray, units: np.ndarray, order: int) -> np.ndarray:
+    """[count, pair, n - 1] of COUNTS: units and n-grams are numbered once for all pairs."""
+    pairs = len(size_a)
     sizes = np.concatenate([size_a, size_b])
     segment = np.repeat(np.arange(2 * pairs), sizes)
     rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(units))
@@ -49,18 +71,31 @@ def batch_overlap(left, right, order: int) -> pd.DataFrame:
             # an n-gram is the number of its first n - 1 units followed by one more unit
             codes = pd.factorize(codes[:-1] * base + units[n - 1 :])[0] if len(codes) > 1 else codes[:0]
         inside = np.flatnonzero(rest[: len(codes)] >= n)
-        owner = segment[inside] % max(pairs, 1)
-        ids, kinds = pd.factorize(codes[inside] * max(pairs, 1) + owner)
+        owner = segment[inside] % pairs
+        ids, kinds = pd.factorize(codes[inside] * pairs + owner)
         first = segment[inside] < pairs
         a, b = (np.bincount(ids[side], minlength=len(kinds)) for side in (first, ~first))
-        whose = kinds % max(pairs, 1)
+        whose = kinds % pairs
         found.append(
-            [np.bincount(whose, w, pairs).astype(int) for w in (np.minimum(a, b), (a > 0) & (b > 0), a > 0, b > 0)]
+            [np.bincount(whose, w, pairs).astype(np.int32) for w in (np.minimum(a, b), (a > 0) & (b > 0), a > 0, b > 0)]
         )
-    table = np.array(found).reshape(order, 4, pairs)
+    return np.array(found, dtype=np.int32).reshape(order, len(COUNTS), pairs).transpose(1, 2, 0)
+
+
+def _overlaps(left: pa.Array, right: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes of the left rows, sizes of the right rows, counts as _counted gives them) of every pair of a batch."""
+    parts = [(a, b, _counted(a, b, units, order)) for a, b, units in _pieces(left, right)]
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((len(COUNTS), 0, order), np.int32))
+    return tuple(np.concatenate(part, axis=-2 if k == 2 else 0) for k, part in enumerate(zip(none, *parts)))
+
+
+def batch_overlap(left, right, order: int) -> pd.DataFrame:
+    """The overlap of every pair of a batch."""
+    kind = pa.string() if any(isinstance(v, str) for v in [*left, *right]) else pa.list_(pa.string())
+    size_a, size_b, table = _overlaps(pa.array(left, kind), pa.array(right, kind), order)
     out = pd.DataFrame({"size_a": size_a, "size_b": size_b})
-    for k, name in enumerate(("matches", "shared", "kinds_a", "kinds_b")):
-        out[name] = table[:, k].T.tolist()
+    for name, counts in zip(COUNTS, table):
+        out[name] = counts.tolist()
     return out
 
 
@@ -71,30 +106,39 @@ def overlap(a, b, order: int) -> Column:
     ones, ``kinds_*`` the number of distinct ones on each side.
     """
 
-    @F.pandas_udf(OVERLAP)
-    def count(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        return batch_overlap(left, right, order)
+    @F.arrow_udf(OVERLAP)
+    def count(left: pa.Array, right: pa.Array) -> pa.Array:
+        size_a, size_b, table = _overlaps(left, right, order)
+        ends = np.arange(len(left) + 1, dtype=np.int32) * order
+        lists = [pa.ListArray.from_arrays(ends, np.ascontiguousarray(t).ravel()) for t in table]
+        sizes = [pa.array(size.astype(np.int32)) for size in (size_a, size_b)]
+        return pa.StructArray.from_arrays([*sizes, *lists], ["size_a", "size_b", *COUNTS])
 
     return count(X.col(a), X.col(b))
 
 
+def _common_length(x: np.ndarray, y: np.ndarray) -> int:
+    masks: dict[int, int] = {}
+    for k, token in enumerate(x.tolist()):
+        masks[token] = masks.get(token, 0) | (1 << k)
+    full = (1 << len(x)) - 1
+    row = full
+    for token in y.tolist():
+        hit = row & masks.get(token, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
+
+
 def longest_common_subsequence(a, b) -> Column:
     """Length of the longest common subsequence of two token arrays, by bit-parallel rows."""
 
-    @F.pandas_udf("int")
-    def length(left: pd.Series, right: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def length(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(left, right):
-            masks: dict[str, int] = {}
-            for k, token in enumerate(x):
-                masks[token] = masks.get(token, 0) | (1 << k)
-            full = (1 << len(x)) - 1
-            row = full
-            for token in y:
-                hit = row & masks.get(token, 0)
-                row = ((row + hit) | (row - hit)) & full
-            out.append(len(x) - row.bit_count())
-        return pd.Series(out, dtype="int32")
+        for size_a, size_b, units in _pieces(left, right):
+            rows = np.split(units, np.cumsum(np.concatenate([size_a, size_b]))[:-1])
+            out += [_common_length(x, y) for x, y in zip(rows[: len(size_a)], rows[len(size_a) :])]
+        return pa.array(out, pa.int32())
 
     return length(X.col(a), X.col(b))
 
@@ -129,10 +173,9 @@ def rouge(rows: DataFrame, hypothesis: Column, reference: Column, keep: Sequence
 
     Arguments are token arrays, whatever the segmenter; an empty side scores 0.
     """
-    counted = rows.select(
-        *keep,
-        overlap(hypothesis, reference, 2).alias("o"),
-        longest_common_subsequence(hypothesis, reference).alias("lcs"),
+    tokens = rows.select(*keep, hypothesis.alias("__a"), reference.alias("__b"))
+    counted = tokens.select(
+        *keep, overlap("__a", "__b", 2).alias("o"), longest_common_subsequence("__a", "__b").alias("lcs")
     )
 
     def grams(n):

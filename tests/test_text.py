@@ -254,6 +254,17 @@ def test_overlap_of_a_batch_is_that_of_its_rows(spark):
         assert whole.iloc[k].tolist() == alone.tolist() and whole.iloc[k]["matches"] == clipped
 
 
+def test_a_batch_of_long_texts_is_counted_in_bounded_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab é"), rng.integers(0, 90))) for _ in range(81)]
+    a, b = texts[:40] + [None], texts[41:] + ["a"]
+    whole, sizes, counted = T.batch_overlap(a, b, 3), [], T._counted
+    monkeypatch.setattr(T, "UNITS", 200)
+    monkeypatch.setattr(T, "_counted", lambda x, y, units, order: sizes.append(len(units)) or counted(x, y, units, order))
+    assert T.batch_overlap(a, b, 3).equals(whole)
+    assert len(sizes) > 10 and max(sizes) < 200 + 180
+
+
 def test_hypotheses_need_all_their_numbers(spark):
     names = ("label", "coverage", "mse", "mean", "catoni", "mom", "pooled", "domain", "length", "ratio", "p90")
 
