@@ -223,3 +223,21 @@ def test_short_tails_keep_their_group(spark):
     positive = [v - np.mean([x for g, x in rows if g == "thin"]) for g, v in rows if g == "thin"]
     assert got["thin"]["n_points"] == sum(v > 0 for v in positive) - 1 and got["thin"]["weibull_r2"] is not None
     assert got["long"]["label"] is not None
+
+
+def test_a_tail_is_not_dealt_out_by_its_group(spark):
+    """Slicing a tail joins facts of a row per group, which are small when the join is planned."""
+    rows = [(g, float(x)) for g in "ab" for x in np.random.default_rng(8).exponential(size=400).round(4)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    sliced = L.quantile_slice(L.positive_tail(df, ["g"], "x"), ["g"], 0.5, 0.99)
+    plan = sliced._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_correlations_join_only_columns_of_many_values(spark):
+    """Ranks of a column of few values are broadcast, and columns without a value give no pair."""
+    df = spark.range(500).selectExpr("double(id % 3) AS few", "double(id * 7 % 499) AS many", "cast(NULL AS double) AS none")
+    pdf = df.toPandas()
+    out = {(r["a"], r["b"]): r["spearman"] for r in E.correlation_matrices(df, df.columns).collect()}
+    assert out.keys() == {(a, b) for a in ("few", "many") for b in ("few", "many")}
+    assert np.isclose(out["few", "many"], np.corrcoef(pdf["few"].rank(), pdf["many"].rank())[0, 1])

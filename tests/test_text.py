@@ -254,6 +254,54 @@ def test_overlap_of_a_batch_is_that_of_its_rows(spark):
         assert whole.iloc[k].tolist() == alone.tolist() and whole.iloc[k]["matches"] == clipped
 
 
+def test_strip_leaves_what_its_pattern_leaves(spark):
+    rng = np.random.default_rng(4)
+    marks = list(" \t\n\r\f\x0b\x1c\x85\u00a0\u2028\u2029aé")
+    rows = [("".join(rng.choice(marks, rng.integers(0, 9))),) for _ in range(3000)] + [(None,)]
+    df = spark.createDataFrame(rows, "t string").select("t", X.strip("t").alias("s"), F.regexp_replace("t", r"^\s+|\s+$", "").alias("r"))
+    assert df.where("NOT (s <=> r)").collect() == []
+
+
+def test_repeat_weights_are_those_of_the_column(spark, monkeypatch):
+    """Groups in several runs of rows, weights of every repeat against the column expression."""
+    monkeypatch.setattr(L, "BOOT_ROWS", 64)
+    rng = np.random.default_rng(6)
+    rows = [(None if k % 3 == 0 else f"g{k % 3}", k % 2, float(rng.normal()), int(rng.integers(2**32)), int(rng.integers(2**32))) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, j int, v double, h long, s long").repartition(3)
+    schema = "g string, j int, rep int, wx double, w long"
+    got = df.mapInArrow(L._repeat_sums(2, 40), schema.replace("wx", "__wx").replace("w long", "__w long"))
+    got = got.groupBy("g", "j", "rep").agg(F.sum("__wx").alias("x"), F.sum("__w").alias("w"))
+    u = ((F.col("h") + F.col("rep") * F.col("s")) % 4294967296) / F.lit(4294967296.0)
+    drawn = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("p", L.poisson_weight(u))
+    wanted = drawn.groupBy("g", "j", "rep").agg(F.sum(F.col("v") * F.col("p")).alias("x"), F.sum("p").alias("w"))
+    have, want = ({(r["g"], r["j"], r["rep"]): (r["x"], r["w"]) for r in t.collect()} for t in (got, wanted))
+    assert have.keys() == want.keys() and len(have) == 6 * 40
+    assert all(np.allclose(have[k], want[k]) and have[k][1] == want[k][1] for k in want)
+
+
+def test_draws_are_spread_over_tasks(spark, monkeypatch):
+    """Pieces of few bytes are not merged into one task before their draws are made."""
+    seen = []
+    monkeypatch.setattr(L, "DRAWS", 5)
+    real = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: seen.append(a) or real(self, *a))
+    df = spark.range(60).selectExpr("'a' AS g", "id AS k", "double(id) AS v")
+    blocks = spark.createDataFrame([("a", 2)], "g string, block long")
+    assert L.block_bootstrap_width(df, ["g"], "v", ["k"], blocks, 9, "s", "w").count() == 1
+    assert any(a and a[0] == int(spark.conf.get("spark.sql.shuffle.partitions")) for a in seen)
+
+
+def test_hits_of_golds_are_clipped_and_placed(spark):
+    golds = [("a", "x y x y"), ("a", "X Y"), ("a", "x x"), ("b", "q"), ("c", "z")]
+    predictions = spark.createDataFrame([("a", "x y x"), ("b", "w"), ("d", "x")], "k string, p string")
+    found = spark.createDataFrame([(["x", "y", "x"], ["x", "y", "x", "y"])], "a array<string>, b array<string>")
+    hits = {(h["n"], h["place"]): h["hits"] for h in found.select(T.gram_hits("a", "b", 3).alias("h")).first()["h"]}
+    assert hits == {(1, 0): 2, (1, 1): 1, (2, 0): 1, (2, 1): 1, (3, 0): 1}
+    out = dict(map(tuple, T.reference_bleu(predictions, spark.createDataFrame(golds, "k string, g string"), "k", "p", "g").collect()))
+    assert out.keys() == {"a", "b"} and out["b"] < 1e-60
+    assert np.isclose(out["a"], 100.0)
+
+
 def test_a_batch_of_long_texts_is_counted_in_bounded_pieces(monkeypatch):
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("ab é"), rng.integers(0, 90))) for _ in range(81)]
