@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import ngrams as G
 from tallyloom.functions import text as X
+from tallyloom.session import cut_lineage
 
 COUNTS = ("matches", "shared", "kinds_a", "kinds_b")
 OVERLAP = "struct<size_a:int,size_b:int," + ",".join(f"{c}:array<int>" for c in COUNTS) + ">"
@@ -58,22 +59,31 @@ def _pieces(left: pa.Array, right: pa.Array):
             yield size_a[start:end], size_b[start:end], _numbered(a, b)
 
 
-def _counted(size_a: np.ndarray, size_b: np.ndarray, units: np.ndarray, order: int) -> np.ndarray:
-    """[count, pair, n - 1] of COUNTS: units and n-grams are numbered once for all pairs."""
+def _grams(size_a: np.ndarray, size_b: np.ndarray, units: np.ndarray, order: int):
+    """For n = 1 .. order: (n, number of every n-gram, numbered n-grams, its place in its row, whether that is a left one).
+
+    N-grams are numbered by pair; the number of a kind modulo the pairs is its pair.
+    """
     pairs = len(size_a)
     sizes = np.concatenate([size_a, size_b])
     segment = np.repeat(np.arange(2 * pairs), sizes)
     rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(units))
+    place = np.repeat(sizes, sizes) - rest
     base = int(units.max()) + 1 if len(units) else 1
-    codes, found = units, []
+    codes = units
     for n in range(1, order + 1):
         if n > 1:
             # an n-gram is the number of its first n - 1 units followed by one more unit
             codes = pd.factorize(codes[:-1] * base + units[n - 1 :])[0] if len(codes) > 1 else codes[:0]
         inside = np.flatnonzero(rest[: len(codes)] >= n)
-        owner = segment[inside] % pairs
-        ids, kinds = pd.factorize(codes[inside] * pairs + owner)
-        first = segment[inside] < pairs
+        ids, kinds = pd.factorize(codes[inside] * pairs + segment[inside] % pairs)
+        yield n, ids, kinds, place[inside], segment[inside] < pairs
+
+
+def _counted(size_a: np.ndarray, size_b: np.ndarray, units: np.ndarray, order: int) -> np.ndarray:
+    """[count, pair, n - 1] of COUNTS: units and n-grams are numbered once for all pairs."""
+    pairs, found = len(size_a), []
+    for _, ids, kinds, _, first in _grams(size_a, size_b, units, order):
         a, b = (np.bincount(ids[side], minlength=len(kinds)) for side in (first, ~first))
         whose = kinds % pairs
         found.append(
@@ -220,35 +230,59 @@ def corpus_bleu(rows: DataFrame, keys: Sequence[str], o: str, order: int = 4, sm
 
 # --- BLEU against several references -----------------------------------------------------------------
 
+HITS = "array<struct<n:int,place:int,hits:int>>"
+
+
+def batch_hits(left: pa.Array, right: pa.Array, order: int) -> pa.ListArray:
+    """For every pair the n-grams both have: their first place on the left and their clipped number."""
+    found, ends, done = [], [np.zeros(1, np.int64)], 0
+    for size_a, size_b, units in _pieces(left, right):
+        pairs, own = len(size_a), []
+        for n, ids, kinds, place, first in _grams(size_a, size_b, units, order):
+            a, b = (np.bincount(ids[side], minlength=len(kinds)) for side in (first, ~first))
+            # the left rows come first, so where a kind is seen first is on the left if it is there at all
+            start = np.full(len(kinds), -1, np.int64)
+            start[ids[::-1]] = place[::-1]
+            both = np.flatnonzero((a > 0) & (b > 0))
+            own.append([kinds[both] % pairs, np.full(len(both), n), start[both], np.minimum(a, b)[both]])
+        whose, *values = np.concatenate(own, axis=1)
+        row = np.argsort(whose, kind="stable")
+        found.append([v[row] for v in values])
+        ends.append(done + np.cumsum(np.bincount(whose, minlength=pairs)))
+        done = int(ends[-1][-1])
+    columns = [np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]).astype(np.int32) for k in range(3)]
+    hits = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["n", "place", "hits"])
+    return pa.ListArray.from_arrays(np.concatenate(ends).astype(np.int32), hits)
+
+
+def gram_hits(a, b, order: int) -> Column:
+    """ARRAY(STRUCT(n, place, hits)) of the n-grams that two token arrays share, by the first place in ``a``."""
+
+    @F.arrow_udf(HITS)
+    def hits(left: pa.Array, right: pa.Array) -> pa.Array:
+        return batch_hits(left, right, order)
+
+    return hits(X.col(a), X.col(b))
+
 
 def reference_bleu(predictions: DataFrame, golds: DataFrame, key: str, prediction: str, gold: str, order: int = 4) -> DataFrame:
     """(key, bleu): +1 smoothed BLEU x 100 against all golds of a key, shortest reference length.
 
     Both sides are lowercased, their punctuation is set apart and the mteval tokenizer applied. N-grams are
-    counted per gold and the largest count kept, then joined with the prediction's counts.
+    counted per gold where it meets the prediction, and the largest count of each is kept.
     """
 
-    def prepared(rows, column):
+    def prepared(rows, column, name):
         # ids of the golds only have to tell them apart, the text does that
-        return rows.select(key, G.mteval_tokens(G.split_marks(F.lower(X.strip(column)))).alias("t"))
-
-    hyp = prepared(predictions, prediction)
-    ref = prepared(golds.join(predictions.select(key), key, "left_semi").select(key, gold).distinct(), gold)
-    hyp_counts = (
-        hyp.select(key, F.explode(G.counted_ngrams("t", order)).alias("g")).groupBy(key, "g.n", "g.gram").agg(F.count(F.lit(1)).alias("c"))
-    )
-    ref_counts = (
-        ref.withColumn("__r", F.md5(F.array_join("t", " ")))
-        .select(key, "__r", F.explode(G.counted_ngrams("t", order)).alias("g"))
-        .groupBy(key, "__r", "g.n", "g.gram")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy(key, "n", "gram")
-        .agg(F.max("c").alias("most"))
-    )
-    matched = hyp_counts.join(ref_counts, [key, "n", "gram"]).groupBy(key).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("c", "most")).otherwise(0)).alias(f"__m{n}") for n in range(1, order + 1)]
-    )
-    lengths = ref.groupBy(key).agg(F.min(F.size("t")).alias("__ref"))
+        return rows.select(key, G.mteval_tokens(G.split_marks(F.lower(X.strip(column)))).alias(name))
+
+    texts = golds.join(predictions.select(key), key, "left_semi").select(key, gold).distinct()
+    hyp = cut_lineage(prepared(predictions, prediction, "t"))
+    ref = cut_lineage(prepared(texts, gold, "r"))
+    met = ref.join(hyp, key).select(key, F.explode(gram_hits("t", "r", order)).alias("h"))
+    most = met.groupBy(key, "h.n", "h.place").agg(F.max("h.hits").alias("most"))
+    matched = most.groupBy(key).agg(*[F.sum(F.when(F.col("n") == n, F.col("most")).otherwise(0)).alias(f"__m{n}") for n in range(1, order + 1)])
+    lengths = ref.groupBy(key).agg(F.min(F.size("r")).alias("__ref"))
     table = hyp.select(key, F.size("t").alias("__hyp")).join(lengths, key).join(matched, key, "left")
     tiny = F.lit(2.2250738585072014e-308)  # fixed value: smallest normal double, keeps the logarithm finite
     logs = F.lit(0.0)

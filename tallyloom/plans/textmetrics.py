@@ -12,6 +12,7 @@ from tallyloom.plans.fixtures import CTE, NEEDS, predictions, table, with_ctes
 from tallyloom.plans.influence import rounded
 from tallyloom.plans.records import SQL_STRIP, SQL_WORDS, q
 from tallyloom.plans.registry import query
+from tallyloom.session import cut_lineage
 
 CTE["docpair"] = """
 SELECT doc_id, lang, text AS hyp, lead(text) OVER (PARTITION BY lang, source ORDER BY doc_id) AS ref FROM documents
@@ -164,7 +165,7 @@ FROM x JOIN l ON l.id = x.id GROUP BY x.id""",
     ),
 )
 def reference_bleu(spark, sf_dir):
-    rows = predictions(spark, sf_dir)
+    rows = cut_lineage(predictions(spark, sf_dir))
     last = rows.groupBy("conv_id").agg(F.max_by("predict", "turn").alias("predict"))
     golds = rows.select("conv_id", F.col("label").alias("gold")).unionByName(rows.select("conv_id", F.col("prompt").alias("gold")))
     return rounded(T.reference_bleu(last, golds, "conv_id", "predict", "gold"), "bleu")
