@@ -29,8 +29,15 @@ def bind(value, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(col(value)), use), 1)
 
 
+SPACES = " \t\n\x0b\f\r"
+LINE_ENDS = ("\x85", "\u2028", "\u2029")  # fixed values: no whitespace to a pattern, but the end of text may stand before one
+
+
 def strip(c) -> Column:
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """What replacing the pattern ``^\\s+|\\s+$`` leaves, without searching the text for it."""
+    c = col(c)
+    ended = c.endswith(LINE_ENDS[0]) | c.endswith(LINE_ENDS[1]) | c.endswith(LINE_ENDS[2])
+    return F.when(ended, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(F.btrim(c, F.lit(SPACES)))
 
 
 def strip_fields(fields) -> Column:
