@@ -2,8 +2,9 @@
 
 A file is read as chunks that end with a closing brace, in the byte ranges Spark cuts it into. Whether a chunk begins
 inside a string and how deep it lies follows from running sums over the chunks before it: sums inside a block are taken
-for both possible states of its start, and one row per block tells which of them holds. A record is the run of
-chunks from an opening brace at depth 0 to its closing one, so no task holds more than one record.
+for both possible states of its start, and one row per block tells which of them holds. The sums run over counts
+taken once from each chunk, apart from its text. A record is the run of chunks from an opening brace at depth 0 to its
+closing one, so no task holds more than one record; one that is a single chunk is not grouped.
 """
 
 from __future__ import annotations
@@ -18,49 +19,55 @@ FIELDS = "map<string,string>"
 BLOCK, LINE = "__block", "__line"
 BARE = "["
 KEYS = "|".join(WRAPPERS)
+OPENING = r"\A\s*\{"
 
 
 def _unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\.", "  ")
 
 
-def _count(text: Column, char: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, char, ""))).cast("bigint")
-
-
 def _outside(text: Column, inside: int) -> Column:
     """The text with structure characters inside its strings blanked, of the same length."""
     parts = F.transform(
-        F.split(text, '"', -1), lambda x, i: F.when(i % 2 == inside, x).otherwise(F.translate(x, "{[]:", "    "))
+        F.split(text, '"', -1), lambda x, i: F.when(i % 2 == inside, x).otherwise(F.regexp_replace(x, r"[{\[\]:]", " "))
     )
     return F.array_join(parts, '"')
 
 
+def _braces(parts: Column, inside: int) -> Column:
+    """Opening braces in the parts that lie outside strings, when the first part lies inside one or not."""
+    outside = F.array_join(F.filter(parts, lambda x, i: i % 2 == inside), "")
+    return (F.octet_length(outside) - F.octet_length(F.replace(outside, F.lit("{"), F.lit("")))).cast("bigint")
+
+
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(source, block, line, text, quotes, open0, open1); the brace that opens a whole file is blanked."""
+    """(source, block, line, value, quotes, open0, open1, opening), written once; ``line`` identifies a chunk."""
     rows = spark.read.option("lineSep", "}").text(path).select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(LINE),
         "value",
     )
-    in_block = Window.partitionBy("source", BLOCK).orderBy(LINE)
-    rows = rows.withColumn("__first", (F.col(BLOCK) == 0) & (F.row_number().over(in_block) == 1))
-    text = F.when(F.col("__first"), F.regexp_replace("value", r"\A\s*\{", " ")).otherwise(F.col("value"))
-    plain = _unescaped(F.col("__text"))
-    return rows.withColumn("__text", text).select(
-        "*",
-        (_count(plain, '"') % 2).alias("__quotes"),
-        *[_count(_outside(plain, k), "{").alias(f"__open{k}") for k in (0, 1)],
+    parts = rows.withColumn("__parts", F.split(_unescaped(F.col("value")), '"', -1))
+    return cut_lineage(
+        parts.select(
+            *rows.columns,
+            ((F.size("__parts") - 1) % 2).cast("bigint").alias("__quotes"),
+            *[_braces(F.col("__parts"), k).alias(f"__open{k}") for k in (0, 1)],
+            ((F.col(BLOCK) == 0) & F.col("value").rlike(OPENING)).alias("__opening"),
+        )
     )
 
 
-def _located(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks with ``__inside`` (begins inside a string), ``__depth`` at their start, ``__starts`` and, counted in the
-    block, ``__c`` records begun up to here."""
+def _located(chunks: DataFrame) -> DataFrame:
+    """Places of the chunks, without their text: ``__first`` of its file, ``__inside`` (begins inside a string),
+    ``__depth`` at its start, ``__starts`` a record, ``__alone`` (and ends it) and ``__r``, records begun up to here."""
     in_block = Window.partitionBy("source", BLOCK).orderBy(LINE)
     earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    rows = _chunks(spark, path).withColumn("__rel", F.coalesce(F.sum("__quotes").over(earlier), F.lit(0)) % 2)
+    rows = chunks.drop("value").withColumn("__rel", F.coalesce(F.sum("__quotes").over(earlier), F.lit(0)) % 2)
+    rows = rows.withColumn("__first", (F.col(BLOCK) == 0) & (F.row_number().over(in_block) == 1))
+    # the brace that opens a whole file does not count
+    rows = rows.withColumn("__open0", F.col("__open0") - (F.col("__first") & F.col("__opening")).cast("bigint"))
     for k in (0, 1):  # the state in which the block begins
         state = (F.col("__rel") + k) % 2
         closes = F.when((state + F.col("__quotes")) % 2 == 0, 1).otherwise(0)
@@ -73,13 +80,43 @@ def _located(spark: SparkSession, path: str) -> DataFrame:
     blocks = blocks.select("source", BLOCK, "__from", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("__base"))
     inside = (F.col("__rel") + F.col("__from")) % 2 == 1
     known = rows.join(blocks, ["source", BLOCK]).select(
-        "source", BLOCK, LINE, "value", "__text", "__first",
+        "source", BLOCK, LINE, "__first",
         inside.alias("__inside"),
         (F.col("__base") + F.when(F.col("__from") == 0, F.col("__depth0")).otherwise(F.col("__depth1"))).alias("__depth"),
+        F.when(F.col("__from") == 0, F.col("__step0")).otherwise(F.col("__step1")).alias("__step"),
         F.when(inside, F.col("__open1")).otherwise(F.col("__open0")).alias("__opens"),
     )
     known = known.withColumn("__starts", (F.col("__depth") == 0) & (F.col("__opens") > 0))
-    return known.withColumn("__c", F.sum(F.col("__starts").cast("bigint")).over(in_block)).drop("__opens")
+    known = known.withColumn("__alone", F.col("__starts") & (F.col("__step") == 0))
+    known = cut_lineage(known.withColumn("__c", F.sum(F.col("__starts").cast("bigint")).over(in_block)).drop("__opens", "__step"))
+    begun = known.groupBy("source", BLOCK).agg(F.max("__c").alias("c"))
+    begun = begun.select("source", BLOCK, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__before"))
+    placed = known.join(begun, ["source", BLOCK])
+    return placed.withColumn("__r", F.col("__before") + F.col("__c")).drop("__c", "__before")
+
+
+def _lead() -> Column:
+    """A chunk as it counts: without the brace that opens a whole file, with a quote for the string it begins in."""
+    text = F.when(F.col("__first"), F.regexp_replace("value", OPENING, " ")).otherwise(F.col("value"))
+    return F.when(F.col("__inside"), F.concat(F.lit('"'), text)).otherwise(text)
+
+
+def _ground(lead: str) -> Column:
+    """The text before the record a chunk starts, or all of a chunk at depth 0 that starts none, with structure
+    characters inside strings blanked."""
+    # mostly the brace stands before any quote, then the strings of the record need not be looked at
+    head = F.when(F.col("__starts"), _unescaped(F.substring_index(lead, '"', 1)))
+    mask = _outside(_unescaped(F.col(lead)), 0)
+    return (
+        F.when(head.contains("{"), F.substring_index(head, "{", 1))
+        .when(F.col("__starts"), F.substring_index(mask, "{", 1))
+        .when(F.col("__depth") <= 0, mask)
+    )
+
+
+def _piece() -> Column:
+    """What a chunk has of a record."""
+    return F.when(F.col("__starts"), F.substr(_lead(), F.length("__ground") + 1)).otherwise(F.col("value"))
 
 
 def _priority(key: Column) -> Column:
@@ -89,8 +126,7 @@ def _priority(key: Column) -> Column:
 
 def _chosen_lists(ground: DataFrame) -> DataFrame:
     """(source, low, high): the records of each file's list, from the text between records."""
-    between = F.when(F.col("__starts"), F.col("__mask").substr(F.lit(1), F.col("__at") - 1)).otherwise(F.col("__mask"))
-    marks = ground.select("source", "__r", "__starts", "__first", between.alias("b"))
+    marks = ground.select("source", "__r", "__starts", "__first", F.col("__ground").alias("b"))
     wrapped = F.regexp_extract("b", rf'"({KEYS})"\s*:\s*\[[^\[\]:]*\z', 1)
     key = F.when(F.col("__first") & F.col("b").rlike(r"\A\s*\[[^\[\]:]*\z"), BARE).otherwise(wrapped)
     lists = marks.where(F.col("__starts") & F.col("b").rlike(r"[\[\]:]")).select("source", "__r", key.alias("key"))
@@ -128,21 +164,17 @@ def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     of ``WRAPPERS`` counts. Elements that are no object are left out and have no ordinal, a file that is
     empty or no JSON gives no record. A file without a list is one record and gathered as one.
     """
-    rows = cut_lineage(_located(spark, path))
-    before = Window.partitionBy("source").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    begun = rows.groupBy("source", BLOCK).agg(F.max("__c").alias("c"))
-    begun = begun.select("source", BLOCK, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__before"))
-    lead = F.when(F.col("__inside"), F.concat(F.lit('"'), "__text")).otherwise(F.col("__text"))
-    placed = rows.join(begun, ["source", BLOCK]).withColumn("__r", F.col("__before") + F.col("__c"))
-    placed = placed.withColumn("__lead", lead)
-    placed = placed.withColumn("__mask", F.when(F.col("__depth") <= 0, _outside(_unescaped(F.col("__lead")), 0)))
-    placed = placed.withColumn("__at", F.instr("__mask", F.lit("{")))
-    piece = F.when(F.col("__starts"), F.col("__lead").substr(F.col("__at"), F.length("__lead"))).otherwise(F.col("value"))
-    lists = cut_lineage(_chosen_lists(placed.where("__depth <= 0")))
-    held = placed.where("__starts OR __depth > 0").withColumn("__piece", piece).join(lists, "source")
-    held = held.where("__r >= low AND (high IS NULL OR __r < high)")
-    records = held.groupBy("source", "__r", "low").agg(_joined("__piece").alias("json"))
-    listed = records.select("source", (F.col("__r") - F.col("low")).alias("ordinal"), F.from_json("json", FIELDS).alias("fields"))
+    chunks = _chunks(spark, path)
+    rows = chunks.select(LINE, "value").join(_located(chunks), LINE).withColumn("__lead", _lead())
+    rows = cut_lineage(rows.withColumn("__ground", _ground("__lead")).drop("__lead"))
+    lists = cut_lineage(_chosen_lists(rows.where("__depth <= 0")))
+    held = rows.where("__starts OR __depth > 0").join(lists, "source")
+    held = held.where("__r >= low AND (high IS NULL OR __r < high)").withColumn("__piece", _piece())
+    alone = held.where("__alone").select("source", "__r", "low", F.concat("__piece", F.lit("}")).alias("json"))
+    records = alone.unionByName(held.where("NOT __alone").groupBy("source", "__r", "low").agg(_joined("__piece").alias("json")))
+    # exploded, as a filter on what is parsed would parse it once more
+    parsed = F.explode(F.filter(F.array(F.from_json("json", FIELDS)), lambda m: m.isNotNull()))
+    listed = records.select("source", (F.col("__r") - F.col("low")).alias("ordinal"), parsed.alias("fields"))
     others = rows.join(lists, "source", "left_anti").groupBy("source").agg(_joined("value").alias("whole"))
     single = _whole_files(others).withColumn("ordinal", F.col("ordinal").cast("bigint"))
     return listed.unionByName(single).where("fields IS NOT NULL")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import joins as J
 from tallyloom.operators import smoothing as SM
+from tallyloom.sources import arrays as A
 from tallyloom.sources import readers as S
 from tallyloom.sources import writers as W
 from tallyloom.streaming import runs
@@ -76,6 +77,28 @@ def test_json_array_is_cut_into_byte_ranges(spark, tmp_path, wrapper):
         assert (got[i]["k"], got[i]["t"], json.loads(got[i]["n"])) == (r["k"], r["t"], r["n"])
 
 
+def test_windows_over_chunks_of_a_json_array_carry_no_text(spark, tmp_path, monkeypatch):
+    """Chunks are placed by their counts; records are one chunk or, with braces in their strings, several."""
+    records = [{"k": str(i), "t": ["plain", "a}b{", '"}', "\\"][i % 4] * 50} for i in range(40)]
+    (tmp_path / "x.json").write_text(json.dumps({"data": records}))
+    plans, cut = [], A.cut_lineage
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan())
+        return cut(df)
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    monkeypatch.setattr(A, "cut_lineage", written)
+    assert fields(S.read_records(spark, str(tmp_path / "x.json"))) == list(enumerate(records))
+    windows = [n for plan in plans for n in nodes(plan) if n.nodeName() == "Window"]
+    carried = {n.output().apply(i).name() for n in windows for i in range(n.output().size())}
+    assert "__line" in carried and not carried & {"value", "__text", "__parts"}
+
+
 def test_jsonl_skips_bad_lines_and_keeps_order(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": "1"}\n\nnot json\n[1]\n{"a": "2"}\n')
     assert fields(S.read_records(spark, str(tmp_path / "x.jsonl"))) == [(0, {"a": "1"}), (1, {"a": "2"})]
