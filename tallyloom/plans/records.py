@@ -12,8 +12,10 @@ from tallyloom.operators import records as R
 from tallyloom.plans.fixtures import (
     CTE,
     NEEDS,
-    function_calls,
-    number_answers,
+    altered_answer,
+    answered_turns,
+    call_texts,
+    number_texts,
     predictions,
     sql_hash,
     sql_uniform,
@@ -23,7 +25,7 @@ from tallyloom.plans.fixtures import (
 )
 from tallyloom.plans.influence import rounded
 from tallyloom.plans.registry import query
-from tallyloom.session import cut_lineage
+from tallyloom.session import cut_lineage, scratch_scope, shuffles_freed
 
 
 def q(text: str) -> str:
@@ -522,18 +524,21 @@ SELECT doc_id, text AS label, CASE doc_id % 4 WHEN 0 THEN 'Here is the code:' ||
   WHEN 2 THEN 'Sure ```python' || text ELSE 'I have done it. ' || text END AS predict, source FROM documents"""
 
 
-def code_answers(spark, sf_dir):
+def code_texts():
+    """label and predict of a document."""
     case = F.col("doc_id") % 4
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.col("text").alias("label"),
+    predict = (
         F.when(case == 0, F.concat(F.lit("Here is the code:\n```python\n"), "text"))
         .when(case == 1, F.concat(F.lit("  I implemented it ```python x``` "), "text"))
         .when(case == 2, F.concat(F.lit("Sure ```python"), "text"))
         .otherwise(F.concat(F.lit("I have done it. "), "text"))
-        .alias("predict"),
-        "source",
     )
+    return F.col("text"), predict
+
+
+def code_answers(spark, sf_dir):
+    label, predict = code_texts()
+    return table(spark, sf_dir, "documents").select("doc_id", label.alias("label"), predict.alias("predict"), "source")
 
 
 CTE["dist"] = f"""
@@ -548,23 +553,38 @@ NEEDS.update({"dist": ("answers", "calls", "codeans", "pred"), "distilled": ("di
 
 
 def prediction_table(spark, sf_dir):
-    """(dataset, ordinal, label, predict) over four datasets, ordinals taken once."""
+    """(dataset, ordinal, label, predict) over four datasets, ordinals taken once.
+
+    Rows are numbered as they are in their tables, texts are made of numbered rows. The table is dealt out by its key here,
+    and both texts stand in one value, which no reader takes apart before that: so all sides of joins by the key are the
+    same shuffle, which is written once.
+    """
 
-    def numbered(rows, dataset, order):
+    def numbered(rows, dataset, order, label, predict):
         rows = O.positions(rows, [], order, "ordinal")
-        return rows.select(F.lit(dataset).alias("dataset"), "ordinal", "label", "predict")
-
-    parts = [
-        numbered(number_answers(spark, sf_dir), "gsm8k", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", "predict"]),
-        numbered(function_calls(spark, sf_dir), "openfunction", ["p_partkey"]),
-        numbered(code_answers(spark, sf_dir), "magicoder", ["doc_id"]),
-        numbered(predictions(spark, sf_dir), "alpaca", ["conv_id", "turn"]),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    # what an ingest would write: the table with its ordinals
-    return cut_lineage(out)
+        return rows.select(F.lit(dataset).alias("dataset"), "ordinal", F.array(label, predict).alias("texts"))
+
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    turns = answered_turns(spark, sf_dir).select("conv_id", "turn", "label")
+    with shuffles_freed(spark), scratch_scope(spark):
+        numbers = number_texts()
+        tables = [
+            numbered(lines, "gsm8k", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *numbers], *numbers),
+            numbered(parts, "openfunction", ["p_partkey"], *call_texts()),
+            numbered(docs, "magicoder", ["doc_id"], *code_texts()),
+            numbered(turns, "alpaca", ["conv_id", "turn"], F.col("label"), altered_answer()),
+        ]
+        out = tables[0]
+        for other in tables[1:]:
+            out = out.unionByName(other)
+        # what an ingest would write: the table with its ordinals
+        out = cut_lineage(out, keep=True, codec="zstd")
+    texts = F.col("texts")
+    return out.repartition("dataset", "ordinal").select(
+        "dataset", "ordinal", F.get(texts, F.lit(0)).alias("label"), F.get(texts, F.lit(1)).alias("predict")
+    )
 
 
 def distilled(preds):

@@ -43,6 +43,34 @@ def test_running_total_without_group_descending(spark):
     assert out.sort_values("pos")["id"].tolist() == expected
 
 
+def test_row_numbers_with_ties_nulls_and_computed_order(spark):
+    rng = np.random.default_rng(7)
+    values = [None if v == 0 else int(v) for v in rng.integers(0, 9, 500)]
+    rows = spark.createDataFrame(list(zip(values, range(500))), "v int, id int").repartition(7)
+    up = [i for _, i in sorted(zip(values, range(500)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    down = [i for _, i in sorted(zip(values, range(500)), key=lambda r: (r[0] is None, -(r[0] or 0), -r[1]))]
+    for order, descending, expected in (
+        (["v", "id"], False, up),
+        (["v", "id"], True, down),
+        (["v", F.concat(F.lit("x"), F.lpad(F.col("id").cast("string"), 3, "0"))], False, up),
+    ):
+        out = O.positions(rows, [], order, "p", descending=descending)
+        assert out.columns == ["v", "id", "p"] and dict(out.dtypes)["p"] == "bigint"
+        got = sorted((r["p"], r["id"]) for r in out.collect())
+        assert got == list(enumerate(expected))
+    assert O.positions(rows.where("id < 0"), [], ["id"], "p").collect() == []
+
+
+def test_numbered_rows_are_dealt_out_once(spark):
+    """After the slices are written the rows are neither shuffled nor sorted again."""
+    out = O.positions(spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("text")), [], ["text"], "p")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line or "Sort [" in line]
+    assert plan.count("FileScan") == 2 and not [line for line in dealt if "text" in line or "id#" in line.replace("plan_id", "")]
+    assert "SortMergeJoin" not in plan
+
+
 @QUIET
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=60), st.floats(0, 1))
 def test_quantiles_match_numpy(spark, values, q):
